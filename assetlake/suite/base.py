@@ -136,6 +136,7 @@ def assets(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
         .alias("name"),
         F.octet_length("text").cast("bigint").alias("size"),
         F.unhex(header).alias("content"),
+        "lang",
     ]
     return read_table(spark, sf, "documents").select(*columns, *(["text"] if text else []))
 
@@ -145,7 +146,7 @@ ASSETS = f"""assets AS (
     source || '-' || doc_id || '.' || {sql_list(EXTENSIONS)}[doc_id % 14 + 1] AS name,
     lower({sql_list(EXTENSIONS)}[doc_id % 14 + 1]) AS extension,
     CAST(strlen(text) AS BIGINT) AS size,
-    {sql_list(HEADERS)}[(doc_id // 14) % 7 + 1] AS header, text
+    {sql_list(HEADERS)}[(doc_id // 14) % 7 + 1] AS header, text, lang
   FROM documents)"""
 
 SUPPORTED = "extension IN (" + ", ".join(f"'{e}'" for e in K.INPUT_EXTENSIONS) + ")"

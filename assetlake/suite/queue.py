@@ -101,12 +101,14 @@ def distinct_formats(spark, sf):
     return items(spark, sf).select("asset_id", F.array_join(listed, ",").alias("formats"))
 
 
-VISIBLE = "visible AS (SELECT o_orderkey AS asset_id FROM orders WHERE o_custkey % 7 = 0)"
+VISIBLE = """visible AS (
+  SELECT l_orderkey AS asset_id FROM lineitem WHERE l_extendedprice > 90000)"""
 
 
 def visible(spark, sf):
-    return read_table(spark, sf, "orders").filter("o_custkey % 7 = 0").select(
-        F.col("o_orderkey").alias("asset_id")
+    """Ids seen on screen, with repeats: orders with an expensive line."""
+    return read_table(spark, sf, "lineitem").filter("l_extendedprice > 90000").select(
+        F.col("l_orderkey").alias("asset_id")
     )
 
 
@@ -169,12 +171,15 @@ def next_task(spark, sf):
 
 @query(
     "order_items",
-    f"WITH {ITEMS} SELECT asset_id, name, o_custkey AS ordinal FROM items JOIN orders "
-    "ON o_orderkey = asset_id WHERE o_custkey % 7 = 0",
+    f"""WITH {ITEMS}, placed AS (
+      SELECT l_orderkey AS asset_id, CAST(floor(max(l_extendedprice)) AS BIGINT) AS ordinal
+      FROM lineitem GROUP BY l_orderkey)
+    SELECT items.asset_id, name, placed.ordinal FROM items JOIN placed
+      ON placed.asset_id = items.asset_id""",
 )
 def order_items(spark, sf):
-    order = read_table(spark, sf, "orders").filter("o_custkey % 7 = 0").select(
-        F.col("o_orderkey").alias("asset_id"), F.col("o_custkey").alias("ordinal")
+    order = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(
+        F.floor(F.max("l_extendedprice")).alias("ordinal")
     )
     return ranking.order_items(items(spark, sf), order).select("asset_id", "name", "ordinal")
 
@@ -195,7 +200,7 @@ def item_count(spark, sf):
 # Outcomes folded into results ----------------------------------------------------------------
 
 OUTCOMES = f"""WITH {REPORTS},
-base AS (SELECT DISTINCT asset_id, format FROM reports WHERE line <= 4),
+base AS (SELECT o_orderkey AS asset_id, unnest(['webp', 'png']) AS format FROM orders),
 feed AS (
   SELECT asset_id, format, CASE WHEN status = 'error' THEN 1 ELSE 0 END AS phase,
     CASE WHEN status = 'success' THEN 'success' ELSE 'error' END AS status,
@@ -238,14 +243,14 @@ def merge_outcomes(spark, sf):
       ON f.asset_id = b.asset_id AND f.format = b.format""",
 )
 def apply_results(spark, sf):
-    base = reports(spark, sf).filter("line <= 4").select("asset_id", "format").distinct()
-    open_results = base.withColumns(
-        {
-            "status": F.lit(K.PROCESSING),
-            "size": F.lit(None).cast("bigint"),
-            "label": F.lit(None).cast("string"),
-            "error": F.lit(None).cast("string"),
-        }
+    formats = F.array(F.lit("webp"), F.lit("png"))
+    open_results = tasks.expand_tasks(items(spark, sf), formats, use_original=False).select(
+        "asset_id",
+        "format",
+        F.lit(K.PROCESSING).alias("status"),
+        F.lit(None).cast("bigint").alias("size"),
+        F.lit(None).cast("string").alias("label"),
+        F.lit(None).cast("string").alias("error"),
     )
     return tasks.apply_results(open_results, outcomes(spark, sf))
 
@@ -416,16 +421,16 @@ def archive_limits_query(spark, sf):
     f"""WITH {ASSETS} SELECT asset_id, name, size, 'file' AS origin,
       CASE WHEN size > 20000 THEN '{K.ERR_FILE_LIMIT}' WHEN NOT {MAGIC} THEN '{K.ERR_INVALID}' END
         AS error, NULL AS archive_path
-    FROM assets WHERE {SUPPORTED} AND asset_id % 2 = 0
+    FROM assets WHERE {SUPPORTED} AND lang = 'en'
     UNION ALL SELECT asset_id, name, size, 'archive', NULL, batch_id FROM assets
-    WHERE asset_id % 2 = 1""",
+    WHERE lang <> 'en'""",
 )
 def union_intake_query(spark, sf):
     rows = assets(spark, sf)
-    loose = intake_verdict(rows.filter("asset_id % 2 = 0"), max_bytes=20_000).select(
+    loose = intake_verdict(rows.filter("lang = 'en'"), max_bytes=20_000).select(
         "asset_id", "name", "size", F.lit("file").alias("origin"), "error"
     )
-    packed = rows.filter("asset_id % 2 = 1").select(
+    packed = rows.filter("lang <> 'en'").select(
         "asset_id", "name", "size", F.lit("archive").alias("origin"),
         F.col("batch_id").alias("archive_path"),
     )

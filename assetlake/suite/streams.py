@@ -38,7 +38,9 @@ MESSAGES = """messages AS (
     CASE event_type WHEN 'purchase' THEN 'RESULT' WHEN 'error' THEN 'ERROR'
       WHEN 'signup' THEN 'QUEUED' ELSE 'PROGRESS' END AS type,
     CAST(floor(value * 100) AS BIGINT) AS size, event_id AS seq FROM events)"""
-CANCELLED = "cancelled AS (SELECT c_custkey AS asset_id FROM customer WHERE c_custkey % 10 = 3)"
+CANCELLED = (
+    "cancelled AS (SELECT c_custkey AS asset_id FROM customer WHERE c_mktsegment = 'MACHINERY')"
+)
 
 
 def messages(rows: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def messages(rows: DataFrame) -> DataFrame:
 
 
 def cancelled(spark, sf):
-    return read_table(spark, sf, "customer").filter("c_custkey % 10 = 3").select(
+    return read_table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select(
         F.col("c_custkey").alias("asset_id")
     )
 
