@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The same as passing it with --py-files; Spark copies the archive to every executor.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        base = Path(tempfile.mkdtemp(prefix="assetlake-package-")) / "assetlake"
+        archive = shutil.make_archive(str(base), "zip", root, "assetlake")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
@@ -20,7 +19,7 @@ TRANSITION = "asset_id string, seq bigint, ts_ms bigint, from_status string, to_
 
 
 class TimeoutProcessor(StatefulProcessor):
-    """First of: done, failed, timed out. State goes when the deadline has passed."""
+    """First of: done, failed, timed out. A task leaves the state once its deadline has passed."""
 
     def __init__(self, limit_ms: int):
         self.limit_ms = limit_ms
@@ -29,43 +28,46 @@ class TimeoutProcessor(StatefulProcessor):
         self.handle = handle
         self.task = handle.getValueState("task", "deadline bigint, settled boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "seq"])
-        deadline, settled = self.task.get() if self.task.exists() else (None, False)
-        found = None
-        for kind, at in zip(events["kind"], events["ts_ms"]):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.task.get()
+        deadline, settled = before = (None, False) if known is None else known
+        for at, _, kind in sorted((row.ts_ms, row.seq, row.kind) for row in rows):
             if deadline is None:
                 if kind == "start":
-                    deadline = int(at) + self.limit_ms
-                    self.handle.registerTimer(deadline)
+                    deadline = at + self.limit_ms
             elif not settled and kind in ("done", "failed"):
                 settled = True
-                found = (kind, int(at)) if at <= deadline else (K.ERR_TIMEOUT, deadline)
-        if deadline is not None:
+                in_time = at <= deadline
+                yield Row(
+                    task_id=key[0],
+                    outcome=kind if in_time else K.ERR_TIMEOUT,
+                    at_ms=at if in_time else deadline,
+                )
+        if (deadline, settled) != tuple(before):
             self.task.update((deadline, settled))
-        yield self._rows(key, found)
+            if known is None:
+                self.handle.registerTimer(deadline)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         deadline, settled = self.task.get()
         self.task.clear()
-        yield self._rows(key, None if settled else (K.ERR_TIMEOUT, deadline))
+        if not settled:
+            yield Row(task_id=key[0], outcome=K.ERR_TIMEOUT, at_ms=deadline)
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _rows(key, found) -> pd.DataFrame:
-        rows = [] if found is None else [(key[0], *found)]
-        return pd.DataFrame(rows, columns=["task_id", "outcome", "at_ms"])
 
-
-def task_timeouts(events: DataFrame, limit_ms: int = K.TASK_TIMEOUT_MS, delay: str = "0 seconds"):
+def task_timeouts(
+    events: DataFrame, limit_ms: int = K.TASK_TIMEOUT_MS, delay: str = "0 seconds"
+) -> DataFrame:
     """Outcome per task on a stream of (task_id, kind, ts, seq); kind start, done or failed."""
     return (
         events.withWatermark("ts", delay)
+        .filter(F.col("kind").isin("start", "done", "failed"))
         .withColumn("ts_ms", F.unix_millis("ts"))
         .groupBy("task_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             TimeoutProcessor(limit_ms), OUTCOME, outputMode="append", timeMode="EventTime"
         )
     )
@@ -104,27 +106,29 @@ class LifecycleProcessor(StatefulProcessor):
         self.formats = handle.getMapState("formats", "format string", "status string")
         self.item = handle.getValueState("item", "status string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "seq"])
-        before = self.item.get()[0] if self.item.exists() else K.PENDING
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.item.get()
+        before = K.PENDING if known is None else known[0]
         states = {k[0]: v[0] for k, v in self.formats.iterator()}
-        changes = []
-        for row in events.itertuples():
+        touched = set()
+        for row in sorted(rows, key=lambda r: (r.ts_ms, r.seq)):
             state = {"start": K.PROCESSING, "RESULT": K.SUCCESS}.get(row.type, K.ERROR)
             if row.format not in states and state != K.PROCESSING:
                 continue
             states[row.format] = state
+            touched.add(row.format)
             held = set(states.values())
             after = next((s for s in (K.PROCESSING, K.ERROR) if s in held), K.SUCCESS)
             if after != before:
-                changes.append((key[0], row.seq, row.ts_ms, before, after))
+                yield Row(
+                    asset_id=key[0], seq=row.seq, ts_ms=row.ts_ms, from_status=before,
+                    to_status=after,
+                )
                 before = after
-        for name in set(events["format"]) & set(states):
+        for name in touched:
             self.formats.updateValue((name,), (states[name],))
-        self.item.update((before,))
-        yield pd.DataFrame(
-            changes, columns=["asset_id", "seq", "ts_ms", "from_status", "to_status"]
-        )
+        if touched:
+            self.item.update((before,))
 
     def close(self) -> None:
         pass
@@ -135,8 +139,8 @@ def task_lifecycle(events: DataFrame) -> DataFrame:
     return (
         events.withColumn("ts_ms", F.unix_millis("ts"))
         .groupBy("asset_id")
-        .transformWithStateInPandas(
-            LifecycleProcessor(), TRANSITION, outputMode="update", timeMode="None"
+        .transformWithState(
+            LifecycleProcessor(), TRANSITION, outputMode="append", timeMode="None"
         )
     )
 

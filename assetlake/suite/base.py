@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
 from ..operators.tasks import latest_result
-from ..plans.session import read_table
+from ..plans.session import read_table, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,7 +18,11 @@ def query(name: str, sql: str | None = None):
     """Register a query, and the SQL that must give the same rows."""
 
     def register(run: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = run
+        def shipped(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, sf)
+
+        QUERIES[name] = shipped
         if sql:
             ORACLE[name] = sql
         return run
