@@ -10,9 +10,7 @@ from ..functions import columns as C, constants as K
 
 
 def file_name(path: Column) -> Column:
-    return F.url_decode(
-        F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B"))
-    )
+    return F.substring_index(path, "/", -1)
 
 
 def scan_assets(

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
 from ..operators.stats import savings_percent
 
-DEBOUNCE = f"{K.DEBOUNCE_MS} milliseconds"
+DEBOUNCE = timedelta(milliseconds=K.DEBOUNCE_MS)
 
 
-def debounce(changes: DataFrame, key: str, gap: str = DEBOUNCE, delay: str | None = None) -> DataFrame:
+def debounce(
+    changes: DataFrame, key: str, gap: timedelta = DEBOUNCE, delay: str | None = None
+) -> DataFrame:
     """The last change of each burst, once the key has been quiet for `gap`.
 
+    A change exactly `gap` after another starts a new burst. Session windows would merge the
+    two, so the window is one microsecond, the resolution of time stamps, shorter.
+
     `force` holds if any change of the burst was forced. On a stream give `delay`, the
     lateness to wait for. Sessions merge partial aggregates, so a busy key is combined
     before it is shuffled.
     """
     rows = changes.withWatermark("ts", delay) if delay else changes
     at = F.struct("ts", "seq")
+    tick = timedelta(microseconds=1)
     return (
-        rows.groupBy(F.session_window("ts", gap).alias("burst"), key)
+        rows.groupBy(F.session_window("ts", f"{gap // tick - 1} microseconds").alias("burst"), key)
         .agg(
             F.max_by("options", at).alias("options"),
             F.bool_or("force").alias("force"),
@@ -29,7 +37,7 @@ def debounce(changes: DataFrame, key: str, gap: str = DEBOUNCE, delay: str | Non
         .select(
             key,
             F.col("burst.start").alias("first_at"),
-            F.col("burst.end").alias("applied_at"),
+            (F.col("burst.end") + F.lit(tick)).alias("applied_at"),
             "options",
             "force",
             "changes",

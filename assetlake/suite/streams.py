@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
@@ -156,7 +158,7 @@ def burst_columns(bursts: DataFrame) -> DataFrame:
 @query("debounce", f"WITH {SESSIONS} SELECT * FROM bursts")
 def debounce(spark, sf):
     changes = option_changes(events(spark, sf))
-    return burst_columns(options.debounce(changes, "user_id", "30 minutes"))
+    return burst_columns(options.debounce(changes, "user_id", timedelta(minutes=30)))
 
 
 @query(
@@ -166,7 +168,7 @@ def debounce(spark, sf):
 )
 def debounce_stream(spark, sf):
     changes = option_changes(stream(spark, sf))
-    bursts = options.debounce(changes, "user_id", "30 minutes", delay="0 seconds")
+    bursts = options.debounce(changes, "user_id", timedelta(minutes=30), delay="0 seconds")
     return burst_columns(drain(bursts, "bursts"))
 
 
