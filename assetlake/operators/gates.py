@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C, constants as K
+from . import pixels as P
 
 
 def pair_outputs(originals: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -83,6 +84,53 @@ def size_gate(
                          verdict.alias("verdict"))
 
 
+def measure_pairs(
+    pairs: DataFrame,
+    originals: DataFrame,
+    outputs: DataFrame,
+    window: int = 8,
+    cap: int = K.GATE_SAMPLE_PX,
+) -> DataFrame:
+    """Everything `raster_gate` needs, for all pairs in one job.
+
+    `pairs`: pair_id, original_id, output_id, format, plus columns to keep. Originals are
+    flattened on black where the output is a jpeg, both for the metrics and for their colours.
+    """
+    jpeg = F.col("format").isin("jpg", "jpeg")
+    black = (0, 0, 0)
+    wanted = pairs.select("pair_id", "original_id", "output_id", "format")
+    sides = P.pair_lines(wanted, originals, outputs).withColumn(
+        "original",
+        F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
+        .otherwise(F.col("original")),
+    )
+    flat = originals.join(
+        pairs.filter(jpeg).select(F.col("original_id").alias("asset_id")), "asset_id", "left_semi"
+    ).filter("channels = 4").withColumn("samples", P.flattened("samples", black))
+
+    def colours(lines: DataFrame, key: str, name: str) -> DataFrame:
+        counted = P.unique_colors(P.explode_pixels(lines, cap))
+        return counted.withColumnsRenamed({"asset_id": key, "unique_colors": name})
+
+    return (
+        pairs.join(P.quality(sides, window), "pair_id")
+        .join(P.line_transparency(originals).withColumnRenamed("asset_id", "original_id"),
+              "original_id")
+        .join(colours(originals, "original_id", "raw_colors"), "original_id")
+        .join(colours(flat, "original_id", "flat_colors"), "original_id", "left")
+        .join(colours(outputs, "output_id", "output_colors"), "output_id")
+        .withColumns(
+            {
+                "original_colors": F.when(jpeg, F.coalesce("flat_colors", "raw_colors"))
+                .otherwise(F.col("raw_colors")),
+                # A flattened original has no transparency left.
+                "has_alpha": F.col("has_alpha") & ~jpeg,
+            }
+        )
+        .drop("raw_colors", "flat_colors")
+    )
+
+
 def relaxed(
     minimum: str,
     palette: float,

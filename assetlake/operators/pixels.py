@@ -151,18 +151,26 @@ def alpha_composite(pixels: DataFrame, background: tuple[int, int, int]) -> Data
     return pixels.withColumns({**flat, "a": F.lit(255)})
 
 
-def composite_lines(lines: DataFrame, background: tuple[int, int, int], where: Column) -> DataFrame:
-    """`alpha_composite` on RGBA scan lines that satisfy `where`."""
+def flattened(name: str, background: tuple[int, int, int]) -> Column:
+    """RGBA samples of a scan line, flattened onto an opaque background."""
     bg = F.array(*[F.lit(v) for v in (*background, 255)])
 
     def flat(value: Column, i: Column) -> Column:
         channel = (i % 4).cast("int")
-        share = F.get("samples", (i - channel + 3).cast("int")) / 255.0
+        share = F.get(name, (i - channel + 3).cast("int")) / 255.0
         mixed = half_up(value * share + F.get(bg, channel) * (1 - share)).cast("int")
         return F.when(channel == 3, F.lit(255)).otherwise(mixed)
 
-    return lines.withColumn(
-        "samples", F.when(where, F.transform("samples", flat)).otherwise(F.col("samples"))
+    return F.transform(name, flat)
+
+
+def line_transparency(lines: DataFrame) -> DataFrame:
+    """`has_alpha` per image, from scan lines; no pixel is exploded."""
+    below = F.exists(
+        F.filter("samples", lambda v, i: i % 4 == 3), lambda v: v < 255
+    )
+    return lines.groupBy("asset_id").agg(
+        F.bool_or((F.col("channels") == 4) & below).alias("has_alpha")
     )
 
 
@@ -183,8 +191,9 @@ def luma_of(name: str) -> Column:
 def pair_lines(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -> DataFrame:
     """Scan lines of both sides of each pair, side by side.
 
-    `pairs`: pair_id, original_id, output_id. Joining line by line keeps one key from ever
-    holding a whole image. Both sides must have the same size; see `grid_resample`.
+    `pairs`: pair_id, original_id, output_id, and columns to keep. Outputs meet their pair
+    first; then the sides join line by line, so no key ever holds a whole image. Both sides
+    must have the same size; see `grid_resample`.
     """
     left = originals.select(
         F.col("asset_id").alias("original_id"), "width", "height", "channels", "y",
@@ -193,49 +202,56 @@ def pair_lines(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -> Da
     right = outputs.select(
         F.col("asset_id").alias("output_id"), "y", F.col("samples").alias("output")
     )
-    return pairs.join(left, "original_id").join(right, ["output_id", "y"]).select(
-        "pair_id", "width", "height", "channels", "y", "original", "output"
-    )
+    return right.join(pairs, "output_id").join(left, ["original_id", "y"])
 
 
-def psnr(lines: DataFrame) -> DataFrame:
-    """Peak signal-to-noise ratio over all channels; unequal lengths give 0."""
-    squares = F.aggregate(
+def square_errors() -> Column:
+    """Sum of squared differences of one pair of scan lines, over all channels."""
+    return F.aggregate(
         F.zip_with("original", "output", lambda a, b: (a - b).cast("bigint") * (a - b)),
         F.lit(0).cast("bigint"),
         lambda total, d: total + F.coalesce(d, F.lit(0)),
     )
-    mse = F.sum("squares") / F.sum("n").cast("double")
+
+
+def psnr_of(squares: Column, n: Column, same: Column) -> Column:
+    mse = F.sum(squares) / F.sum(n).cast("double")
     floor = F.when(mse == 0, F.lit(1e-10)).otherwise(mse)
-    value = F.when(F.bool_and("same"), 10 * F.log10(F.lit(255.0 * 255.0) / floor)).otherwise(0.0)
+    value = 10 * F.log10(F.lit(255.0 * 255.0) / floor)
+    return F.round(F.when(F.bool_and(same), value).otherwise(0.0), 6)
+
+
+def psnr(lines: DataFrame) -> DataFrame:
+    """Peak signal-to-noise ratio over all channels; unequal lengths give 0."""
+    same = F.size("original") == F.size("output")
     return (
         lines.select(
-            "pair_id",
-            squares.alias("squares"),
-            F.size("original").alias("n"),
-            (F.size("original") == F.size("output")).alias("same"),
+            "pair_id", square_errors().alias("squares"), F.size("original").alias("n"),
+            same.alias("same"),
         )
         .groupBy("pair_id")
-        .agg(F.round(value, 6).alias("psnr"))
+        .agg(psnr_of(F.col("squares"), F.col("n"), F.col("same")).alias("psnr"))
     )
 
 
-def ssim(lines: DataFrame, window: int = 8) -> DataFrame:
-    """Mean structural similarity over non-overlapping luma tiles.
+TILE_SUMS = ("sx", "sy", "sxx", "syy", "sxy")
+
+
+def quality(lines: DataFrame, window: int = 8) -> DataFrame:
+    """`ssim` and `psnr` of each pair in one pass.
 
-    Wang et al. 2004 with K1 = 0.01, K2 = 0.03, L = 255. Each line adds its sums per tile
-    column; tiles are grouped by (pair, tile), so a large image is spread.
+    SSIM is the mean over non-overlapping luma tiles (Wang et al. 2004; K1 = 0.01, K2 = 0.03,
+    L = 255). Each line adds its sums per tile column; tiles are grouped by (pair, tile), so a
+    large image is spread. The first tile of each line also carries the line's squared errors.
     """
     tiles = F.ceil(F.col("width") / F.lit(float(window))).cast("int")
 
     def sums(tx: Column) -> Column:
         x = F.slice("gx", tx * window + 1, F.lit(window))
         y = F.slice("gy", tx * window + 1, F.lit(window))
-        both = F.arrays_zip(x.alias("p"), y.alias("q"))
-        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
         added = F.aggregate(
-            both,
-            zero,
+            F.arrays_zip(x.alias("p"), y.alias("q")),
+            F.struct(*[F.lit(0.0).alias(c) for c in TILE_SUMS]),
             lambda acc, v: F.struct(
                 (acc["sx"] + v["p"]).alias("sx"),
                 (acc["sy"] + v["q"]).alias("sy"),
@@ -244,22 +260,35 @@ def ssim(lines: DataFrame, window: int = 8) -> DataFrame:
                 (acc["sxy"] + v["p"] * v["q"]).alias("sxy"),
             ),
         )
-        return F.struct(tx.alias("tx"), F.size(x).alias("n"), added.alias("s"))
+        once = tx == 0
+        return F.struct(
+            tx.alias("tx"),
+            F.size(x).alias("n"),
+            F.when(once, F.col("squares")).otherwise(0).alias("squares"),
+            F.when(once, F.col("samples")).otherwise(0).alias("samples"),
+            added.alias("s"),
+        )
 
-    grey = lines.select(
+    per_line = lines.select(
         "pair_id",
         "width",
         (F.col("y") / F.lit(window)).cast("int").alias("ty"),
         luma_of("original").alias("gx"),
         luma_of("output").alias("gy"),
+        square_errors().alias("squares"),
+        F.size("original").alias("samples"),
+        (F.size("original") == F.size("output")).alias("same"),
     )
     per_tile = (
-        grey.select(
-            "pair_id", "ty", F.inline(F.transform(F.sequence(F.lit(0), tiles - 1), sums))
+        per_line.select(
+            "pair_id", "ty", "same", F.inline(F.transform(F.sequence(F.lit(0), tiles - 1), sums))
         )
-        .select("pair_id", "ty", "tx", "n", "s.*")
+        .select("pair_id", "ty", "tx", "same", "n", "squares", "samples", "s.*")
         .groupBy("pair_id", "ty", "tx")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+        .agg(
+            F.bool_and("same").alias("same"),
+            *[F.sum(c).alias(c) for c in ("n", "squares", "samples", *TILE_SUMS)],
+        )
     )
     n = F.col("n").cast("double")
     mx, my = F.col("sx") / n, F.col("sy") / n
@@ -267,7 +296,14 @@ def ssim(lines: DataFrame, window: int = 8) -> DataFrame:
     cov = F.col("sxy") / n - mx * my
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     score = ((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
-    return per_tile.groupBy("pair_id").agg(F.round(F.avg(score), 6).alias("ssim"))
+    return per_tile.groupBy("pair_id").agg(
+        F.round(F.avg(score), 6).alias("ssim"),
+        psnr_of(F.col("squares"), F.col("samples"), F.col("same")).alias("psnr"),
+    )
+
+
+def ssim(lines: DataFrame, window: int = 8) -> DataFrame:
+    return quality(lines, window).select("pair_id", "ssim")
 
 
 def edge_energy(lines: DataFrame) -> DataFrame:

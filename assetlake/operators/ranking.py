@@ -31,12 +31,12 @@ def next_task(items: DataFrame, small_first: bool = True) -> DataFrame:
     A minimum over the order key, so every map task sends one row per batch.
     """
     pending = items.filter(F.col("status") == K.PENDING)
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(queue_order(small_first))])
+    key = [c.alias(f"k{i}") for i, c in enumerate(queue_order(small_first))]
     rest = [c for c in items.columns if c != "batch_id"]
     return (
         pending.groupBy("batch_id")
-        .agg(F.min_by(F.struct(*rest), key).alias("item"))
-        .select("batch_id", "item.*")
+        .agg(F.min(F.struct(*key, *rest)).alias("item"))
+        .select("batch_id", *[F.col(f"item.{c}").alias(c) for c in rest])
     )
 
 

@@ -134,16 +134,27 @@ def fold_outcomes(outcomes: DataFrame) -> DataFrame:
 
     Aggregated before the shuffle, so a task that reports very often is still one row.
     """
-    at = F.struct("phase", "seq")
+    status = F.col("status")
 
-    def last(name: str, status: str) -> Column:
-        return F.max_by(name, F.when(F.col("status") == status, at)).alias(f"new_{name}")
+    def last(*names: str, where: Column | None = None) -> Column:
+        row = F.struct("phase", "seq", *names)
+        return F.max(row if where is None else F.when(where, row))
 
-    return outcomes.groupBy("asset_id", "format").agg(
-        F.max_by("status", at).alias("new_status"),
-        last("size", K.SUCCESS),
-        last("label", K.SUCCESS),
-        last("error", K.ERROR),
+    return (
+        outcomes.groupBy("asset_id", "format")
+        .agg(
+            last("status").alias("any"),
+            last("size", "label", where=status == K.SUCCESS).alias("good"),
+            last("error", where=status == K.ERROR).alias("bad"),
+        )
+        .select(
+            "asset_id",
+            "format",
+            F.col("any.status").alias("new_status"),
+            F.col("good.size").alias("new_size"),
+            F.col("good.label").alias("new_label"),
+            F.col("bad.error").alias("new_error"),
+        )
     )
 
 
@@ -157,10 +168,10 @@ def apply_results(results: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def latest_result(results: DataFrame, order: list[str]) -> DataFrame:
     """Last write per (item, format); an aggregate, so hot keys combine before the shuffle."""
-    rest = [c for c in results.columns if c not in ("asset_id", "format")]
+    rest = [c for c in results.columns if c not in ("asset_id", "format", *order)]
     return (
         results.groupBy("asset_id", "format")
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last"))
+        .agg(F.max(F.struct(*order, *rest)).alias("last"))
         .select("asset_id", "format", "last.*")
     )
 

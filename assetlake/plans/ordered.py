@@ -59,9 +59,13 @@ def running_totals(
     totals: Mapping[str, Column],
     group_row_limit: int = GROUP_ROW_LIMIT,
     slice_rows: int = SLICE_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per group. `order` must decide every tie."""
-    largest, total = size_of_groups(df, group)
+    """Add inclusive running sums per group. `order` must decide every tie.
+
+    `sizes` gives bounds for `size_of_groups` where the caller knows them, saving that pass.
+    """
+    largest, total = sizes or size_of_groups(df, group)
     if largest <= group_row_limit:
         frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -109,7 +113,7 @@ def ranked(
     group: Sequence[str],
     order: Sequence[Column],
     name: str,
-    **limits: int,
+    **limits,
 ) -> DataFrame:
     """Add the 1-based position inside the group."""
     return running_totals(df, group, order, {name: F.lit(1).cast("bigint")}, **limits)
@@ -122,9 +126,10 @@ def previous_values(
     previous: Mapping[str, str],
     group_row_limit: int = GROUP_ROW_LIMIT,
     slice_rows: int = SLICE_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add, under each new name, the value a column had in the row before. Ascending order."""
-    largest, total = size_of_groups(df, group)
+    largest, total = sizes or size_of_groups(df, group)
     by = [F.col(c) for c in order]
     if largest <= group_row_limit:
         frame = Window.partitionBy(*group).orderBy(*by)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
-from ..plans.ordered import previous_values, running_totals
+from ..plans.ordered import previous_values, running_totals, size_of_groups
 
 OUTCOME = "task_id string, outcome string, at_ms bigint"
 TRANSITION = "asset_id string, seq bigint, ts_ms bigint, from_status string, to_status string"
@@ -164,6 +164,8 @@ def lifecycle_transitions(events: DataFrame, **limits: int) -> DataFrame:
     )
     kept = known.select("asset_id", "format", "seq", "ts_ms", "state")
     order = ["ts_ms", "seq"]
+    # An item's rows bound those of each of its formats, and no step adds rows.
+    limits = {"sizes": size_of_groups(events, ["asset_id"]), **limits}
     stepped = previous_values(kept, ["asset_id", "format"], order, {"was": "state"}, **limits)
 
     def change(status: str):

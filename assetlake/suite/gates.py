@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..operators import gates as G, pixels as P, stats
 from ..plans.session import read_table
 from ..sources import configs
-from .base import PIXELS, grids, pairs, query
-from .pixels import EDGES, PAIRED, PSNR, SSIM, grey_lines, rgba_lines, rgba_pixels
+from .base import pairs, query
+from .pixels import EDGES, PIXELS, SSIM, grey_lines, rgba_lines
 
 OUT_FORMATS = ["webp", "png", "jpg", "gif"]
 PAIR_SQL = """named AS (
@@ -113,7 +112,6 @@ def resolve_thresholds(spark, sf):
     )
 
 
-RGBA_PAIRED = PAIRED
 MEASURED_SQL = f"""{RESOLVED_SQL}, {PIXELS},
 colours AS (SELECT asset_id, count(DISTINCT (r, g, b)) AS colours, bool_or(a < 255) AS has_alpha
   FROM pixels GROUP BY asset_id),
@@ -148,32 +146,12 @@ gated AS (
 
 
 def gated(spark, sf):
-    """Originals are flattened on black only where the output is a jpeg.
-
-    Scan lines of both sides, colour counts and transparency each meet the pairs once.
-    """
     plan = resolved(spark, sf).select(
         F.col("output_id").alias("pair_id"), "original_id", "output_id", "format", "ssim_min",
         "psnr_min",
     )
     lines = rgba_lines(spark, sf)
-    jpegs = plan.filter(F.col("format").isin("jpg", "jpeg"))
-    others = plan.filter(~F.col("format").isin("jpg", "jpeg"))
-    flat = P.composite_lines(lines, (0, 0, 0), F.lit(True))
-    both = P.pair_lines(jpegs, flat, lines).unionByName(P.pair_lines(others, lines, lines))
-    pixels = rgba_pixels(spark, sf)
-    colours = P.unique_colors(P.explode_pixels(lines, K.GATE_SAMPLE_PX))
-    alpha = P.transparency(pixels).select(F.col("asset_id").alias("original_id"), "has_alpha")
-    measured = (
-        plan.join(P.psnr(both), "pair_id")
-        .join(P.ssim(both, window=4), "pair_id")
-        .join(colours.select(F.col("asset_id").alias("original_id"),
-                             F.col("unique_colors").alias("original_colors")), "original_id")
-        .join(colours.select(F.col("asset_id").alias("output_id"),
-                             F.col("unique_colors").alias("output_colors")), "output_id")
-        .join(alpha, "original_id")
-    )
-    return G.raster_gate(measured)
+    return G.raster_gate(G.measure_pairs(plan, lines, lines, window=4))
 
 
 @query(

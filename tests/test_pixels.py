@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from assetlake.operators import pixels as P
 
@@ -48,6 +47,7 @@ def test_colours_entropy_and_alpha(spark):
     colours = values(P.unique_colors(pixels), "unique_colors")
     entropy = values(P.luma_entropy(pixels), "entropy")
     alpha = values(P.transparency(pixels), "has_alpha")
+    by_line = values(P.line_transparency(P.grid_lines(grids(spark, *images))), "has_alpha")
     for n, im in enumerate(images):
         flat = im.reshape(-1, 4)
         assert colours[f"i{n}"] == len({tuple(p[:3]) for p in flat.tolist()})
@@ -55,7 +55,7 @@ def test_colours_entropy_and_alpha(spark):
         share = bins[bins > 0] / flat.shape[0]
         assert entropy[f"i{n}"] == pytest.approx(-(share * np.log2(share)).sum(), abs=1e-6)
         assert 0 <= entropy[f"i{n}"] <= 8
-        assert alpha[f"i{n}"] == bool((flat[:, 3] < 255).any())
+        assert by_line[f"i{n}"] == alpha[f"i{n}"] == bool((flat[:, 3] < 255).any())
 
 
 def test_classification(spark):
@@ -86,7 +86,9 @@ def test_composite(spark):
     }
     by_line = {
         (r.x, r.y): (r.r, r.g, r.b, r.a)
-        for r in P.explode_pixels(P.composite_lines(lines, (255, 0, 7), F.lit(True))).collect()
+        for r in P.explode_pixels(
+            lines.withColumn("samples", P.flattened("samples", (255, 0, 7)))
+        ).collect()
     }
     share = im[..., 3:] / 255
     want = np.floor(im[..., :3] * share + np.array([255, 0, 7]) * (1 - share) + 0.5).astype(int)
