@@ -123,6 +123,9 @@ PRESETS = [
     ("vector_safe", "png", 90, 99, 2, None, None, None, None, None),
 ]
 
+# Formats a codec can be registered for.
+CODEC_FORMATS = ["jpeg", "webp", "avif", "png", "jxl"]
+
 # Codec registrations in order, with capability flags.
 CODEC_COLUMNS = (
     "seq int, id string, format string, encode boolean, decode boolean, "

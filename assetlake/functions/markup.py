@@ -119,20 +119,34 @@ def root_dimensions(text: Column, width: Column, height: Column, tag: str = "svg
     Only the root tag is edited, and an attribute counts only after whitespace, so
     `stroke-width` and later elements stay as they are.
     """
-    body = F.regexp_replace(text, r"^\s+|\s+$", "")
-    start = F.regexp_instr(body, F.lit(rf"(?i)<{tag}\b"))
-    rest = F.substr(body, start + len(tag) + 1)
-    opening = F.regexp_extract(rest, r"^[^>]*", 0)
-    space = F.regexp_extract(opening, r"^\s*", 0)
-    attributes = F.regexp_replace(
-        F.concat(F.lit(" "), F.substr(opening, F.length(space) + 1)),
-        r"(?i)\s+(?:width|height)\s*=\s*(?:\"[^\"]*\"|'[^']*')",
-        "",
-    )
-    rewritten = F.concat(
-        F.substr(body, F.lit(1), start - 1), F.lit(f"<{tag}"),
-        F.when(space == "", F.lit(" ")).otherwise(space),
+    attribute = r"(?i)\s+(?:width|height)\s*=\s*(?:\"[^\"]*\"|'[^']*')"
+    given = F.concat(
         F.lit('width="'), width.cast("string"), F.lit('" height="'), height.cast("string"),
-        F.lit('" '), F.ltrim(attributes), F.substr(rest, F.length(opening) + 1),
+        F.lit('" '),
+    )
+
+    def edit(doc: Column) -> Column:
+        body, start = doc["body"], doc["start"]
+        opening = F.regexp_extract(F.substr(body, start + len(tag) + 1), r"^[^>]*", 0)
+
+        def rewrite(opened: Column) -> Column:
+            space = F.regexp_extract(opened, r"^\s*", 0)
+            kept = F.regexp_replace(F.concat(F.lit(" "), F.ltrim(opened)), attribute, "")
+            return F.concat(
+                F.substr(body, F.lit(1), start - 1), F.lit(f"<{tag}"),
+                F.when(space == "", F.lit(" ")).otherwise(space),
+                given, F.ltrim(kept), F.substr(body, start + len(tag) + 1 + F.length(opened)),
+            )
+
+        return F.when(start > 0, _let(opening, rewrite)).otherwise(text)
+
+    body = F.regexp_replace(text, r"^\s+|\s+$", "")
+    located = F.struct(
+        body.alias("body"), F.regexp_instr(body, F.lit(rf"(?i)<{tag}\b")).alias("start")
     )
-    return F.when(start > 0, rewritten).otherwise(text)
+    return _let(located, edit)
+
+
+def _let(value: Column, use) -> Column:
+    """Use a value several times but compute it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

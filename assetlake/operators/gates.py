@@ -36,28 +36,29 @@ def resolve_thresholds(
     `thresholds`: file, format (NULL for the whole file), ssim_min, psnr_min. No broadcast is
     forced: the table grows with the corpus, so Spark decides from its size.
     """
-    files = thresholds.select("file").distinct()
-    named = (
-        pairs.join(files.withColumnRenamed("file", "original_name")
-                   .withColumn("by_name", F.lit(True)), "original_name", "left")
-        .withColumn("threshold_file", F.when(F.col("by_name"), F.col("original_name"))
-                    .otherwise(F.col("base")))
-        .drop("by_name")
+    limits = F.struct(F.col("ssim_min").alias("ssim"), F.col("psnr_min").alias("psnr"))
+    once = thresholds.groupBy("file", "format").agg(
+        F.max("ssim_min").alias("ssim_min"), F.max("psnr_min").alias("psnr_min")
     )
-    per_file = thresholds.filter(F.col("format").isNull()).groupBy(
-        F.col("file").alias("threshold_file")
-    ).agg(F.max("ssim_min").alias("file_ssim"), F.max("psnr_min").alias("file_psnr"))
-    per_format = thresholds.filter(F.col("format").isNotNull()).groupBy(
-        F.col("file").alias("threshold_file"), "format"
-    ).agg(F.max("ssim_min").alias("format_ssim"), F.max("psnr_min").alias("format_psnr"))
-    return (
-        named.join(per_file, "threshold_file", "left")
-        .join(per_format, ["threshold_file", "format"], "left")
-        .select(
-            *pairs.columns,
-            F.coalesce("format_ssim", "file_ssim", F.lit(ssim_default)).alias("ssim_min"),
-            F.coalesce("format_psnr", "file_psnr", F.lit(psnr_default)).alias("psnr_min"),
-        )
+    # One row per file; its map has at most one entry per output format.
+    per_file = once.groupBy("file").agg(
+        F.max(F.when(F.col("format").isNull(), limits)).alias("whole"),
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("format").isNotNull(), F.struct("format", limits)))
+        ).alias("each"),
+    ).select("file", F.struct("whole", "each").alias("limits"))
+    joined = pairs.join(
+        per_file.select(F.col("file").alias("original_name"), F.col("limits").alias("by_name")),
+        "original_name", "left",
+    ).join(
+        per_file.select(F.col("file").alias("base"), F.col("limits").alias("by_base")),
+        "base", "left",
+    ).withColumn("limits", F.coalesce("by_name", "by_base"))
+    own = F.try_element_at(F.col("limits.each"), F.col("format"))
+    return joined.select(
+        *pairs.columns,
+        F.coalesce(own["ssim"], F.col("limits.whole.ssim"), F.lit(ssim_default)).alias("ssim_min"),
+        F.coalesce(own["psnr"], F.col("limits.whole.psnr"), F.lit(psnr_default)).alias("psnr_min"),
     )
 
 

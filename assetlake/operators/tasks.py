@@ -75,19 +75,20 @@ def pick_codec(formats: DataFrame, registrations: DataFrame) -> DataFrame:
     """First-registered encoder per format.
 
     Registering an id again keeps its place but replaces its row. Both steps are grouped
-    minima and maxima, so only one row per id and per format is shuffled per map task.
+    minima and maxima, so only one row per id and per format is shuffled per map task. The
+    choice has one row for each of five fixed formats, which bounds the broadcast.
     """
     row = [c for c in registrations.columns if c not in ("seq", "id")]
     current = registrations.groupBy("id").agg(
         F.min("seq").alias("position"), F.max_by(F.struct(*row), "seq").alias("row")
     )
     chosen = (
-        current.filter("row.encode")
+        current.filter(F.col("row.encode") & F.col("row.format").isin(K.CODEC_FORMATS))
         .groupBy(F.col("row.format").alias("format"))
         .agg(F.min_by(F.struct("id", "position"), F.struct("position", "id")).alias("codec"))
         .select("format", F.col("codec.id").alias("codec_id"), "codec.position")
     )
-    return formats.join(chosen, "format", "left")
+    return formats.join(F.broadcast(chosen), "format", "left")
 
 
 def pending_only(items: DataFrame, pending: DataFrame) -> DataFrame:

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..plans.session import new_shared_path
+from ..plans.session import durable, new_shared_path
 from ..sources.archives import expand_archives
 from ..sources.assets import scan_assets
 from ..sources.exports import export_batch
-from .base import ASSETS, MAGIC, MIME, assets, query
+from ..sources.images import image_lines, scan_images
+from .base import ASSETS, MAGIC, MIME, SAMPLES, assets, grids, query
 from .queue import PACK_BYTES, PACK_FILES, PACKED
 
 EXPANDED_LIMIT = 60_000
@@ -83,3 +90,70 @@ def export_batch_query(spark, sf):
         max_bytes=PACK_BYTES,
     )
     return manifest.select("batch_id", "ordinal", "position", "size", "export_name")
+
+
+SHEET_ROWS = 4096
+
+
+def grey_png(rows: np.ndarray) -> bytes:
+    """Grey 8-bit PNG, one image line per row."""
+
+    def chunk(tag: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+
+    height, width = rows.shape
+    raw = np.hstack([np.zeros((height, 1), np.uint8), rows.astype(np.uint8)]).tobytes()
+    header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return (
+        b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw))
+        + chunk(b"IEND", b"")
+    )
+
+
+def write_sheets(samples, folder: str):
+    """Write rows of 64 samples as sheets of up to 4096 lines; return where each row went.
+
+    Tasks write to the shared folder under names fixed by partition and order, so a retried
+    task writes the same files again.
+    """
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Hadoop writes local paths as file:/x; Arrow wants /x.
+        target, path = fs.FileSystem.from_uri(folder.removeprefix("file:"))
+        target.create_dir(path)
+        number = 0
+        for part in parts:
+            for start in range(0, len(part), SHEET_ROWS):
+                sheet = part.iloc[start : start + SHEET_ROWS]
+                name = f"sheet-{TaskContext.get().partitionId()}-{number}.png"
+                number += 1
+                with target.open_output_stream(f"{path}/{name}") as out:
+                    out.write(grey_png(np.stack(sheet["samples"].to_numpy())))
+                yield pd.DataFrame(
+                    {"vec_id": sheet["asset_id"].to_numpy(), "sheet": name,
+                     "y": np.arange(len(sheet), dtype=np.int32)}
+                )
+
+    return durable(
+        samples.select("asset_id", "samples").mapInPandas(
+            write, "vec_id bigint, sheet string, y int"
+        )
+    )
+
+
+@query(
+    "scan_images",
+    f"""WITH {SAMPLES} SELECT asset_id AS vec_id, 64 AS width,
+      string_agg(v, ',' ORDER BY i) AS samples FROM samples GROUP BY asset_id""",
+)
+def scan_images_query(spark, sf):
+    """Embeddings written as grey image sheets, decoded again by the image source."""
+    folder = new_shared_path(spark, "sheets")
+    placed = write_sheets(grids(spark, sf), folder)
+    lines = image_lines(scan_images(spark, folder)).withColumn(
+        "sheet", F.substring_index("asset_id", "/", -1)
+    )
+    red = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: F.get("samples", x * 4))
+    return lines.join(placed, ["sheet", "y"]).select(
+        "vec_id", "width", F.array_join(red.cast("array<string>"), ",").alias("samples")
+    )

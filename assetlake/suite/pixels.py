@@ -19,7 +19,7 @@ def rgba_pixels(spark, sf):
     return P.explode_pixels(rgba_lines(spark, sf))
 
 
-@query("explode_pixels", f"WITH {PIXELS} SELECT asset_id, x, y, r, g, b, a FROM pixels")
+@query("explode_pixels", f"WITH {PIXELS} SELECT asset_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, g, b, a FROM pixels")
 def explode_pixels(spark, sf):
     return rgba_pixels(spark, sf).select("asset_id", "x", "y", "r", "g", "b", "a")
 
@@ -78,7 +78,8 @@ def classify_content(spark, sf):
 
 @query(
     "stride_sample",
-    f"WITH {PIXELS} SELECT asset_id, x, y, r FROM pixels WHERE (y * 4 + x) % 3 = 0",
+    f"WITH {PIXELS} SELECT asset_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r FROM pixels "
+    "WHERE (y * 4 + x) % 3 = 0",
 )
 def stride_sample(spark, sf):
     return P.explode_pixels(rgba_lines(spark, sf), cap=6).select("asset_id", "x", "y", "r")
@@ -90,7 +91,7 @@ def sql_flat(c: str) -> str:
 
 @query(
     "alpha_composite",
-    f"WITH {PIXELS} SELECT asset_id, x, y, {sql_flat('r')} AS r, {sql_flat('g')} AS g, "
+    f"WITH {PIXELS} SELECT asset_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {sql_flat('r')} AS r, {sql_flat('g')} AS g, "
     f"{sql_flat('b')} AS b, 255 AS a FROM pixels",
 )
 def alpha_composite(spark, sf):
@@ -118,7 +119,10 @@ resampled AS (
   GROUP BY asset_id, ox, oy)"""
 
 
-@query("grid_resample", f"WITH {RESAMPLED} SELECT asset_id, ox AS x, oy AS y, v FROM resampled")
+@query(
+    "grid_resample",
+    f"WITH {RESAMPLED} SELECT asset_id, CAST(ox AS INT) AS x, CAST(oy AS INT) AS y, v FROM resampled",
+)
 def grid_resample(spark, sf):
     small = P.grid_resample(grey_lines(spark, sf), 3, 3)
     return small.select(
