@@ -41,8 +41,12 @@ def numbered_name(slot: Column, prefix: str = "") -> Column:
 
 def unique_names(rows: DataFrame, order: str = "ordinal", prefix: str = "", **limits: int):
     """Add `export_name`. Needs batch_id, base, ext; `order` is unique inside a batch."""
-    numbered = ranked(rows, NAME, [F.col(order)], "_j", **limits)
-    groups = rows.groupBy(*NAME).agg(F.min(order).alias("first"))
+    groups = durable(
+        rows.groupBy(*NAME).agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    )
+    held = groups.agg(F.max("rows").alias("largest"), F.sum("rows").alias("total")).first()
+    sizes = (held["largest"] or 0, held["total"] or 0)
+    numbered = ranked(rows, NAME, [F.col(order)], "_j", sizes=sizes, **limits)
     links = durable(_links(groups))
     if links.isEmpty():
         return numbered.withColumn("export_name", numbered_name(F.col("_j"), prefix)).drop("_j")

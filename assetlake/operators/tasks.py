@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import columns as C, constants as K
 
@@ -80,7 +80,7 @@ def pick_codec(formats: DataFrame, registrations: DataFrame) -> DataFrame:
     """
     row = [c for c in registrations.columns if c not in ("seq", "id")]
     current = registrations.groupBy("id").agg(
-        F.min("seq").alias("position"), F.max_by(F.struct(*row), "seq").alias("row")
+        F.min("seq").alias("position"), F.max(F.struct("seq", *row)).alias("row")
     )
     chosen = (
         current.filter(F.col("row.encode") & F.col("row.format").isin(K.CODEC_FORMATS))
@@ -168,13 +168,14 @@ def apply_results(results: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def latest_result(results: DataFrame, order: list[str]) -> DataFrame:
-    """Last write per (item, format); an aggregate, so hot keys combine before the shuffle."""
-    rest = [c for c in results.columns if c not in ("asset_id", "format", *order)]
-    return (
-        results.groupBy("asset_id", "format")
-        .agg(F.max(F.struct(*order, *rest)).alias("last"))
-        .select("asset_id", "format", "last.*")
-    )
+    """Last write per (item, format); `order` must decide every tie.
+
+    Spark keeps only the last row of each key per map task before it shuffles, so a key that is
+    written very often stays small.
+    """
+    frame = Window.partitionBy("asset_id", "format").orderBy(*[F.col(c).desc() for c in order])
+    ranked = results.withColumn("_rn", F.row_number().over(frame))
+    return ranked.filter("_rn = 1").drop("_rn")
 
 
 def result_flags(results: DataFrame) -> DataFrame:

@@ -56,14 +56,24 @@ def thresholds_from(configs: DataFrame, text: str = "value") -> DataFrame:
         .filter(~F.startswith("file", F.lit("_")) & F.startswith("body", F.lit("{")))
         .select("file", F.from_json("body", schema).alias("t"))
     )
-    whole = rows.filter("t.ssimMin is not null or t.psnrMin is not null").select(
-        "file", F.lit(None).cast("string").alias("format"),
-        F.col("t.ssimMin").alias("ssim_min"), F.col("t.psnrMin").alias("psnr_min"),
+    # One list per file: its own limits first, then those of each format.
+    own = F.array(
+        F.struct(
+            F.lit(None).cast("string").alias("format"),
+            F.col("t.ssimMin").alias("ssim_min"),
+            F.col("t.psnrMin").alias("psnr_min"),
+        )
     )
-    each = rows.select("file", F.explode("t.formats").alias("format", "f")).select(
-        "file", "format", F.col("f.ssimMin").alias("ssim_min"), F.col("f.psnrMin").alias("psnr_min")
+    each = F.transform(
+        F.map_entries("t.formats"),
+        lambda e: F.struct(
+            e["key"].alias("format"),
+            e["value"]["ssimMin"].alias("ssim_min"),
+            e["value"]["psnrMin"].alias("psnr_min"),
+        ),
     )
-    return whole.unionByName(each)
+    listed = rows.select("file", F.inline(F.when(each.isNull(), own).otherwise(F.concat(own, each))))
+    return listed.filter("format is not null or ssim_min is not null or psnr_min is not null")
 
 
 def load_baselines(spark: SparkSession, path: str) -> DataFrame:
