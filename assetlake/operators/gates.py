@@ -94,13 +94,15 @@ def measure_pairs(
 ) -> DataFrame:
     """Everything `raster_gate` needs, for all pairs in one job.
 
-    `pairs`: pair_id, original_id, output_id, format, plus columns to keep. Originals are
-    flattened on black where the output is a jpeg, both for the metrics and for their colours.
+    `pairs`: pair_id, original_id, output_id, format, plus columns to keep. Outputs are brought
+    to the size of their original. Originals are flattened on black where the output is a jpeg,
+    both for the metrics and for their colours.
     """
     jpeg = F.col("format").isin("jpg", "jpeg")
     black = (0, 0, 0)
     wanted = pairs.select("pair_id", "original_id", "output_id", "format")
-    sides = P.pair_lines(wanted, originals, outputs).withColumn(
+    fitted = P.fitted_outputs(wanted, originals, outputs)
+    sides = P.pair_lines(fitted, originals).withColumn(
         "original",
         F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
         .otherwise(F.col("original")),
@@ -113,13 +115,14 @@ def measure_pairs(
         counted = P.unique_colors(P.explode_pixels(lines, cap))
         return counted.withColumnsRenamed({"asset_id": key, "unique_colors": name})
 
+    by_pair = fitted.withColumnRenamed("pair_id", "asset_id")
     return (
         pairs.join(P.quality(sides, window), "pair_id")
+        .join(colours(by_pair, "pair_id", "output_colors"), "pair_id")
         .join(P.line_transparency(originals).withColumnRenamed("asset_id", "original_id"),
               "original_id")
         .join(colours(originals, "original_id", "raw_colors"), "original_id")
         .join(colours(flat, "original_id", "flat_colors"), "original_id", "left")
-        .join(colours(outputs, "output_id", "output_colors"), "output_id")
         .withColumns(
             {
                 "original_colors": F.when(jpeg, F.coalesce("flat_colors", "raw_colors"))
@@ -132,6 +135,23 @@ def measure_pairs(
     )
 
 
+def measure_vector_pairs(
+    pairs: DataFrame, originals: DataFrame, outputs: DataFrame, window: int = 8
+) -> DataFrame:
+    """Everything `svg_gate` needs: similarity and sharpness at the size of the reference."""
+    wanted = pairs.select("pair_id", "original_id", "output_id")
+    fitted = P.fitted_outputs(wanted, originals, outputs)
+    energy = P.edge_energy(fitted.withColumnRenamed("pair_id", "asset_id"))
+    sharpness = P.sharpness_ratio(
+        wanted.select("pair_id", "original_id", F.col("pair_id").alias("output_id")),
+        P.edge_energy(originals),
+        energy,
+    )
+    return pairs.join(P.ssim(P.pair_lines(fitted, originals), window), "pair_id").join(
+        sharpness, "pair_id"
+    )
+
+
 def relaxed(
     minimum: str,
     palette: float,

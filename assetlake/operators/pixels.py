@@ -188,21 +188,37 @@ def luma_of(name: str) -> Column:
     ).otherwise(F.transform(xs, grey))
 
 
-def pair_lines(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Scan lines of both sides of each pair, side by side.
+def fitted_outputs(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Scan lines of each pair's output, brought to the size of its original.
 
-    `pairs`: pair_id, original_id, output_id, and columns to keep. Outputs meet their pair
-    first; then the sides join line by line, so no key ever holds a whole image. Both sides
-    must have the same size; see `grid_resample`.
+    `pairs`: pair_id, original_id, output_id, and columns to keep. Sizes are joined to the pairs,
+    which are few, before the pairs meet any pixels. Outputs of the right size pass through.
     """
-    left = originals.select(
-        F.col("asset_id").alias("original_id"), "width", "height", "channels", "y",
-        F.col("samples").alias("original"),
+    sizes = originals.filter("y = 0").select(
+        F.col("asset_id").alias("original_id"),
+        F.col("width").alias("_w"),
+        F.col("height").alias("_h"),
     )
-    right = outputs.select(
-        F.col("asset_id").alias("output_id"), "y", F.col("samples").alias("output")
+    lines = outputs.withColumnRenamed("asset_id", "output_id").join(
+        pairs.join(sizes, "original_id"), "output_id"
     )
-    return right.join(pairs, "output_id").join(left, ["original_id", "y"])
+    fits = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
+    resized = grid_resample(
+        lines.filter(~fits), F.col("_w"), F.col("_h"), key=["pair_id"]
+    ).withColumn("samples", F.transform("samples", lambda v: half_up(v).cast("int")))
+    whole = resized.join(pairs, "pair_id")
+    return lines.filter(fits).drop("_w", "_h").unionByName(whole)
+
+
+def pair_lines(fitted: DataFrame, originals: DataFrame) -> DataFrame:
+    """Scan lines of both sides of each pair, side by side, as `original` and `output`.
+
+    The sides join line by line, so no key ever holds a whole image.
+    """
+    left = originals.select(
+        F.col("asset_id").alias("original_id"), "y", F.col("samples").alias("original")
+    )
+    return fitted.withColumnRenamed("samples", "output").join(left, ["original_id", "y"])
 
 
 def square_errors() -> Column:
@@ -372,37 +388,46 @@ def sharpness_ratio(pairs: DataFrame, originals: DataFrame, outputs: DataFrame)
     )
 
 
-def grid_resample(lines: DataFrame, out_width: int, out_height: int) -> DataFrame:
+def grid_resample(
+    lines: DataFrame,
+    out_width: int | Column,
+    out_height: int | Column,
+    key: list[str] | None = None,
+) -> DataFrame:
     """Bilinear resample: source = output x scale, neighbours clamped to the edge.
 
     Lines are narrowed first, where they are; then each goes to the output lines it helps,
-    keyed by (image, output line). Values stay fractional.
+    keyed by (image, output line). The target size may be a column. Values stay fractional.
     """
-    w, h = F.col("width"), F.col("height")
+    key = key or ["asset_id"]
+    ow = F.lit(out_width) if isinstance(out_width, int) else out_width
+    oh = F.lit(out_height) if isinstance(out_height, int) else out_height
+    w, h, channels = F.col("width"), F.col("height"), F.col("channels")
 
     def across(i: Column) -> Column:
-        x, channel = F.floor(i / F.col("channels")), i % F.col("channels")
-        source = x * (w / F.lit(float(out_width)))
+        x, channel = F.floor(i / channels), i % channels
+        source = x * (w / ow.cast("double"))
         x0 = F.floor(source)
         x1 = F.least(x0 + 1, (w - 1).cast("bigint"))
         fx = source - x0
 
         def at(column: Column) -> Column:
-            return F.get("samples", (column * F.col("channels") + channel).cast("int"))
+            return F.get("samples", (column * channels + channel).cast("int"))
 
         return at(x0) * (1 - fx) + at(x1) * fx
 
-    cells = F.sequence(F.lit(0), F.lit(out_width) * F.col("channels") - 1)
-    narrowed = lines.withColumn("samples", F.transform(cells, across))
-
-    scale = h / F.lit(float(out_height))
+    narrowed = lines.select(
+        *key, "channels", "height", "y",
+        ow.alias("ow"), oh.alias("oh"),
+        F.transform(F.sequence(F.lit(0), ow * channels - 1), across).alias("samples"),
+    )
+    scale = h / F.col("oh").cast("double")
     low = F.greatest(F.lit(0), F.ceil((F.col("y") - 1) / scale).cast("int"))
-    high = F.least(F.lit(out_height - 1), F.floor((F.col("y") + 1) / scale).cast("int"))
+    high = F.least(F.col("oh") - 1, F.floor((F.col("y") + 1) / scale).cast("int"))
     targets = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    # A clamped last line serves as both neighbours.
-    sent = narrowed.select("asset_id", "channels", "height", "y", "samples",
-                           F.explode(targets).alias("oy"))
+    sent = narrowed.select("*", F.explode(targets).alias("oy"))
     y0 = F.floor(F.col("oy") * scale)
+    # A clamped last line serves as both neighbours.
     y1 = F.least(y0 + 1, (h - 1).cast("bigint"))
     mixed = F.zip_with(
         "top", "bottom", lambda a, b: a * (1 - F.col("fy")) + b * F.col("fy")
@@ -411,26 +436,17 @@ def grid_resample(lines: DataFrame, out_width: int, out_height: int) -> DataFram
         sent.withColumns({"is_top": F.col("y") == y0, "is_bottom": F.col("y") == y1,
                           "fy": F.col("oy") * scale - y0})
         .filter("is_top or is_bottom")
-        .groupBy("asset_id", "channels", "oy", "fy")
+        .groupBy(*key, "channels", "ow", "oh", "oy", "fy")
         .agg(
             F.max(F.when(F.col("is_top"), F.col("samples"))).alias("top"),
             F.max(F.when(F.col("is_bottom"), F.col("samples"))).alias("bottom"),
         )
         .select(
-            "asset_id",
-            F.lit(out_width).alias("width"),
-            F.lit(out_height).alias("height"),
+            *key,
+            F.col("ow").alias("width"),
+            F.col("oh").alias("height"),
             "channels",
             F.col("oy").alias("y"),
             mixed.alias("samples"),
         )
     )
-
-
-def align_sizes(outputs: DataFrame, out_width: int, out_height: int) -> DataFrame:
-    """Bring outputs to the wanted size with whole sample values; equal sizes pass through."""
-    fits = (F.col("width") == out_width) & (F.col("height") == out_height)
-    resized = grid_resample(outputs.filter(~fits), out_width, out_height).withColumn(
-        "samples", F.transform("samples", lambda v: half_up(v).cast("int"))
-    )
-    return outputs.filter(fits).unionByName(resized, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import gates as G, pixels as P, stats
+from ..operators import gates as G, stats
 from ..plans.session import read_table
 from ..sources import configs
 from .base import pairs, query
@@ -189,12 +189,13 @@ def gate_summary(spark, sf):
     FROM s JOIN r o ON o.asset_id = pair_id JOIN r n ON n.asset_id = pair_id + 1""",
 )
 def svg_gate(spark, sf):
-    lines, every = grey_lines(spark, sf), pairs(spark, sf)
-    energy = P.edge_energy(lines)
-    measured = P.ssim(P.pair_lines(every, lines, lines)).join(
-        P.sharpness_ratio(every, energy, energy), "pair_id"
+    lines = grey_lines(spark, sf)
+    return G.svg_gate(
+        G.measure_vector_pairs(pairs(spark, sf), lines, lines).select(
+            "pair_id", "ssim", "sharpness_ratio"
+        ),
+        ssim_min=0.1,
     )
-    return G.svg_gate(measured, ssim_min=0.1)
 
 
 # Size ceilings --------------------------------------------------------------------------------

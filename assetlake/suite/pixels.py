@@ -189,7 +189,7 @@ SSIM = f"""round((2 * avg(p) * avg(q) + {(0.01 * 255) ** 2!r}::DOUBLE)
 
 def grey_pairs(spark, sf):
     lines = grey_lines(spark, sf)
-    return P.pair_lines(pairs(spark, sf), lines, lines)
+    return P.pair_lines(P.fitted_outputs(pairs(spark, sf), lines, lines), lines)
 
 
 @query("psnr", f"WITH {PAIRED} SELECT pair_id, {PSNR} AS psnr FROM sides GROUP BY pair_id")

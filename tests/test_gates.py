@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assetlake.operators import gates as G
+from assetlake.operators import gates as G, pixels as P
 
 
 def files(spark, *names):
@@ -66,3 +66,27 @@ def test_svg_gate(spark):
         "pair_id string, ssim double, sharpness_ratio double",
     )
     assert [r.pair_id for r in G.svg_gate(measured).collect() if r.passed] == ["a"]
+
+
+def test_measured_pairs(spark):
+    """Transparent original: flattened for a jpeg, left alone for webp; sizes are aligned."""
+    def grid(name, size, rgba):
+        return (name, size, size, 4, list(rgba) * (size * size))
+
+    schema = "asset_id string, width int, height int, channels int, samples array<int>"
+    originals = P.grid_lines(spark.createDataFrame([grid("o", 4, (200, 100, 50, 0))], schema))
+    outputs = P.grid_lines(
+        spark.createDataFrame(
+            [grid("black", 8, (0, 0, 0, 255)), grid("same", 4, (200, 100, 50, 0))], schema
+        )
+    )
+    pairs = spark.createDataFrame(
+        [("p1", "o", "black", "jpg"), ("p2", "o", "same", "webp"), ("p3", "o", "black", "webp")],
+        "pair_id string, original_id string, output_id string, format string",
+    ).withColumns({"ssim_min": F.lit(0.98), "psnr_min": F.lit(30.0)})
+    rows = {r.pair_id: r for r in G.raster_gate(G.measure_pairs(pairs, originals, outputs)).collect()}
+    assert (rows["p1"].passed, rows["p1"].has_alpha, rows["p1"].ssim) == (True, False, 1.0)
+    assert (rows["p2"].passed, rows["p2"].has_alpha, rows["p2"].psnr_min) == (True, True, 19.0)
+    assert rows["p3"].passed is False
+    vector = G.measure_vector_pairs(pairs.filter("pair_id = 'p2'"), originals, outputs).first()
+    assert (vector.ssim, vector.sharpness_ratio) == (1.0, 1.0)

@@ -34,7 +34,7 @@ def pairs(spark):
 
 def both(spark, a, b):
     lines = P.grid_lines(grids(spark, a, b))
-    return P.pair_lines(pairs(spark), lines, lines)
+    return P.pair_lines(P.fitted_outputs(pairs(spark), lines, lines), lines)
 
 
 def luma(im):
@@ -160,8 +160,18 @@ def test_resample(spark, shape, out):
             assert result[oy, ox] == pytest.approx(top * (1 - fy) + bottom * fy)
 
 
-def test_align(spark):
-    lines = P.grid_lines(grids(spark, image(14, 4, 4), image(15, 6, 5)))
-    aligned = P.align_sizes(lines, 4, 4)
-    shapes = {(r.asset_id, r.width, r.height, len(r.samples)) for r in aligned.collect()}
-    assert shapes == {("i0", 4, 4, 16), ("i1", 4, 4, 16)}
+def test_fitted_outputs(spark):
+    """Outputs of another size are resampled to their original; equal sizes pass through."""
+    a, b, c = image(14, 4, 6), image(15, 8, 12), image(16, 4, 6)
+    lines = P.grid_lines(grids(spark, a, b, c))
+    pairs = spark.createDataFrame(
+        [("big", "i0", "i1"), ("same", "i0", "i2"), ("back", "i1", "i0")],
+        "pair_id string, original_id string, output_id string",
+    )
+    got = {}
+    for r in P.fitted_outputs(pairs, lines, lines).collect():
+        got.setdefault((r.pair_id, r.width, r.height), {})[r.y] = r.samples
+    assert {k: len(v) for k, v in got.items()} == {("big", 6, 4): 4, ("same", 6, 4): 4, ("back", 12, 8): 8}
+    assert [got["same", 6, 4][y] for y in range(4)] == c.reshape(4, -1).tolist()
+    assert [got["big", 6, 4][y] for y in range(4)] == b[::2, ::2].reshape(4, -1).tolist()
+    assert P.quality(P.pair_lines(P.fitted_outputs(pairs, lines, lines), lines)).count() == 3
