@@ -107,26 +107,19 @@ def measure_pairs(
         F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
         .otherwise(F.col("original")),
     )
-    flat = originals.join(
-        pairs.filter(jpeg).select(F.col("original_id").alias("asset_id")), "asset_id", "left_semi"
-    ).filter("channels = 4").withColumn("samples", P.flattened("samples", black))
-
-    def colours(lines: DataFrame, key: str, name: str) -> DataFrame:
-        counted = P.unique_colors(P.explode_pixels(lines, cap))
-        return counted.withColumnsRenamed({"asset_id": key, "unique_colors": name})
-
-    by_pair = fitted.withColumnRenamed("pair_id", "asset_id")
+    output_colours = P.unique_colors(
+        P.explode_pixels(fitted.withColumnRenamed("pair_id", "asset_id"), cap)
+    ).withColumnsRenamed({"asset_id": "pair_id", "unique_colors": "output_colors"})
+    of_original = P.image_facts(originals).select("asset_id", "has_alpha").join(
+        P.colour_counts(P.explode_pixels(originals, cap), black), "asset_id"
+    ).withColumnRenamed("asset_id", "original_id")
     return (
         pairs.join(P.quality(sides, window), "pair_id")
-        .join(colours(by_pair, "pair_id", "output_colors"), "pair_id")
-        .join(P.line_transparency(originals).withColumnRenamed("asset_id", "original_id"),
-              "original_id")
-        .join(colours(originals, "original_id", "raw_colors"), "original_id")
-        .join(colours(flat, "original_id", "flat_colors"), "original_id", "left")
+        .join(output_colours, "pair_id")
+        .join(of_original, "original_id")
         .withColumns(
             {
-                "original_colors": F.when(jpeg, F.coalesce("flat_colors", "raw_colors"))
-                .otherwise(F.col("raw_colors")),
+                "original_colors": F.when(jpeg, F.col("flat_colors")).otherwise(F.col("raw_colors")),
                 # A flattened original has no transparency left.
                 "has_alpha": F.col("has_alpha") & ~jpeg,
             }

@@ -164,16 +164,32 @@ def flattened(name: str, background: tuple[int, int, int]) -> Column:
     return F.transform(name, flat)
 
 
-def line_transparency(lines: DataFrame) -> DataFrame:
-    """`has_alpha` per image, from scan lines; no pixel is exploded."""
+def image_facts(lines: DataFrame) -> DataFrame:
+    """Size and transparency per image, from scan lines; no pixel is exploded."""
     below = F.exists(
         F.filter("samples", lambda v, i: i % 4 == 3), lambda v: v < 255
     )
     return lines.groupBy("asset_id").agg(
-        F.bool_or((F.col("channels") == 4) & below).alias("has_alpha")
+        F.first("width").alias("width"),
+        F.first("height").alias("height"),
+        F.bool_or((F.col("channels") == 4) & below).alias("has_alpha"),
     )
 
 
+def colour_counts(pixels: DataFrame, background: tuple[int, int, int]) -> DataFrame:
+    """Distinct colours per image as they are (`raw_colors`) and flattened (`flat_colors`).
+
+    Equal pixels are merged first; both counts then work on what is left.
+    """
+    merged = pixels.groupBy("asset_id", "r", "g", "b", "a").agg(F.lit(1).alias("one"))
+    flat = alpha_composite(merged, background).select("asset_id", "one", rgb_key().alias("flat"))
+    raw = merged.select("asset_id", "one", rgb_key().alias("raw"))
+    both = raw.unionByName(flat, allowMissingColumns=True)
+    return both.groupBy("asset_id", "raw", "flat").agg(F.lit(1).alias("one")).groupBy(
+        "asset_id"
+    ).agg(F.count("raw").alias("raw_colors"), F.count("flat").alias("flat_colors"))
+
+
 def luma_of(name: str) -> Column:
     """Grey values of the scan line in column `name`."""
     weights = (K.LUMA_R, K.LUMA_G, K.LUMA_B)
@@ -194,7 +210,7 @@ def fitted_outputs(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -
     `pairs`: pair_id, original_id, output_id, and columns to keep. Sizes are joined to the pairs,
     which are few, before the pairs meet any pixels. Outputs of the right size pass through.
     """
-    sizes = originals.filter("y = 0").select(
+    sizes = image_facts(originals).select(
         F.col("asset_id").alias("original_id"),
         F.col("width").alias("_w"),
         F.col("height").alias("_h"),

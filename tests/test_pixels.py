@@ -47,7 +47,12 @@ def test_colours_entropy_and_alpha(spark):
     colours = values(P.unique_colors(pixels), "unique_colors")
     entropy = values(P.luma_entropy(pixels), "entropy")
     alpha = values(P.transparency(pixels), "has_alpha")
-    by_line = values(P.line_transparency(P.grid_lines(grids(spark, *images))), "has_alpha")
+    by_line = values(P.image_facts(P.grid_lines(grids(spark, *images))), "has_alpha")
+    both = {r.asset_id: r for r in P.colour_counts(pixels, (0, 0, 0)).collect()}
+    flat = values(P.unique_colors(P.alpha_composite(pixels, (0, 0, 0))), "unique_colors")
+    assert {k: (r.raw_colors, r.flat_colors) for k, r in both.items()} == {
+        k: (colours[k], flat[k]) for k in colours
+    }
     for n, im in enumerate(images):
         flat = im.reshape(-1, 4)
         assert colours[f"i{n}"] == len({tuple(p[:3]) for p in flat.tolist()})
