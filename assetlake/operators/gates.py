@@ -91,17 +91,18 @@ def measure_pairs(
     outputs: DataFrame,
     window: int = 8,
     cap: int = K.GATE_SAMPLE_PX,
+    aligned: bool = False,
 ) -> DataFrame:
     """Everything `raster_gate` needs, for all pairs in one job.
 
     `pairs`: pair_id, original_id, output_id, format, plus columns to keep. Outputs are brought
-    to the size of their original. Originals are flattened on black where the output is a jpeg,
+    to the size of their original, unless all are `aligned` already. Originals are flattened on black where the output is a jpeg,
     both for the metrics and for their colours.
     """
     jpeg = F.col("format").isin("jpg", "jpeg")
     black = (0, 0, 0)
     wanted = pairs.select("pair_id", "original_id", "output_id", "format")
-    fitted = P.fitted_outputs(wanted, originals, outputs)
+    fitted = P.fitted_outputs(wanted, originals, outputs, aligned)
     sides = P.pair_lines(fitted, originals).withColumn(
         "original",
         F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
@@ -129,11 +130,15 @@ def measure_pairs(
 
 
 def measure_vector_pairs(
-    pairs: DataFrame, originals: DataFrame, outputs: DataFrame, window: int = 8
+    pairs: DataFrame,
+    originals: DataFrame,
+    outputs: DataFrame,
+    window: int = 8,
+    aligned: bool = False,
 ) -> DataFrame:
     """Everything `svg_gate` needs: similarity and sharpness at the size of the reference."""
     wanted = pairs.select("pair_id", "original_id", "output_id")
-    fitted = P.fitted_outputs(wanted, originals, outputs)
+    fitted = P.fitted_outputs(wanted, originals, outputs, aligned)
     energy = P.edge_energy(fitted.withColumnRenamed("pair_id", "asset_id"))
     sharpness = P.sharpness_ratio(
         wanted.select("pair_id", "original_id", F.col("pair_id").alias("output_id")),

@@ -151,7 +151,7 @@ def gated(spark, sf):
         "psnr_min",
     )
     lines = rgba_lines(spark, sf)
-    return G.raster_gate(G.measure_pairs(plan, lines, lines, window=4))
+    return G.raster_gate(G.measure_pairs(plan, lines, lines, window=4, aligned=True))
 
 
 @query(
@@ -191,7 +191,7 @@ def gate_summary(spark, sf):
 def svg_gate(spark, sf):
     lines = grey_lines(spark, sf)
     return G.svg_gate(
-        G.measure_vector_pairs(pairs(spark, sf), lines, lines).select(
+        G.measure_vector_pairs(pairs(spark, sf), lines, lines, aligned=True).select(
             "pair_id", "ssim", "sharpness_ratio"
         ),
         ssim_min=0.1,

@@ -189,7 +189,7 @@ SSIM = f"""round((2 * avg(p) * avg(q) + {(0.01 * 255) ** 2!r}::DOUBLE)
 
 def grey_pairs(spark, sf):
     lines = grey_lines(spark, sf)
-    return P.pair_lines(P.fitted_outputs(pairs(spark, sf), lines, lines), lines)
+    return P.pair_lines(P.fitted_outputs(pairs(spark, sf), lines, lines, aligned=True), lines)
 
 
 @query("psnr", f"WITH {PAIRED} SELECT pair_id, {PSNR} AS psnr FROM sides GROUP BY pair_id")
@@ -202,6 +202,20 @@ def ssim(spark, sf):
     return P.ssim(grey_pairs(spark, sf))
 
 
+@query(
+    "fitted_outputs",
+    f"""WITH {SAMPLES} SELECT asset_id - 1 AS pair_id, CAST(i // 8 AS INT) AS y,
+      string_agg(v, ',' ORDER BY i) AS samples FROM samples WHERE asset_id > 0
+    GROUP BY asset_id, i // 8""",
+)
+def fitted_outputs(spark, sf):
+    """The general path on outputs of the right size, which must come through unchanged."""
+    lines = grey_lines(spark, sf)
+    return P.fitted_outputs(pairs(spark, sf), lines, lines).select(
+        "pair_id", "y", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples")
+    )
+
+
 @query(
     "ssim_tiles",
     f"""WITH {PAIRED}, tiles AS (SELECT pair_id, {SSIM.replace(', 6)', ', 15)')} AS s FROM sides
