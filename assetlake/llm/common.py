@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -131,6 +132,11 @@ def requests(batch: int, keys: np.ndarray, vals: np.ndarray, shards: int) -> pa.
 
 def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.Table]:
     def answer(table: pa.Table) -> pa.Table:
+        notes = table.filter(pc.is_null(table["vals"]))
+        table = table.filter(pc.is_valid(table["vals"]))
+        notes = notes.select(["batch", "shard", "keys", "vals"]).append_column("many", notes["vals"])
+        if not table.num_rows:
+            return notes
         asked = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
         keys = np.concatenate(asked)
         vals = np.concatenate([np.frombuffer(b, dtype) for b in table["vals"].to_pylist()])
@@ -156,10 +162,11 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
             out["many"].append(many[g].tobytes())
         if kind == "sum" and not only_many:
             out["keys"] = out["many"] = [None] * len(asked)
-        return pa.table(
+        answers = pa.table(
             {"batch": table["batch"], "shard": table["shard"]}
             | {name: pa.array(blobs, pa.binary()) for name, blobs in out.items()}
         )
+        return pa.concat_tables([answers, notes])
 
     return answer
 
@@ -169,13 +176,15 @@ def combine(asked: DataFrame, kind: str, dtype: str, only_many: bool = False) ->
 
     kind `sum`: the sum of all values of a key, `many` where it is above one. kind `min`: the
     smallest value, `many` where values differ. `only_many` leaves the other keys out. Sums of
-    all keys come without the keys, in the order in which they were asked.
+    all keys come without the keys, in the order in which they were asked. A row without values
+    is a batch's note to itself and comes back as it is.
     """
     return asked.groupBy("shard").applyInArrow(_answers(kind, dtype, only_many), ANSWER)
 
 
 def answered(table: pa.Table, dtype: str = "uint64") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct keys, values, many) of the answers to one batch."""
+    table = table.filter(pc.is_valid(table["vals"]))
     blobs = [b"".join(table[c].to_pylist()) for c in ("keys", "vals", "many")]
     keys, vals, many = (np.frombuffer(b, t) for b, t in zip(blobs, ("uint64", dtype, "bool")))
     keys, first = np.unique(keys, return_index=True)
@@ -194,6 +203,19 @@ def sums_of(table: pa.Table, keys: np.ndarray, shards: int, dtype: str) -> np.nd
     return out
 
 
+def note(batch: int, shards: int, blob: bytes) -> pa.Table:
+    """A row of REQUEST that comes back to its own batch unchanged."""
+    schema = {"shard": pa.int32(), "batch": pa.int32(), "keys": pa.binary(), "vals": pa.binary()}
+    return pa.Table.from_pydict(
+        {"shard": [batch % shards], "batch": [batch], "keys": [blob], "vals": [None]},
+        pa.schema(list(schema.items())),
+    )
+
+
+def notes_of(table: pa.Table) -> list[bytes]:
+    return table.filter(pc.is_null(table["vals"]))["keys"].to_pylist()
+
+
 def found(keys: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each key is in the sorted array `among`, its place there)."""
     if not len(among):

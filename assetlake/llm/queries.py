@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
 from .lm_scoring import lm_score
+from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +33,14 @@ def assets(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return lm_score(assets(spark, sf)).withColumnRenamed("asset_id", "doc_id")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(assets(spark, sf)).select(
+        F.col("asset_id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
