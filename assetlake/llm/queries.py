@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
 from .lm_scoring import lm_score
+from .ngram_join import ngram_join
 from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,11 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Shingles of four words, similarity 0.85."""
+    return ngram_join(assets(spark, sf), size=4, num=85, den=100).withColumnRenamed(
+        "asset_id", "doc_id"
+    )
