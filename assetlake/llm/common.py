@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F
 
 from ..plans.session import new_shared_path
 
@@ -88,20 +88,76 @@ def ordered_ids(column: pa.ChunkedArray) -> np.ndarray:
 
 # Key exchange -------------------------------------------------------------------------------
 #
-# Assets are dealt into batches by a hash of their id. A batch asks about the distinct keys of
-# its texts (n-grams, signatures, windows), each with a value that it has already added up, so a
-# key that a third of all assets hold is asked once per batch. Shards, dealt by key hash, combine
-# the values of all batches and answer every batch that asked. Both ways the keys of one batch
-# for one shard travel as a single row of packed arrays.
+# Assets are dealt into batches by a hash of their id, as compressed blobs of rows. A batch asks
+# about the distinct keys of its texts (n-grams, signatures, windows), each with a value that it
+# has already added up, so a key that a third of all assets hold is asked once per batch. Shards,
+# dealt by key hash, combine the values of all batches and answer every batch that asked. Both
+# ways the keys of one batch for one shard travel as a single row of packed arrays.
 
+DEALT = "batch int, rows binary"
 REQUEST = "shard int, batch int, keys binary, vals binary"
-ANSWER = "batch int, shard int, keys binary, vals binary, many binary"
+ANSWER = "batch int, shard int, keys binary, vals binary"
+#: Bytes of rows that a task holds before it sends them to their batches.
+DEAL_BYTES = 1 << 26
+
+
+def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).sort_by("batch")
+        batches, start = np.unique(table["batch"].to_numpy(), return_index=True)
+        ends = np.append(start[1:], table.num_rows)
+        table = table.drop_columns(["batch"])
+        for batch, a, b in zip(batches, start, ends, strict=True):
+            sink = pa.BufferOutputStream()
+            options = pa.ipc.IpcWriteOptions(compression="zstd")
+            with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                out.write_table(table.slice(a, b - a))
+            blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.record_batch({"batch": pa.array([batch], pa.int32()), "rows": blob})
+
+    for table in tables:
+        held.append(table)
+        size += table.nbytes
+        if size > DEAL_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if sum(t.num_rows for t in held):
+        yield from flush()
+
+
+def dealt(df: DataFrame, *identity: str) -> GroupedData:
+    """The rows by batch; read them with `rows_of`."""
+    count = F.lit(partitions(df.sparkSession))
+    batch = F.pmod(F.xxhash64(*identity), count).cast("int")
+    return df.withColumn("batch", batch).mapInArrow(_deal, DEALT).groupBy("batch")
 
 
-def dealt(df: DataFrame, *identity: str) -> DataFrame:
-    """Add the batch of each row."""
-    count = F.lit(partitions(df.sparkSession))
-    return df.withColumn("batch", F.pmod(F.xxhash64(*identity), count).cast("int"))
+def rows_of(table: pa.Table) -> tuple[int, pa.Table]:
+    """(number of the batch, its rows) from one group of `dealt`."""
+    parts = [pa.ipc.open_stream(blob).read_all() for blob in table["rows"].to_pylist()]
+    return table["batch"][0].as_py(), pa.concat_tables(parts).combine_chunks()
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Byte planes one after the other: what values have in common compresses well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def unpack_values(blob: bytes, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_values(blob, "uint64"), dtype=np.uint64)
 
 
 def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,20 +168,17 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, used.astype(np.int32), start
 
 
-def packed(arrays: np.ndarray, start: np.ndarray) -> pa.Array:
-    ends = np.append(start[1:], len(arrays))
-    return pa.array([arrays[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary())
-
-
 def requests(batch: int, keys: np.ndarray, vals: np.ndarray, shards: int) -> pa.Table:
     """Rows of REQUEST; keys need not be distinct."""
     order, used, start = by_shard(keys, shards)
+    keys, vals, ends = keys[order], vals[order], np.append(start[1:], len(keys))
+    runs = list(zip(start, ends, strict=True))
     return pa.table(
         {
             "shard": pa.array(used, pa.int32()),
             "batch": pa.array(np.full(len(used), batch, np.int32)),
-            "keys": packed(keys[order], start),
-            "vals": packed(vals[order], start),
+            "keys": pa.array([pack_keys(keys[a:b]) for a, b in runs], pa.binary()),
+            "vals": pa.array([_planes(vals[a:b]) for a, b in runs], pa.binary()),
         }
     )
 
@@ -134,12 +187,12 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
     def answer(table: pa.Table) -> pa.Table:
         notes = table.filter(pc.is_null(table["vals"]))
         table = table.filter(pc.is_valid(table["vals"]))
-        notes = notes.select(["batch", "shard", "keys", "vals"]).append_column("many", notes["vals"])
+        notes = notes.select(["batch", "shard", "keys", "vals"])
         if not table.num_rows:
             return notes
-        asked = [np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]
+        asked = [unpack_keys(b) for b in table["keys"].to_pylist()]
         keys = np.concatenate(asked)
-        vals = np.concatenate([np.frombuffer(b, dtype) for b in table["vals"].to_pylist()])
+        vals = np.concatenate([unpack_values(b, dtype) for b in table["vals"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         ranked, given = keys[order], vals[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
@@ -153,15 +206,12 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
         else:
             total = np.minimum.reduceat(given, start)
             many = total != np.maximum.reduceat(given, start)
-        out: dict[str, list] = {"keys": [], "vals": [], "many": []}
+        out: dict[str, list] = {"keys": [], "vals": []}
         for mine, g in zip(asked, np.split(group, np.cumsum([len(a) for a in asked])[:-1])):
             if only_many:
                 mine, g = mine[many[g]], g[many[g]]
-            out["keys"].append(mine.tobytes())
-            out["vals"].append(total[g].tobytes())
-            out["many"].append(many[g].tobytes())
-        if kind == "sum" and not only_many:
-            out["keys"] = out["many"] = [None] * len(asked)
+            out["keys"].append(pack_keys(mine) if only_many else None)
+            out["vals"].append(_planes(total[g]))
         answers = pa.table(
             {"batch": table["batch"], "shard": table["shard"]}
             | {name: pa.array(blobs, pa.binary()) for name, blobs in out.items()}
@@ -171,31 +221,33 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
     return answer
 
 
-def combine(asked: DataFrame, kind: str, dtype: str, only_many: bool = False) -> DataFrame:
+def combine(asked: DataFrame, kind: str, dtype: str, only_many: bool = True) -> DataFrame:
     """Rows of ANSWER for rows of REQUEST.
 
-    kind `sum`: the sum of all values of a key, `many` where it is above one. kind `min`: the
-    smallest value, `many` where values differ. `only_many` leaves the other keys out. Sums of
-    all keys come without the keys, in the order in which they were asked. A row without values
-    is a batch's note to itself and comes back as it is.
+    kind `sum`: the sum of all values of a key; `only_many` leaves out keys with a sum of one or
+    less. kind `min`: the smallest value; `only_many` leaves out keys of which all values are the
+    same. Where all keys are answered, the values come without the keys, in the order in which
+    they were asked. A row without values is a batch's note to itself and comes back as it is.
     """
     return asked.groupBy("shard").applyInArrow(_answers(kind, dtype, only_many), ANSWER)
 
 
-def answered(table: pa.Table, dtype: str = "uint64") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, values, many) of the answers to one batch."""
+def answered(table: pa.Table, dtype: str = "uint64") -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, values) of the answers to one batch."""
     table = table.filter(pc.is_valid(table["vals"]))
-    blobs = [b"".join(table[c].to_pylist()) for c in ("keys", "vals", "many")]
-    keys, vals, many = (np.frombuffer(b, t) for b, t in zip(blobs, ("uint64", dtype, "bool")))
+    if not table.num_rows:
+        return np.empty(0, np.uint64), np.empty(0, dtype)
+    keys = np.concatenate([unpack_keys(b) for b in table["keys"].to_pylist()])
+    vals = np.concatenate([unpack_values(b, dtype) for b in table["vals"].to_pylist()])
     keys, first = np.unique(keys, return_index=True)
-    return keys, vals[first], many[first]
+    return keys, vals[first]
 
 
 def sums_of(table: pa.Table, keys: np.ndarray, shards: int, dtype: str) -> np.ndarray:
     """The answered sum for each of the sorted distinct keys of a batch."""
     order, used, _ = by_shard(keys, shards)
     table = table.sort_by("shard")
-    vals = np.frombuffer(b"".join(table["vals"].to_pylist()), dtype)
+    vals = np.concatenate([unpack_values(b, dtype) for b in table["vals"].to_pylist()])
     if table["shard"].to_pylist() != used.tolist() or len(vals) != len(keys):
         raise ValueError("a batch was answered other keys than it asked about")
     out = np.empty(len(keys), dtype)

@@ -29,16 +29,19 @@ from .common import (
     in_fold,
     partitions,
     requests,
+    rows_of,
     scrambled,
     sums_of,
     text_bytes,
+    unpack_keys,
+    unpack_values,
     word_hashes,
 )
 
 #: Weight of the root's distribution in every state, in words.
 BACKOFF_WEIGHT = 300.0
 END = np.uint64(0x7F4A7C15F39CC060)
-COUNT = "uint32"
+COUNT, TOTAL = "uint32", "int64"
 #: Distinct words that a task gathers before it sends their counts on.
 FLUSH = 1 << 21
 
@@ -86,7 +89,7 @@ def _word_requests(shards: int):
 
         def flush():
             k, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+            n = np.bincount(place, weights=np.concatenate(counts)).astype(TOTAL)
             keys.clear()
             counts.clear()
             yield from requests(0, k, n, shards).to_batches()
@@ -108,8 +111,8 @@ def _word_requests(shards: int):
 
 
 def _shard_totals(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(table["vals"].to_pylist()), np.int64)
+    keys = np.concatenate([unpack_keys(b) for b in table["keys"].to_pylist()])
+    counts = np.concatenate([unpack_values(b, TOTAL) for b in table["vals"].to_pylist()])
     return pa.table({"n": [int(counts.sum())], "v": [len(np.unique(keys))]})
 
 
@@ -121,11 +124,12 @@ def _distinct(tokens: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _ask(shards: int):
     def ask(table: pa.Table) -> pa.Table:
+        batch, table = rows_of(table)
         tokens, sizes = _tokens(table["text"].to_pylist())
         weight = np.repeat(~table["held_out"].to_numpy(), sizes).astype(float)
         keys, place = _distinct(tokens, _arcs(tokens, sizes))
         counts = np.bincount(place, weights=np.tile(weight, 2)).astype(COUNT)
-        return requests(table["batch"][0].as_py(), keys, counts, shards)
+        return requests(batch, keys, counts, shards)
 
     return ask
 
@@ -134,6 +138,7 @@ def _score(n: int, v: int, weight: float, shards: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORED.empty_table()
+        _, docs = rows_of(docs)
         tokens, sizes = _tokens(docs["text"].to_pylist())
         keys, place = _distinct(tokens, _arcs(tokens, sizes))
         counts = sums_of(answers, keys, shards, COUNT).astype(float)[place]
@@ -195,10 +200,7 @@ def lm_score(
     )
     n, v = totals["n"] or 0, totals["v"] or 0
     batches = dealt(docs, "asset_id", "text")
-    asked = batches.groupBy("batch").applyInArrow(_ask(shards), REQUEST)
-    answers = combine(asked, "sum", COUNT)
-    return (
-        batches.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
-        .applyInArrow(_score(n, v, weight, shards), SCORED_DDL)
+    answers = combine(batches.applyInArrow(_ask(shards), REQUEST), "sum", COUNT, only_many=False)
+    return batches.cogroup(answers.groupBy("batch")).applyInArrow(
+        _score(n, v, weight, shards), SCORED_DDL
     )

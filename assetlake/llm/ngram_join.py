@@ -35,6 +35,7 @@ from .common import (
     gram_hashes,
     partitions,
     requests,
+    rows_of,
     scrambled,
     settled,
     text_bytes,
@@ -137,14 +138,13 @@ def _distinct_sets(table: pa.Table, size: int) -> dict[bytes, tuple[np.ndarray,
 
 def _ask(size: int, num: int, den: int, shards: int):
     def ask(table: pa.Table) -> pa.Table:
+        batch, table = rows_of(table)
         keys = [np.empty(0, np.uint64)]
         for items, _ in _distinct_sets(table, size).values():
             if len(items):
                 keys.append(np.unique(_tile_keys(items, num, den)))
         keys, holders = np.unique(np.concatenate(keys), return_counts=True)
-        return requests(
-            table["batch"][0].as_py(), keys, np.minimum(holders, 2).astype(np.uint8), shards
-        )
+        return requests(batch, keys, np.minimum(holders, 2).astype(np.uint8), shards)
 
     return ask
 
@@ -153,7 +153,8 @@ def _emit(size: int, num: int, den: int):
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SETS.empty_table()
-        shared, _, _ = answered(answers, "uint8")
+        _, docs = rows_of(docs)
+        shared, _ = answered(answers, "uint8")
         rows = {name: [] for name in SETS.names}
         for print_, (items, ids) in _distinct_sets(docs, size).items():
             tiles = np.unique(_tile_keys(items, num, den)) if len(items) else items
@@ -284,10 +285,8 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
         ),
         "asset_id",
         "text",
-    ).groupBy("batch")
-    answers = combine(
-        docs.applyInArrow(_ask(size, num, den, shards), REQUEST), "sum", "uint8", only_many=True
     )
+    answers = combine(docs.applyInArrow(_ask(size, num, den, shards), REQUEST), "sum", "uint8")
     held = settled(
         docs.cogroup(answers.groupBy("batch")).applyInArrow(_emit(size, num, den), SETS_DDL),
         "sets",

@@ -9,7 +9,9 @@ position is dropped as soon as its rank is unique, since no longer string from t
 2. All bytes around an anchor that its windows reach. Where a smaller asset has the same, all
    windows of the anchor repeat; where every anchor of this rank has the same, none of the
    smallest asset's need another look.
-3. The threshold itself, 50 bytes: every window of the anchors that are left.
+3. The anchor with half of what its windows reach before it, and with half of that behind it:
+   each window holds one of the two.
+4. The threshold itself, 50 bytes: every window that is left.
 
 Ranks are 64-bit names (equality is all that is asked of them). Each round shuffles the distinct
 keys of a batch of assets, with the smallest id that holds them, and answers only keys that are
@@ -35,14 +37,17 @@ from .common import (
     ordered_ids,
     partitions,
     requests,
+    rows_of,
     scrambled,
     text_bytes,
 )
 
 ANCHOR = 16
 LENGTH = 50
-#: Keeps keys of surroundings apart from keys of anchors.
-CONTEXT = np.uint64(0x5851F42D4C957F2D)
+#: Keep keys of an anchor, its surroundings and its halves apart.
+AROUND, BEFORE, BEHIND = (
+    np.uint64(k) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D)
+)
 
 NOTHING = pa.schema(
     [("shard", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())]
@@ -108,6 +113,9 @@ class Stream:
             valid[a : max(a, b - self.length + 1)] = True
         return valid
 
+    def ids_at(self, positions: np.ndarray) -> np.ndarray:
+        return self.text_ids[self.text_of(positions)]
+
     def text_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
@@ -174,40 +182,49 @@ def _streams(table: pa.Table, length: int):
 
 def _first_ranks(length: int, shards: int):
     def ask(table: pa.Table) -> pa.Table:
+        batch, table = rows_of(table)
         keys, ids = [], []
         for _, stream in _streams(table, length):
             ranks, _, sampled = _sampled(stream)
             keys.append(ranks[sampled])
-            ids.append(stream.text_ids[stream.text_of(sampled)])
-        keys, ids = _extremes(np.concatenate(keys), np.concatenate(ids))
+            ids.append(stream.ids_at(sampled))
+        keys, _ = _extremes(np.concatenate(keys), np.concatenate(ids))
         keys, holders = np.unique(keys, return_counts=True)
-        return requests(table["batch"][0].as_py(), keys, holders.astype(np.uint8), shards)
+        return requests(batch, keys, holders.astype(np.uint8), shards)
 
     return ask
 
 
 def _surroundings(stream: Stream, anchors: np.ndarray) -> np.ndarray:
     reach = stream.length - ANCHOR
-    return stream.hashes(2 * stream.length - ANCHOR)[anchors - reach] ^ CONTEXT
+    return stream.hashes(stream.length + reach)[anchors - reach] ^ AROUND
+
+
+def _halves(stream: Stream, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of each anchor with the bytes before it, and with those behind it.
+
+    Half of what a window has besides its anchor: each window holds one of the two.
+    """
+    half = (stream.length - ANCHOR + 1) // 2
+    ranks = stream.hashes(ANCHOR + half)
+    return ranks[anchors - half] ^ BEFORE, ranks[anchors] ^ BEHIND
 
 
 def _second_ranks(length: int, shards: int):
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return NOTHING.empty_table()
-        live, _, _ = answered(answers, "uint8")
+        batch, docs = rows_of(docs)
+        live, _ = answered(answers, "uint8")
         keys, vals = [], []
         for _, stream in _streams(docs, length):
             _, _, anchors, ranks = _anchored(stream, live)
             around = _surroundings(stream, anchors)
-            for k, v in (
-                _smallest(around, stream.text_ids[stream.text_of(anchors)]),
-                _extremes(ranks, around),
-            ):
+            for k, v in (_extremes(around, stream.ids_at(anchors)), _extremes(ranks, around)):
                 keys.append(k)
                 vals.append(v)
         keys, vals = _extremes(np.concatenate(keys), np.concatenate(vals))
-        return requests(docs["batch"][0].as_py(), keys, vals, shards)
+        return requests(batch, keys, vals, shards)
 
     return ask
 
@@ -216,22 +233,26 @@ def _third_ranks(length: int, shards: int):
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return NOTHING.empty_table()
+        batch, docs = rows_of(docs)
         docs = _sorted_rows(docs)
-        shared, least, many = answered(answers)
+        shared, least = answered(answers)
         keys, vals, spans = [], [], []
         for first, stream in _streams(docs, length):
-            starts, number, anchors, ranks = _anchored(stream, shared)
+            ranks, _, sampled = _sampled(stream)
+            live = np.unique(ranks[sampled][_among(ranks[sampled], shared)])
+            around = _surroundings(stream, sampled)
+            live = np.union1d(live, ranks[sampled][_among(around, shared)])
+            starts, number, anchors, ranks = _anchored(stream, live)
             around = _surroundings(stream, anchors)
-            own = stream.text_ids[stream.text_of(anchors)]
-            repeated = least[found(around, shared)[1]] < own
-            varied = many[found(ranks, shared)[1]]
+            known, at = found(around, shared)
+            repeated = known & (least[at] < stream.ids_at(anchors))
             spans.append(_covered(stream, starts[repeated[number]], first))
-            left = starts[(varied & ~repeated)[number]]
-            k, v = _extremes(stream.hashes(length)[left], stream.text_ids[stream.text_of(left)])
-            keys.append(k)
-            vals.append(v)
+            left = found(ranks, shared)[0] & ~repeated
+            for half in _halves(stream, anchors[left]):
+                k, v = _extremes(half, around[left])
+                keys.append(k)
+                vals.append(v)
         keys, vals = _extremes(np.concatenate(keys), np.concatenate(vals))
-        batch = docs["batch"][0].as_py()
         return pa.concat_tables(
             [
                 requests(batch, keys, vals, shards),
@@ -242,6 +263,57 @@ def _third_ranks(length: int, shards: int):
     return ask
 
 
+def _fourth_ranks(length: int, shards: int):
+    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return NOTHING.empty_table()
+        batch, docs = rows_of(docs)
+        docs = _sorted_rows(docs)
+        shared, _ = answered(answers)
+        spans = _spans_of(answers)
+        keys, vals = [], []
+        half = (length - ANCHOR + 1) // 2
+        for first, stream in _streams(docs, length):
+            ranks, _, sampled = _sampled(stream)
+            before, behind = _halves(stream, sampled)
+            live = ranks[sampled][_among(before, shared) | _among(behind, shared)]
+            starts, number, anchors, _ = _anchored(stream, np.unique(live))
+            before, behind = (_among(h, shared) for h in _halves(stream, anchors))
+            early = starts <= anchors[number] - half
+            late = starts + length >= anchors[number] + ANCHOR + half
+            starts = starts[(early & before[number]) | (late & behind[number])]
+            open_ = np.r_[0, np.cumsum(~_gone(stream, spans, first))]
+            starts = starts[open_[starts + length] > open_[starts]]
+            k, v = _extremes(stream.hashes(length)[starts], stream.ids_at(starts))
+            keys.append(k)
+            vals.append(v)
+        keys, vals = _extremes(np.concatenate(keys), np.concatenate(vals))
+        return pa.concat_tables(
+            [requests(batch, keys, vals, shards), note(batch, shards, spans.tobytes())]
+        )
+
+    return ask
+
+
+def _spans_of(answers: pa.Table) -> np.ndarray:
+    """Rows (number of the text, begin, end) of a batch's note, by text."""
+    spans = np.frombuffer(b"".join(notes_of(answers)), np.int64).reshape(-1, 3)
+    return spans[np.argsort(spans[:, 0], kind="stable")]
+
+
+def _gone(stream: Stream, spans: np.ndarray, first: int, starts=()) -> np.ndarray:
+    """Whether each byte is covered by the spans or by a window at `starts`."""
+    edges = np.zeros(len(stream.bytes) + 1, np.int32)
+    a, b = np.searchsorted(spans[:, 0], [first, first + len(stream.starts)])
+    offset = stream.starts[spans[a:b, 0] - first]
+    np.add.at(edges, offset + spans[a:b, 1], 1)
+    np.add.at(edges, offset + spans[a:b, 2], -1)
+    if len(starts):
+        edges[starts] += 1
+        edges[starts + stream.length] -= 1
+    return np.cumsum(edges[:-1]) > 0
+
+
 def _covered(stream: Stream, starts: np.ndarray, first: int) -> np.ndarray:
     """Rows (number of the text, begin, end) of the runs that windows at sorted starts cover."""
     if not len(starts):
@@ -258,26 +330,18 @@ def _removed(length: int):
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return KEPT.empty_table()
+        _, docs = rows_of(docs)
         docs = _sorted_rows(docs)
-        shared, least, _ = answered(answers)
-        notes = np.frombuffer(b"".join(notes_of(answers)), np.int64).reshape(-1, 3)
-        notes = notes[np.argsort(notes[:, 0], kind="stable")]
+        shared, least = answered(answers)
+        spans = _spans_of(answers)
         sizes, kept, counts, begins, ends = [], [], [], [], []
         for first, stream in _streams(docs, length):
-            edges = np.zeros(len(stream.bytes) + 1, np.int32)
-            a, b = np.searchsorted(notes[:, 0], [first, first + len(stream.starts)])
-            offset = stream.starts[notes[a:b, 0] - first]
-            np.add.at(edges, offset + notes[a:b, 1], 1)
-            np.add.at(edges, offset + notes[a:b, 2], -1)
             starts = np.flatnonzero(stream.windows())
             names = stream.hashes(length)[starts]
             hit = _among(names, shared)
             starts, names = starts[hit], names[hit]
-            own = stream.text_ids[stream.text_of(starts)]
-            starts = starts[least[found(names, shared)[1]] < own]
-            edges[starts] += 1
-            edges[starts + length] -= 1
-            gone = np.cumsum(edges[:-1]) > 0
+            starts = starts[least[found(names, shared)[1]] < stream.ids_at(starts)]
+            gone = _gone(stream, spans, first, starts)
             change = np.diff(np.r_[False, gone, False].astype(np.int8))
             begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
             text = stream.text_of(begin)
@@ -312,14 +376,6 @@ def _removed(length: int):
     return remove
 
 
-def _smallest(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest value."""
-    order = np.lexsort((vals, keys))
-    keys, vals = keys[order], vals[order]
-    new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-    return keys[new], vals[new]
-
-
 def _extremes(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with their smallest value, and again with the largest where that differs."""
     order = np.lexsort((vals, keys))
@@ -358,15 +414,9 @@ def remove_repeats(assets: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "asset_id",
         "text",
-    ).groupBy("batch")
-    asked = docs.applyInArrow(_first_ranks(length, shards), REQUEST)
-    answers = combine(asked, "sum", "uint8", only_many=True)
-    asked = docs.cogroup(answers.groupBy("batch")).applyInArrow(
-        _second_ranks(length, shards), REQUEST
-    )
-    answers = combine(asked, "min", "uint64")
-    asked = docs.cogroup(answers.groupBy("batch")).applyInArrow(
-        _third_ranks(length, shards), REQUEST
     )
-    answers = combine(asked, "min", "uint64", only_many=True)
+    answers = combine(docs.applyInArrow(_first_ranks(length, shards), REQUEST), "sum", "uint8")
+    for ranks in (_second_ranks, _third_ranks, _fourth_ranks):
+        asked = docs.cogroup(answers.groupBy("batch")).applyInArrow(ranks(length, shards), REQUEST)
+        answers = combine(asked, "min", "uint64")
     return docs.cogroup(answers.groupBy("batch")).applyInArrow(_removed(length), KEPT_DDL)
