@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
+from .language_id import label_language
 from .lm_scoring import lm_score
 from .ngram_join import ngram_join
+from .quality import score_quality
 from .suffix_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +55,16 @@ def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join(assets(spark, sf), size=4, num=85, den=100).withColumnRenamed(
         "asset_id", "doc_id"
     )
+
+
+@query
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return label_language(assets(spark, sf)).select(
+        F.col("asset_id").alias("doc_id"), "held_out", "lang_pred", "score"
+    )
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("asset_id"), "quality")
+    return score_quality(assets(spark, sf), labels).withColumnRenamed("asset_id", "doc_id")
