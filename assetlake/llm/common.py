@@ -142,12 +142,12 @@ def rows_of(table: pa.Table) -> tuple[int, pa.Table]:
 
 def _planes(a: np.ndarray) -> bytes:
     """Byte planes one after the other: what values have in common compresses well."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
 def unpack_values(blob: bytes, dtype: str) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(blob, np.uint8).reshape(width, len(blob) // width)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
