@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
 from .language_id import label_language
+from .license_scan import license_summary, scan_licenses
 from .lm_scoring import lm_score
 from .ngram_join import ngram_join
 from .quality import score_quality
@@ -68,3 +69,8 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     labels = read_table(spark, sf, "labels").select(F.col("doc_id").alias("asset_id"), "quality")
     return score_quality(assets(spark, sf), labels).withColumnRenamed("asset_id", "doc_id")
+
+
+@query
+def op5_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return license_summary(scan_licenses(assets(spark, sf))).withColumnRenamed("asset_id", "doc_id")
