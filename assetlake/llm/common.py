@@ -24,6 +24,8 @@ ALNUM = bytes(
 )
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SIGN = np.uint64(1 << 63)
+#: Narrow rows (two keys) that may be broadcast: about 20 MB.
+BROADCAST_ROWS = 200_000
 #: An asset without an id sorts behind every other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -36,6 +38,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A hint to broadcast narrow rows, if they are no more than `rows`; else Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -29,6 +29,7 @@ from .common import (
     REQUEST,
     answered,
     blank_words,
+    broadcast_if_small,
     combine,
     dealt,
     found,
@@ -51,6 +52,7 @@ BLOCK = 256
 SETS = pa.schema(
     [
         ("node", pa.string()),
+        ("batch", pa.int32()),
         ("ids", pa.list_(pa.int64())),
         ("n", pa.int64()),
         ("tiles", pa.list_(pa.int64())),
@@ -58,7 +60,7 @@ SETS = pa.schema(
         ("items", pa.binary()),
     ]
 )
-SETS_DDL = "node string, ids array<long>, n long, tiles array<long>, bits binary, items binary"
+SETS_DDL = "node string, batch int, ids array<long>, n long, tiles array<long>, bits binary, items binary"
 PAIR_DDL = "a string, b string"
 
 
@@ -153,13 +155,14 @@ def _emit(size: int, num: int, den: int):
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SETS.empty_table()
-        _, docs = rows_of(docs)
+        batch, docs = rows_of(docs)
         shared, _ = answered(answers, "uint8")
         rows = {name: [] for name in SETS.names}
         for print_, (items, ids) in _distinct_sets(docs, size).items():
             tiles = np.unique(_tile_keys(items, num, den)) if len(items) else items
             tiles = tiles[found(tiles, shared)[0]]
             rows["node"].append(print_.hex())
+            rows["batch"].append(batch)
             rows["ids"].append(ids)
             rows["n"].append(len(items))
             rows["tiles"].append(tiles.view(np.int64))
@@ -197,56 +200,88 @@ def _exact(num: int, den: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are linked."""
-    left = lambda *cols: sets.select(F.col("node").alias("a"), *cols)
-    right = lambda *cols: sets.select(F.col("node").alias("b"), *cols)
-    close = (
-        pairs.join(left(F.col("bits").alias("x"), "n"), "a")
-        .join(right(F.col("bits").alias("y"), F.col("n").alias("m")), "b")
+    side = lambda df, name, *cols: df.select(F.col("node").alias(name), *cols)
+    close = settled(
+        pairs.join(side(sets, "a", F.col("bits").alias("x"), "n"), "a")
+        .join(side(sets, "b", F.col("bits").alias("y"), F.col("n").alias("m")), "b")
         .filter((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num))
-        .mapInArrow(_bounded(num, den), PAIR_DDL)
+        .mapInArrow(_bounded(num, den), PAIR_DDL),
+        "close-pairs",
     )
+    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = sets.select("node", "items").join(broadcast_if_small(nodes), "node", "left_semi")
     return (
-        close.join(left(F.col("items").alias("x")), "a")
-        .join(right(F.col("items").alias("y")), "b")
+        close.join(side(needed, "a", F.col("items").alias("x")), "a")
+        .join(side(needed, "b", F.col("items").alias("y")), "b")
         .mapInArrow(_exact(num, den), PAIR_DDL)
     )
 
 
+def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[str, str]]:
+    """Pairs of the two blocks of a run that differ in component and pass the bound."""
+    n, block = run["n"].to_numpy(), run["block"].to_numpy()
+    label = run["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    low, high = run["low"][0].as_py(), run["high"][0].as_py()
+    node, bits = run["node"].to_pylist(), run["bits"].to_pylist()
+    size = min(map(len, bits)) // 8
+    words = np.stack([_folded(b, size) for b in bits])
+    for i in np.flatnonzero(block == low):
+        ok = (block == high) & (label != label[i])
+        ok &= (n * den >= n[i] * num) & (n[i] * den >= n * num)
+        if low == high:
+            ok[: i + 1] = False
+        at = np.flatnonzero(ok)
+        only_i = np.bitwise_count(words[i] & ~words[at]).sum(axis=1, dtype=np.int64)
+        only_j = np.bitwise_count(words[at] & ~words[i]).sum(axis=1, dtype=np.int64)
+        bound = np.minimum(n[i] - only_i, n[at] - only_j)
+        for j in at[bound * (num + den) >= num * (n[i] + n[at])]:
+            yield max(node[i], node[j]), min(node[i], node[j])
+
+
 def _block_pairs(num: int, den: int):
-    """Pairs of two blocks of a tile that differ in component and pass the bound."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        node, label = table["node"].to_pylist(), np.array(table["label"].to_pylist(), object)
-        n, block = table["n"].to_numpy(), table["block"].to_numpy()
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        bits = table["bits"].to_pylist()
-        size = min(map(len, bits)) // 8
-        words = np.stack([_folded(b, size) for b in bits])
-        out_a, out_b = [], []
-        for i in np.flatnonzero(block == low):
-            ok = (block == high) & (label != label[i])
-            ok &= (n * den >= n[i] * num) & (n[i] * den >= n * num)
-            if low == high:
-                ok[: i + 1] = False
-            at = np.flatnonzero(ok)
-            only_i = np.bitwise_count(words[i] & ~words[at]).sum(axis=1, dtype=np.int64)
-            only_j = np.bitwise_count(words[at] & ~words[i]).sum(axis=1, dtype=np.int64)
-            bound = np.minimum(n[i] - only_i, n[at] - only_j)
-            for j in at[bound * (num + den) >= num * (n[i] + n[at])]:
-                out_a.append(max(node[i], node[j]))
-                out_b.append(min(node[i], node[j]))
-        return pa.table({"a": pa.array(out_a, pa.string()), "b": pa.array(out_b, pa.string())})
+    """Compare the rows of each run of one (tile, low, high); runs are short and in order."""
+
+    def compare(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.Table | None = None
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            keys = [table[c].to_numpy() for c in ("tile", "low", "high")]
+            new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+            start = np.append(np.flatnonzero(new), table.num_rows)
+            runs = len(start) - (1 if last else 2)
+            out = {
+                pair
+                for a, b in zip(start[:runs], start[1 : runs + 1])
+                for pair in _compared(table.slice(a, b - a), num, den)
+            }
+            found_ = pa.record_batch(
+                {c: pa.array([p[k] for p in out], pa.string()) for k, c in enumerate("ab")}
+            )
+            return found_, table.slice(start[runs])
+
+        for batch in tables:
+            table = pa.Table.from_batches([batch])
+            if carry is not None:
+                table = pa.concat_tables([carry, table])
+            if table.num_rows:
+                out, carry = pairs(table, False)
+                yield out
+        if carry is not None and carry.num_rows:
+            yield pairs(carry, True)[0]
 
     return compare
 
 
 def _across(tiles: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components in the tiles that hold several components."""
+    """Candidate pairs of different components in the tiles that hold several components.
+
+    Tiles of three sets or fewer need no more: each pair has one of the extreme members.
+    """
     named = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = (
         named.groupBy("tile")
         .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"))
-        .filter("lo < hi")
+        .filter("lo < hi and held > 3")
         .select("tile", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -256,8 +291,9 @@ def _across(tiles: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den:
         .select("*", other)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
         .join(sets.select("node", "n", "bits"), "node")
-        .groupBy("tile", "low", "high")
-        .applyInArrow(_block_pairs(num, den), PAIR_DDL)
+        .repartition("tile", "low", "high")
+        .sortWithinPartitions("tile", "low", "high")
+        .mapInArrow(_block_pairs(num, den), PAIR_DDL)
         .distinct()
     )
 
@@ -291,14 +327,16 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
         docs.cogroup(answers.groupBy("batch")).applyInArrow(_emit(size, num, den), SETS_DDL),
         "sets",
     )
-    payload = F.struct("n", "tiles", "bits", "items")
-    sets = settled(
-        held.filter(F.size("tiles") > 0)
-        .groupBy("node")
-        .agg(F.min(F.array_min("ids")).alias("first_id"), F.any_value(payload).alias("p"))
-        .select("node", "first_id", "p.*"),
-        "distinct-sets",
+    shared = held.filter(F.size("tiles") > 0)
+    reps = shared.groupBy("node").agg(
+        F.min(F.array_min("ids")).alias("first_id"),
+        F.min("batch").alias("kept"),
+        F.count("*").alias("batches"),
     )
+    # of a set that several batches hold, one row stands for all
+    again = shared.select("node", "batch").join(reps.filter("batches > 1"), "node")
+    again = settled(again.filter("batch > kept").select("node", "batch"), "repeated-sets")
+    sets = shared.join(broadcast_if_small(again), ["node", "batch"], "left_anti")
     tiles = sets.select("node", F.explode("tiles").alias("tile"))
     ends = tiles.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     pairs = (
@@ -314,7 +352,7 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     if not across.isEmpty():
         labels = components(links.unionByName(_linked(across, sets, num, den)))
     first = (
-        sets.select("node", "first_id")
+        reps.select("node", "first_id")
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
