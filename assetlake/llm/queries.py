@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
+from .html_text import extract_text
 from .language_id import label_language
 from .license_scan import license_summary, scan_licenses
 from .lm_scoring import lm_score
@@ -74,3 +75,8 @@ def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return license_summary(scan_licenses(assets(spark, sf))).withColumnRenamed("asset_id", "doc_id")
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(read_table(spark, sf, "pages"))
