@@ -14,6 +14,7 @@ from .lm_scoring import lm_score
 from .ngram_join import ngram_join
 from .quality import score_quality
 from .suffix_dedup import remove_repeats
+from .top_k import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +81,26 @@ def op5_license_scans(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(read_table(spark, sf, "pages"))
+
+
+@query
+def op9_topk_search(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read_table(spark, sf, "embeddings")
+    return top_k(vectors.select(F.col("vec_id").alias("asset_id"), F.col("embedding").alias("vector")))
+
+
+ORACLE["op9_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
+"""
