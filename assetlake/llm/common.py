@@ -104,6 +104,8 @@ def ordered_ids(column: pa.ChunkedArray) -> np.ndarray:
 DEALT = "batch int, rows binary"
 REQUEST = "shard int, batch int, keys binary, vals binary"
 ANSWER = "batch int, shard int, keys binary, vals binary"
+#: Batches for each shuffle partition: smaller ones take less memory, larger ones fewer keys.
+BATCHES = 2
 #: Bytes of rows that a task holds before it sends them to their batches.
 DEAL_BYTES = 1 << 26
 
@@ -135,8 +137,8 @@ def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(df: DataFrame, *identity: str) -> GroupedData:
-    """The rows by batch; read them with `rows_of`."""
-    count = F.lit(partitions(df.sparkSession))
+    """The rows by batch, a few batches to a partition; read them with `rows_of`."""
+    count = F.lit(BATCHES * partitions(df.sparkSession))
     batch = F.pmod(F.xxhash64(*identity), count).cast("int")
     return df.withColumn("batch", batch).mapInArrow(_deal, DEALT).groupBy("batch")
 

@@ -9,8 +9,8 @@ segment only of those that agree on everything else in it.
 
 Within a tile, hashed bitmaps bound the overlap of two sets from above by their bit counts; what
 passes is decided by intersecting the sorted hash arrays. First every set of a tile is compared
-with the tile's two extreme members, which links the groups of copies without listing their
-pairs. Tiles whose sets still belong to several components are then compared in full, in blocks.
+with two members, a few times, which links the groups of copies without listing their pairs.
+Tiles whose sets still belong to several components are then compared in full, in blocks.
 """
 
 from __future__ import annotations
@@ -46,12 +46,14 @@ from .components import components
 
 #: Largest size of a band over its smallest.
 BAND_RATIO = 1.5
+#: Times that the sets of a tile are compared with two of its members, before all are.
+TURNS = 2
 #: Sets of one block of a tile that is compared in full.
 BLOCK = 256
 
 SETS = pa.schema(
     [
-        ("node", pa.string()),
+        ("node", pa.int64()),
         ("batch", pa.int32()),
         ("ids", pa.list_(pa.int64())),
         ("n", pa.int64()),
@@ -60,8 +62,8 @@ SETS = pa.schema(
         ("items", pa.binary()),
     ]
 )
-SETS_DDL = "node string, batch int, ids array<long>, n long, tiles array<long>, bits binary, items binary"
-PAIR_DDL = "a string, b string"
+SETS_DDL = "node long, batch int, ids array<long>, n long, tiles array<long>, bits binary, items binary"
+PAIR_DDL = "a long, b long"
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -161,7 +163,7 @@ def _emit(size: int, num: int, den: int):
         for print_, (items, ids) in _distinct_sets(docs, size).items():
             tiles = np.unique(_tile_keys(items, num, den)) if len(items) else items
             tiles = tiles[found(tiles, shared)[0]]
-            rows["node"].append(print_.hex())
+            rows["node"].append(int.from_bytes(print_[:8], "little", signed=True))
             rows["batch"].append(batch)
             rows["ids"].append(ids)
             rows["n"].append(len(items))
@@ -217,12 +219,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[str, str]]:
+def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Pairs of the two blocks of a run that differ in component and pass the bound."""
     n, block = run["n"].to_numpy(), run["block"].to_numpy()
-    label = run["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+    label, tile = run["label"].to_numpy(), run["tile"][0].as_py()
+    mine = [np.array(m) for m in run["mine"].to_pylist()]
     low, high = run["low"][0].as_py(), run["high"][0].as_py()
-    node, bits = run["node"].to_pylist(), run["bits"].to_pylist()
+    node, bits = run["node"].to_numpy(), run["bits"].to_pylist()
     size = min(map(len, bits)) // 8
     words = np.stack([_folded(b, size) for b in bits])
     for i in np.flatnonzero(block == low):
@@ -235,7 +238,9 @@ def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[str, str]]:
         only_j = np.bitwise_count(words[at] & ~words[i]).sum(axis=1, dtype=np.int64)
         bound = np.minimum(n[i] - only_i, n[at] - only_j)
         for j in at[bound * (num + den) >= num * (n[i] + n[at])]:
-            yield max(node[i], node[j]), min(node[i], node[j])
+            # a pair that meets in several tiles counts in the first of them
+            if np.intersect1d(mine[i], mine[j], assume_unique=True)[0] == tile:
+                yield max(node[i], node[j]), min(node[i], node[j])
 
 
 def _block_pairs(num: int, den: int):
@@ -249,13 +254,13 @@ def _block_pairs(num: int, den: int):
             new = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
             start = np.append(np.flatnonzero(new), table.num_rows)
             runs = len(start) - (1 if last else 2)
-            out = {
+            out = [
                 pair
                 for a, b in zip(start[:runs], start[1 : runs + 1])
                 for pair in _compared(table.slice(a, b - a), num, den)
-            }
+            ]
             found_ = pa.record_batch(
-                {c: pa.array([p[k] for p in out], pa.string()) for k, c in enumerate("ab")}
+                {c: pa.array([p[k] for p in out], pa.int64()) for k, c in enumerate("ab")}
             )
             return found_, table.slice(start[runs])
 
@@ -272,29 +277,45 @@ def _block_pairs(num: int, den: int):
     return compare
 
 
-def _across(tiles: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components in the tiles that hold several components.
+def _mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the tiles whose sets belong to several components, with their labels.
 
-    Tiles of three sets or fewer need no more: each pair has one of the extreme members.
+    Tiles of three sets or fewer need no more: each pair has one of the two members that all
+    were compared with.
     """
-    named = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = (
-        named.groupBy("tile")
-        .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held"))
-        .filter("lo < hi and held > 3")
-        .select("tile", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    named = tiles.filter("held > 3").join(labels, "node", "left")
+    named = named.withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = mixed.filter("x < y").select("tile")
+    return settled(named.join(mixed, "tile").select("tile", "node", "label", "held"), "mixed-tiles")
+
+
+def _to_two(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each set of a tile with two members of it, another two each turn."""
+    picked = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "label")
+    ends = rows.groupBy("tile").agg(F.min(picked).alias("lo"), F.max(picked).alias("hi"))
+    return (
+        rows.join(ends, "tile")
+        .select("node", "label", F.explode(F.array("lo", "hi")).alias("end"))
+        .filter("label <> end.label")
+        .select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b"))
+        .distinct()
     )
+
+
+def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of different components among the rows of `_mixed`."""
+    mine = rows.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return (
-        named.join(mixed, "tile")
+        rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-        .select("*", other)
+        .select("tile", "node", "label", "block", other)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(sets.select("node", "n", "bits"), "node")
+        .join(sets.select("node", "n", "bits").join(mine, "node"), "node")
         .repartition("tile", "low", "high")
         .sortWithinPartitions("tile", "low", "high")
         .mapInArrow(_block_pairs(num, den), PAIR_DDL)
-        .distinct()
     )
 
 
@@ -310,7 +331,7 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
 
     Without words or text: no shingles, linked with nothing. Null id: behind all others; its
     component is null where it reaches no id. Rows that repeat an id are separate assets of that
-    id. Empty table: no rows. Sets are compared by 64-bit shingle hashes.
+    id. Empty table: no rows. Shingles and sets are told apart by 64-bit hashes.
     """
     spark = assets.sparkSession
     shards = partitions(spark)
@@ -338,18 +359,18 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     again = settled(again.filter("batch > kept").select("node", "batch"), "repeated-sets")
     sets = shared.join(broadcast_if_small(again), ["node", "batch"], "left_anti")
     tiles = sets.select("node", F.explode("tiles").alias("tile"))
-    ends = tiles.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    pairs = (
-        tiles.join(ends.filter("lo < hi"), "tile")
-        .select("node", F.explode(F.array("lo", "hi")).alias("end"))
-        .select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b"))
-        .filter("a > b")
-        .distinct()
-    )
-    links = settled(_linked(pairs, sets, num, den), "tile-links")
-    labels = components(links)
-    across = settled(_across(tiles, sets, labels, num, den), "tile-pairs")
-    if not across.isEmpty():
+    held_by = tiles.groupBy("tile").agg(F.count("*").alias("held")).filter("held > 1")
+    tiles = settled(tiles.join(held_by, "tile").withColumn("label", F.col("node")), "tiles")
+    links, rows = None, tiles
+    for turn in range(TURNS):
+        new = _linked(_to_two(rows, turn), sets, num, den)
+        links = settled(links.unionByName(new) if links else new, "tile-links")
+        labels = components(links)
+        rows = _mixed(tiles.drop("label"), labels)
+        if rows.isEmpty():
+            break
+    else:
+        across = settled(_across(rows, sets, num, den), "tile-pairs")
         labels = components(links.unionByName(_linked(across, sets, num, den)))
     first = (
         reps.select("node", "first_id")
