@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
+from .decontaminate import decontaminate
 from .html_text import extract_text
 from .language_id import label_language
 from .license_scan import license_summary, scan_licenses
 from .lm_scoring import lm_score
+from .mixing import mix_batches
 from .ngram_join import ngram_join
 from .quality import score_quality
 from .suffix_dedup import remove_repeats
@@ -91,10 +93,10 @@ def op9_topk_search(spark: SparkSession, sf: str) -> DataFrame:
 
 ORACLE["op9_topk_search"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+    AND NOT list_contains([x IS NULL OR NOT isfinite(x) for x in embedding], true)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
@@ -104,3 +106,58 @@ WITH v AS (
 )
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20
 """
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate(assets(spark, sf), read_table(spark, sf, "benchmark")).select(
+        F.col("asset_id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _sql_words(text: str) -> str:
+    other = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+    lower = (
+        f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    )
+    return f"[w for w in regexp_split_to_array({lower}, '{other}') if w <> '']"
+
+
+ORACLE["op7_decontamination"] = f"""
+WITH item AS (
+  SELECT item_id, w, least(len(w), 10) AS k
+  FROM (SELECT item_id, {_sql_words("text")} AS w FROM benchmark) WHERE len(w) > 0
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s + 1:s + k], ' ') AS words
+  FROM (SELECT *, unnest(range(len(w) - k + 1)) AS s FROM item)
+), doc AS (
+  SELECT doc_id, {_sql_words("text")} AS w FROM documents
+), size AS (SELECT DISTINCT k FROM win), run AS (
+  SELECT doc_id, k, s, array_to_string(w[s + 1:s + k], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS s FROM doc, size WHERE len(w) >= k)
+), hit AS (
+  SELECT doc_id, s, k, item_id FROM run JOIN win USING (k, words)
+), word AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit)
+  GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(word.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_batches(assets(spark, sf)).select(
+        F.col("asset_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
