@@ -48,6 +48,8 @@ from .components import components
 BAND_RATIO = 1.5
 #: Times that the sets of a tile are compared with two of its members, before all are.
 TURNS = 2
+#: Bytes of a bitmap, and tiles of a set, that go with each of its tiles in a full comparison.
+SKETCH, FIRST_TILES = 512, 32
 #: Sets of one block of a tile that is compared in full.
 BLOCK = 256
 
@@ -59,10 +61,11 @@ SETS = pa.schema(
         ("n", pa.int64()),
         ("tiles", pa.list_(pa.int64())),
         ("bits", pa.binary()),
+        ("sketch", pa.binary()),
         ("items", pa.binary()),
     ]
 )
-SETS_DDL = "node long, batch int, ids array<long>, n long, tiles array<long>, bits binary, items binary"
+SETS_DDL = "node long, batch int, ids array<long>, n long, tiles array<long>, bits binary, sketch binary, items binary"
 PAIR_DDL = "a long, b long"
 
 
@@ -168,7 +171,9 @@ def _emit(size: int, num: int, den: int):
             rows["ids"].append(ids)
             rows["n"].append(len(items))
             rows["tiles"].append(tiles.view(np.int64))
-            rows["bits"].append(_bitmap(items) if len(tiles) else None)
+            bits = _bitmap(items) if len(tiles) else None
+            rows["bits"].append(bits)
+            rows["sketch"].append(bits and _folded(bits, min(len(bits), SKETCH) // 8).tobytes())
             rows["items"].append(items.tobytes() if len(tiles) else None)
         return pa.table(rows, SETS)
 
@@ -225,7 +230,7 @@ def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
     label, tile = run["label"].to_numpy(), run["tile"][0].as_py()
     mine = [np.array(m) for m in run["mine"].to_pylist()]
     low, high = run["low"][0].as_py(), run["high"][0].as_py()
-    node, bits = run["node"].to_numpy(), run["bits"].to_pylist()
+    node, bits = run["node"].to_numpy(), run["sketch"].to_pylist()
     size = min(map(len, bits)) // 8
     words = np.stack([_folded(b, size) for b in bits])
     for i in np.flatnonzero(block == low):
@@ -238,8 +243,9 @@ def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
         only_j = np.bitwise_count(words[at] & ~words[i]).sum(axis=1, dtype=np.int64)
         bound = np.minimum(n[i] - only_i, n[at] - only_j)
         for j in at[bound * (num + den) >= num * (n[i] + n[at])]:
-            # a pair that meets in several tiles counts in the first of them
-            if np.intersect1d(mine[i], mine[j], assume_unique=True)[0] == tile:
+            # a pair that meets in several tiles counts in the first, as far as that is known
+            both = np.intersect1d(mine[i], mine[j], assume_unique=True)
+            if not len(both) or both[0] == tile:
                 yield max(node[i], node[j]), min(node[i], node[j])
 
 
@@ -305,17 +311,20 @@ def _to_two(rows: DataFrame, turn: int) -> DataFrame:
 
 def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components among the rows of `_mixed`."""
-    mine = rows.groupBy("node").agg(F.sort_array(F.collect_list("tile")).alias("mine"))
+    mine = rows.groupBy("node").agg(
+        F.slice(F.sort_array(F.collect_list("tile")), 1, FIRST_TILES).alias("mine")
+    )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return (
         rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
         .select("tile", "node", "label", "block", other)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(sets.select("node", "n", "bits").join(mine, "node"), "node")
+        .join(sets.select("node", "n", "sketch").join(mine, "node"), "node")
         .repartition("tile", "low", "high")
         .sortWithinPartitions("tile", "low", "high")
         .mapInArrow(_block_pairs(num, den), PAIR_DDL)
+        .distinct()
     )
 
 

@@ -20,9 +20,12 @@ still shared; see key exchange in `common`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import (
     MULTIPLIER,
@@ -83,7 +86,7 @@ class Stream:
         for a, b in zip(np.r_[0, self.ends], np.r_[self.starts, len(raw)], strict=True):
             self.bytes[a:b] = 0
         self.text_ids = ids
-        self._hashes = {1: (self.bytes, MULTIPLIER)}
+        self._hashes = {1: (self.bytes, int(MULTIPLIER))}
 
     def hashes(self, n: int) -> np.ndarray:
         """Hash of the n bytes from each position on, by doubling."""
@@ -91,7 +94,8 @@ class Stream:
         while size * 2 <= n:
             if size * 2 not in self._hashes:
                 h, power = self._hashes[size]
-                self._hashes[size * 2] = (h[:-size] * power + h[size:], power * power)
+                doubled = h[:-size] * np.uint64(power) + h[size:]
+                self._hashes[size * 2] = (doubled, power * power % (1 << 64))
             size *= 2
         out, done = None, 0
         while size:
@@ -101,7 +105,7 @@ class Stream:
                     out = h
                 else:
                     end = min(len(out), len(h) - done)
-                    out = out[:end] * power + h[done : done + end]
+                    out = out[:end] * np.uint64(power) + h[done : done + end]
                 done += size
             size //= 2
         return scrambled(out[: len(self.bytes) - n + 1] + np.uint64(n))
@@ -326,10 +330,10 @@ def _covered(stream: Stream, starts: np.ndarray, first: int) -> np.ndarray:
     return np.stack((text + first, begin - stream.starts[text], end - stream.starts[text]), 1)
 
 
-def _removed(length: int):
+def _removed(length: int, nothing: pa.Table):
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return KEPT.empty_table()
+            return nothing
         _, docs = rows_of(docs)
         docs = _sorted_rows(docs)
         shared, least = answered(answers)
@@ -361,7 +365,7 @@ def _removed(length: int):
                 ["start", "length"],
             ),
         )
-        return pa.table(
+        out = pa.table(
             [
                 docs["asset_id"],
                 pa.array(sizes),
@@ -372,6 +376,7 @@ def _removed(length: int):
             ],
             schema=KEPT,
         )
+        return out.append_column("carried", docs["carried"])
 
     return remove
 
@@ -392,15 +397,18 @@ def _extremes(keys: np.ndarray, vals: np.ndarray) -> tuple[np.ndarray, np.ndarra
     )
 
 
-def remove_repeats(assets: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(
+    assets: DataFrame, length: int = LENGTH, carry: Sequence[str] = ()
+) -> DataFrame:
     """Cut what assets with a smaller id already say, byte for byte.
 
-    assets: `asset_id`, `text`; other columns are ignored. A byte goes if some `length`-byte
+    assets: `asset_id`, `text`; of other columns, those in `carry` are returned. A byte goes if some `length`-byte
     string covers it that also starts in the text of an asset with a smaller id. Strings are
     judged on the input and never cross assets.
 
     Returns one row per input row: `asset_id`, `n_bytes`, `n_removed`, `n_spans` (maximal removed
-    runs), `kept` (remaining bytes, joined) and `spans` (start and length of each removed run).
+    runs), `kept` (remaining bytes, joined), `spans` (start and length of each removed run) and
+    `carried` (a struct of the columns in `carry`; an empty one is null).
 
     Null text counts as empty; texts under `length` bytes stay. A null id sorts behind all others.
     Repeated rows have the same id and so take nothing from each other. Empty table: no rows.
@@ -408,15 +416,18 @@ def remove_repeats(assets: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < ANCHOR:
         raise ValueError(f"length must be at least {ANCHOR}")
     shards = partitions(assets.sparkSession)
-    docs = dealt(
-        assets.select(
-            F.col("asset_id").cast("long").alias("asset_id"), text_bytes(F.col("text")).alias("text")
-        ),
-        "asset_id",
-        "text",
+    carried = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    rows = assets.select(
+        F.col("asset_id").cast("long").alias("asset_id"),
+        text_bytes(F.col("text")).alias("text"),
+        carried.alias("carried"),
     )
+    kind = rows.schema["carried"].dataType
+    docs = dealt(rows, "asset_id", "text")
     answers = combine(docs.applyInArrow(_first_ranks(length, shards), REQUEST), "sum", "uint8")
     for ranks in (_second_ranks, _third_ranks, _fourth_ranks):
         asked = docs.cogroup(answers.groupBy("batch")).applyInArrow(ranks(length, shards), REQUEST)
         answers = combine(asked, "min", "uint64")
-    return docs.cogroup(answers.groupBy("batch")).applyInArrow(_removed(length), KEPT_DDL)
+    nothing = KEPT.append(pa.field("carried", to_arrow_type(kind))).empty_table()
+    schema = T.StructType([*T.StructType.fromDDL(KEPT_DDL), T.StructField("carried", kind)])
+    return docs.cogroup(answers.groupBy("batch")).applyInArrow(_removed(length, nothing), schema)
