@@ -22,8 +22,7 @@ BYTES_PER_KB = 1024
 SMALL_IMAGE_PX = 10_000
 GRAPHIC_COLOURS = 2_500
 GRAPHIC_ENTROPY = 6.5
-CLASSIFY_SAMPLE_PX = 4_000_000
-GATE_SAMPLE_PX = 500_000
+UNMEASURED_PAIR = "original or output could not be read"
 SMALL_TRANSPARENT_PX = 800_000
 LUMA_R, LUMA_G, LUMA_B = 0.299, 0.587, 0.114
 

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as C, constants as K
+from ..plans.session import stored
 from . import pixels as P
 
 
-def pair_outputs(originals: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Join outputs to originals on the name without extension; raster files only, 1:N."""
+def pair_outputs(
+    originals: DataFrame, outputs: DataFrame, by: Sequence[str] = ("batch_id",)
+) -> DataFrame:
+    """Join outputs to originals of their batch on the name without extension.
+
+    Raster files only. `by` names the columns that hold one folder of either side together; a
+    name alone would pair every `image-1` with all others of the corpus.
+    """
     raster = ["png", "jpg", "jpeg", "webp", "avif"]
+    by = list(by)
 
     def side(df: DataFrame, role: str) -> DataFrame:
         kept = df.filter(C.file_extension(F.col("name")).isin(raster))
         return kept.select(
+            *by,
             C.stem(F.col("name")).alias("base"),
             F.col("asset_id").alias(f"{role}_id"),
             F.col("name").alias(f"{role}_name"),
         )
 
-    return side(originals, "original").join(side(outputs, "output"), "base").withColumn(
-        "format", C.file_extension(F.col("output_name"))
-    )
+    joined = side(originals, "original").join(side(outputs, "output"), [*by, "base"])
+    return joined.withColumn("format", C.file_extension(F.col("output_name")))
 
 
 def resolve_thresholds(
@@ -70,11 +82,15 @@ def size_gate(
 ) -> DataFrame:
     """Size ceiling per (file, format). No baseline, or one of 0 bytes, skips the check.
 
-    The size compared is the displayed one: KB with one decimal.
+    The size compared is the displayed one: KB with one decimal. Of baselines or overrides that
+    repeat a (file, format), the largest counts; tables have no order of entries.
     """
-    joined = results.join(baselines, ["file", "format"], "left")
+    key = ["file", "format"]
+    once = baselines.groupBy(*key).agg(F.max("size_bytes").alias("size_bytes"))
+    joined = results.join(once, key, "left")
     if overrides is not None:
-        joined = joined.join(overrides, ["file", "format"], "left")
+        once = overrides.groupBy(*key).agg(F.max("tolerance").alias("tolerance"))
+        joined = joined.join(once, key, "left")
     else:
         joined = joined.withColumn("tolerance", F.lit(None).cast("double"))
     ceiling = F.col("size_bytes") * F.coalesce("tolerance", F.lit(tolerance))
@@ -90,19 +106,20 @@ def measure_pairs(
     originals: DataFrame,
     outputs: DataFrame,
     window: int = 8,
-    cap: int = K.GATE_SAMPLE_PX,
-    aligned: bool = False,
+    cap: int | None = None,
 ) -> DataFrame:
     """Everything `raster_gate` needs, for all pairs in one job.
 
     `pairs`: pair_id, original_id, output_id, format, plus columns to keep. Outputs are brought
-    to the size of their original, unless all are `aligned` already. Originals are flattened on black where the output is a jpeg,
-    both for the metrics and for their colours.
+    to the size of their original, once, in the shared folder. Originals are flattened on black
+    where the output is a jpeg, both for the metrics and for their colours. Pairs of which a side
+    could not be read keep their row, with null measures. Every pixel counts unless a `cap` asks
+    for a sample of the colours.
     """
     jpeg = F.col("format").isin("jpg", "jpeg")
     black = (0, 0, 0)
     wanted = pairs.select("pair_id", "original_id", "output_id", "format")
-    fitted = P.fitted_outputs(wanted, originals, outputs, aligned)
+    fitted = stored(P.fitted_outputs(wanted, originals, outputs), "fitted")
     sides = P.pair_lines(fitted, originals).withColumn(
         "original",
         F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
@@ -111,13 +128,13 @@ def measure_pairs(
     output_colours = P.unique_colors(
         P.explode_pixels(fitted.withColumnRenamed("pair_id", "asset_id"), cap)
     ).withColumnsRenamed({"asset_id": "pair_id", "unique_colors": "output_colors"})
-    of_original = P.image_facts(originals).select("asset_id", "has_alpha").join(
-        P.colour_counts(P.explode_pixels(originals, cap), black), "asset_id"
-    ).withColumnRenamed("asset_id", "original_id")
+    of_original = P.colour_counts(P.explode_pixels(originals, cap), black).withColumnRenamed(
+        "asset_id", "original_id"
+    )
     return (
-        pairs.join(P.quality(sides, window), "pair_id")
-        .join(output_colours, "pair_id")
-        .join(of_original, "original_id")
+        pairs.join(P.quality(sides, window), "pair_id", "left")
+        .join(output_colours, "pair_id", "left")
+        .join(of_original, "original_id", "left")
         .withColumns(
             {
                 "original_colors": F.when(jpeg, F.col("flat_colors")).otherwise(F.col("raw_colors")),
@@ -130,23 +147,33 @@ def measure_pairs(
 
 
 def measure_vector_pairs(
-    pairs: DataFrame,
-    originals: DataFrame,
-    outputs: DataFrame,
-    window: int = 8,
-    aligned: bool = False,
+    pairs: DataFrame, originals: DataFrame, outputs: DataFrame, window: int = 8
 ) -> DataFrame:
-    """Everything `svg_gate` needs: similarity and sharpness at the size of the reference."""
+    """Everything `svg_gate` needs: similarity and sharpness at the size of the reference.
+
+    Pairs of which a side could not be read keep their row, with null measures.
+    """
     wanted = pairs.select("pair_id", "original_id", "output_id")
-    fitted = P.fitted_outputs(wanted, originals, outputs, aligned)
+    fitted = stored(P.fitted_outputs(wanted, originals, outputs), "fitted")
     energy = P.edge_energy(fitted.withColumnRenamed("pair_id", "asset_id"))
     sharpness = P.sharpness_ratio(
         wanted.select("pair_id", "original_id", F.col("pair_id").alias("output_id")),
         P.edge_energy(originals),
         energy,
     )
-    return pairs.join(P.ssim(P.pair_lines(fitted, originals), window), "pair_id").join(
-        sharpness, "pair_id"
+    return pairs.join(
+        P.ssim(P.pair_lines(fitted, originals), window), "pair_id", "left"
+    ).join(sharpness, "pair_id", "left")
+
+
+def judged(measured: DataFrame, passed: Column, measures: Sequence[str]) -> DataFrame:
+    """Add `passed`, false where a measure is missing, and `error`, which says so."""
+    missing = reduce(or_, [F.col(m).isNull() for m in measures])
+    return measured.withColumns(
+        {
+            "passed": F.coalesce(passed, F.lit(False)),
+            "error": F.when(missing, K.UNMEASURED_PAIR),
+        }
     )
 
 
@@ -160,12 +187,12 @@ def relaxed(
         F.col("output_colors") <= K.PALETTE_COLOURS
     )
     base = F.when(paletted, F.least(F.col(minimum), F.lit(palette))).otherwise(F.col(minimum))
-    see_through = F.col("has_alpha") & (F.col("format") == "webp")
+    see_through = F.coalesce(F.col("has_alpha"), F.lit(False)) & (F.col("format") == "webp")
     return F.when(see_through, F.least(base, F.lit(transparent))).otherwise(base)
 
 
 def raster_gate(measured: DataFrame) -> DataFrame:
-    """Both metrics must reach their (possibly relaxed) minimum.
+    """Both metrics must reach their (possibly relaxed) minimum; a pair without them fails.
 
     `measured`: format, ssim, psnr, ssim_min, psnr_min, original_colors, output_colors,
     has_alpha of the original.
@@ -175,9 +202,10 @@ def raster_gate(measured: DataFrame) -> DataFrame:
             "ssim_min": relaxed("ssim_min", K.PALETTE_SSIM, K.TRANSPARENT_SSIM),
             "psnr_min": relaxed("psnr_min", K.PALETTE_PSNR, K.TRANSPARENT_PSNR),
         }
-    ).withColumn(
-        "passed",
+    ).transform(
+        judged,
         (F.col("ssim") >= F.col("ssim_min")) & (F.col("psnr") >= F.col("psnr_min")),
+        ["ssim", "psnr"],
     )
 
 
@@ -186,9 +214,11 @@ def svg_gate(
     ssim_min: float = K.VECTOR_SSIM,
     sharpness_min: float = K.VECTOR_SHARPNESS,
 ) -> DataFrame:
-    return measured.withColumn(
-        "passed",
+    """Both measures must reach their minimum; a pair without them fails."""
+    return judged(
+        measured,
         (F.col("ssim") >= ssim_min) & (F.col("sharpness_ratio") >= sharpness_min),
+        ["ssim", "sharpness_ratio"],
     )
 
 

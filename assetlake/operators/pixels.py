@@ -113,17 +113,18 @@ def classify_content(
     small_px: int = K.SMALL_IMAGE_PX,
     colours: int = K.GRAPHIC_COLOURS,
     entropy: float = K.GRAPHIC_ENTROPY,
-    cap: int = K.CLASSIFY_SAMPLE_PX,
+    cap: int | None = None,
 ) -> DataFrame:
     """Photo or graphic per image, with the two measures behind it.
 
-    Small images are photos by rule and are never exploded. Colours are grouped before luma,
-    which they determine, so the three levels shrink from pixels to colours to bins.
+    Small images are photos by rule; they are measured like all others. Every pixel counts unless
+    a `cap` asks for a sample. Colours are grouped before luma, which they determine, so the three
+    levels shrink from pixels to colours to bins.
     """
     area = F.col("width").cast("bigint") * F.col("height")
     shapes = lines.filter(F.col("y") == 0).select(*IMAGE)
     by_colour = (
-        explode_pixels(lines.filter(area >= small_px), cap)
+        explode_pixels(lines, cap)
         .groupBy("asset_id", "r", "g", "b").agg(F.count("*").alias("n"))
     )
     measured = (
@@ -135,7 +136,8 @@ def classify_content(
             F.abs(F.round(entropy_of(), 6)).alias("entropy"),
         )
     )
-    graphic = (F.col("unique_colors") < colours) & (F.col("entropy") < entropy)
+    few = (F.col("unique_colors") < colours) & (F.col("entropy") < entropy)
+    graphic = few & (area >= small_px)
     return shapes.join(measured, "asset_id", "left").withColumn(
         "preset", F.when(graphic, "graphic").otherwise("photo")
     )
@@ -177,17 +179,23 @@ def image_facts(lines: DataFrame) -> DataFrame:
 
 
 def colour_counts(pixels: DataFrame, background: tuple[int, int, int]) -> DataFrame:
-    """Distinct colours per image as they are (`raw_colors`) and flattened (`flat_colors`).
+    """Distinct colours per image as they are (`raw_colors`) and flattened (`flat_colors`), and
+    whether any pixel is transparent (`has_alpha`).
 
-    Equal pixels are merged first; both counts then work on what is left.
+    Equal pixels are merged first; all three then work on what is left.
     """
     merged = pixels.groupBy("asset_id", "r", "g", "b", "a").agg(F.lit(1).alias("one"))
-    flat = alpha_composite(merged, background).select("asset_id", "one", rgb_key().alias("flat"))
-    raw = merged.select("asset_id", "one", rgb_key().alias("raw"))
+    clear = (F.col("a") < 255).alias("clear")
+    raw = merged.select("asset_id", clear, rgb_key().alias("raw"))
+    flat = alpha_composite(merged, background).select("asset_id", rgb_key().alias("flat"))
     both = raw.unionByName(flat, allowMissingColumns=True)
-    return both.groupBy("asset_id", "raw", "flat").agg(F.lit(1).alias("one")).groupBy(
+    return both.groupBy("asset_id", "raw", "flat").agg(F.bool_or("clear").alias("clear")).groupBy(
         "asset_id"
-    ).agg(F.count("raw").alias("raw_colors"), F.count("flat").alias("flat_colors"))
+    ).agg(
+        F.count("raw").alias("raw_colors"),
+        F.count("flat").alias("flat_colors"),
+        F.bool_or("clear").alias("has_alpha"),
+    )
 
 
 def luma_of(name: str) -> Column:
@@ -204,24 +212,18 @@ def luma_of(name: str) -> Column:
     ).otherwise(F.transform(xs, grey))
 
 
-def fitted_outputs(
-    pairs: DataFrame, originals: DataFrame, outputs: DataFrame, aligned: bool = False
-) -> DataFrame:
+def fitted_outputs(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -> DataFrame:
     """Scan lines of each pair's output, brought to the size of its original.
 
-    `aligned` says that all sizes agree already, which saves looking at them.
-
     `pairs`: pair_id, original_id, output_id, and columns to keep. Sizes are joined to the pairs,
     which are few, before the pairs meet any pixels. Outputs of the right size pass through.
     """
-    named = outputs.withColumnRenamed("asset_id", "output_id")
-    if aligned:
-        return named.join(pairs, "output_id")
-    sizes = image_facts(originals).select(
+    sizes = originals.filter(F.col("y") == 0).select(
         F.col("asset_id").alias("original_id"),
         F.col("width").alias("_w"),
         F.col("height").alias("_h"),
     )
+    named = outputs.withColumnRenamed("asset_id", "output_id")
     lines = named.join(pairs.join(sizes, "original_id"), "output_id")
     fits = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
     resized = grid_resample(
@@ -234,12 +236,21 @@ def fitted_outputs(
 def pair_lines(fitted: DataFrame, originals: DataFrame) -> DataFrame:
     """Scan lines of both sides of each pair, side by side, as `original` and `output`.
 
-    The sides join line by line, so no key ever holds a whole image.
+    The sides join line by line, so no key ever holds a whole image. `same` tells whether both
+    images have one size and number of channels; lines beyond the shorter image have no partner.
     """
     left = originals.select(
-        F.col("asset_id").alias("original_id"), "y", F.col("samples").alias("original")
+        F.col("asset_id").alias("original_id"),
+        "y",
+        F.col("samples").alias("original"),
+        F.struct("width", "height", "channels").alias("_shape"),
+    )
+    return (
+        fitted.withColumnRenamed("samples", "output")
+        .join(left, ["original_id", "y"])
+        .withColumn("same", F.struct("width", "height", "channels") == F.col("_shape"))
+        .drop("_shape")
     )
-    return fitted.withColumnRenamed("samples", "output").join(left, ["original_id", "y"])
 
 
 def square_errors() -> Column:
@@ -259,12 +270,10 @@ def psnr_of(squares: Column, n: Column, same: Column) -> Column:
 
 
 def psnr(lines: DataFrame) -> DataFrame:
-    """Peak signal-to-noise ratio over all channels; unequal lengths give 0."""
-    same = F.size("original") == F.size("output")
+    """Peak signal-to-noise ratio over all channels; unequal sizes give 0."""
     return (
         lines.select(
-            "pair_id", square_errors().alias("squares"), F.size("original").alias("n"),
-            same.alias("same"),
+            "pair_id", square_errors().alias("squares"), F.size("original").alias("n"), "same"
         )
         .groupBy("pair_id")
         .agg(psnr_of(F.col("squares"), F.col("n"), F.col("same")).alias("psnr"))
@@ -314,7 +323,7 @@ def quality(lines: DataFrame, window: int = 8) -> DataFrame:
         luma_of("output").alias("gy"),
         square_errors().alias("squares"),
         F.size("original").alias("samples"),
-        (F.size("original") == F.size("output")).alias("same"),
+        "same",
     )
     per_tile = (
         per_line.select(

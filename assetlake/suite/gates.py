@@ -11,30 +11,39 @@ from .base import pairs, query
 from .pixels import EDGES, PIXELS, SSIM, grey_lines, rgba_lines
 
 OUT_FORMATS = ["webp", "png", "jpg", "gif"]
-PAIR_SQL = """named AS (
-  SELECT a.vec_id AS original_id, b.vec_id AS output_id, 'photo' || a.vec_id AS base,
-    'photo' || a.vec_id || '.png' AS original_name,
+#: The same names occur in every batch of so many images.
+BATCH_IMAGES = 50
+PAIR_SQL = f"""named AS (
+  SELECT a.vec_id // {BATCH_IMAGES} AS batch_id, a.vec_id AS original_id, b.vec_id AS output_id,
+    'photo' || (a.vec_id % {BATCH_IMAGES}) AS base,
+    'photo' || (a.vec_id % {BATCH_IMAGES}) || '.png' AS original_name,
     ['webp', 'png', 'jpg', 'gif'][b.vec_id % 4 + 1] AS format
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE b.vec_id % 4 <> 3)"""
 
 
 def paired(spark, sf):
-    """Originals photo<n>.png; outputs carry the name of the image before them."""
+    """Originals photo<n>.png; outputs carry batch and name of the image before them."""
     ids = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("asset_id"))
-    own = F.concat(F.lit("photo"), F.col("asset_id").cast("string"), F.lit(".png"))
     fmt = F.element_at(
         F.array(*[F.lit(f) for f in OUT_FORMATS]), (F.col("asset_id") % 4 + 1).cast("int")
     )
-    theirs = F.concat(F.lit("photo"), (F.col("asset_id") - 1).cast("string"), F.lit("."), fmt)
-    return G.pair_outputs(ids.withColumn("name", own), ids.withColumn("name", theirs))
+
+    def named(before, extension):
+        number = F.col("asset_id") - before
+        name = F.concat(
+            F.lit("photo"), F.pmod(number, F.lit(BATCH_IMAGES)).cast("string"), F.lit("."), extension
+        )
+        return ids.select("asset_id", F.floor(number / BATCH_IMAGES).alias("batch_id"), name.alias("name"))
+
+    return G.pair_outputs(named(0, F.lit("png")), named(1, fmt))
 
 
 @query(
     "pair_outputs",
-    f"WITH {PAIR_SQL} SELECT base, original_id, output_id, format FROM named",
+    f"WITH {PAIR_SQL} SELECT batch_id, base, original_id, output_id, format FROM named",
 )
 def pair_outputs(spark, sf):
-    return paired(spark, sf).select("base", "original_id", "output_id", "format")
+    return paired(spark, sf).select("batch_id", "base", "original_id", "output_id", "format")
 
 
 # Thresholds and baselines from labels and parts, through the same JSON as configuration files.
@@ -145,13 +154,13 @@ gated AS (
   FROM measured m JOIN colours c ON c.asset_id = m.original_id)"""
 
 
-def gated(spark, sf):
+def gated(spark, sf, outputs=None):
     plan = resolved(spark, sf).select(
         F.col("output_id").alias("pair_id"), "original_id", "output_id", "format", "ssim_min",
         "psnr_min",
     )
     lines = rgba_lines(spark, sf)
-    return G.raster_gate(G.measure_pairs(plan, lines, lines, window=4, aligned=True))
+    return G.raster_gate(G.measure_pairs(plan, lines, lines if outputs is None else outputs, window=4))
 
 
 @query(
@@ -178,24 +187,60 @@ def gate_summary(spark, sf):
     return G.gate_summary(gated(spark, sf), ["format"])
 
 
+READABLE = "output_id % 7 <> 3"
+
+
 @query(
-    "svg_gate",
-    f"""WITH {EDGES}, sides AS (SELECT o.asset_id AS pair_id, o.i, o.v AS p, n.v AS q
+    "raster_gate_unreadable",
+    f"""WITH {MEASURED_SQL}, every AS (
+      SELECT r.original_id, r.format, {READABLE} AS readable,
+        ssim >= g.ssim_min AND psnr >= g.psnr_min AS good
+      FROM resolved r JOIN gated g ON g.original_id = r.original_id AND g.format = r.format)
+    SELECT original_id, format, readable AND good AS passed,
+      CASE WHEN NOT readable THEN 'original or output could not be read' END AS error FROM every""",
+)
+def raster_gate_unreadable(spark, sf):
+    """Some outputs have no pixels: their pairs must fail."""
+    outputs = rgba_lines(spark, sf).filter(READABLE.replace("output_id", "asset_id"))
+    return gated(spark, sf, outputs).select("original_id", "format", "passed", "error")
+
+
+def vector_gated(spark, sf, outputs=None):
+    lines = grey_lines(spark, sf)
+    measured = G.measure_vector_pairs(
+        pairs(spark, sf), lines, lines if outputs is None else outputs
+    )
+    return G.svg_gate(measured.select("pair_id", "ssim", "sharpness_ratio"), ssim_min=0.1)
+
+
+VECTOR_SQL = f"""{EDGES}, sides AS (SELECT o.asset_id AS pair_id, o.i, o.v AS p, n.v AS q
       FROM samples o JOIN samples n ON n.asset_id = o.asset_id + 1 AND n.i = o.i),
     s AS (SELECT pair_id, {SSIM} AS ssim FROM sides GROUP BY pair_id),
-    r AS (SELECT asset_id, round(energy, 6) AS e FROM edges)
-    SELECT s.pair_id, ssim, round(n.e / o.e, 6) AS sharpness_ratio,
-      ssim >= 0.1 AND round(n.e / o.e, 6) >= 1.08 AS passed
-    FROM s JOIN r o ON o.asset_id = pair_id JOIN r n ON n.asset_id = pair_id + 1""",
+    r AS (SELECT asset_id, round(energy, 6) AS e FROM edges),
+    vector AS (SELECT s.pair_id, ssim, round(n.e / o.e, 6) AS sharpness_ratio
+      FROM s JOIN r o ON o.asset_id = pair_id JOIN r n ON n.asset_id = pair_id + 1)"""
+
+
+@query(
+    "svg_gate",
+    f"""WITH {VECTOR_SQL} SELECT pair_id, ssim, sharpness_ratio,
+      ssim >= 0.1 AND sharpness_ratio >= 1.08 AS passed FROM vector""",
 )
 def svg_gate(spark, sf):
-    lines = grey_lines(spark, sf)
-    return G.svg_gate(
-        G.measure_vector_pairs(pairs(spark, sf), lines, lines, aligned=True).select(
-            "pair_id", "ssim", "sharpness_ratio"
-        ),
-        ssim_min=0.1,
-    )
+    return vector_gated(spark, sf).drop("error")
+
+
+@query(
+    "svg_gate_unreadable",
+    f"""WITH {VECTOR_SQL}, every AS (
+      SELECT pair_id, (pair_id + 1) % 7 <> 3 AS readable, ssim, sharpness_ratio FROM vector)
+    SELECT pair_id, CASE WHEN readable THEN ssim END AS ssim,
+      CASE WHEN readable THEN sharpness_ratio END AS sharpness_ratio,
+      readable AND ssim >= 0.1 AND sharpness_ratio >= 1.08 AS passed,
+      CASE WHEN NOT readable THEN 'original or output could not be read' END AS error FROM every""",
+)
+def svg_gate_unreadable(spark, sf):
+    return vector_gated(spark, sf, grey_lines(spark, sf).filter("asset_id % 7 <> 3"))
 
 
 # Size ceilings --------------------------------------------------------------------------------

@@ -189,7 +189,7 @@ SSIM = f"""round((2 * avg(p) * avg(q) + {(0.01 * 255) ** 2!r}::DOUBLE)
 
 def grey_pairs(spark, sf):
     lines = grey_lines(spark, sf)
-    return P.pair_lines(P.fitted_outputs(pairs(spark, sf), lines, lines, aligned=True), lines)
+    return P.pair_lines(P.fitted_outputs(pairs(spark, sf), lines, lines), lines)
 
 
 @query("psnr", f"WITH {PAIRED} SELECT pair_id, {PSNR} AS psnr FROM sides GROUP BY pair_id")
@@ -216,6 +216,37 @@ def fitted_outputs(spark, sf):
     )
 
 
+@query(
+    "fitted_outputs_resized",
+    f"""WITH {RESAMPLED}, small AS (
+      SELECT asset_id, ox, oy, CAST(floor(v + 0.5) AS INT) AS v FROM resampled),
+    back AS (
+      SELECT tx, ty, CAST(floor(tx * 3 / 8.0::DOUBLE) AS INT) AS x0,
+        CAST(floor(ty * 3 / 8.0::DOUBLE) AS INT) AS y0,
+        tx * (3 / 8.0::DOUBLE) - floor(tx * (3 / 8.0::DOUBLE)) AS fx,
+        ty * (3 / 8.0::DOUBLE) - floor(ty * (3 / 8.0::DOUBLE)) AS fy
+      FROM range(8) AS a(tx), range(8) AS b(ty)),
+    near AS (
+      SELECT asset_id, tx, ty, v * (CASE WHEN ox = x0 THEN 1 - fx ELSE 0 END
+          + CASE WHEN ox = least(x0 + 1, 2) THEN fx ELSE 0 END)
+        * (CASE WHEN oy = y0 THEN 1 - fy ELSE 0 END
+          + CASE WHEN oy = least(y0 + 1, 2) THEN fy ELSE 0 END) AS part
+      FROM small JOIN back ON ox IN (x0, least(x0 + 1, 2)) AND oy IN (y0, least(y0 + 1, 2)))
+    SELECT asset_id - 1 AS pair_id, CAST(tx AS INT) AS x, CAST(ty AS INT) AS y,
+      CAST(floor(round(sum(part), 6) + 0.5) AS INT) AS v
+    FROM near WHERE asset_id > 0 GROUP BY asset_id, tx, ty""",
+)
+def fitted_outputs_resized(spark, sf):
+    """Outputs of three by three pixels, brought back to the eight by eight of their originals."""
+    lines = grey_lines(spark, sf)
+    small = P.grid_resample(lines, 3, 3).withColumn(
+        "samples", F.transform("samples", lambda v: P.half_up(F.round(v, 6)).cast("int"))
+    )
+    return P.fitted_outputs(pairs(spark, sf), lines, small).select(
+        "pair_id", "y", F.posexplode("samples").alias("x", "v")
+    )
+
+
 @query(
     "ssim_tiles",
     f"""WITH {PAIRED}, tiles AS (SELECT pair_id, {SSIM.replace(', 6)', ', 15)')} AS s FROM sides

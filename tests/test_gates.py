@@ -6,7 +6,9 @@ from assetlake.operators import gates as G, pixels as P
 
 
 def files(spark, *names):
-    return spark.createDataFrame([(n, n) for n in names], "asset_id string, name string")
+    """Names, in batch 1 or where a name says so (2:name)."""
+    rows = [(n, n.rpartition(":")[0] or "1", n.rpartition(":")[2]) for n in names]
+    return spark.createDataFrame(rows, "asset_id string, batch_id string, name string")
 
 
 def test_pairs_and_thresholds(spark):
@@ -25,6 +27,19 @@ def test_pairs_and_thresholds(spark):
     assert found == {"a.webp": (0.9, 20.0), "a.avif": (0.9, 30.0), "b.webp": (0.5, 30.0)}
 
 
+def test_pairs_stay_in_their_batch(spark):
+    both = files(spark, "img.png", "2:img.png")
+    found = G.pair_outputs(both, both).select("original_id", "output_id").collect()
+    assert sorted(map(tuple, found)) == [("2:img.png", "2:img.png"), ("img.png", "img.png")]
+
+
+def test_repeated_baselines(spark):
+    results = spark.createDataFrame([("a", "png", 1024)], "file string, format string, size bigint")
+    baselines = spark.createDataFrame([("a", "png", 512.0), ("a", "png", 2048.0)],
+                                      "file string, format string, size_bytes double")
+    assert [r.verdict for r in G.size_gate(results, baselines).collect()] == ["pass"]
+
+
 def test_size_gate(spark):
     results = spark.createDataFrame(
         [("a", "png", 28160), ("a", "png", 28262), ("a", "webp", 1), ("z", "png", 1), ("b", "png", 2048)],
@@ -90,3 +105,26 @@ def test_measured_pairs(spark):
     assert rows["p3"].passed is False
     vector = G.measure_vector_pairs(pairs.filter("pair_id = 'p2'"), originals, outputs).first()
     assert (vector.ssim, vector.sharpness_ratio) == (1.0, 1.0)
+
+
+def test_unreadable_and_unequal_sides(spark):
+    def grid(name, w, h, v):
+        return (name, w, h, 4, [v, v, v, 255] * (w * h))
+
+    schema = "asset_id string, width int, height int, channels int, samples array<int>"
+    lines = P.grid_lines(
+        spark.createDataFrame([grid("a", 4, 4, 9), grid("b", 4, 4, 9), grid("tall", 4, 6, 9)], schema)
+    )
+    pairs = spark.createDataFrame(
+        [("ok", "a", "b", "png"), ("lost", "a", "none", "png"), ("lost2", "none", "a", "webp")],
+        "pair_id string, original_id string, output_id string, format string",
+    ).withColumns({"ssim_min": F.lit(0.98), "psnr_min": F.lit(30.0)})
+    gated = G.raster_gate(G.measure_pairs(pairs, lines, lines))
+    rows = {r.pair_id: (r.passed, r.error is None) for r in gated.collect()}
+    assert rows == {"ok": (True, True), "lost": (False, False), "lost2": (False, False)}
+    summary = G.gate_summary(gated).first()
+    assert (summary.pairs, summary.failures, summary.verdict) == (3, 2, "failed")
+    vector = G.svg_gate(G.measure_vector_pairs(pairs, lines, lines), sharpness_min=0.0)
+    assert {r.pair_id for r in vector.collect() if r.passed} == {"ok"}
+    raw = lines.filter("asset_id = 'tall'").withColumns({"pair_id": F.lit("p"), "original_id": F.lit("a")})
+    assert P.psnr(P.pair_lines(raw, lines)).first().psnr == 0.0

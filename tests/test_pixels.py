@@ -69,7 +69,7 @@ def test_classification(spark):
     small = np.full((10, 10, 4), 128)
     rows = {r.asset_id: r for r in P.classify_content(P.grid_lines(grids(spark, pattern, small))).collect()}
     assert (rows["i0"].unique_colors, rows["i0"].entropy, rows["i0"].preset) == (64, 6.0, "graphic")
-    assert (rows["i1"].unique_colors, rows["i1"].preset) == (None, "photo")
+    assert (rows["i1"].unique_colors, rows["i1"].preset) == (1, "photo")
 
 
 @pytest.mark.parametrize("cap", [1, 7, 50, 62, 63, 1000])

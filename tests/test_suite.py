@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from assetlake.suite import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -18,10 +19,11 @@ def duck():
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"scan_assets", "unique_names_colliding"}
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLE) == {"scan_assets", "unique_names_colliding"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     verdict, _, rows = check.compare(spark, duck, name, FOLDER)
     assert verdict in ("ok", "rows only")
