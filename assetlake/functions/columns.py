@@ -145,9 +145,13 @@ def display_size(size: Column) -> Column:
 
 
 def absolute_savings(original: Column, size: Column) -> Column:
-    """Whole percent, absolute: growth counts like shrinkage. 0 for an empty original."""
+    """Whole percent, absolute: growth counts like shrinkage. 0 for an empty original.
+
+    Growth beyond what an INT holds counts as the largest INT.
+    """
     share = (original - size) / F.nullif(original, F.lit(0)).cast("double") * 100
-    return F.coalesce(half_up(F.abs(share)), F.lit(0)).cast("int")
+    most = F.when(share.isNotNull(), F.least(F.abs(share), F.lit(float(2**31 - 1))))
+    return F.coalesce(half_up(most), F.lit(0)).cast("int")
 
 
 def signed_savings(original: Column, size: Column) -> Column:
@@ -160,12 +164,17 @@ def signed_savings(original: Column, size: Column) -> Column:
 def effective_dpr(
     width: Column, height: Column, requested: Column, max_pixels: int = K.MAX_PIXELS
 ) -> Column:
-    """Rounded pixel ratio within 1..3, lowered until width x height fits the pixel limit."""
-    wanted = half_up(requested.cast("double"))
+    """Rounded pixel ratio within 1..3, lowered until width x height fits the pixel limit.
+
+    Ratios that are no finite number count as 1. Products are doubles, which no size overflows.
+    """
+    ratio = requested.cast("double")
+    finite = ratio.isNotNull() & ~F.isnan(ratio) & (F.abs(ratio) != F.lit(float("inf")))
+    wanted = half_up(F.least(F.greatest(ratio, F.lit(0.0)), F.lit(100.0)))
     dpr = F.coalesce(F.least(F.lit(K.DPR_MAX), F.greatest(F.lit(K.DPR_MIN), wanted)), F.lit(1))
-    dpr = F.when(F.isnan(requested.cast("double")), F.lit(1)).otherwise(dpr)
-    w = F.greatest(F.lit(1), half_up(width))
-    h = F.greatest(F.lit(1), half_up(height))
+    dpr = F.when(finite, dpr).otherwise(F.lit(1))
+    w = F.greatest(F.lit(1.0), half_up(width).cast("double"))
+    h = F.greatest(F.lit(1.0), half_up(height).cast("double"))
     fits = w * h * dpr * dpr <= max_pixels
     lower = F.when(w * h * 4 <= max_pixels, F.lit(2)).otherwise(F.lit(1))
     return F.when(fits, dpr).otherwise(F.greatest(F.lit(1), F.least(dpr - 1, lower))).cast("int")
@@ -177,9 +186,10 @@ def internal_render_size(
     """Four-fold supersampling, scaled down to fit the pixel limit but never below the base."""
     w = F.greatest(F.lit(1), half_up(width))
     h = F.greatest(F.lit(1), half_up(height))
+    area = w.cast("double") * h
     scale = F.when(
-        w * h * K.SVG_SUPERSAMPLE * K.SVG_SUPERSAMPLE > max_pixels,
-        F.greatest(F.lit(1.0), F.sqrt(F.lit(float(max_pixels)) / (w * h).cast("double"))),
+        area * K.SVG_SUPERSAMPLE * K.SVG_SUPERSAMPLE > max_pixels,
+        F.greatest(F.lit(1.0), F.sqrt(F.lit(float(max_pixels)) / area)),
     ).otherwise(F.lit(float(K.SVG_SUPERSAMPLE)))
     return F.greatest(w, half_up(w * scale)), F.greatest(h, half_up(h * scale))
 

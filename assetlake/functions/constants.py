@@ -98,32 +98,51 @@ MIME_BY_EXTENSION = {
     "heif": "image/heif",
 }
 
-# Encoder presets, one row per (preset, format).
-PRESET_COLUMNS = (
-    "preset string, format string, quality int, quality_max int, effort int, "
-    "chroma_subsample int, sharp_yuv int, tune int, near_lossless int, chroma_quality int"
+# Encoder presets, one row per (preset, format); flags are 0 or 1.
+PRESET_NAMES = (
+    "quality", "quality_max", "effort", "chroma_subsample", "sharp_yuv", "tune", "near_lossless",
+    "chroma_quality", "chroma_delta_q", "sharpness", "sns_strength", "filter_strength",
+    "filter_sharpness", "autofilter", "exact", "alpha_quality", "progressive", "trellis_multipass",
+    "trellis_opt_zero", "trellis_opt_table", "trellis_loops", "separate_chroma_quality",
 )
-PRESETS = [
-    ("photo", "avif", 55, None, 6, 1, 1, 2, None, None),
-    ("photo", "webp", 72, None, 4, None, 1, None, None, None),
-    ("photo", "jpeg", 74, None, None, 1, None, None, None, None),
-    ("photo", "png", 58, 78, 2, None, None, None, None, None),
-    ("graphic", "avif", 56, None, 5, 2, 1, 2, None, None),
-    ("graphic", "webp", 74, None, 5, None, 1, None, None, None),
-    ("graphic", "jpeg", 76, None, None, 0, None, None, None, None),
-    ("graphic", "png", 58, 78, 4, None, None, None, None, None),
-    ("vector_display", "avif", 90, None, 3, 0, 1, 2, None, None),
-    ("vector_display", "webp", 100, None, 6, None, 1, None, 100, None),
-    ("vector_display", "jpeg", 98, None, None, 0, None, None, None, 98),
-    ("vector_display", "png", 92, 99, 3, None, None, None, None, None),
-    ("vector_safe", "avif", 75, None, 4, 0, 1, 2, None, None),
-    ("vector_safe", "webp", 86, None, 4, None, 1, None, 90, None),
-    ("vector_safe", "jpeg", 88, None, None, 0, None, None, None, 92),
-    ("vector_safe", "png", 90, 99, 2, None, None, None, None, None),
-]
-
-# Formats a codec can be registered for.
-CODEC_FORMATS = ["jpeg", "webp", "avif", "png", "jxl"]
+PRESET_COLUMNS = "preset string, format string, " + ", ".join(f"{n} int" for n in PRESET_NAMES)
+_JPEG = dict(
+    progressive=1, trellis_multipass=1, trellis_opt_zero=1, trellis_opt_table=1, trellis_loops=1
+)
+_VECTOR_AVIF = dict(chroma_subsample=0, chroma_delta_q=1, sharpness=1, sharp_yuv=1, tune=2)
+_VECTOR_WEBP = dict(
+    sharp_yuv=1, sns_strength=0, filter_strength=0, autofilter=0, exact=1, alpha_quality=100
+)
+_PRESETS = {
+    ("photo", "avif"): dict(quality=55, effort=6, chroma_subsample=1, sharp_yuv=1, tune=2),
+    ("photo", "webp"): dict(quality=72, effort=4, sharp_yuv=1),
+    ("photo", "jpeg"): dict(quality=74, chroma_subsample=1, **_JPEG),
+    ("photo", "png"): dict(quality=58, quality_max=78, effort=2),
+    ("graphic", "avif"): dict(
+        quality=56, effort=5, chroma_subsample=2, chroma_delta_q=1, sharp_yuv=1, tune=2
+    ),
+    ("graphic", "webp"): dict(quality=74, effort=5, sharp_yuv=1),
+    ("graphic", "jpeg"): dict(quality=76, chroma_subsample=0, **_JPEG),
+    ("graphic", "png"): dict(quality=58, quality_max=78, effort=4),
+    ("vector_display", "avif"): dict(quality=90, effort=3, **_VECTOR_AVIF),
+    ("vector_display", "webp"): dict(
+        quality=100, effort=6, filter_sharpness=0, near_lossless=100, **_VECTOR_WEBP
+    ),
+    ("vector_display", "jpeg"): dict(
+        quality=98, chroma_subsample=0, separate_chroma_quality=1, chroma_quality=98, **_JPEG
+    ),
+    ("vector_display", "png"): dict(quality=92, quality_max=99, effort=3),
+    ("vector_safe", "avif"): dict(quality=75, effort=4, **_VECTOR_AVIF),
+    ("vector_safe", "webp"): dict(
+        quality=86, effort=4, filter_sharpness=7, near_lossless=90, **_VECTOR_WEBP
+    ),
+    ("vector_safe", "jpeg"): dict(
+        quality=88, chroma_subsample=0, separate_chroma_quality=1, chroma_quality=92, **_JPEG
+    ),
+    ("vector_safe", "png"): dict(quality=90, quality_max=99, effort=2),
+}
+PRESETS = [(*key, *(row.get(n) for n in PRESET_NAMES)) for key, row in _PRESETS.items()]
+ERR_NO_PRESET = "no encoder parameters for this preset and format"
 
 # Codec registrations in order, with capability flags.
 CODEC_COLUMNS = (

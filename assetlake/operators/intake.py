@@ -46,21 +46,28 @@ def intake_verdict(
 
 
 def member_verdict(
-    members: DataFrame, content: str = "content", max_bytes: int = K.MAX_FILE_BYTES
+    members: DataFrame,
+    content: str = "content",
+    max_bytes: int = K.MAX_FILE_BYTES,
+    whole: str | None = None,
 ) -> DataFrame:
     """The checks for archive members, which differ from those for loose files.
 
     Empty and `__MACOSX` members go; over-long ones become errors before their type is
     looked at; members of unknown type go; wrong leading bytes become errors. Error rows
-    lose their content and have size 0.
+    lose their content and have size 0. A row with an error in the column `whole` stands for an
+    archive and passes unchecked.
     """
-    rows = members.filter((F.col("size") > 0) & ~F.col("member_path").contains("__MACOSX"))
+    archive = F.col(whole).isNotNull() if whole else F.lit(False)
+    rows = members.filter(
+        archive | ((F.col("size") > 0) & ~F.col("member_path").contains("__MACOSX"))
+    )
     rows = rows.withColumn("name", F.substring_index("member_path", "/", -1))
     extension = C.file_extension(F.col("name"))
     known = C.mime_type(extension) != K.DEFAULT_MIME
     too_long = F.col("size") > max_bytes
-    rows = rows.filter(too_long | known)
-    error = F.when(too_long, F.lit(K.ERR_FILE_LIMIT)).when(
+    rows = rows.filter(archive | too_long | known)
+    error = F.when(archive, None).when(too_long, F.lit(K.ERR_FILE_LIMIT)).when(
         ~C.magic_match(F.col(content), extension), F.lit(K.ERR_INVALID)
     )
     rows = rows.withColumns({"extension": extension, "error": error})
@@ -88,13 +95,21 @@ def archive_limits(
 ) -> tuple[DataFrame, DataFrame]:
     """(members of archives within the limits, one error row per other archive).
 
-    The totals are pre-aggregated per map task and joined back, so an archive with a huge
-    number of members is never gathered in one task.
+    Members have a `position` from 0 in their archive. Of two limits that are exceeded, the one
+    names the error that the members cross first, in their order. The totals are pre-aggregated
+    per map task and joined back, so an archive with a huge number of members is never gathered
+    in one task.
     """
-    totals = archive_totals(members, archive)
+    within = F.when(F.col("position") < max_members, F.col("size"))
+    totals = members.groupBy(archive).agg(
+        F.count("*").alias("members"),
+        F.sum("size").alias("expanded_bytes"),
+        F.sum(within).alias("bytes_before"),
+    )
     over = (F.col("members") > max_members) | (F.col("expanded_bytes") > max_bytes)
     kept = members.join(totals.filter(~over).select(archive), archive, "left_semi")
-    message = F.when(F.col("members") > max_members, K.ERR_ZIP_COUNT).otherwise(K.ERR_ZIP_BYTES)
+    by_count = (F.col("members") > max_members) & (F.col("bytes_before") <= max_bytes)
+    message = F.when(by_count, K.ERR_ZIP_COUNT).otherwise(K.ERR_ZIP_BYTES)
     rejected = totals.filter(over).select(
         archive,
         "members",

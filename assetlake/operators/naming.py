@@ -39,25 +39,21 @@ def numbered_name(slot: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.col("base"), suffix, F.lit("."), F.col("ext"))
 
 
-def unique_names(rows: DataFrame, order: str = "ordinal", prefix: str = "", **limits: int):
+def unique_names(rows: DataFrame, order: str = "ordinal", prefix: str = "", slices: int | None = None):
     """Add `export_name`. Needs batch_id, base, ext; `order` is unique inside a batch."""
-    groups = durable(
-        rows.groupBy(*NAME).agg(F.min(order).alias("first"), F.count("*").alias("rows"))
-    )
-    held = groups.agg(F.max("rows").alias("largest"), F.sum("rows").alias("total")).first()
-    sizes = (held["largest"] or 0, held["total"] or 0)
-    numbered = ranked(rows, NAME, [F.col(order)], "_j", sizes=sizes, **limits)
+    groups = durable(rows.groupBy(*NAME).agg(F.min(order).alias("first")))
+    numbered = ranked(rows, NAME, [F.col(order)], "_j", slices)
     links = durable(_links(groups))
     if links.isEmpty():
         return numbered.withColumn("export_name", numbered_name(F.col("_j"), prefix)).drop("_j")
 
-    settled = _settle(_rows_before(rows, links, order, limits), limits)
+    settled = _settle(_rows_before(rows, links, order, slices), slices)
     started = settled.select(
         "batch_id", F.col("child").alias("base"), "ext",
         F.when(F.col("won"), 0).otherwise(1).alias("_o"),
     )
     offset = numbered.join(started, NAME, "left").withColumn("_o", F.coalesce("_o", F.lit(0)))
-    slots = _skip_won(offset, settled, limits)
+    slots = _skip_won(offset, settled, slices)
     return slots.withColumn("export_name", numbered_name(F.col("_slot"), prefix)).select(
         *rows.columns, "export_name"
     )
@@ -74,7 +70,7 @@ def _links(groups: DataFrame) -> DataFrame:
     return child.join(parent, ["batch_id", "parent", "ext"])
 
 
-def _rows_before(rows: DataFrame, links: DataFrame, order: str, limits: dict) -> DataFrame:
+def _rows_before(rows: DataFrame, links: DataFrame, order: str, slices: int | None) -> DataFrame:
     """Rows of the parent that come before the child's first row."""
     parents = links.select("batch_id", F.col("parent").alias("base"), "ext").distinct()
     seen = rows.join(parents, NAME, "left_semi").select(
@@ -84,12 +80,12 @@ def _rows_before(rows: DataFrame, links: DataFrame, order: str, limits: dict) ->
     marks = links.withColumn("at", F.col("first")).withColumn("row", F.lit(0))
     both = seen.unionByName(marks, allowMissingColumns=True)
     counted = running_totals(
-        both, ["batch_id", "parent", "ext"], [F.col("at")], {"before": F.col("row")}, **limits
+        both, ["batch_id", "parent", "ext"], [F.col("at")], {"before": F.col("row")}, slices=slices
     )
     return counted.filter("row = 0").drop("row", "at", "first")
 
 
-def _settle(links: DataFrame, limits: dict) -> DataFrame:
+def _settle(links: DataFrame, slices: int | None) -> DataFrame:
     """Add `won`: does the child get its own name? Also the parent's start offset."""
     open_links = durable(links)
     done = None
@@ -106,7 +102,7 @@ def _settle(links: DataFrame, limits: dict) -> DataFrame:
             ready = ready.join(lost, ["batch_id", "parent", "ext"], "left").withColumn(
                 "offset", F.coalesce("offset", F.lit(0))
             )
-        level = _settle_level(durable(ready), limits)
+        level = _settle_level(durable(ready), slices)
         done = level if done is None else durable(done.unionByName(level))
         open_links = durable(
             open_links.join(level.select("batch_id", "child", "ext"),
@@ -115,7 +111,7 @@ def _settle(links: DataFrame, limits: dict) -> DataFrame:
     return done
 
 
-def _settle_level(ready: DataFrame, limits: dict) -> DataFrame:
+def _settle_level(ready: DataFrame, slices: int | None) -> DataFrame:
     need = F.col("n") - F.col("offset") - F.col("before")
     state = ready.withColumn("won", F.lit(None).cast("boolean"))
     while True:
@@ -127,7 +123,7 @@ def _settle_level(ready: DataFrame, limits: dict) -> DataFrame:
                 "at_most": F.coalesce(F.col("won"), F.lit(True)).cast("int"),
                 "at_least": F.coalesce(F.col("won"), F.lit(False)).cast("int"),
             },
-            **limits,
+            slices=slices,
         )
         most = F.col("at_most") - F.coalesce(F.col("won"), F.lit(True)).cast("int")
         least = F.col("at_least") - F.coalesce(F.col("won"), F.lit(False)).cast("int")
@@ -137,10 +133,10 @@ def _settle_level(ready: DataFrame, limits: dict) -> DataFrame:
             return state
 
 
-def _skip_won(rows: DataFrame, settled: DataFrame, limits: dict) -> DataFrame:
+def _skip_won(rows: DataFrame, settled: DataFrame, slices: int | None) -> DataFrame:
     """Slot of each row: its number, the start offset, and the names won by children below it."""
     won = ranked(
-        settled.filter("won"), ["batch_id", "parent", "ext"], [F.col("n")], "i", **limits
+        settled.filter("won"), ["batch_id", "parent", "ext"], [F.col("n")], "i", slices=slices
     )
     markers = won.select(
         "batch_id", F.col("parent").alias("base"), "ext",
@@ -150,6 +146,6 @@ def _skip_won(rows: DataFrame, settled: DataFrame, limits: dict) -> DataFrame:
     )
     both = rows.withColumn("_won", F.lit(0)).unionByName(markers, allowMissingColumns=True)
     order = [F.col("_j"), F.col("_won").desc(), F.col("n")]
-    counted = running_totals(both, NAME, order, {"_skipped": F.col("_won")}, **limits)
+    counted = running_totals(both, NAME, order, {"_skipped": F.col("_won")}, slices=slices)
     slot = F.col("_j") + F.col("_o") + F.col("_skipped")
     return counted.filter("_won = 0").withColumn("_slot", slot)

@@ -15,14 +15,14 @@ def queue_order(small_first: bool = True):
     return [visible_last, size, F.col("ordinal")]
 
 
-def priority_rank(items: DataFrame, small_first: bool = True, **limits: int) -> DataFrame:
+def priority_rank(items: DataFrame, small_first: bool = True, slices: int | None = None) -> DataFrame:
     """Rank pending items of each batch. Needs `visible`; see `tasks.flag_visible`."""
     pending = items.filter(F.col("status") == K.PENDING)
     keyed = pending.withColumns(
         {f"_k{i}": c for i, c in enumerate(queue_order(small_first))}
     )
     order = [F.col(f"_k{i}") for i in range(3)]
-    return ranked(keyed, ["batch_id"], order, "queue_rank", **limits).drop("_k0", "_k1", "_k2")
+    return ranked(keyed, ["batch_id"], order, "queue_rank", slices).drop("_k0", "_k1", "_k2")
 
 
 def next_task(items: DataFrame, small_first: bool = True) -> DataFrame:

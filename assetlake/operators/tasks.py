@@ -35,13 +35,18 @@ def codecs(spark: SparkSession) -> DataFrame:
 
 
 def preset_lookup(tasks: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Encoder parameters by (content class, format).
+    """Encoder parameters by (content class, format), and `error` where the table has none.
 
     The default table is the fixed 16-row dimension and is broadcast; Spark sizes any other.
     """
     if table is None:
         table = F.broadcast(presets(tasks.sparkSession))
-    return tasks.join(table, ["preset", "format"])
+    known = table.withColumn("_known", F.lit(True))
+    return (
+        tasks.join(known, ["preset", "format"], "left")
+        .withColumn("error", F.when(F.col("_known").isNull(), K.ERR_NO_PRESET))
+        .drop("_known")
+    )
 
 
 def encode_plan(
@@ -75,20 +80,20 @@ def pick_codec(formats: DataFrame, registrations: DataFrame) -> DataFrame:
     """First-registered encoder per format.
 
     Registering an id again keeps its place but replaces its row. Both steps are grouped
-    minima and maxima, so only one row per id and per format is shuffled per map task. The
-    choice has one row for each of five fixed formats, which bounds the broadcast.
+    minima and maxima, so only one row per id and per format is shuffled per map task. Any
+    format may be registered; Spark sizes the join.
     """
     row = [c for c in registrations.columns if c not in ("seq", "id")]
     current = registrations.groupBy("id").agg(
         F.min("seq").alias("position"), F.max(F.struct("seq", *row)).alias("row")
     )
     chosen = (
-        current.filter(F.col("row.encode") & F.col("row.format").isin(K.CODEC_FORMATS))
+        current.filter(F.col("row.encode"))
         .groupBy(F.col("row.format").alias("format"))
         .agg(F.min_by(F.struct("id", "position"), F.struct("position", "id")).alias("codec"))
         .select("format", F.col("codec.id").alias("codec_id"), "codec.position")
     )
-    return formats.join(F.broadcast(chosen), "format", "left")
+    return formats.join(chosen, "format", "left")
 
 
 def pending_only(items: DataFrame, pending: DataFrame) -> DataFrame:

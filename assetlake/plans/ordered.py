@@ -1,10 +1,9 @@
 """Ordered work inside groups that may hold any share of the rows.
 
-A plain window puts a whole group into one task. That is fine for bounded groups and is what
-happens here when the largest group is small. Beyond that the group is cut into slices by a
-range partitioning over its order, each slice is scanned on its own, and the totals of the
-preceding slices are added. Only groups that cross a slice border need such a carry, so the
-carry table has at most one row per slice and is safe to broadcast.
+A plain window puts a whole group into one task. Here the rows are cut into slices by a range
+partitioning over (group, order), each slice is scanned on its own, and what the preceding slices
+of a group hold is added. Only groups that cross a slice border need such a carry, so the carry
+table has at most one row per slice.
 """
 
 from __future__ import annotations
@@ -14,34 +13,21 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .session import durable
+from .session import stored
 
-GROUP_ROW_LIMIT = 1_000_000
-SLICE_ROWS = 500_000
 SLICE = "_slice"
 
 
-def size_of_groups(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in total)."""
-    counts = df.groupBy(*group).agg(F.count("*").alias("n")) if group else df.agg(
-        F.count("*").alias("n")
-    )
-    row = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return row["largest"] or 0, row["total"] or 0
-
-
 def _sliced(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], rows: int, slice_rows: int
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], slices: int | None
 ) -> DataFrame:
-    """Cut into consecutive slices of about `slice_rows`, in (group, order).
+    """Cut into consecutive slices in (group, order): as many as shuffle partitions by default.
 
-    Materialised once: the carry and the rows must see the same slicing.
+    Written once: the carry and the rows must see the same slicing.
     """
-    slices = max(2, -(-rows // slice_rows))
-    keys = [F.col(c) for c in group]
-    return durable(
-        df.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id())
-    )
+    keys = [*(F.col(c) for c in group), *order]
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    return stored(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def _same_slice(group: Sequence[str]) -> Column:
@@ -57,23 +43,11 @@ def running_totals(
     group: Sequence[str],
     order: Sequence[Column],
     totals: Mapping[str, Column],
-    group_row_limit: int = GROUP_ROW_LIMIT,
-    slice_rows: int = SLICE_ROWS,
-    sizes: tuple[int, int] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums per group. `order` must decide every tie.
-
-    `sizes` gives bounds for `size_of_groups` where the caller knows them, saving that pass.
-    """
-    largest, total = sizes or size_of_groups(df, group)
-    if largest <= group_row_limit:
-        frame = Window.partitionBy(*group).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        return df.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
-
+    """Add inclusive running sums per group. `order` must decide every tie."""
     valued = df.withColumns({f"_sum_{name}": value for name, value in totals.items()})
-    sliced = _sliced(valued, group, order, total, slice_rows)
+    sliced = _sliced(valued, group, order, slices)
 
     inside = Window.partitionBy(*group, SLICE).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -95,8 +69,8 @@ def running_totals(
             *[f"_carry_{name}" for name in totals],
         )
     )
-    joined = local.join(F.broadcast(carry), _same_slice(group), "left")
-    # A sum over no values is NULL on the window path too, so NULL only meets NULL here.
+    joined = local.join(carry, _same_slice(group), "left")
+    # A sum over no values is NULL.
     return joined.select(
         *df.columns,
         *[
@@ -113,10 +87,10 @@ def ranked(
     group: Sequence[str],
     order: Sequence[Column],
     name: str,
-    **limits,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position inside the group."""
-    return running_totals(df, group, order, {name: F.lit(1).cast("bigint")}, **limits)
+    return running_totals(df, group, order, {name: F.lit(1).cast("bigint")}, slices)
 
 
 def previous_values(
@@ -124,18 +98,11 @@ def previous_values(
     group: Sequence[str],
     order: Sequence[str],
     previous: Mapping[str, str],
-    group_row_limit: int = GROUP_ROW_LIMIT,
-    slice_rows: int = SLICE_ROWS,
-    sizes: tuple[int, int] | None = None,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add, under each new name, the value a column had in the row before. Ascending order."""
-    largest, total = sizes or size_of_groups(df, group)
     by = [F.col(c) for c in order]
-    if largest <= group_row_limit:
-        frame = Window.partitionBy(*group).orderBy(*by)
-        return df.withColumns({new: F.lag(c).over(frame) for new, c in previous.items()})
-
-    sliced = _sliced(df, group, by, total, slice_rows)
+    sliced = _sliced(df, group, by, slices)
     inside = Window.partitionBy(*group, SLICE).orderBy(*by)
     local = sliced.withColumns(
         {new: F.lag(c).over(inside) for new, c in previous.items()}
@@ -154,7 +121,7 @@ def previous_values(
             "_last.*",
         )
     )
-    return local.join(F.broadcast(carry), _same_slice(group), "left").select(
+    return local.join(carry, _same_slice(group), "left").select(
         *df.columns,
         *[
             F.when(F.col("_first"), F.col(f"_carry_{new}")).otherwise(F.col(new)).alias(new)

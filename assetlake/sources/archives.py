@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import columns as C, constants as K
-from ..operators.intake import archive_limits, member_verdict, union_intake
+from ..operators.intake import member_verdict, union_intake
 
 MEMBERS = (
     "archive_path string, member_path string, position int, size bigint, content binary, "
@@ -34,22 +35,32 @@ def read_members(
     max_members: int = K.MAX_ZIP_MEMBERS,
     max_bytes: int = K.MAX_ZIP_EXPANDED_BYTES,
 ) -> DataFrame:
-    """One row per member, straight from the archive; a broken archive is one error row.
+    """One row per member, straight from the archive.
 
-    Contents are unpacked only where the directory shows the archive is within its limits,
-    so no task expands more than `max_bytes` of one archive. Members leave in small batches.
+    An archive that cannot be read is one error row, and so is one over a limit: the first that
+    its members cross, in their order. The directory shows it before anything is unpacked, so no
+    task expands more than `max_bytes` of one archive. Members leave in small batches.
     """
 
+    def crossed(sizes: list[int]) -> str | None:
+        for count, total in enumerate(accumulate(sizes), 1):
+            if count > max_members:
+                return K.ERR_ZIP_COUNT
+            if total > max_bytes:
+                return K.ERR_ZIP_BYTES
+        return None
+
     def members(path: str, content: bytes) -> Iterator[tuple]:
         try:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 # A repeated path keeps its first place and its last content.
                 listed = {entry.filename: entry for entry in archive.infolist()}
-                total = sum(entry.file_size for entry in listed.values())
-                unpack = len(listed) <= max_members and total <= max_bytes
+                over = crossed([entry.file_size for entry in listed.values()])
+                if over:
+                    yield path, None, None, None, None, K.ERR_ZIP_PREFIX + over
+                    return
                 for position, (name, entry) in enumerate(listed.items()):
-                    data = archive.read(entry) if unpack else None
-                    yield path, name, position, entry.file_size, data, None
+                    yield path, name, position, entry.file_size, archive.read(entry), None
         except Exception as broken:  # any unreadable archive is a row, not a failed job
             yield path, None, None, None, None, f"{K.ERR_ZIP_PREFIX}{broken}"
 
@@ -84,23 +95,25 @@ def expand_archives(
 ) -> DataFrame:
     """Items from the `.zip` files among the assets, with the checks for archive members.
 
-    An archive over a limit, over-long or unreadable, becomes a single error row.
+    An archive over a limit, over-long or unreadable, becomes a single error row. Each archive is
+    read and unpacked once.
     """
+    item = ["archive_path", "member_path", "position", "name", "size", "content", "status", "error"]
     archives = assets.filter(C.is_archive(F.col("name")))
     fits = F.col("size") <= max_zip_bytes
-    members = read_members(archives.filter(fits), max_members, max_bytes)
-    kept, over = archive_limits(
-        members.filter(F.col("error").isNull()), "archive_path", max_members, max_bytes
-    )
-    item = ["archive_path", "member_path", "position", "name", "size", "content", "status", "error"]
     own_name = F.substring_index("archive_path", "/", -1)
-    good = member_verdict(kept.drop("error")).select(*item)
-    failed = over.select("archive_path", own_name.alias("name"), "status", "error")
-    broken = members.filter(F.col("error").isNotNull()).select(
-        "archive_path", own_name.alias("name"), F.lit(K.ERROR).alias("status"), "error"
-    )
+    members = read_members(archives.filter(fits), max_members, max_bytes)
+    read = member_verdict(members.withColumnRenamed("error", "archive_error"), whole="archive_error")
+    whole = F.col("archive_error").isNotNull()
+    read = read.withColumns(
+        {
+            "name": F.when(whole, own_name).otherwise(F.col("name")),
+            "status": F.when(whole, K.ERROR).otherwise(F.col("status")),
+            "error": F.coalesce("archive_error", "error"),
+        }
+    ).select(*item)
     too_long = archives.filter(~fits).select(
         F.col("path").alias("archive_path"), "name", F.lit(K.ERROR).alias("status"),
         F.lit(K.ERR_ZIP_LIMIT).alias("error"),
     )
-    return union_intake(good, failed, broken, too_long)
+    return union_intake(read, too_long)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
-from ..plans.ordered import previous_values, running_totals, size_of_groups
+from ..plans.ordered import previous_values, running_totals
 
 OUTCOME = "task_id string, outcome string, at_ms bigint"
 TRANSITION = "asset_id string, seq bigint, ts_ms bigint, from_status string, to_status string"
@@ -145,7 +145,7 @@ def task_lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle_transitions(events: DataFrame, **limits: int) -> DataFrame:
+def lifecycle_transitions(events: DataFrame, slices: int | None = None) -> DataFrame:
     """Batch twin of `task_lifecycle`.
 
     Each event changes how many formats of its item are open and how many have failed;
@@ -164,9 +164,7 @@ def lifecycle_transitions(events: DataFrame, **limits: int) -> DataFrame:
     )
     kept = known.select("asset_id", "format", "seq", "ts_ms", "state")
     order = ["ts_ms", "seq"]
-    # An item's rows bound those of each of its formats, and no step adds rows.
-    limits = {"sizes": size_of_groups(events, ["asset_id"]), **limits}
-    stepped = previous_values(kept, ["asset_id", "format"], order, {"was": "state"}, **limits)
+    stepped = previous_values(kept, ["asset_id", "format"], order, {"was": "state"}, slices=slices)
 
     def change(status: str):
         was = F.coalesce(F.col("was") == status, F.lit(False)).cast("int")
@@ -174,7 +172,7 @@ def lifecycle_transitions(events: DataFrame, **limits: int) -> DataFrame:
 
     counted = running_totals(
         stepped, ["asset_id"], [F.col(c) for c in order],
-        {"open": change(K.PROCESSING), "failed": change(K.ERROR)}, **limits,
+        {"open": change(K.PROCESSING), "failed": change(K.ERROR)}, slices=slices,
     )
     status = (
         F.when(F.col("open") > 0, K.PROCESSING)
@@ -182,7 +180,7 @@ def lifecycle_transitions(events: DataFrame, **limits: int) -> DataFrame:
         .otherwise(K.SUCCESS)
     )
     after = counted.select("asset_id", "seq", "ts_ms", status.alias("to_status"))
-    moved = previous_values(after, ["asset_id"], order, {"from_status": "to_status"}, **limits)
+    moved = previous_values(after, ["asset_id"], order, {"from_status": "to_status"}, slices=slices)
     before = F.coalesce("from_status", F.lit(K.PENDING))
     return moved.withColumn("from_status", before).filter(
         F.col("from_status") != F.col("to_status")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import columns as C, constants as K
 from ..operators import naming, packing, ranking, stats, tasks
 from ..operators.intake import archive_limits, archive_totals, intake_verdict, union_intake
+from ..plans.ordered import ranked
 from ..plans.session import read_table
 from .base import (
     ASSETS, ITEMS, LAST, MAGIC, REPORTS, RESULTS, REPORT_ORDER, SUPPORTED, assets, items, query,
@@ -380,16 +381,27 @@ def download_name(spark, sf):
 
 # Archives and intake ------------------------------------------------------------------------------
 
-MEMBER_LIMIT, BYTE_LIMIT = 40, 400_000
+MEMBER_LIMIT, BYTE_LIMIT = 40, 110_000
 TOTALS = f"""WITH {ASSETS}, totals AS (
   SELECT batch_id AS archive_path, count(*) AS members, CAST(sum(size) AS BIGINT) AS expanded_bytes
   FROM assets GROUP BY batch_id)"""
+#: Where the members of an archive, in the order of their ids, cross each limit.
+IN_ORDER = f"""placed AS (
+  SELECT batch_id, size, row_number() OVER (PARTITION BY batch_id ORDER BY asset_id) AS n
+  FROM assets),
+crossed AS (
+  SELECT batch_id, min(n) FILTER (total > {BYTE_LIMIT}) AS bytes_at,
+    min(n) FILTER (n > {MEMBER_LIMIT}) AS count_at
+  FROM (SELECT *, sum(size) OVER (PARTITION BY batch_id ORDER BY n) AS total FROM placed)
+  GROUP BY batch_id)"""
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as archive members: one archive per source."""
-    return assets(spark, sf).select(
-        F.col("batch_id").alias("archive_path"), F.col("name").alias("member_path"), "size"
+    place = ranked(assets(spark, sf), ["batch_id"], [F.col("asset_id")], "place")
+    return place.select(
+        F.col("batch_id").alias("archive_path"), F.col("name").alias("member_path"), "size",
+        (F.col("place") - 1).alias("position"),
     )
 
 
@@ -400,12 +412,13 @@ def archive_totals_query(spark, sf):
 
 @query(
     "archive_limits",
-    f"""{TOTALS}, rated AS (SELECT *,
-      members > {MEMBER_LIMIT} OR expanded_bytes > {BYTE_LIMIT} AS over FROM totals)
+    f"""{TOTALS}, {IN_ORDER}, rated AS (SELECT t.*, coalesce(count_at < bytes_at, bytes_at IS NULL)
+      AS by_count, members > {MEMBER_LIMIT} OR expanded_bytes > {BYTE_LIMIT} AS over
+      FROM totals t JOIN crossed c ON c.batch_id = t.archive_path)
     SELECT a.batch_id AS archive_path, a.name AS member_path, a.size, NULL AS error
     FROM assets a JOIN rated r ON r.archive_path = a.batch_id WHERE NOT over
     UNION ALL SELECT archive_path, NULL, NULL,
-      CASE WHEN members > {MEMBER_LIMIT} THEN '{K.ERR_ZIP_PREFIX}{K.ERR_ZIP_COUNT}'
+      CASE WHEN by_count THEN '{K.ERR_ZIP_PREFIX}{K.ERR_ZIP_COUNT}'
         ELSE '{K.ERR_ZIP_PREFIX}{K.ERR_ZIP_BYTES}' END
     FROM rated WHERE over""",
 )
@@ -413,7 +426,7 @@ def archive_limits_query(spark, sf):
     kept, over = archive_limits(
         members(spark, sf), max_members=MEMBER_LIMIT, max_bytes=BYTE_LIMIT
     )
-    return union_intake(kept, over.select("archive_path", "error"))
+    return union_intake(kept.drop("position"), over.select("archive_path", "error"))
 
 
 @query(
@@ -442,7 +455,8 @@ def union_intake_query(spark, sf):
 REQUESTED = ["webp", "avif", "jpeg", "png", "jxl", "gif"]
 PLAN_TASKS = f"""{ASSETS}, plan_tasks AS (
   SELECT asset_id, {sql_list(REQUESTED)}[asset_id % 6 + 1] AS requested_format,
-    CASE WHEN size % 3 = 0 THEN 'graphic' ELSE 'photo' END AS preset,
+    CASE WHEN size % 11 = 0 THEN 'poster' WHEN size % 3 = 0 THEN 'graphic' ELSE 'photo' END
+      AS preset,
     size % 2 = 0 AS has_alpha, size % 2 = 0 AND size < 3000 AS small_transparent
   FROM assets)"""
 
@@ -462,7 +476,8 @@ def plan_tasks(spark: SparkSession, sf: str) -> DataFrame:
         "asset_id",
         F.element_at(F.array(*[F.lit(f) for f in REQUESTED]), (F.col("asset_id") % 6 + 1).cast("int"))
         .alias("format"),
-        F.when(size % 3 == 0, "graphic").otherwise("photo").alias("preset"),
+        F.when(size % 11 == 0, "poster").when(size % 3 == 0, "graphic").otherwise("photo")
+        .alias("preset"),
         (size % 2 == 0).alias("has_alpha"),
         ((size % 2 == 0) & (size < 3000)).alias("small_transparent"),
     )
@@ -470,13 +485,14 @@ def plan_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "preset_lookup",
-    f"""WITH {PLAN_TASKS}, {preset_values()} SELECT asset_id, t.preset, format, quality, quality_max,
-      effort, chroma_subsample FROM plan_tasks t JOIN presets p
+    f"""WITH {PLAN_TASKS}, {preset_values()} SELECT asset_id, t.preset, requested_format AS format,
+      {", ".join(K.PRESET_NAMES)}, CASE WHEN p.format IS NULL THEN '{K.ERR_NO_PRESET}' END AS error
+    FROM plan_tasks t LEFT JOIN presets p
       ON p.preset = t.preset AND p.format = t.requested_format""",
 )
 def preset_lookup(spark, sf):
     return tasks.preset_lookup(plan_tasks(spark, sf)).select(
-        "asset_id", "preset", "format", "quality", "quality_max", "effort", "chroma_subsample"
+        "asset_id", "preset", "format", *K.PRESET_NAMES, "error"
     )
 
 
@@ -491,14 +507,15 @@ def preset_lookup(spark, sf):
         ELSE quality END AS quality,
       CASE WHEN encoder = 'png' AND small_transparent AND r.preset = 'photo' THEN 98
         ELSE quality_max END AS quality_max,
-      effort, encoder = 'jpeg' AND has_alpha AS flatten_alpha,
-      CASE WHEN r.preset = 'graphic' THEN 'photo' END AS fallback_preset
-    FROM routed r JOIN presets p ON p.preset = r.preset AND p.format = r.encoder""",
+      {", ".join(K.PRESET_NAMES[2:])}, encoder = 'jpeg' AND has_alpha AS flatten_alpha,
+      CASE WHEN r.preset = 'graphic' THEN 'photo' END AS fallback_preset,
+      CASE WHEN p.format IS NULL THEN '{K.ERR_NO_PRESET}' END AS error
+    FROM routed r LEFT JOIN presets p ON p.preset = r.preset AND p.format = r.encoder""",
 )
 def encode_plan(spark, sf):
     return tasks.encode_plan(plan_tasks(spark, sf)).select(
-        "asset_id", "preset", "requested_format", "encoder", "quality", "quality_max", "effort",
-        "flatten_alpha", "fallback_preset",
+        "asset_id", "preset", "requested_format", "encoder", *K.PRESET_NAMES, "flatten_alpha",
+        "fallback_preset", "error",
     )
 
 

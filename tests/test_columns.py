@@ -181,3 +181,15 @@ def test_wrapper_round_trip(spark):
 )
 def test_root_dimensions(spark, text, expected):
     assert one(spark, M.root_dimensions(F.lit(text), F.lit(1), F.lit(2))) == expected
+
+
+def test_extreme_numbers(spark):
+    big = F.lit(2**31 - 1)
+    for ratio, want in ((float("inf"), 1), (float("-inf"), 1), (float("nan"), 1), (None, 1)):
+        assert one(spark, C.effective_dpr(F.lit(100), F.lit(100), F.lit(ratio).cast("double"))) == want
+    assert one(spark, C.effective_dpr(big, big, F.lit(3))) == 1
+    assert one(spark, C.effective_dpr(F.lit(2**62), F.lit(2**62), F.lit(3))) == 1
+    width, height = C.internal_render_size(F.lit(2**40), F.lit(2**40))
+    assert (one(spark, width), one(spark, height)) == (2**40, 2**40)
+    assert one(spark, C.absolute_savings(F.lit(1), F.lit(26_214_400))) == 2**31 - 1
+    assert one(spark, C.absolute_savings(F.lit(1), F.lit(2**62))) == 2**31 - 1

@@ -4,14 +4,14 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from assetlake.operators.naming import unique_names
 from assetlake.operators.packing import greedy_pack
 from assetlake.operators.ranking import next_task, priority_rank
 from assetlake.plans.ordered import first_per_group, previous_values, running_totals
 
-SLICED = dict(group_row_limit=1, slice_rows=100)
+SLICED = dict(slices=20)
 
 
 @pytest.fixture(scope="module")
@@ -31,15 +31,18 @@ def same(a, b):
 def test_running_totals(rows):
     totals = {"n": F.lit(1).cast("bigint"), "s": F.col("v"), "q": F.col("sparse")}
     order = [F.col("v").desc(), F.col("id")]
-    same(running_totals(rows, ["g"], order, totals), running_totals(rows, ["g"], order, totals, **SLICED))
+    frame = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    plain = rows.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
+    for slices in (None, 1, 20):  # 20: a group spans several slices
+        same(plain, running_totals(rows, ["g"], order, totals, slices))
 
 
 def test_previous_values(rows):
     names = {"before": "v", "gap": "sparse"}
-    same(
-        previous_values(rows, ["g"], ["v", "id"], names),
-        previous_values(rows, ["g"], ["v", "id"], names, **SLICED),
-    )
+    frame = Window.partitionBy("g").orderBy("v", "id")
+    plain = rows.withColumns({new: F.lag(c).over(frame) for new, c in names.items()})
+    for slices in (None, 1, 20):
+        same(plain, previous_values(rows, ["g"], ["v", "id"], names, slices))
 
 
 def test_first_per_group(rows):
@@ -103,7 +106,7 @@ def test_unique_names(spark, picks):
 def test_unique_names_sliced(spark):
     random.seed(3)
     rows = [("x", i, random.choice(BASES), "png") for i in range(400)]
-    check_names(spark, rows, group_row_limit=1, slice_rows=60)
+    check_names(spark, rows, slices=7)
 
 
 def test_many_numbered_names(spark):

@@ -135,7 +135,7 @@ def test_lifecycle(spark, tmp_path):
     schema = "asset_id string, format string, type string, ts timestamp, seq bigint"
     events = write_parts(spark, rows, schema, tmp_path / "in")
     batch = L.lifecycle_transitions(events)
-    same(L.lifecycle_transitions(events, group_row_limit=1, slice_rows=30), batch)
+    same(L.lifecycle_transitions(events, slices=9), batch)
     parts = read_task_events(spark, str(tmp_path / "in"), schema, files_per_trigger=1)
     same(drain(L.task_lifecycle(parts), "moves"), batch)
     states, before, moves = {}, {}, []
