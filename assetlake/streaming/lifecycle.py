@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import constants as K
 from ..plans.ordered import previous_values, running_totals
 
+MOVES = ("start", "RESULT", "ERROR")
 OUTCOME = "task_id string, outcome string, at_ms bigint"
 TRANSITION = "asset_id string, seq bigint, ts_ms bigint, from_status string, to_status string"
 
@@ -135,9 +136,12 @@ class LifecycleProcessor(StatefulProcessor):
 
 
 def task_lifecycle(events: DataFrame) -> DataFrame:
-    """Status transitions per item on a stream of (asset_id, format, type, ts, seq)."""
+    """Status transitions per item on a stream of (asset_id, format, type, ts, seq).
+
+    Messages other than start, RESULT and ERROR, such as progress, change no status.
+    """
     return (
-        events.withColumn("ts_ms", F.unix_millis("ts"))
+        events.filter(F.col("type").isin(*MOVES)).withColumn("ts_ms", F.unix_millis("ts"))
         .groupBy("asset_id")
         .transformWithState(
             LifecycleProcessor(), TRANSITION, outputMode="append", timeMode="None"
@@ -156,7 +160,8 @@ def lifecycle_transitions(events: DataFrame, slices: int | None = None) -> DataF
         .when(F.col("type") == "RESULT", K.SUCCESS)
         .otherwise(K.ERROR)
     )
-    rows = events.withColumns({"ts_ms": F.unix_millis("ts"), "state": state})
+    moves = events.filter(F.col("type").isin(*MOVES))
+    rows = moves.withColumns({"ts_ms": F.unix_millis("ts"), "state": state})
     started = F.min(F.when(F.col("type") == "start", F.struct("ts_ms", "seq")))
     starts = rows.groupBy("asset_id", "format").agg(started.alias("started"))
     known = rows.join(starts, ["asset_id", "format"]).filter(

@@ -1,4 +1,4 @@
-"""Bursts of option changes, and continuously maintained statistics."""
+"""Bursts of option changes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
-from ..operators.stats import savings_percent
+from ..plans.ordered import previous_values, running_totals
 
 DEBOUNCE = timedelta(milliseconds=K.DEBOUNCE_MS)
 
@@ -17,23 +17,43 @@ def debounce(
 ) -> DataFrame:
     """The last change of each burst, once the key has been quiet for `gap`.
 
-    A change exactly `gap` after another starts a new burst. Session windows would merge the
-    two, so the window is one microsecond, the resolution of time stamps, shorter.
+    A change exactly `gap` after another starts a new burst. `force` holds if any change of the
+    burst was forced.
 
-    `force` holds if any change of the burst was forced. On a stream give `delay`, the
-    lateness to wait for. Sessions merge partial aggregates, so a busy key is combined
-    before it is shuffled.
+    In batch, bursts are numbered by ordered slices and then added up, so a key with most of the
+    changes is shared by many tasks. On a stream give `delay`, the lateness to wait for; session
+    windows keep the open bursts, and `runs.drain` has Spark merge them before the shuffle.
     """
-    rows = changes.withWatermark("ts", delay) if delay else changes
     at = F.struct("ts", "seq")
+    values = [
+        F.max_by("options", at).alias("options"),
+        F.bool_or("force").alias("force"),
+        F.count("*").alias("changes"),
+    ]
     tick = timedelta(microseconds=1)
-    return (
-        rows.groupBy(F.session_window("ts", f"{gap // tick - 1} microseconds").alias("burst"), key)
-        .agg(
-            F.max_by("options", at).alias("options"),
-            F.bool_or("force").alias("force"),
-            F.count("*").alias("changes"),
+    if delay is None:
+        order = ["ts", "seq"]
+        stepped = previous_values(changes, [key], order, {"_before": "ts"})
+        fresh = F.col("_before").isNull() | (F.col("ts") - F.col("_before") >= F.lit(gap))
+        numbered = running_totals(
+            stepped, [key], [F.col(c) for c in order], {"_burst": fresh.cast("int")}
+        )
+        return (
+            numbered.groupBy(key, "_burst")
+            .agg(
+                F.min("ts").alias("first_at"),
+                (F.max("ts") + F.lit(gap)).alias("applied_at"),
+                *values,
+            )
+            .drop("_burst")
         )
+    # Session windows would merge changes exactly `gap` apart: one microsecond, the resolution
+    # of time stamps, keeps them apart.
+    window = F.session_window("ts", f"{gap // tick - 1} microseconds").alias("burst")
+    return (
+        changes.withWatermark("ts", delay)
+        .groupBy(window, key)
+        .agg(*values)
         .select(
             key,
             F.col("burst.start").alias("first_at"),
@@ -43,24 +63,3 @@ def debounce(
             "changes",
         )
     )
-
-
-def running_stats(events: DataFrame, by: list[str]) -> DataFrame:
-    """Queue statistics kept up to date from the event feed; use complete or update mode."""
-    kind = F.col("type")
-    done = kind == "RESULT"
-    failed = kind == "ERROR"
-    return (
-        events.groupBy(*by)
-        .agg(
-            F.coalesce(F.sum(F.when(kind == "QUEUED", F.col("size"))), F.lit(0))
-            .alias("total_original"),
-            F.coalesce(F.sum(F.when(done, F.col("size"))), F.lit(0)).alias("total_optimized"),
-            F.count_if(kind == "QUEUED").alias("queued"),
-            F.count_if(done).alias("successful"),
-            F.count_if(failed).alias("failed"),
-        )
-        .withColumn(
-            "savings_pct", savings_percent(F.col("total_original"), F.col("total_optimized"))
-        )
-    )

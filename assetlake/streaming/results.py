@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import constants as K
+from ..operators import stats, tasks
 
-CHANGES = (
-    "asset_id {asset_id}, format string, epoch bigint, at struct<phase: int, seq: bigint>, "
-    "new_status string, new_size {size}, new_label string, new_error string, "
-    "size_at struct<phase: int, seq: bigint>, error_at struct<phase: int, seq: bigint>"
-)
+#: Epochs between two folds of all changes into one base table.
+FOLD_EVERY = 50
+RESULT, ERROR, WORKER_ERROR, CANCELLED = "RESULT", "ERROR", "WORKER_ERROR", "CANCELLED"
 
 
 def outcomes_of(events: DataFrame) -> DataFrame:
-    """RESULT and ERROR messages as outcomes; progress and cancellation change no result."""
-    ok = F.col("type") == "RESULT"
-    return events.filter(F.col("type").isin("RESULT", "ERROR")).select(
-        "asset_id", "format", "seq", F.lit(0).alias("phase"),
-        F.when(ok, K.SUCCESS).otherwise(K.ERROR).alias("status"),
-        F.when(ok, F.col("size")).alias("size"),
-        F.when(ok, F.col("label")).alias("label"),
-        F.when(~ok, F.col("error")).alias("error"),
-    )
+    """RESULT and ERROR messages as outcomes, then the errors of workers.
+
+    Progress and cancellation change no result.
+    """
+    kind = F.col("type")
+    responses = events.filter(kind.isin(RESULT, ERROR))
+    return tasks.merge_outcomes(responses, events.filter(kind == WORKER_ERROR))
 
 
 def drop_cancelled(events: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -31,55 +30,142 @@ def drop_cancelled(events: DataFrame, cancelled: DataFrame) -> DataFrame:
     return events.join(cancelled.select("asset_id").distinct(), "asset_id", "left_anti")
 
 
-def _change(outcomes: DataFrame) -> DataFrame:
-    """One change row per (item, format), able to be merged with changes of other batches."""
-    at = F.struct(F.col("phase").cast("int").alias("phase"), F.col("seq").cast("bigint").alias("seq"))
-    ok, bad = F.col("status") == K.SUCCESS, F.col("status") == K.ERROR
-    return outcomes.groupBy("asset_id", "format").agg(
-        F.max(at).alias("at"),
-        F.max_by("status", at).alias("new_status"),
-        F.max_by("size", F.when(ok, at)).alias("new_size"),
-        F.max_by("label", F.when(ok, at)).alias("new_label"),
-        F.max_by("error", F.when(bad, at)).alias("new_error"),
-        F.max(F.when(ok, at)).alias("size_at"),
-        F.max(F.when(bad, at)).alias("error_at"),
+def _folded(changes: DataFrame) -> DataFrame:
+    """The last of several changes per (item, format): each value with the place that set it."""
+    return changes.groupBy("asset_id", "format").agg(
+        F.max("at").alias("at"),
+        F.max_by("new_status", "at").alias("new_status"),
+        F.max_by("new_size", "size_at").alias("new_size"),
+        F.max_by("new_label", "size_at").alias("new_label"),
+        F.max_by("new_error", "error_at").alias("new_error"),
+        F.max("size_at").alias("size_at"),
+        F.max("error_at").alias("error_at"),
+    )
+
+
+def _changes(outcomes: DataFrame, epoch: int) -> DataFrame:
+    at = F.struct(
+        F.lit(epoch).cast("bigint").alias("epoch"),
+        F.col("phase").cast("int").alias("phase"),
+        F.col("seq").cast("bigint").alias("seq"),
+    )
+    return _folded(
+        outcomes.select(
+            "asset_id",
+            "format",
+            at.alias("at"),
+            F.col("status").alias("new_status"),
+            F.col("size").cast("bigint").alias("new_size"),
+            F.col("label").alias("new_label"),
+            F.col("error").alias("new_error"),
+            F.when(F.col("status") == K.SUCCESS, at).alias("size_at"),
+            F.when(F.col("status") == K.ERROR, at).alias("error_at"),
+        )
     )
 
 
 def merge_results_stream(
-    events: DataFrame, path: str, cancelled: DataFrame | None = None
+    events: DataFrame,
+    path: str,
+    cancelled: DataFrame | None = None,
+    on_flush: Callable[[SparkSession, int], None] | None = None,
 ) -> DataStreamWriter:
     """Fold each micro-batch to one change per (item, format) and store it under its epoch.
 
     A replayed epoch overwrites its own folder, so merging is idempotent, and no micro-batch
-    rewrites the results table. `current_results` reads table and changes together.
+    rewrites the results table. `current_results` reads table and changes together. Items that a
+    CANCELLED message names, or the table `cancelled`, count as removed. Every FOLD_EVERY epochs
+    all changes so far are folded into one base table, so reading does not grow with the age of
+    the stream. `on_flush` is called after each stored epoch.
     """
+    spark = events.sparkSession
+    change = _changes(outcomes_of(events), -1).schema
+    nothing = {
+        "base/upto=-1": change,
+        "changes/epoch=-1": change,
+        "cancelled/epoch=-1": events.select("asset_id").schema,
+    }
+    for part, schema in nothing.items():  # a stream that never got a message can be read, too
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{part}")
 
     def store(batch: DataFrame, epoch: int) -> None:
+        gone = batch.filter(F.col("type") == CANCELLED).select("asset_id").distinct()
+        gone.write.mode("overwrite").parquet(f"{path}/cancelled/epoch={epoch}")
         rows = batch if cancelled is None else drop_cancelled(batch, cancelled)
-        _change(outcomes_of(rows)).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
-
-    return (
-        events.writeStream.foreachBatch(store)
-        .option("checkpointLocation", f"{path}/progress")
+        changes = _changes(outcomes_of(rows), epoch)
+        changes.write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+        if epoch and epoch % FOLD_EVERY == 0:
+            fold_changes(batch.sparkSession, path, epoch)
+        if on_flush:
+            on_flush(batch.sparkSession, epoch)
+
+    return events.writeStream.foreachBatch(store).option(
+        "checkpointLocation", f"{path}/progress"
     )
 
 
+def fold_changes(spark: SparkSession, path: str, epoch: int) -> None:
+    """Fold all changes up to an epoch into one base table."""
+    folded = _folded(_stored_changes(spark, path).filter(F.col("at.epoch") <= epoch))
+    folded.write.mode("overwrite").parquet(f"{path}/base/upto={epoch}")
+
+
+def _stored_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The newest base and all changes behind it. Folders before the base may be deleted."""
+    bases = spark.read.parquet(f"{path}/base")
+    newest = bases.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    base = bases.filter(F.col("upto") == newest).drop("upto")
+    later = spark.read.parquet(f"{path}/changes").filter(F.col("epoch") > newest).drop("epoch")
+    return base.unionByName(later)
+
+
+def removed_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items that messages of the feed cancelled."""
+    return spark.read.parquet(f"{path}/cancelled").select("asset_id").distinct()
+
+
 def current_results(spark: SparkSession, results: DataFrame, path: str) -> DataFrame:
-    """The results table with all stored changes applied; unknown items and formats vanish."""
-    schema = CHANGES.format(**dict(results.dtypes))
-    changes = spark.read.schema(schema).parquet(f"{path}/changes")
-    last = changes.groupBy("asset_id", "format").agg(
-        F.max_by("new_status", F.struct("epoch", "at")).alias("new_status"),
-        *[
-            F.max_by(f"new_{c}", F.when(F.col(at).isNotNull(), F.struct("epoch", at)))
-            .alias(f"new_{c}")
-            for c, at in (("size", "size_at"), ("label", "size_at"), ("error", "error_at"))
-        ],
-    )
+    """The results table with all stored changes applied.
+
+    Unknown items and formats of the feed vanish, and so do the results of removed items.
+    """
+    last = _folded(_stored_changes(spark, path))
     names = ["status", "size", "label", "error"]
     return (
-        results.join(last, ["asset_id", "format"], "left")
+        drop_cancelled(results, removed_items(spark, path))
+        .join(last, ["asset_id", "format"], "left")
         .withColumns({c: F.coalesce(f"new_{c}", c) for c in names})
         .select(*results.columns)
     )
+
+
+def current_items(
+    spark: SparkSession, items: DataFrame, results: DataFrame, path: str
+) -> DataFrame:
+    """Items with the status that their current results give them, without removed ones."""
+    kept = drop_cancelled(items, removed_items(spark, path))
+    return tasks.item_status(kept, current_results(spark, results, path))
+
+
+def running_stats(
+    events: DataFrame, items: DataFrame, results: DataFrame, path: str, by: list[str]
+) -> DataStreamWriter:
+    """Keep results merged, and the queue statistics of each flush beside them.
+
+    A result that is sent again replaces the one before. `latest_stats` reads the newest.
+    """
+
+    def write(spark: SparkSession, epoch: int) -> None:
+        now = stats.queue_stats(current_items(spark, items, results, path), by)
+        now.write.mode("overwrite").parquet(f"{path}/stats/epoch={epoch}")
+
+    empty = stats.queue_stats(items.withColumn("optimized_size", F.lit(0).cast("bigint")), by)
+    empty.write.mode("ignore").parquet(f"{path}/stats/epoch=-1")
+    return merge_results_stream(events, path, on_flush=write)
+
+
+def latest_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of the last flush; before any, those of the untouched items."""
+    rows = spark.read.parquet(f"{path}/stats")
+    newest = rows.agg(F.max("epoch")).first()[0]
+    return rows.filter(F.col("epoch") == newest).drop("epoch")

@@ -8,22 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import new_shared_path
 
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """Keep state outside the JVM heap; the stateful processors need this provider."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    """Keep state outside the JVM heap, and merge sessions of a busy key before the shuffle.
+
+    The stateful processors need this provider.
+    """
+    wanted = {PROVIDER: ROCKSDB, LOCAL_SESSIONS: "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
@@ -41,28 +48,3 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         )
         query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
-def drain_snapshots(stream: DataFrame, label: str) -> DataFrame:
-    """Process everything available in complete mode; read the last full snapshot.
-
-    Each micro-batch overwrites its own folder, so a replay leaves the same files.
-    """
-    spark = stream.sparkSession
-    path = new_shared_path(spark, label)
-    last = {}
-
-    def write(snapshot: DataFrame, epoch: int) -> None:
-        target = f"{path}/epoch={epoch}"
-        snapshot.write.mode("overwrite").parquet(target)
-        last["path"] = target
-
-    query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(last["path"])

@@ -10,8 +10,9 @@ from ..functions import constants as K
 from ..plans.session import new_shared_path, read_table
 from ..sources.events import read_task_events
 from ..streaming import lifecycle, options, results as R
-from ..streaming.runs import drain, drain_snapshots
+from ..streaming.runs import drain
 from .base import events, query
+from .queue import SUMMARY
 
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
@@ -26,10 +27,10 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "read_task_events",
-    "SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'view'",
+    "SELECT event_id, user_id, event_type, value FROM events",
 )
 def read_task_events_query(spark, sf):
-    rows = stream(spark, sf).filter("event_type <> 'view'")
+    rows = stream(spark, sf)
     return drain(rows.select("event_id", "user_id", "event_type", "value"), "events")
 
 
@@ -38,7 +39,8 @@ def read_task_events_query(spark, sf):
 MESSAGES = """messages AS (
   SELECT user_id AS asset_id, ['webp', 'avif', 'png'][event_id % 3 + 1] AS format,
     CASE event_type WHEN 'purchase' THEN 'RESULT' WHEN 'error' THEN 'ERROR'
-      WHEN 'signup' THEN 'QUEUED' ELSE 'PROGRESS' END AS type,
+      WHEN 'signup' THEN 'QUEUED' WHEN 'view' THEN CASE WHEN event_id % 97 = 0 THEN 'CANCELLED'
+        WHEN event_id % 5 = 0 THEN 'WORKER_ERROR' ELSE 'PROGRESS' END ELSE 'PROGRESS' END AS type,
     CAST(floor(value * 100) AS BIGINT) AS size, event_id AS seq FROM events)"""
 CANCELLED = (
     "cancelled AS (SELECT c_custkey AS asset_id FROM customer WHERE c_mktsegment = 'MACHINERY')"
@@ -54,7 +56,10 @@ def messages(rows: DataFrame) -> DataFrame:
         F.col("user_id").alias("asset_id"),
         fmt.alias("format"),
         F.when(kind == "purchase", "RESULT").when(kind == "error", "ERROR")
-        .when(kind == "signup", "QUEUED").otherwise("PROGRESS").alias("type"),
+        .when(kind == "signup", "QUEUED")
+        .when((kind == "view") & (F.col("event_id") % 97 == 0), "CANCELLED")
+        .when((kind == "view") & (F.col("event_id") % 5 == 0), "WORKER_ERROR")
+        .otherwise("PROGRESS").alias("type"),
         F.floor(F.col("value") * 100).alias("size"),
         F.upper(fmt).alias("label"),
         F.when(kind == "error", "Optimization failed").alias("error"),
@@ -69,29 +74,31 @@ def cancelled(spark, sf):
     )
 
 
-@query(
-    "merge_results_stream",
-    f"""WITH {MESSAGES}, {CANCELLED},
-    base AS (SELECT DISTINCT asset_id, format FROM messages WHERE type = 'QUEUED'),
-    kept AS (SELECT * FROM messages WHERE type IN ('RESULT', 'ERROR')
-      AND asset_id NOT IN (SELECT asset_id FROM cancelled)),
+def merged_sql(gone: str) -> str:
+    return f"""{MESSAGES}, {CANCELLED},
+    stopped AS (SELECT asset_id FROM messages WHERE type = 'CANCELLED'),
+    base AS (SELECT DISTINCT asset_id, format FROM messages
+      WHERE type = 'QUEUED' AND asset_id NOT IN (SELECT asset_id FROM stopped)),
+    kept AS (SELECT *, (type = 'WORKER_ERROR')::INT AS phase FROM messages
+      WHERE type IN ('RESULT', 'ERROR', 'WORKER_ERROR') {gone}),
     folded AS (SELECT asset_id, format,
-      arg_max(CASE type WHEN 'RESULT' THEN 'success' ELSE 'error' END, seq) AS status,
+      arg_max(CASE type WHEN 'RESULT' THEN 'success' ELSE 'error' END, (phase, seq)) AS status,
       arg_max(size, seq) FILTER (type = 'RESULT') AS size,
       arg_max(upper(format), seq) FILTER (type = 'RESULT') AS label,
-      arg_max('Optimization failed', seq) FILTER (type = 'ERROR') AS error
-      FROM kept GROUP BY asset_id, format)
-    SELECT b.asset_id, b.format, coalesce(f.status, 'processing') AS status, f.size, f.label, f.error
-    FROM base b LEFT JOIN folded f ON f.asset_id = b.asset_id AND f.format = b.format""",
-)
-def merge_results_stream(spark, sf):
-    path = new_shared_path(spark, "results")
-    feed = messages(stream(spark, sf))
-    R.merge_results_stream(feed, path, cancelled(spark, sf)).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+      arg_max(CASE type WHEN 'ERROR' THEN 'Optimization failed' ELSE '{K.ERR_WORKER}' END,
+        (phase, seq)) FILTER (type <> 'RESULT') AS error
+      FROM kept GROUP BY asset_id, format),
+    results AS (SELECT b.asset_id, b.format, coalesce(f.status, 'processing') AS status, f.size,
+      f.label, f.error
+      FROM base b LEFT JOIN folded f ON f.asset_id = b.asset_id AND f.format = b.format)"""
+
+
+GONE = "AND asset_id NOT IN (SELECT asset_id FROM cancelled)"
+
+
+def queued_results(spark, sf):
     queued = messages(events(spark, sf)).filter("type = 'QUEUED'")
-    table = queued.select("asset_id", "format").distinct().withColumns(
+    return queued.select("asset_id", "format").distinct().withColumns(
         {
             "status": F.lit(K.PROCESSING),
             "size": F.lit(None).cast("bigint"),
@@ -99,7 +106,19 @@ def merge_results_stream(spark, sf):
             "error": F.lit(None).cast("string"),
         }
     )
-    return R.current_results(spark, table, path)
+
+
+@query(
+    "merge_results_stream",
+    f"WITH {merged_sql(GONE)} SELECT asset_id, format, status, size, label, error FROM results",
+)
+def merge_results_stream(spark, sf):
+    path = new_shared_path(spark, "results")
+    feed = messages(stream(spark, sf))
+    R.merge_results_stream(feed, path, cancelled(spark, sf)).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return R.current_results(spark, queued_results(spark, sf), path)
 
 
 @query(
@@ -114,18 +133,32 @@ def drop_cancelled(spark, sf):
 
 @query(
     "running_stats",
-    f"""WITH {MESSAGES}, sums AS (
-      SELECT format, coalesce(sum(size) FILTER (type = 'QUEUED'), 0) AS o,
-        coalesce(sum(size) FILTER (type = 'RESULT'), 0) AS s,
-        count(*) FILTER (type = 'QUEUED') AS queued, count(*) FILTER (type = 'RESULT') AS successful,
-        count(*) FILTER (type = 'ERROR') AS failed FROM messages GROUP BY format)
-    SELECT format, CAST(o AS BIGINT) AS total_original, CAST(s AS BIGINT) AS total_optimized,
-      queued, successful, failed, CASE WHEN o > 0 AND s <> 0
-        THEN round((o - s) / CAST(o AS DOUBLE) * 100, 1) ELSE 0.0 END AS savings_pct FROM sums""",
+    f"""WITH {merged_sql("")}, flags AS (
+      SELECT asset_id, bool_or(status IN ('pending', 'processing')) AS any_open,
+        bool_or(status = 'error') AS any_error,
+        sum(CASE WHEN status = 'success' THEN size END) AS optimized_size
+      FROM results GROUP BY asset_id),
+    items AS (SELECT asset_id, asset_id % 7 AS batch_id, CAST(sum(size) AS BIGINT) AS original_size
+      FROM messages WHERE type = 'QUEUED' AND asset_id NOT IN (SELECT asset_id FROM stopped)
+      GROUP BY asset_id),
+    rated AS (SELECT batch_id, original_size, CASE WHEN coalesce(any_open, true) THEN 'processing'
+        WHEN any_error THEN 'error' ELSE 'success' END AS status,
+        CAST(coalesce(optimized_size, 0) AS BIGINT) AS optimized_size
+      FROM items LEFT JOIN flags USING (asset_id))
+    SELECT batch_id, {SUMMARY} FROM rated GROUP BY batch_id""",
 )
 def running_stats(spark, sf):
+    path = new_shared_path(spark, "stats")
+    queued = messages(events(spark, sf)).filter("type = 'QUEUED'")
+    items = queued.groupBy("asset_id").agg(F.sum("size").alias("original_size")).select(
+        "asset_id", (F.col("asset_id") % 7).alias("batch_id"), "original_size",
+        F.lit(K.PROCESSING).alias("status"), F.lit(0).alias("progress"),
+    )
     feed = messages(stream(spark, sf))
-    return drain_snapshots(options.running_stats(feed, ["format"]), "stats")
+    R.running_stats(feed, items, queued_results(spark, sf), path, ["batch_id"]).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return R.latest_stats(spark, path)
 
 
 # Debounce -----------------------------------------------------------------------------------
@@ -236,11 +269,11 @@ moves AS (SELECT asset_id, seq, ts_ms, coalesce(lag(to_status) OVER (PARTITION B
 
 def lifecycle_events(rows: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return rows.filter(kind != "click").select(
+    return rows.select(
         F.col("user_id").cast("string").alias("asset_id"),
         (F.col("event_id") % 3).cast("string").alias("format"),
         F.when(kind.isin("signup", "view"), "start").when(kind == "purchase", "RESULT")
-        .otherwise("ERROR").alias("type"),
+        .when(kind == "error", "ERROR").otherwise("PROGRESS").alias("type"),
         "ts",
         F.col("event_id").alias("seq"),
     )

@@ -152,12 +152,66 @@ def test_lifecycle(spark, tmp_path):
     assert got == sorted(moves)
 
 
-def test_running_stats_update(spark, tmp_path):
-    rows = [("QUEUED", "i1", "webp", None, None, 100, None, None, None, 1, START),
-            ("RESULT", "i1", "webp", None, None, 60, None, None, None, 2, START),
-            ("ERROR", "i2", "webp", None, None, None, None, None, "x", 3, START)]
-    events = write_parts(spark, rows, TASK_EVENT, tmp_path / "in")
-    row = O.running_stats(events, ["format"]).first()
-    assert (row.total_original, row.total_optimized, row.failed, row.savings_pct) == (100, 60, 1, 40.0)
+TABLE = "asset_id string, format string, status string, size bigint, label string, error string"
+
+
+def test_running_stats(spark, tmp_path, monkeypatch):
+    """A result sent again replaces the first; a cancelled item leaves; worker errors count last."""
+    monkeypatch.setattr(R, "FOLD_EVERY", 2)
+    kinds = [("RESULT", "i1", 60), ("RESULT", "i1", 30), ("WORKER_ERROR", "i2", None),
+             ("RESULT", "i2", 10), ("CANCELLED", "i3", None), ("RESULT", "i3", 5), ("PROGRESS", "i4", 1)]
+    rows = [(kind, i, "webp", None, None, size, "L", None, None, n, START)
+            for n, (kind, i, size) in enumerate(kinds)]
+    write_parts(spark, rows, TASK_EVENT, tmp_path / "in", parts=7)
+    names = [f"i{n}" for n in range(1, 5)]
+    results = spark.createDataFrame([(n, "webp", "processing", None, None, None) for n in names], TABLE)
+    items = spark.createDataFrame(
+        [(n, "b", 100, "processing", 0) for n in names],
+        "asset_id string, batch_id string, original_size bigint, status string, progress int",
+    )
+    out = str(tmp_path / "out")
+    feed = read_task_events(spark, str(tmp_path / "in"), files_per_trigger=1)
+    R.running_stats(feed, items, results, out, ["batch_id"]).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    row = R.latest_stats(spark, out).first()
+    assert (row["items"], row.total_original, row.total_optimized) == (3, 300, 40)
+    assert (row.successful, row.processing, row.all_done, row.has_finished, row.zero_errors) == (
+        2, 1, False, True, True)
+    status = {r.asset_id: r.status for r in R.current_items(spark, items, results, out).collect()}
+    assert status == {"i1": "success", "i2": "success", "i4": "processing"}
     with rocksdb_state(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_streams_without_messages(spark, tmp_path):
+    spark.createDataFrame([], TASK_EVENT).write.parquet(str(tmp_path / "in"))
+    results = spark.createDataFrame([("i", "webp", "processing", None, None, None)], TABLE)
+    items = spark.createDataFrame(
+        [("i", "b", 100, "processing", 0)],
+        "asset_id string, batch_id string, original_size bigint, status string, progress int",
+    )
+    out = str(tmp_path / "out")
+    feed = read_task_events(spark, str(tmp_path / "in"))
+    R.running_stats(feed, items, results, out, ["batch_id"]).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    same(R.current_results(spark, results, out), results)
+    assert R.latest_stats(spark, out).first()["items"] == 1
+
+
+def test_debounce_of_one_busy_key(spark):
+    rng = random.Random(2)
+    at, rows = START, []
+    for seq in range(500):
+        at += timedelta(milliseconds=rng.choice([1, 100, 299, 300, 301]))
+        rows.append(("hot", at, seq, f"o{seq}", seq % 50 == 0))
+    changes = spark.createDataFrame(rows, "session string, ts timestamp, seq long, options string, force boolean")
+    want, last = [], None
+    for _, ts, seq, option, force in rows:
+        if last is None or ts - last >= timedelta(milliseconds=300):
+            want.append([ts, None, None, False, 0])
+        want[-1][1:] = [ts + timedelta(milliseconds=300), option, want[-1][3] or force, want[-1][4] + 1]
+        last = ts
+    got = O.debounce(changes, "session", timedelta(milliseconds=300)).collect()
+    assert sorted(list(r)[1:] for r in got) == want
