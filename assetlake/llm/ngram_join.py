@@ -49,7 +49,7 @@ BAND_RATIO = 1.5
 #: Times that the sets of a tile are compared with two of its members, before all are.
 TURNS = 2
 #: Bytes of a bitmap, and tiles of a set, that go with each of its tiles in a full comparison.
-SKETCH, FIRST_TILES = 512, 32
+SKETCH, FIRST_TILES = 256, 32
 #: Sets of one block of a tile that is compared in full.
 BLOCK = 256
 
@@ -66,7 +66,7 @@ SETS = pa.schema(
     ]
 )
 SETS_DDL = "node long, batch int, ids array<long>, n long, tiles array<long>, bits binary, sketch binary, items binary"
-PAIR_DDL = "a long, b long"
+PAIR_DDL = "a long, b long, n long, m long"
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _bounded(num: int, den: int):
                 overlap_bound(x, y, n, m) * (num + den) >= num * (n + m)
                 for x, y, n, m in zip(*(table.column(c).to_pylist() for c in ("x", "y", "n", "m")))
             ]
-            yield table.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield table.select(["a", "b", "n", "m"]).filter(pa.array(keep, pa.bool_()))
 
     return bounded
 
@@ -205,26 +205,27 @@ def _exact(num: int, den: int):
     return exact
 
 
+def _sides(pairs: DataFrame, sets: DataFrame, column: str, *more: str) -> DataFrame:
+    """Pairs with a column of both sets, as x and y, and with the other columns of the first."""
+    first = sets.select(F.col("node").alias("a"), F.col(column).alias("x"), *more)
+    second = sets.select(F.col("node").alias("b"), F.col(column).alias("y"))
+    return pairs.join(first, "a").join(second, "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are linked."""
-    side = lambda df, name, *cols: df.select(F.col("node").alias(name), *cols)
-    close = settled(
-        pairs.join(side(sets, "a", F.col("bits").alias("x"), "n"), "a")
-        .join(side(sets, "b", F.col("bits").alias("y"), F.col("n").alias("m")), "b")
-        .filter((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num))
-        .mapInArrow(_bounded(num, den), PAIR_DDL),
-        "close-pairs",
-    )
-    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = sets.select("node", "items").join(broadcast_if_small(nodes), "node", "left_semi")
-    return (
-        close.join(side(needed, "a", F.col("items").alias("x")), "a")
-        .join(side(needed, "b", F.col("items").alias("y")), "b")
-        .mapInArrow(_exact(num, den), PAIR_DDL)
-    )
+    """The pairs (a, b, n, m) of nodes, with their sizes, whose sets are linked.
+
+    Sketches of the bitmaps first, then the bitmaps of what is left, then the sets themselves.
+    """
+    for column, label in (("sketch", "rough-pairs"), ("bits", "close-pairs")):
+        close = _sides(pairs, sets.select("node", column), column)
+        pairs = settled(close.mapInArrow(_bounded(num, den), PAIR_DDL), label)
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(broadcast_if_small(nodes), "node", "left_semi")
+    return _sides(pairs, sets, "items").mapInArrow(_exact(num, den), "a long, b long")
 
 
-def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
+def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, ...]]:
     """Pairs of the two blocks of a run that differ in component and pass the bound."""
     n, block = run["n"].to_numpy(), run["block"].to_numpy()
     label, tile = run["label"].to_numpy(), run["tile"][0].as_py()
@@ -246,7 +247,8 @@ def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, int]]:
             # a pair that meets in several tiles counts in the first, as far as that is known
             both = np.intersect1d(mine[i], mine[j], assume_unique=True)
             if not len(both) or both[0] == tile:
-                yield max(node[i], node[j]), min(node[i], node[j])
+                k, l = (i, j) if node[i] > node[j] else (j, i)
+                yield node[k], node[l], n[k], n[l]
 
 
 def _block_pairs(num: int, den: int):
@@ -266,7 +268,7 @@ def _block_pairs(num: int, den: int):
                 for pair in _compared(table.slice(a, b - a), num, den)
             ]
             found_ = pa.record_batch(
-                {c: pa.array([p[k] for p in out], pa.int64()) for k, c in enumerate("ab")}
+                {c: pa.array([p[k] for p in out], pa.int64()) for k, c in enumerate("abnm")}
             )
             return found_, table.slice(start[runs])
 
@@ -293,18 +295,31 @@ def _mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     named = named.withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("tile").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     mixed = mixed.filter("x < y").select("tile")
-    return settled(named.join(mixed, "tile").select("tile", "node", "label", "held"), "mixed-tiles")
+    named = named.join(mixed, "tile").select("tile", "node", "n", "label", "held")
+    return settled(named, "mixed-tiles")
+
 
+def _to_two(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs of each set of a tile with two members of it, another two each turn.
 
-def _to_two(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each set of a tile with two members of it, another two each turn."""
-    picked = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "label")
+    Pairs of one component are left out, and those whose sizes differ too much.
+    """
+    picked = F.struct(F.xxhash64("node", F.lit(turn)).alias("at"), "node", "n", "label")
     ends = rows.groupBy("tile").agg(F.min(picked).alias("lo"), F.max(picked).alias("hi"))
+    one, two = F.struct("node", "n"), F.struct("end.node", "end.n")
+    alike = (F.col("n") * den >= F.col("end.n") * num) & (F.col("end.n") * den >= F.col("n") * num)
     return (
         rows.join(ends, "tile")
-        .select("node", "label", F.explode(F.array("lo", "hi")).alias("end"))
-        .filter("label <> end.label")
-        .select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b"))
+        .select("node", "n", "label", F.explode(F.array("lo", "hi")).alias("end"))
+        .filter(F.col("label") != F.col("end.label"))
+        .filter(alike)
+        .select(F.greatest(one, two).alias("a"), F.least(one, two).alias("b"))
+        .select(
+            F.col("a.node").alias("a"),
+            F.col("b.node").alias("b"),
+            F.col("a.n").alias("n"),
+            F.col("b.n").alias("m"),
+        )
         .distinct()
     )
 
@@ -318,9 +333,9 @@ def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return (
         rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-        .select("tile", "node", "label", "block", other)
+        .select("tile", "node", "n", "label", "block", other)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(sets.select("node", "n", "sketch").join(mine, "node"), "node")
+        .join(sets.select("node", "sketch").join(mine, "node"), "node")
         .repartition("tile", "low", "high")
         .sortWithinPartitions("tile", "low", "high")
         .mapInArrow(_block_pairs(num, den), PAIR_DDL)
@@ -367,12 +382,12 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     again = shared.select("node", "batch").join(reps.filter("batches > 1"), "node")
     again = settled(again.filter("batch > kept").select("node", "batch"), "repeated-sets")
     sets = shared.join(broadcast_if_small(again), ["node", "batch"], "left_anti")
-    tiles = sets.select("node", F.explode("tiles").alias("tile"))
+    tiles = sets.select("node", "n", F.explode("tiles").alias("tile"))
     held_by = tiles.groupBy("tile").agg(F.count("*").alias("held")).filter("held > 1")
     tiles = settled(tiles.join(held_by, "tile").withColumn("label", F.col("node")), "tiles")
     links, rows = None, tiles
     for turn in range(TURNS):
-        new = _linked(_to_two(rows, turn), sets, num, den)
+        new = _linked(_to_two(rows, turn, num, den), sets, num, den)
         links = settled(links.unionByName(new) if links else new, "tile-links")
         labels = components(links)
         rows = _mixed(tiles.drop("label"), labels)
