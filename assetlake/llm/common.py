@@ -7,6 +7,8 @@ asset, STRING), `batch_id` (the batch the asset came in with, STRING).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,40 @@ BROADCAST_ROWS = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder once and read back, so that no later job runs `df` again."""
+_scopes: list[list[str]] = []
+
+
+def settled(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write to the shared folder once and read back, so that no later job runs `df` again.
+
+    Within `scratch` the table goes at the end of the block, unless it is to `keep`.
+    """
     spark = df.sparkSession
     path = new_shared_path(spark, label)
     df.write.parquet(path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that `settled` wrote within the block; nothing later may read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast narrow rows, if they are no more than `rows`; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -104,8 +132,6 @@ def ordered_ids(column: pa.ChunkedArray) -> np.ndarray:
 DEALT = "batch int, rows binary"
 REQUEST = "shard int, batch int, keys binary, vals binary"
 ANSWER = "batch int, shard int, keys binary, vals binary"
-#: Batches for each shuffle partition: smaller ones take less memory, larger ones fewer keys.
-BATCHES = 2
 #: Bytes of rows that a task holds before it sends them to their batches.
 DEAL_BYTES = 1 << 26
 
@@ -137,8 +163,8 @@ def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(df: DataFrame, *identity: str) -> GroupedData:
-    """The rows by batch, a few batches to a partition; read them with `rows_of`."""
-    count = F.lit(BATCHES * partitions(df.sparkSession))
+    """The rows by batch, as many as shuffle partitions; read them with `rows_of`."""
+    count = F.lit(partitions(df.sparkSession))
     batch = F.pmod(F.xxhash64(*identity), count).cast("int")
     return df.withColumn("batch", batch).mapInArrow(_deal, DEALT).groupBy("batch")
 
@@ -180,8 +206,8 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.
 def requests(batch: int, keys: np.ndarray, vals: np.ndarray, shards: int) -> pa.Table:
     """Rows of REQUEST; keys need not be distinct."""
     order, used, start = by_shard(keys, shards)
-    keys, vals, ends = keys[order], vals[order], np.append(start[1:], len(keys))
-    runs = list(zip(start, ends, strict=True))
+    keys, vals = keys[order], vals[order]
+    runs = list(pairwise([*start, len(keys)]))
     return pa.table(
         {
             "shard": pa.array(used, pa.int32()),
