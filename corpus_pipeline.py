@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assetlake.llm.common import broadcast_if_small, settled
+from assetlake.llm.common import broadcast_if_small, discard, scratch, settled
 from assetlake.llm.decontaminate import decontaminate
 from assetlake.llm.language_id import UNKNOWN, label_language
 from assetlake.llm.mixing import mix_batches
 from assetlake.llm.ngram_join import ngram_join
 from assetlake.llm.suffix_dedup import remove_repeats
-from assetlake.plans.session import read_table, ship_package
+from assetlake.plans.session import new_shared_path, read_table, ship_package
 
 #: Language labels and removed passages cannot be written in SQL; tests/llm has brute force.
 ORACLE_SQL = None
@@ -47,12 +47,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     ship_package(spark)
     keyed = _keyed(docs)
-    groups = settled(
-        ngram_join(keyed.select(F.col(KEY).alias("asset_id"), "text")).select(
-            F.col("asset_id").alias(KEY), "component_id"
-        ),
-        "groups",
-    )
+    with scratch(spark):
+        joined = ngram_join(keyed.select(F.col(KEY).alias("asset_id"), "text"))
+        groups = joined.select(F.col("asset_id").alias(KEY), "component_id")
+        groups = settled(groups, "groups", keep=True)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))
     best = (
         groups.join(keyed.select(KEY, "doc_id"), KEY)
@@ -76,16 +74,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship_package(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    none = F.col("text").isNull().alias("no_text")
     whole = docs.select(
-        F.col("doc_id").alias("asset_id"), "text", F.struct("text", *others).alias("document")
+        F.col("doc_id").alias("asset_id"),
+        "text",
+        F.struct(none, F.struct(none, *others).alias("others")).alias("document"),
     )
     cut = remove_repeats(whole, carry=["document"])
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("n_removed") > 0, left).otherwise(F.col("carried.document.text"))
+    text = F.when(F.col("n_removed") > 0, left).when(
+        ~F.col("carried.document.no_text"), F.col("kept").cast("string")
+    )
     return cut.select(
         F.col("asset_id").alias("doc_id"),
         text.alias("text"),
-        *(F.col("carried.document")[c].alias(c) for c in others),
+        *(F.col("carried.document.others")[c].alias(c) for c in others),
     ).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -93,9 +96,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Leave out documents that hold a window of a benchmark item."""
     keyed = _keyed(docs)
     items = read_table(spark, sf_dir, "benchmark")
-    found = decontaminate(keyed.select(F.col(KEY).alias("asset_id"), "text"), items)
-    gone = found.filter("n_hit > 0").select(F.col("asset_id").alias(KEY)).distinct()
-    return _without(keyed, settled(gone, "contaminated")).select(docs.columns)
+    with scratch(spark):
+        found = decontaminate(keyed.select(F.col(KEY).alias("asset_id"), "text"), items)
+        gone = found.filter("n_hit > 0").select(F.col("asset_id").alias(KEY)).distinct()
+        gone = settled(gone, "contaminated", keep=True)
+    return _without(keyed, gone).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -124,10 +129,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name)
-    name, last = STAGES[-1]
+        path = new_shared_path(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
+    _, last = STAGES[-1]
     return last(spark, docs, sf_dir)
 
 
