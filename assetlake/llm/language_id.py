@@ -68,7 +68,10 @@ class Words:
     """Words between white space of several texts, as one row of bytes with blanks between."""
 
     def __init__(self, texts: list[bytes]):
-        words = [t.decode("utf-8", "replace").lower().encode().split() for t in texts]
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        #: Whether each text has a letter at all; scripts are told by lead bytes, so roughly.
+        self.letters = np.array([any(map(str.isalpha, t)) for t in plain], bool)
+        words = [t.lower().encode().split() for t in plain]
         self.sizes = np.array([len(w) for w in words])
         joined = b" " + b" ".join(b" ".join(w) for w in words if w) + b" "
         self.bytes = np.frombuffer(joined, np.uint8)
@@ -208,9 +211,7 @@ def _label(model: Model, penalty: float):
         ).reshape(len(texts), count)
         best, all_ = votes.argmax(axis=1), votes.sum(axis=1)
         best = np.where(all_ > 0, best, model.fallback)
-        letters = all_ > 0
-        for i in np.flatnonzero(~letters):
-            letters[i] = any(map(str.isalpha, texts[i].decode("utf-8", "replace")))
+        letters = words.letters
         share = votes[np.arange(len(texts)), best] / np.maximum(1, all_)
         new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (text[1:] != text[:-1])][: len(path)])
         first = np.cumsum(words.sizes) - words.sizes

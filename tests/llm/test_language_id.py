@@ -33,7 +33,7 @@ def test_held_out_and_edges(spark):
         (900, None, "en"), (901, "", None), (902, "12 34 !?", "de"), (903, "½ ² ✓", None),
         (904, mixed, None), (904, mixed, None), (None, "the fill", "en"), (905, "ደብዳቤ", None),
         (906, "🙂🙂", None), (907, "𐐀", None), (908, "the layer " * 30000, None),
-        (909, "κάτω γραμμή fill", None),
+        (910, "× ÷ 。、", None), (909, "κάτω γραμμή fill", None),
     ]
     rows = label_language(corpus(spark, extra)).collect()
     assert len(rows) == 90 + len(extra)
@@ -45,7 +45,7 @@ def test_held_out_and_edges(spark):
         if r.asset_id is not None and r.asset_id < 90:
             assert r.lang_pred == sorted(WORDS)[r.asset_id % 3]
     by_id = {r.asset_id: r for r in rows}
-    for i in (900, 901, 902, 903, 906):
+    for i in (900, 901, 902, 903, 906, 910):
         assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
     assert by_id[905].lang_pred in WORDS and by_id[907].lang_pred in WORDS
     assert by_id[908].lang_pred == "en" and by_id[908].score == 1.0
