@@ -161,3 +161,53 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_batches(assets(spark, sf)).select(
         F.col("asset_id").alias("doc_id"), "size", "source_size", "target", "taken"
     )
+
+
+ORACLE["op1_ngram_join"] = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, [w for w in regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+') if w <> ''] AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s + 1:s + 4], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS s FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION SELECT r.doc_id, n.b FROM reach r JOIN near n ON n.a = r.seen)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, min(seen) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, size.n
+"""
+
+ORACLE["op3_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, s, substr(h, CAST(2 * s + 1 AS BIGINT), 100) AS x
+  FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS s FROM d WHERE len(h) >= 100)),
+f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, s FROM w JOIN f USING (x) WHERE first < doc_id),
+edge AS (
+  SELECT doc_id, s, CASE WHEN s - lag(s) OVER o <= 50 THEN 0 ELSE 1 END AS fresh
+  FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+span AS (
+  SELECT doc_id, n, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM edge)
+  GROUP BY doc_id, n),
+gap AS (
+  SELECT doc_id, n, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM span),
+cut AS (
+  SELECT g.doc_id, count(*) AS spans, sum(b - a) AS gone, max(b) AS last,
+    string_agg(substr(h, CAST(2 * start + 1 AS BIGINT), CAST(2 * (a - start) AS BIGINT)), '' ORDER BY a) AS head
+  FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
