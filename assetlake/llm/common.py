@@ -171,6 +171,7 @@ def dealt(df: DataFrame, *identity: str) -> GroupedData:
 
 def rows_of(table: pa.Table) -> tuple[int, pa.Table]:
     """(number of the batch, its rows) from one group of `dealt`."""
+    pa.default_memory_pool().release_unused()  # of the batch before
     parts = [pa.ipc.open_stream(blob).read_all() for blob in table["rows"].to_pylist()]
     return table["batch"][0].as_py(), pa.concat_tables(parts).combine_chunks()
 

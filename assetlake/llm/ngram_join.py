@@ -56,16 +56,16 @@ BLOCK = 256
 SETS = pa.schema(
     [
         ("node", pa.int64()),
+        ("row_key", pa.int64()),
         ("batch", pa.int32()),
         ("ids", pa.list_(pa.int64())),
         ("n", pa.int64()),
         ("tiles", pa.list_(pa.int64())),
         ("bits", pa.binary()),
         ("sketch", pa.binary()),
-        ("items", pa.binary()),
     ]
 )
-SETS_DDL = "node long, batch int, ids array<long>, n long, tiles array<long>, bits binary, sketch binary, items binary"
+SETS_DDL = "node long, row_key long, batch int, ids array<long>, n long, tiles array<long>, bits binary, sketch binary"
 PAIR_DDL = "a long, b long, n long, m long"
 
 
@@ -129,25 +129,36 @@ def overlap_bound(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
     return min(n_a - only_a, n_b - only_b)
 
 
-def _distinct_sets(table: pa.Table, size: int) -> dict[bytes, tuple[np.ndarray, list]]:
-    """Distinct shingle sets of a batch with the ids that have them, by fingerprint."""
-    out: dict[bytes, tuple[np.ndarray, list]] = {}
-    seen: dict[bytes, bytes] = {}
-    for asset_id, text in zip(table["asset_id"].to_pylist(), table["text"].to_pylist()):
+def _node(items: np.ndarray) -> int:
+    """The set as a node: a 64-bit hash of its sorted hashes."""
+    return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
+
+
+def _new_sets(
+    table: pa.Table, size: int, ids_of: dict[int, list]
+) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Each distinct shingle set of a batch once, as (node, key of a row, items).
+
+    Fills the ids of each node. Sets are made one at a time, copies of a text only once.
+    """
+    seen: dict[bytes, int] = {}
+    columns = (table[c].to_pylist() for c in ("asset_id", "row_key", "text"))
+    for asset_id, key, text in zip(*columns):
         copy = xxhash.xxh3_128_digest(text)
         if copy not in seen:
             items = shingle_set(text, size)
-            seen[copy] = xxhash.xxh3_128_digest(items.tobytes())
-            out.setdefault(seen[copy], (items, []))
-        out[seen[copy]][1].append(asset_id)
-    return out
+            seen[copy] = node = _node(items)
+            if node not in ids_of:
+                ids_of[node] = []
+                yield node, key, items
+        ids_of[seen[copy]].append(asset_id)
 
 
 def _ask(size: int, num: int, den: int, shards: int):
     def ask(table: pa.Table) -> pa.Table:
         batch, table = rows_of(table)
         keys = [np.empty(0, np.uint64)]
-        for items, _ in _distinct_sets(table, size).values():
+        for *_, items in _new_sets(table, size, {}):
             if len(items):
                 keys.append(np.unique(_tile_keys(items, num, den)))
         keys, holders = np.unique(np.concatenate(keys), return_counts=True)
@@ -163,23 +174,42 @@ def _emit(size: int, num: int, den: int):
         batch, docs = rows_of(docs)
         shared, _ = answered(answers, "uint8")
         rows = {name: [] for name in SETS.names}
-        for print_, (items, ids) in _distinct_sets(docs, size).items():
+        ids_of: dict[int, list] = {}
+        for node, key, items in _new_sets(docs, size, ids_of):
             tiles = np.unique(_tile_keys(items, num, den)) if len(items) else items
             tiles = tiles[found(tiles, shared)[0]]
-            rows["node"].append(int.from_bytes(print_[:8], "little", signed=True))
+            bits = _bitmap(items) if len(tiles) else None
+            rows["node"].append(node)
+            rows["row_key"].append(key)
             rows["batch"].append(batch)
-            rows["ids"].append(ids)
             rows["n"].append(len(items))
             rows["tiles"].append(tiles.view(np.int64))
-            bits = _bitmap(items) if len(tiles) else None
             rows["bits"].append(bits)
             rows["sketch"].append(bits and _folded(bits, min(len(bits), SKETCH) // 8).tobytes())
-            rows["items"].append(items.tobytes() if len(tiles) else None)
+        rows["ids"] = [ids_of[node] for node in rows["node"]]
         return pa.table(rows, SETS)
 
     return emit
 
 
+def _items(size: int):
+    """(node, items) of wanted nodes, from texts that may be theirs."""
+
+    def items_of(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            nodes, items = [], []
+            for wanted, text in zip(*(table.column(c).to_pylist() for c in ("node", "text"))):
+                found_ = shingle_set(text, size)
+                if _node(found_) == wanted:
+                    nodes.append(wanted)
+                    items.append(found_.tobytes())
+            yield pa.record_batch(
+                {"node": pa.array(nodes, pa.int64()), "items": pa.array(items, pa.binary())}
+            )
+
+    return items_of
+
+
 def _bounded(num: int, den: int):
     def bounded(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -212,17 +242,45 @@ def _sides(pairs: DataFrame, sets: DataFrame, column: str, *more: str) -> DataFr
     return pairs.join(first, "a").join(second, "b")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+class Sets:
+    """Distinct sets that share a tile with another one, and the assets that hold them."""
+
+    def __init__(self, docs: DataFrame, held: DataFrame, size: int):
+        self.docs, self.size = docs, size
+        shared = held.filter(F.size("tiles") > 0)
+        self.firsts = shared.groupBy("node").agg(
+            F.min(F.array_min("ids")).alias("first_id"),
+            F.min("row_key").alias("row_key"),
+            F.min("batch").alias("kept"),
+            F.count("*").alias("batches"),
+        )
+        # of a set that several batches hold, one row stands for all
+        again = shared.select("node", "batch").join(self.firsts.filter("batches > 1"), "node")
+        again = settled(again.filter("batch > kept").select("node", "batch"), "repeated-sets")
+        self.rows = shared.join(broadcast_if_small(again), ["node", "batch"], "left_anti")
+
+    def items(self, nodes: DataFrame) -> DataFrame:
+        """(node, items) of the nodes, made again from the text of a row of each."""
+        wanted = self.firsts.join(broadcast_if_small(nodes), "node", "left_semi")
+        wanted = broadcast_if_small(wanted.select("node", "row_key"))
+        texts = self.docs.join(wanted, "row_key").select("node", "text")
+        made = texts.mapInArrow(_items(self.size), "node long, items binary")
+        return made.dropDuplicates(["node"])
+
+
+def _linked(pairs: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
     """The pairs (a, b, n, m) of nodes, with their sizes, whose sets are linked.
 
     Sketches of the bitmaps first, then the bitmaps of what is left, then the sets themselves.
     """
+    rows = sets.rows
     for column, label in (("sketch", "rough-pairs"), ("bits", "close-pairs")):
-        close = _sides(pairs, sets.select("node", column), column)
+        close = _sides(pairs, rows.select("node", column), column)
         pairs = settled(close.mapInArrow(_bounded(num, den), PAIR_DDL), label)
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = sets.join(broadcast_if_small(nodes), "node", "left_semi")
-    return _sides(pairs, sets, "items").mapInArrow(_exact(num, den), "a long, b long")
+        rows = rows.join(broadcast_if_small(nodes), "node", "left_semi")
+    items = settled(sets.items(nodes), "items")
+    return _sides(pairs, items, "items").mapInArrow(_exact(num, den), "a long, b long")
 
 
 def _compared(run: pa.Table, num: int, den: int) -> Iterator[tuple[int, ...]]:
@@ -324,7 +382,7 @@ def _to_two(rows: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     )
 
 
-def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _across(rows: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
     """Candidate pairs of different components among the rows of `_mixed`."""
     mine = rows.groupBy("node").agg(
         F.slice(F.sort_array(F.collect_list("tile")), 1, FIRST_TILES).alias("mine")
@@ -335,7 +393,7 @@ def _across(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
         .select("tile", "node", "n", "label", "block", other)
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-        .join(sets.select("node", "sketch").join(mine, "node"), "node")
+        .join(sets.rows.select("node", "sketch").join(mine, "node"), "node")
         .repartition("tile", "low", "high")
         .sortWithinPartitions("tile", "low", "high")
         .mapInArrow(_block_pairs(num, den), PAIR_DDL)
@@ -359,30 +417,18 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
     """
     spark = assets.sparkSession
     shards = partitions(spark)
-    docs = dealt(
-        assets.select(
-            F.coalesce(F.col("asset_id").cast("long"), F.lit(NO_ID)).alias("asset_id"),
-            text_bytes(F.col("text")).alias("text"),
-        ),
-        "asset_id",
-        "text",
-    )
-    answers = combine(docs.applyInArrow(_ask(size, num, den, shards), REQUEST), "sum", "uint8")
+    docs = assets.select(
+        F.coalesce(F.col("asset_id").cast("long"), F.lit(NO_ID)).alias("asset_id"),
+        text_bytes(F.col("text")).alias("text"),
+    ).withColumn("row_key", F.xxhash64("asset_id", "text"))
+    batches = dealt(docs, "asset_id", "text")
+    answers = combine(batches.applyInArrow(_ask(size, num, den, shards), REQUEST), "sum", "uint8")
     held = settled(
-        docs.cogroup(answers.groupBy("batch")).applyInArrow(_emit(size, num, den), SETS_DDL),
+        batches.cogroup(answers.groupBy("batch")).applyInArrow(_emit(size, num, den), SETS_DDL),
         "sets",
     )
-    shared = held.filter(F.size("tiles") > 0)
-    reps = shared.groupBy("node").agg(
-        F.min(F.array_min("ids")).alias("first_id"),
-        F.min("batch").alias("kept"),
-        F.count("*").alias("batches"),
-    )
-    # of a set that several batches hold, one row stands for all
-    again = shared.select("node", "batch").join(reps.filter("batches > 1"), "node")
-    again = settled(again.filter("batch > kept").select("node", "batch"), "repeated-sets")
-    sets = shared.join(broadcast_if_small(again), ["node", "batch"], "left_anti")
-    tiles = sets.select("node", "n", F.explode("tiles").alias("tile"))
+    sets = Sets(docs, held, size)
+    tiles = sets.rows.select("node", "n", F.explode("tiles").alias("tile"))
     held_by = tiles.groupBy("tile").agg(F.count("*").alias("held")).filter("held > 1")
     tiles = settled(tiles.join(held_by, "tile").withColumn("label", F.col("node")), "tiles")
     links, rows = None, tiles
@@ -397,7 +443,7 @@ def ngram_join(assets: DataFrame, size: int = 5, num: int = 4, den: int = 5) ->
         across = settled(_across(rows, sets, num, den), "tile-pairs")
         labels = components(links.unionByName(_linked(across, sets, num, den)))
     first = (
-        reps.select("node", "first_id")
+        sets.firsts.select("node", "first_id")
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
