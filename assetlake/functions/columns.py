@@ -64,35 +64,51 @@ def size_error(
     return F.when(archive, F.when(size > max_zip_bytes, F.lit(K.ERR_ZIP_LIMIT))).otherwise(plain)
 
 
-def magic_match(content: Column, extension: Column, heic: bool = False) -> Column:
+def magic_match(
+    content: Column, extension: Column, heic: bool = False, extended: bool = False
+) -> Column:
     """Do the leading bytes fit the extension? Only the first 12 bytes matter.
 
-    `heic` also accepts HEIC/HEIF files that carry the `ftyp` box.
+    `heic` also accepts HEIC/HEIF files that carry the `ftyp` box; `extended` those and GIF, BMP
+    and TIFF files.
     """
     head = F.hex(F.substring(content, 1, 12))
 
     def at(offset: int, signature: str) -> Column:
         return F.substring(head, 2 * offset + 1, len(signature)) == F.lit(signature)
 
-    return F.coalesce(
+    boxed = at(4, "66747970") & (F.length(head) == 24)
+    known = (
         F.when(extension == "png", at(0, "89504E470D0A1A0A"))
         .when(extension.isin("jpg", "jpeg"), at(0, "FFD8FF"))
         .when(extension == "webp", at(0, "52494646") & at(8, "57454250"))
-        .when(extension.isin(["avif", "heic", "heif"] if heic else ["avif"]), at(4, "66747970") & (F.length(head) == 24))
-        .when(extension == "svg", (at(0, "3C") & (F.length(head) >= 4)) | at(0, "EFBBBF")),
-        F.lit(False),
+        .when(extension == "avif", boxed)
+        .when(extension == "svg", (at(0, "3C") & (F.length(head) >= 4)) | at(0, "EFBBBF"))
     )
+    if extended:
+        known = (
+            known.when(extension == "gif", at(0, "474946383761") | at(0, "474946383961"))
+            .when(extension == "bmp", at(0, "424D"))
+            .when(extension.isin("tif", "tiff"), at(0, "49492A00") | at(0, "4D4D002A"))
+        )
+    if heic or extended:
+        known = known.when(extension.isin("heic", "heif"), boxed)
+    return F.coalesce(known, F.lit(False))
 
 
 def intake_error(
-    size: Column, extension: Column, magic_ok: Column, max_bytes: int = K.MAX_FILE_BYTES
+    size: Column,
+    extension: Column,
+    magic_ok: Column,
+    max_bytes: int = K.MAX_FILE_BYTES,
+    heic: bool = False,
 ) -> Column:
-    """First failing check in order: size, leading bytes, HEIC; NULL when all pass."""
-    return (
-        F.when(size > max_bytes, F.lit(K.ERR_FILE_LIMIT))
-        .when(~magic_ok, F.lit(K.ERR_INVALID))
-        .when(extension.isin("heic", "heif"), F.lit(K.ERR_HEIC))
-    )
+    """First failing check in order: size, leading bytes, HEIC; NULL when all pass.
+
+    With `heic`, files of that kind whose bytes fit are no error.
+    """
+    error = F.when(size > max_bytes, F.lit(K.ERR_FILE_LIMIT)).when(~magic_ok, F.lit(K.ERR_INVALID))
+    return error if heic else error.when(extension.isin("heic", "heif"), F.lit(K.ERR_HEIC))
 
 
 def pixel_error(width: Column, height: Column, max_pixels: int = K.MAX_PIXELS) -> Column:

@@ -8,7 +8,13 @@ from . import constants as K
 from .columns import mime_of_format
 
 
+def without_comments(text: Column) -> Column:
+    """Markup without comments and CDATA sections, which hold no elements."""
+    return F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>", "")
+
+
 def node_count(text: Column) -> Column:
+    """Elements; use on text `without_comments`, as the other measures."""
     return F.regexp_count(text, F.lit("<[a-zA-Z]"))
 
 

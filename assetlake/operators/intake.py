@@ -30,16 +30,20 @@ def size_limit(
 
 
 def intake_verdict(
-    assets: DataFrame, content: str = "content", max_bytes: int = K.MAX_FILE_BYTES
+    assets: DataFrame,
+    content: str = "content",
+    max_bytes: int = K.MAX_FILE_BYTES,
+    extended_magic: bool = False,
 ) -> DataFrame:
     """Drop unsupported files, then give every other one a status and perhaps an error.
 
-    Name and size are checked before the content column is looked at.
+    Name and size are checked before the content column is looked at. `extended_magic` accepts
+    more kinds of files by their leading bytes, HEIC among them.
     """
     extension = C.file_extension(F.col("name"))
     rows = assets.withColumn("extension", extension).filter(C.is_supported(F.col("extension")))
-    magic = C.magic_match(F.col(content), F.col("extension"))
-    error = C.intake_error(F.col("size"), F.col("extension"), magic, max_bytes)
+    magic = C.magic_match(F.col(content), F.col("extension"), extended=extended_magic)
+    error = C.intake_error(F.col("size"), F.col("extension"), magic, max_bytes, extended_magic)
     return rows.withColumn("error", error).withColumn(
         "status", F.when(F.col("error").isNull(), K.PENDING).otherwise(K.ERROR)
     )

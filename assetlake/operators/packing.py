@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as K
 from ..plans.ordered import first_per_group
-from ..plans.session import durable
+from ..plans.session import durable, stored
 
 WINDOW_ROWS = 200
 
@@ -31,7 +31,8 @@ def greedy_pack(
     only its window to one task. A round takes at least one result, so rounds are bounded by
     `max_files`; in practice room runs out within a few.
     """
-    rows = results.filter(F.col("status") == K.SUCCESS).select("batch_id", *order, "size")
+    fits = (F.col("status") == K.SUCCESS) & (F.col("size") <= max_bytes)
+    rows = stored(results.filter(fits).select("batch_id", *order, "size"), "packing")
     at = F.struct(*order)
     state = None
     taken = []

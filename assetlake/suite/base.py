@@ -139,7 +139,7 @@ def assets(spark: SparkSession, sf: str, text: bool = False) -> DataFrame:
         F.concat("source", F.lit("-"), doc.cast("string"), F.lit("."), pick(EXTENSIONS, doc % 14))
         .alias("name"),
         F.octet_length("text").cast("bigint").alias("size"),
-        F.unhex(header).alias("content"),
+        F.concat(F.unhex(header), F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("content"),
         "lang",
     ]
     return read_table(spark, sf, "documents").select(*columns, *(["text"] if text else []))
@@ -150,7 +150,8 @@ ASSETS = f"""assets AS (
     source || '-' || doc_id || '.' || {sql_list(EXTENSIONS)}[doc_id % 14 + 1] AS name,
     lower({sql_list(EXTENSIONS)}[doc_id % 14 + 1]) AS extension,
     CAST(strlen(text) AS BIGINT) AS size,
-    {sql_list(HEADERS)}[(doc_id // 14) % 7 + 1] AS header, text, lang
+    {sql_list(HEADERS)}[(doc_id // 14) % 7 + 1] || hex(encode(coalesce(text, ''))) AS header,
+    text, lang
   FROM documents)"""
 
 SUPPORTED = "extension IN (" + ", ".join(f"'{e}'" for e in K.INPUT_EXTENSIONS) + ")"

@@ -47,7 +47,7 @@ def archives(spark, sf):
     rows = assets(spark, sf, text=True).select(
         F.floor(F.col("asset_id") / 25).alias("pack"),
         "name",
-        F.concat("content", F.encode("text", "UTF-8")).alias("body"),
+        F.col("content").alias("body"),
     )
     packed = rows.groupBy("pack").applyInPandas(build, "path string, size bigint, content binary")
     return packed.withColumn("name", F.substring_index("path", "/", -1))
@@ -57,7 +57,7 @@ def archives(spark, sf):
     "expand_archives",
     f"""WITH {ASSETS}, bodies AS (
       SELECT '/in/' || (asset_id // 25) || '.zip' AS archive_path, (asset_id // 25) || '.zip' AS zip,
-        name, extension, header, size + length(header) // 2 AS bytes FROM assets),
+        name, extension, header, length(header) // 2 AS bytes FROM assets),
     totals AS (SELECT archive_path, any_value(zip) AS zip, sum(bytes) > {EXPANDED_LIMIT} AS over
       FROM bodies GROUP BY archive_path)
     SELECT b.archive_path, b.name, CASE WHEN {MAGIC} THEN bytes ELSE 0 END AS size,

@@ -9,8 +9,11 @@ from ..plans.session import read_table
 from .base import query
 
 # Pages hold no paths and no data links: class values stand for paths, site links for data links.
-METADATA = r"""metadata AS (
-  SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS size,
+METADATA = r"""bare AS (
+  SELECT page_id, html AS whole, regexp_replace(html, '<!--.*?-->|<!\[CDATA\[.*?\]\]>', '', 'gs') AS html
+  FROM pages),
+metadata AS (
+  SELECT page_id, whole AS html, CAST(strlen(whole) AS BIGINT) AS size,
     len(regexp_extract_all(html, '<[a-zA-Z]')) AS nodes,
     len(regexp_extract_all(array_to_string(
       regexp_extract_all(html, '\s(?:class|lang)\s*=\s*("[^"]*"|''[^'']*'')', 1), ' '),
@@ -19,15 +22,16 @@ METADATA = r"""metadata AS (
       regexp_extract_all(html, '\s(?:xlink:)?href\s*=\s*("/[^"]*"|''/[^'']*'')', 1),
       lambda v: length(v) - 2)), 0) AS raster,
     regexp_matches(html, '<(?:script|footer)[\s/>]') AS filters
-  FROM pages)"""
+  FROM bare)"""
 
 
 def metadata(spark, sf):
-    html = F.col("html")
-    return read_table(spark, sf, "pages").select(
+    html = F.col("bare")
+    pages = read_table(spark, sf, "pages").withColumn("bare", M.without_comments(F.col("html")))
+    return pages.select(
         "page_id",
         "html",
-        F.octet_length(html).cast("bigint").alias("size"),
+        F.octet_length("html").cast("bigint").alias("size"),
         M.node_count(html).alias("nodes"),
         M.segment_count(html, "(?:class|lang)").alias("segments"),
         M.raster_bytes(html, "/").alias("raster"),

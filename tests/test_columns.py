@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetlake.functions import columns as C, constants as K, markup as M
+from assetlake.operators import intake
 
 
 def one(spark, column):
@@ -193,3 +194,23 @@ def test_extreme_numbers(spark):
     assert (one(spark, width), one(spark, height)) == (2**40, 2**40)
     assert one(spark, C.absolute_savings(F.lit(1), F.lit(26_214_400))) == 2**31 - 1
     assert one(spark, C.absolute_savings(F.lit(1), F.lit(2**62))) == 2**31 - 1
+
+
+def test_extended_magic(spark):
+    heads = {"gif": "474946383961", "bmp": "424D0000", "tiff": "4D4D002A", "tif": "49492A00",
+             "heif": "0000001C6674797068656963"}
+    for extension, head in heads.items():
+        content = F.unhex(F.lit(head))
+        assert one(spark, C.magic_match(content, F.lit(extension))) is False
+        assert one(spark, C.magic_match(content, F.lit(extension), extended=True)) is True
+        assert one(spark, C.magic_match(F.unhex(F.lit("00" * 12)), F.lit(extension), extended=True)) is False
+    files = spark.createDataFrame([("a.heic", 10, bytes.fromhex(heads["heif"]))],
+                                  "name string, size bigint, content binary")
+    assert intake.intake_verdict(files).first().status == K.ERROR
+    assert intake.intake_verdict(files, extended_magic=True).first().status == K.PENDING
+
+
+def test_markup_without_comments(spark):
+    text = F.lit('<svg><!-- <path d="M0L1"/> --><![CDATA[<b/>]]><a d="M1"/></svg>')
+    bare = M.without_comments(text)
+    assert (one(spark, M.node_count(bare)), one(spark, M.segment_count(bare))) == (2, 1)
