@@ -280,7 +280,7 @@ def answered(table: pa.Table, dtype: str = "uint64") -> tuple[np.ndarray, np.nda
 
 
 def sums_of(table: pa.Table, keys: np.ndarray, shards: int, dtype: str) -> np.ndarray:
-    """The answered sum for each of the sorted distinct keys of a batch."""
+    """The answered sum for each of the keys that a batch asked about, in its order."""
     order, used, _ = by_shard(keys, shards)
     table = table.sort_by("shard")
     vals = np.concatenate([unpack_values(b, dtype) for b in table["vals"].to_pylist()])

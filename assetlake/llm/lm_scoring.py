@@ -116,20 +116,23 @@ def _shard_totals(table: pa.Table) -> pa.Table:
     return pa.table({"n": [int(counts.sum())], "v": [len(np.unique(keys))]})
 
 
-def _distinct(tokens: np.ndarray, arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct keys of words and arcs, place of each word and arc among them)."""
-    keys, place = np.unique(np.concatenate((tokens, arcs)), return_inverse=True)
-    return keys, place
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each value among them)."""
+    keys, place = np.unique(values, return_inverse=True)
+    return keys, place.astype(np.int32)
 
 
 def _ask(shards: int):
     def ask(table: pa.Table) -> pa.Table:
         batch, table = rows_of(table)
         tokens, sizes = _tokens(table["text"].to_pylist())
-        weight = np.repeat(~table["held_out"].to_numpy(), sizes).astype(float)
-        keys, place = _distinct(tokens, _arcs(tokens, sizes))
-        counts = np.bincount(place, weights=np.tile(weight, 2)).astype(COUNT)
-        return requests(batch, keys, counts, shards)
+        weight = np.repeat(~table["held_out"].to_numpy(), sizes).astype(np.float32)
+        keys, counts = [], []
+        for values in (tokens, _arcs(tokens, sizes)):
+            k, place = _distinct(values)
+            keys.append(k)
+            counts.append(np.bincount(place, weights=weight).astype(COUNT))
+        return requests(batch, np.concatenate(keys), np.concatenate(counts), shards)
 
     return ask
 
@@ -140,9 +143,11 @@ def _score(n: int, v: int, weight: float, shards: int):
             return SCORED.empty_table()
         _, docs = rows_of(docs)
         tokens, sizes = _tokens(docs["text"].to_pylist())
-        keys, place = _distinct(tokens, _arcs(tokens, sizes))
-        counts = sums_of(answers, keys, shards, COUNT).astype(float)[place]
-        known, seen = counts[: len(tokens)], counts[len(tokens) :]
+        words, word = _distinct(tokens)
+        pairs, pair = _distinct(_arcs(tokens, sizes))
+        del tokens
+        counts = sums_of(answers, np.concatenate((words, pairs)), shards, COUNT).astype(float)
+        known, seen = counts[word], counts[len(words) :][pair]
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         state = np.concatenate(([0.0], known[:-1]))
         state[first] = seen[first] = 0
