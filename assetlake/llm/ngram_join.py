@@ -48,8 +48,12 @@ from .components import components
 BAND_RATIO = 1.5
 #: Times that the sets of a tile are compared with two of its members, before all are.
 TURNS = 2
-#: Bytes of a bitmap, and tiles of a set, that go with each of its tiles in a full comparison.
-SKETCH, FIRST_TILES = 256, 32
+#: Bytes of a bitmap at most. A bound from fewer bits is looser, never wrong.
+LARGEST_BITMAP = 4096
+#: Bytes of the bitmap's sketch at most: it goes with every candidate pair and every tile.
+LARGEST_SKETCH = 512
+#: Tiles of a set that go with each of its tiles in a full comparison.
+FIRST_TILES = 32
 #: Sets of one block of a tile that is compared in full.
 BLOCK = 256
 
@@ -65,7 +69,10 @@ SETS = pa.schema(
         ("sketch", pa.binary()),
     ]
 )
-SETS_DDL = "node long, row_key long, batch int, ids array<long>, n long, tiles array<long>, bits binary, sketch binary"
+SETS_DDL = (
+    "node long, row_key long, batch int, ids array<long>, n long, tiles array<long>, bits binary, "
+    "sketch binary"
+)
 PAIR_DDL = "a long, b long, n long, m long"
 
 
@@ -109,12 +116,17 @@ def _tile_keys(items: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _bitmap(items: np.ndarray) -> bytes:
     """About four bits per item; a power of two, so that two widths can be folded to one."""
-    width = max(64, 1 << (4 * len(items) - 1).bit_length())
+    width = min(8 * LARGEST_BITMAP, max(64, 1 << (4 * len(items) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[items & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _sketch_bytes(bitmap: int) -> int:
+    """A quarter of the bitmap: it tells sets apart that have little in common."""
+    return min(bitmap, LARGEST_SKETCH, max(16, bitmap // 4))
+
+
 def _folded(bits: bytes, size: int) -> np.ndarray:
     words = np.frombuffer(bits, np.uint64)
     return np.bitwise_or.reduce(words.reshape(-1, size), axis=0)
@@ -185,7 +197,7 @@ def _emit(size: int, num: int, den: int):
             rows["n"].append(len(items))
             rows["tiles"].append(tiles.view(np.int64))
             rows["bits"].append(bits)
-            rows["sketch"].append(bits and _folded(bits, min(len(bits), SKETCH) // 8).tobytes())
+            rows["sketch"].append(bits and _folded(bits, _sketch_bytes(len(bits)) // 8).tobytes())
         rows["ids"] = [ids_of[node] for node in rows["node"]]
         return pa.table(rows, SETS)
 
