@@ -6,8 +6,9 @@ asset, STRING), `batch_id` (the batch the asset came in with, STRING).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from itertools import pairwise
 
 import numpy as np
@@ -121,6 +122,13 @@ def ordered_ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy().astype(np.int64).view(np.uint64) ^ SIGN
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the machine; workers live through many tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # Key exchange -------------------------------------------------------------------------------
 #
 # Assets are dealt into batches by a hash of their id, as compressed blobs of rows. A batch asks
@@ -171,7 +179,7 @@ def dealt(df: DataFrame, *identity: str) -> GroupedData:
 
 def rows_of(table: pa.Table) -> tuple[int, pa.Table]:
     """(number of the batch, its rows) from one group of `dealt`."""
-    pa.default_memory_pool().release_unused()  # of the batch before
+    give_back()
     parts = [pa.ipc.open_stream(blob).read_all() for blob in table["rows"].to_pylist()]
     return table["batch"][0].as_py(), pa.concat_tables(parts).combine_chunks()
 

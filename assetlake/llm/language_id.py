@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import chunks, in_fold, text_bytes
+from .common import chunks, give_back, in_fold, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -238,8 +238,9 @@ def _label(model: Model, penalty: float):
     def label(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables:
             table = pa.Table.from_batches([batch])
-            for a, b in chunks(table["text"].to_pylist(), (1 << 24) // len(model.langs)):
+            for a, b in chunks(table["text"].to_pylist(), (1 << 22) // len(model.langs)):
                 yield from one(table.slice(a, b - a)).combine_chunks().to_batches()
+            give_back()
 
     return label
 

@@ -33,6 +33,7 @@ from .common import (
     combine,
     dealt,
     found,
+    give_back,
     gram_hashes,
     partitions,
     requests,
@@ -218,6 +219,7 @@ def _items(size: int):
             yield pa.record_batch(
                 {"node": pa.array(nodes, pa.int64()), "items": pa.array(items, pa.binary())}
             )
+            give_back()
 
     return items_of
 
@@ -351,6 +353,7 @@ def _block_pairs(num: int, den: int):
                 yield out
         if carry is not None and carry.num_rows:
             yield pairs(carry, True)[0]
+        give_back()
 
     return compare
 
