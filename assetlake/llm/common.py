@@ -141,7 +141,7 @@ DEALT = "batch int, rows binary"
 REQUEST = "shard int, batch int, keys binary, vals binary"
 ANSWER = "batch int, shard int, keys binary, vals binary"
 #: Bytes of rows that a task holds before it sends them to their batches.
-DEAL_BYTES = 1 << 26
+DEAL_BYTES = 1 << 24
 
 
 def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +166,7 @@ def _deal(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size > DEAL_BYTES:
             yield from flush()
             held, size = [], 0
+            give_back()
     if sum(t.num_rows for t in held):
         yield from flush()
 
