@@ -11,7 +11,8 @@ position is dropped as soon as its rank is unique, since no longer string from t
    smallest asset's need another look.
 3. The anchor with half of what its windows reach before it, and with half of that behind it:
    each window holds one of the two.
-4. The threshold itself, 50 bytes: every window that is left.
+4. The threshold itself, 50 bytes: every window that is left, those that other windows cover
+   whole included, since a larger asset may hold them alone.
 
 Ranks are 64-bit names (equality is all that is asked of them). Each round shuffles the distinct
 keys of a batch of assets, with the smallest id that holds them, and answers only keys that are
@@ -250,7 +251,7 @@ def _third_ranks(length: int, shards: int):
             around = _surroundings(stream, anchors)
             known, at = found(around, shared)
             repeated = known & (least[at] < stream.ids_at(anchors))
-            spans.append(_covered(stream, starts[repeated[number]], first))
+            spans.append(_runs(stream, starts[repeated[number]], first))
             left = found(ranks, shared)[0] & ~repeated
             for half in _halves(stream, anchors[left]):
                 k, v = _extremes(half, around[left])
@@ -286,8 +287,9 @@ def _fourth_ranks(length: int, shards: int):
             early = starts <= anchors[number] - half
             late = starts + length >= anchors[number] + ANCHOR + half
             starts = starts[(early & before[number]) | (late & behind[number])]
-            open_ = np.r_[0, np.cumsum(~_gone(stream, spans, first))]
-            starts = starts[open_[starts + length] > open_[starts]]
+            # a window that others cover may still be the source of one elsewhere; of one that
+            # is known to repeat, the smallest asset with its surroundings asks
+            starts = starts[~_known(stream, spans, first)[starts]]
             k, v = _extremes(stream.hashes(length)[starts], stream.ids_at(starts))
             keys.append(k)
             vals.append(v)
@@ -305,24 +307,35 @@ def _spans_of(answers: pa.Table) -> np.ndarray:
     return spans[np.argsort(spans[:, 0], kind="stable")]
 
 
-def _gone(stream: Stream, spans: np.ndarray, first: int, starts=()) -> np.ndarray:
-    """Whether each byte is covered by the spans or by a window at `starts`."""
+def _edges(stream: Stream, spans: np.ndarray, first: int, less: int) -> np.ndarray:
+    """1 where a span begins and -1 where it ends, `less` bytes before its end."""
     edges = np.zeros(len(stream.bytes) + 1, np.int32)
     a, b = np.searchsorted(spans[:, 0], [first, first + len(stream.starts)])
     offset = stream.starts[spans[a:b, 0] - first]
     np.add.at(edges, offset + spans[a:b, 1], 1)
-    np.add.at(edges, offset + spans[a:b, 2], -1)
+    np.add.at(edges, offset + spans[a:b, 2] - less, -1)
+    return edges
+
+
+def _known(stream: Stream, spans: np.ndarray, first: int) -> np.ndarray:
+    """Whether the window at each byte is one of those that the spans were made of."""
+    return np.cumsum(_edges(stream, spans, first, stream.length - 1)[:-1]) > 0
+
+
+def _gone(stream: Stream, spans: np.ndarray, first: int, starts: np.ndarray) -> np.ndarray:
+    """Whether each byte is covered by the spans or by a window at `starts`."""
+    edges = _edges(stream, spans, first, 0)
     if len(starts):
         edges[starts] += 1
         edges[starts + stream.length] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
-def _covered(stream: Stream, starts: np.ndarray, first: int) -> np.ndarray:
-    """Rows (number of the text, begin, end) of the runs that windows at sorted starts cover."""
+def _runs(stream: Stream, starts: np.ndarray, first: int) -> np.ndarray:
+    """Rows (number of the text, begin, end) covered by each run of windows at adjacent starts."""
     if not len(starts):
         return np.empty((0, 3), np.int64)
-    apart = np.flatnonzero(np.diff(starts) > stream.length)
+    apart = np.flatnonzero(np.diff(starts) > 1)
     begin = starts[np.r_[0, apart + 1]]
     end = starts[np.r_[apart, len(starts) - 1]] + stream.length
     # windows of two texts are never closer than the gap between the texts

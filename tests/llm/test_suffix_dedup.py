@@ -67,3 +67,17 @@ def test_long_text_and_empty_table(assets):
     assert kept[1] == long.encode() and kept[2] in (b"head  tail", b"head tail", b"head  tai", b"head tail")
     assert len(kept[2]) <= 10
     assert remove_repeats(assets([])).count() == 0
+
+
+def test_covered_window_is_still_a_source(assets):
+    """In id 3 other windows cover all of w, yet id 4 must lose it."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k in range(0, 100, 5):  # anchors fall differently each time
+        u, v = text(200), text(200)
+        rows += [(k + 1, u + v[:24]), (k + 2, u[-24:] + v), (k + 3, u + v)]
+        rows.append((k + 4, text(80) + u[-25:] + v[:25] + text(80)))
+    out = got(remove_repeats(assets(rows)))
+    assert out == brute(rows)
+    assert all(n >= 50 for i, _, n, *_ in out if i % 5 == 4)
