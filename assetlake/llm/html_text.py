@@ -4,7 +4,8 @@ Element subtrees are hashed and counted per host on Spark; a subtree that recurs
 its host is template, not text, and goes. What the markup itself says is no text (navigation,
 forms, scripts, adverts, comments) goes on every page, so that single pages of a host come out
 right too. Where a page marks its article, paragraphs within it are text however often they
-recur; of other elements there, none goes that holds over half of the page's text.
+recur; of other elements there, all are counted, but none goes that holds over half of the page's
+text.
 
 The project keeps no web pages: this operator is general, and takes any table of markup.
 """
@@ -19,9 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: A template recurs on this many pages of its host, and on this share of them.
+#: A template recurs on this many different pages of its host, however many pages that has.
 MIN_PAGES = 5
-MIN_SHARE = 0.2
 
 # HTML element names by their role, and class words of what is no text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,8 +214,11 @@ class Page:
         elif self.open.get(tag):
             self._close_to({tag}, set() if tag in BLOCKS else BLOCKS)
 
-    def result(self) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """(blocks of the main part, (hash, first block, end) of elements that may be template)."""
+    def result(self) -> tuple[list[str], list[tuple[int, int, int, bool]]]:
+        """Blocks of the main part, and the elements that may be template.
+
+        (hash, first block, end, whether the page keeps it even if it is template)
+        """
         kind = 0 if any(a for a, _ in self.kept) else 1 if any(m for _, m in self.kept) else None
         main = [kind is None or k[kind] for k in self.kept]
         place = [0]
@@ -231,24 +234,27 @@ class Page:
             if tag in ("html", "body", "main", "article") or (article and tag not in CONTAINERS):
                 continue
             a, b = place[first], place[last]
-            if b > a and 2 * (size[b] - size[a]) <= total:
+            if b > a:
                 signed = name - (1 << 64) if name >> 63 else name
-                elements.append((signed, a, b))
+                elements.append((signed, a, b, article and 2 * (size[b] - size[a]) > total))
         return blocks, elements
 
 
 def _elements(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct elements of each page."""
+    """The distinct elements of each page, which is known by a hash of its blocks."""
     for table in tables:
         out = []
         for host, key, html in zip(*(table.column(c).to_pylist() for c in table.schema.names)):
-            _, elements = Page(html).result()
-            out += [(host, key, h) for h in sorted({e[0] for e in elements})]
+            blocks, elements = Page(html).result()
+            page = xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "replace"))
+            page -= (page >> 63) << 64
+            out += [(host, key, page, h) for h in sorted({e[0] for e in elements})]
         yield pa.record_batch(
             {
                 "host": pa.array([o[0] for o in out], pa.string()),
                 "page_key": pa.array([o[1] for o in out], pa.int64()),
-                "hash": pa.array([o[2] for o in out], pa.int64()),
+                "page": pa.array([o[2] for o in out], pa.int64()),
+                "hash": pa.array([o[3] for o in out], pa.int64()),
             }
         )
 
@@ -259,8 +265,8 @@ def _extracted(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, gone in zip(table.column("html").to_pylist(), table.column("gone").to_pylist()):
             blocks, elements = Page(html).result()
             drop = [False] * len(blocks)
-            for name, first, last in elements if gone else ():
-                if name in gone:
+            for name, first, last, stays in elements if gone else ():
+                if name in gone and not stays:
                     drop[first:last] = [True] * (last - first)
             texts.append("\n".join(b for b, d in zip(blocks, drop) if not d))
             removed.append(sum(drop))
@@ -275,20 +281,19 @@ def _extracted(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def extract_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE
-) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """Main text of every page.
 
     pages: `page_id`, `url`, `html`; other columns are ignored. A subtree is template if it
-    stands on `min_pages` pages of its host or more, and on `min_share` of them or more.
+    stands on `min_pages` different pages of its host or more. Pages of a host whose main blocks
+    are all the same count as one: a page is not template because copies of it exist.
 
     Returns one row per input row: `page_id`, `url`, `text` (blocks in page order, one line each,
     white space as single blanks, character references decoded), `n_chars` (code points) and
     `n_template` (blocks removed as template).
 
     Null or empty html: empty text. Null url, or one without a host: its pages form one host.
-    Repeated rows come out alike and count as one page each. Markup that is not closed or nested
+    Repeated rows come out alike and count as one page. Markup that is not closed or nested
     wrongly is closed as browsers do for blocks. Empty table: no rows.
     """
     rows = pages.select(
@@ -301,16 +306,13 @@ def extract_text(
             "page_key": F.xxhash64("page_id", "url", "html"),
         }
     )
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
     elements = rows.select("host", "page_key", "html").mapInArrow(
-        _elements, "host string, page_key long, hash long"
+        _elements, "host string, page_key long, page long, hash long"
     )
     templates = (
         elements.groupBy("host", "hash")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count_distinct("page").alias("n"))
         .filter(F.col("n") >= min_pages)
-        .join(hosts, "host")
-        .filter(F.col("n") >= F.col("pages") * min_share)
         .select("host", "hash")
     )
     # rows of one key are alike; a page has few elements

@@ -67,3 +67,29 @@ def test_long_and_deep_markup():
     assert len(text("<p>" + "w " * 500_000)) == 999_999
     assert text("<div>" * 20_000 + "x" + "</div>" * 20_000) == "x"
     assert text('<a "' * 20_000)
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract_text(df.repartition(3)).collect()}
+
+
+def test_template_on_a_small_share_of_a_host(spark):
+    """Six pages of a section, among 60 others of the host, lose the section's template."""
+    section = "<div class=s><p>About this section</p></div>"
+    rows = [(i, f"http://d.example.com/{i}", f"{section if i < 6 else ''}<p>story {i}</p>") for i in range(66)]
+    rows += [(70 + i, f"http://d.example.com/c{i}", "<p>copied text</p>") for i in range(8)]
+    out = extracted(spark, rows)
+    assert all(out[i] == f"story {i}" for i in range(66))
+    assert all(out[70 + i] == "copied text" for i in range(8))
+
+
+def test_template_of_over_half_of_the_text(spark):
+    long = f"<div class=x><p>{'legal notice ' * 20}</p></div>"
+    rows = [(i, f"http://e.example.com/{i}", f"{long}<p>story {i}</p>") for i in range(7)]
+    # within an article it is counted on every page, and stays where it is most of the text
+    body = lambda i: f"<article>{long}<p>{'own words ' * (60 if i < 2 else 0)}{i}</p></article>"
+    rows += [(20 + i, f"http://f.example.com/{i}", body(i)) for i in range(6)]
+    out = extracted(spark, rows)
+    assert all(out[i] == f"story {i}" for i in range(7))
+    assert all(("legal notice" in out[20 + i]) == (i >= 2) for i in range(6))
