@@ -3,13 +3,14 @@
 Texts become words joined by single blanks. Exact notices are found as byte strings. For a notice
 that may be off by up to k characters, the pigeonhole principle gives seeds: cut into k + 1
 pieces, at least one piece stands unchanged. A seed's place bounds where the notice may begin and
-end; the stretch around it is given to the regular expression library, which finds the match with
-the fewest errors within the bound and reports its span. The words that tell one license from
-another must stand in the match as they are.
+end. Every span of whole words between those bounds that holds the words that tell one license
+from another is given to the regular expression library, which counts its errors within the bound.
+Of spans of a notice that overlap, the one with the fewest errors is its match.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -95,7 +96,7 @@ class Scanner:
             if n.base:
                 continue
             body = regex.escape(n.text[1:-1], literal_spaces=True)
-            pattern = rb"(?b)(?<=[ ])(?:" + body + rb"){e<=" + str(n.errors).encode() + rb"}(?=[ ])"
+            pattern = rb"(?b)(?:" + body + rb"){e<=" + str(n.errors).encode() + rb"}"
             self.fuzzy.append((n, seeds(n), regex.compile(pattern)))
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, Notice]]:
@@ -107,29 +108,36 @@ class Scanner:
             # a text without the words that must stand needs no seeds
             if not all(b" " + k.encode() + b" " in text for k in notice.keys):
                 continue
-            size, k = len(notice.text) - 2, notice.errors
-            stretches = sorted(
-                (max(0, at - offset - k - 1), at - offset + size + k + 1)
-                for offset, piece in pieces
-                for at in _places(text, piece)
-            )
-            last = -1
-            for begin, end in _joined(stretches):
-                for m in pattern.finditer(text, max(0, begin), min(len(text), end)):
-                    words = m[0].split()
-                    if m.start() > last and all(w.encode() in words for w in notice.keys):
-                        found.add((m.start(), m.end(), sum(m.fuzzy_counts), notice))
-                        last = m.start()
+            spans = []
+            for begin, end in _spans(text, notice, pieces):
+                words = text[begin:end].split()
+                if all(w.encode() in words for w in notice.keys):
+                    if m := pattern.fullmatch(text, begin, end):
+                        spans.append((sum(m.fuzzy_counts), begin, end))
+            taken: list[tuple[int, int]] = []
+            for errors, begin, end in sorted(spans):
+                at = bisect_left(taken, (end, 0))
+                if not at or taken[at - 1][1] <= begin:
+                    insort(taken, (begin, end))
+                    found.add((begin, end, errors, notice))
         return sorted(found, key=lambda f: (f[0], not f[3].base, f[2], f[1], f[3].label))
 
 
-def _joined(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in stretches:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def _spans(text: bytes, notice: Notice, pieces: list[tuple[int, bytes]]) -> set[tuple[int, int]]:
+    """(begin, end) of all spans of whole words where some seed lets the notice be."""
+    size, k = len(notice.text) - 2, notice.errors
+    out = set()
+    for offset, piece in pieces:
+        for at in _places(text, piece):
+            low, high = max(1, at - offset - k), min(len(text), at - offset + size + k + 1)
+            blanks = [i for i in range(low - 1, high) if text[i] == 32]
+            out.update(
+                (a + 1, b)
+                for a in blanks
+                if a < at - offset + k
+                for b in blanks
+                if abs(b - a - 1 - size) <= k
+            )
     return out
 
 

@@ -81,3 +81,53 @@ def test_seeds_miss_no_match():
 
 def test_notices_are_told_apart():
     assert {n.label for n in NOTICES if n.base} == set(BASE)
+
+
+def test_adjacent_notices(assets):
+    """A better match that lacks the license's own words must not hide a worse one before it."""
+    two, three = "gnu general public license version 2", "gnu genral publc license version 3"
+    rows = [(1, f"the {three} and {two} here"), (2, f"the {two} and {three} here")]
+    rows.append((3, "gnu genral public license version 3 gnu general public license version 3"))
+    out = {r.asset_id: r.spans for r in scan_licenses(assets(rows)).collect()}
+    assert [(s.label, s.first_word) for s in out[1]] == [("gpl-3", 1), ("gpl-2", 8)]
+    assert [(s.label, s.first_word) for s in out[2]] == [("gpl-2", 1), ("gpl-3", 8)]
+    assert [(s.first_word, s.errors) for s in out[3] if s.label == "gpl-3"] == [(0, 1), (6, 0)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_spans_against_brute_force():
+    """All spans of whole words, judged by edit distance."""
+    rng = random.Random(9)
+    notices = [n for n in NOTICES if not n.base]
+    for _ in range(150):
+        n, parts = rng.choice(notices), []
+        for _ in range(rng.randint(1, 3)):
+            near = list(rng.choice([n, rng.choice(notices)]).phrase)
+            for _ in range(rng.randint(0, n.errors + 1)):
+                at, how = rng.randrange(len(near)), rng.randrange(3)
+                near[at : at + (how < 2)] = rng.choice("aez 23") * (how > 0)
+            parts += ["".join(near), *rng.choices(["and", "2", "gnu", "license", ""], k=2)]
+        text = f" {' '.join(' '.join(parts).split())} "
+        cuts = [i for i, c in enumerate(text) if c == " "]
+        spans = sorted(
+            (distance(text[a + 1 : b], n.phrase), a + 1, b)
+            for a in cuts
+            for b in cuts
+            if abs(b - a - 1 - len(n.phrase)) <= n.errors
+            and set(n.keys) <= set(text[a + 1 : b].split())
+        )
+        want = []
+        for errors, a, b in spans:
+            if errors <= n.errors and all(b <= c or d <= a for c, d, _ in want):
+                want.append((a, b, errors))
+        got = [f[:3] for f in Scanner([n]).matches(text.encode())]
+        assert got == sorted(want), (n, text)
