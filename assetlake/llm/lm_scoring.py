@@ -1,8 +1,9 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are word contexts, plus the root state without context. A state h with word arc w carries
-log10((c(hw) + K p(w)) / (c(h) + K)); where the arc is missing, the failure arc to the root costs
-log10(K / (c(h) + K)) and the root's arc log10 p(w) follows, p being add-one smoothed over the
+States are contexts of up to `order` - 1 words, plus the root state without context. A state h
+with word arc w carries log10((c(hw) + K p(w)) / (c(h) + K)), p being the probability in the state
+without h's first word; where the arc is missing, the failure arc to that state costs
+log10(K / (c(h) + K)) and what it gives follows, down to the root's arc, add-one smoothed over the
 known words and one unknown word. The probabilities of a state sum to one over those words.
 
 The counts of all learning assets decide the model, so it grows with them and is never held
@@ -74,10 +75,17 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return scrambled(np.concatenate(parts)), np.array(sizes)
 
 
-def _arcs(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Key of the arc from the token before to each token; 0 where a text begins."""
-    arcs = np.concatenate((np.zeros(1, np.uint64), gram_hashes(tokens, 2)))
-    arcs[np.cumsum(sizes)[:-1]] = 0
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Number of each token in its text, from 0."""
+    first = (np.cumsum(sizes) - sizes).astype(np.int32)
+    return np.arange(sizes.sum(), dtype=np.int32) - np.repeat(first, sizes)
+
+
+def _arcs(tokens: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
+    """Key of the `order` tokens that end at each token; 0 where a text has fewer up to there."""
+    arcs = np.concatenate((np.zeros(order - 1, np.uint64), gram_hashes(tokens, order)))
+    arcs = arcs[: len(tokens)]
+    arcs[places < order - 1] = 0
     return arcs
 
 
@@ -122,14 +130,15 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, place.astype(np.int32)
 
 
-def _ask(shards: int):
+def _ask(order: int, shards: int):
     def ask(table: pa.Table) -> pa.Table:
         batch, table = rows_of(table)
         tokens, sizes = _tokens(table["text"].to_pylist())
         weight = np.repeat(~table["held_out"].to_numpy(), sizes).astype(np.float32)
+        places = _places(sizes)
         keys, counts = [], []
-        for values in (tokens, _arcs(tokens, sizes)):
-            k, place = _distinct(values)
+        for n in range(1, order + 1):
+            k, place = _distinct(_arcs(tokens, places, n))
             keys.append(k)
             counts.append(np.bincount(place, weights=weight).astype(COUNT))
         return requests(batch, np.concatenate(keys), np.concatenate(counts), shards)
@@ -137,24 +146,28 @@ def _ask(shards: int):
     return ask
 
 
-def _score(n: int, v: int, weight: float, shards: int):
+def _score(n: int, v: int, weight: float, order: int, shards: int):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return SCORED.empty_table()
         _, docs = rows_of(docs)
         tokens, sizes = _tokens(docs["text"].to_pylist())
-        words, word = _distinct(tokens)
-        pairs, pair = _distinct(_arcs(tokens, sizes))
+        places = _places(sizes)
+        keys, at = zip(*(_distinct(_arcs(tokens, places, k)) for k in range(1, order + 1)))
         del tokens
-        counts = sums_of(answers, np.concatenate((words, pairs)), shards, COUNT).astype(float)
-        known, seen = counts[word], counts[len(words) :][pair]
+        ends = np.cumsum([len(k) for k in keys])
+        counts = np.split(sums_of(answers, np.concatenate(keys), shards, COUNT), ends[:-1])
+        del keys
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        state = np.concatenate(([0.0], known[:-1]))
-        state[first] = seen[first] = 0
-        root = np.log10((known + 1) / (n + v + 1))
-        failure = np.log10(weight / (state + weight))
-        arc = np.log10((seen + weight * 10**root) / (state + weight))
-        step = np.where(seen > 0, arc, failure + root)
+        known = seen = counts[0][at[0]].astype(float)
+        root = step = np.log10((known + 1) / (n + v + 1))
+        for k in range(1, order):
+            state = np.concatenate(([0.0], seen[:-1]))
+            seen = counts[k][at[k]].astype(float)
+            state[places < k] = seen[places < k] = 0
+            failure = np.log10(weight / (state + weight))
+            arc = np.log10((seen + weight * 10**step) / (state + weight))
+            step = np.where(seen > 0, arc, failure + step)
         return pa.table(
             {
                 "asset_id": docs["asset_id"],
@@ -175,12 +188,14 @@ def lm_score(
     held_out_modulus: int = 7,
     held_out_remainder: int = 2,
     weight: float = BACKOFF_WEIGHT,
+    order: int = 2,
 ) -> DataFrame:
     """Log10 probability of every asset's text under a model of the learning assets.
 
     assets: `asset_id`, `text`; other columns are ignored. Assets whose crc32(asset_id as text)
     leaves `held_out_remainder` on division by `held_out_modulus` are scored but not learnt from.
-    Tokens are the words between white space, A-Z lower-cased, and one end per text.
+    Tokens are the words between white space, A-Z lower-cased, and one end per text. A state holds
+    up to `order` - 1 of them.
 
     Returns one row per input row: `asset_id`, `held_out`, `n_tokens`, `n_known` (tokens that the
     learning texts hold), `train_tokens`, `base_score` (root alone), `score` (the automaton).
@@ -205,7 +220,7 @@ def lm_score(
     )
     n, v = totals["n"] or 0, totals["v"] or 0
     batches = dealt(docs, "asset_id", "text")
-    answers = combine(batches.applyInArrow(_ask(shards), REQUEST), "sum", COUNT, only_many=False)
+    answers = combine(batches.applyInArrow(_ask(order, shards), REQUEST), "sum", COUNT, only_many=False)
     return batches.cogroup(answers.groupBy("batch")).applyInArrow(
-        _score(n, v, weight, shards), SCORED_DDL
+        _score(n, v, weight, order, shards), SCORED_DDL
     )

@@ -40,7 +40,8 @@ def assets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    return lm_score(assets(spark, sf)).withColumnRenamed("asset_id", "doc_id")
+    """Contexts of two words."""
+    return lm_score(assets(spark, sf), order=3).withColumnRenamed("asset_id", "doc_id")
 
 
 @query

@@ -73,3 +73,30 @@ def test_nothing_to_learn_from_and_empty_table(assets):
     row = lm_score(assets([(held, "a b")])).first()
     assert (row.n_known, row.train_tokens, row.base_score) == (0, 0, 0.0)
     assert lm_score(assets([])).count() == 0
+
+
+def test_longer_contexts(assets):
+    """States of two and three words, down to the root one failure arc at a time."""
+    rng = random.Random(4)
+    words = ["layer", "path", "mask", "x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows.append((61, "never seen path mask"))
+    tokens = [[*t.split(), None] for _, t in rows]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    grams = Counter()
+    for t, out in zip(tokens, held):
+        if not out:
+            grams.update(tuple(t[a:b]) for b in range(1, len(t) + 1) for a in range(b))
+    n = sum(c for g, c in grams.items() if len(g) == 1)
+    v = sum(len(g) == 1 for g in grams)
+
+    def p(context, w):
+        if not context:
+            return (grams[(w,)] + 1) / (n + v + 1)
+        return (grams[(*context, w)] + 5 * p(context[1:], w)) / (grams[context] + 5)
+
+    for order in (1, 3, 4):
+        out = {r.asset_id: r.score for r in lm_score(assets(rows), weight=5.0, order=order).collect()}
+        for (i, _), t in zip(rows, tokens):
+            want = sum(math.log10(p(tuple(t[max(0, k - order + 1) : k]), w)) for k, w in enumerate(t))
+            assert abs(out[i] - want) < 1e-6
