@@ -7,7 +7,7 @@ so that repeated and missing ids do no harm; rows that are alike in every value
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assetlake.llm.common import broadcast_if_small, discard, scratch, settled
 from assetlake.llm.decontaminate import decontaminate
@@ -32,12 +32,19 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a language: null or empty texts, and texts without letters."""
+    """Leave out documents without a language: null or empty texts, and texts without letters.
+
+    Where no language could be learnt, texts with letters stay.
+    """
     ship_package(spark)
     keyed = _keyed(docs)
     labelled = label_language(keyed.select(F.col(KEY).alias("asset_id"), "text", "lang"))
     unknown = labelled.filter(F.col("lang_pred") == UNKNOWN).select(F.col("asset_id").alias(KEY))
-    return _without(keyed, settled(unknown.distinct(), "unknown-language")).select(docs.columns)
+    gone = broadcast_if_small(settled(unknown.distinct(), "unknown-language")).alias("gone")
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return keyed.join(gone, (keyed[KEY] == F.col(f"gone.{KEY}")) & ~letters, "left_anti").select(
+        docs.columns
+    )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +73,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return single.unionByName(one).select(docs.columns)
 
 
+def _whole_characters(kept: Column, spans: Column) -> Column:
+    """What is left of a text, without the characters that the borders of removed spans split."""
+    bounds = F.aggregate(
+        spans,
+        F.struct(F.array(F.lit(0).cast("long")).alias("at"), F.lit(0).cast("long").alias("gone")),
+        lambda a, s: F.struct(
+            F.concat(a["at"], F.array(s["start"] - a["gone"])).alias("at"),
+            (a["gone"] + s["length"]).alias("gone"),
+        ),
+    )["at"]
+    ends = F.concat(F.slice(bounds, 2, F.size(spans)), F.array(F.octet_length(kept).cast("long")))
+    last = F.size(spans)
+
+    def piece(a: Column, i: Column) -> Column:
+        # one character a byte, so that a pattern can name bytes
+        size = (F.element_at(ends, i + 1) - a).cast("int")
+        text = F.decode(F.substring(kept, (a + 1).cast("int"), size), "ISO-8859-1")
+        text = F.when(i > 0, F.regexp_replace(text, r"^[\x80-\xBF]{1,3}", "")).otherwise(text)
+        split = r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF4][\x80-\xBF]{0,2})\z"
+        text = F.when(i < last, F.regexp_replace(text, split, "")).otherwise(text)
+        return text
+
+    left = F.array_join(F.transform(bounds, piece), "")
+    return F.encode(left, "ISO-8859-1").cast("string")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes or more that a document with a smaller id has too.
 
@@ -81,7 +114,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         F.struct(none, F.struct(none, *others).alias("others")).alias("document"),
     )
     cut = remove_repeats(whole, carry=["document"])
-    left = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    left = _whole_characters(F.col("kept"), F.col("spans"))
     text = F.when(F.col("n_removed") > 0, left).when(
         ~F.col("carried.document.no_text"), F.col("kept").cast("string")
     )

@@ -73,3 +73,20 @@ def test_stages_keep_columns_nulls_and_empty_tables(spark, planted):
     assert [n for n, _ in cp.STAGES] == [
         "language_id", "ngram_join", "suffix_dedup", "decontamination", "mixing"
     ]
+
+
+def test_no_language_to_learn(spark, planted):
+    rows = [(1, "words of a text", None, "a", 15), (2, "12 !!", None, "a", 5), (3, None, None, "a", 0)]
+    out = cp.language(spark, spark.createDataFrame(rows, SCHEMA), planted[0])
+    assert [r.doc_id for r in out.collect()] == [1]
+
+
+def test_only_split_characters_go(spark, planted):
+    """U+FFFD of the input stays, also beside a cut; of é, ê and 😀, 😁 one byte differs."""
+    rng = random.Random(3)
+    a, b = words(rng, 20, "a"), words(rng, 20, "b")
+    rows = [(1, f"é{a}é ", "en", "s", 0), (2, f"1�ê{a}ê�2", "en", "s", 0)]
+    rows += [(3, f"😀{b}😀 ", "en", "s", 0), (4, f"x{b}😁�y{a}�z", "en", "s", 0)]
+    out = cp.repeated_passages(spark, spark.createDataFrame(rows, SCHEMA), planted[0])
+    text = {r.doc_id: r.text for r in out.collect()}
+    assert text == {1: rows[0][1], 2: "1�ê�2", 3: rows[2][1], 4: "x�y�z"}
