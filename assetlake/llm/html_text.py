@@ -234,9 +234,9 @@ class Page:
             if tag in ("html", "body", "main", "article") or (article and tag not in CONTAINERS):
                 continue
             a, b = place[first], place[last]
-            if b > a:
-                signed = name - (1 << 64) if name >> 63 else name
-                elements.append((signed, a, b, article and 2 * (size[b] - size[a]) > total))
+            # elements outside the main part have no blocks in it, but count
+            signed = name - (1 << 64) if name >> 63 else name
+            elements.append((signed, a, b, article and 2 * (size[b] - size[a]) > total))
         return blocks, elements
 
 

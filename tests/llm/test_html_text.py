@@ -93,3 +93,10 @@ def test_template_of_over_half_of_the_text(spark):
     out = extracted(spark, rows)
     assert all(out[i] == f"story {i}" for i in range(7))
     assert all(("legal notice" in out[20 + i]) == (i >= 2) for i in range(6))
+
+
+def test_elements_outside_the_article_count(spark):
+    box = "<div class=x><p>Read on</p></div>"
+    inside = lambda i: f"<article><p>{'own ' * 20}{i}</p>{box if i < 2 else ''}</article>"
+    rows = [(i, f"http://g.example.com/{i}", f"{inside(i)}{box if i >= 2 else ''}") for i in range(6)]
+    assert all(t == f"{'own ' * 20}{i}" for i, t in extracted(spark, rows).items())
