@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import read_table, ship_package
+from .common import in_fold
 from .decontaminate import decontaminate
+from .exact_dedup import drop_copies, normalised
 from .html_text import extract_text
+from .infill import infill, restored
 from .language_id import label_language
 from .license_scan import license_summary, scan_licenses
 from .lm_scoring import lm_score
+from .manifest import audit_assets
 from .mixing import mix_batches
 from .ngram_join import ngram_join
 from .quality import score_quality
@@ -212,3 +216,159 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0)
   sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)
 """
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return drop_copies(assets(spark, sf)).select(
+        F.col("asset_id").alias("doc_id"),
+        "keep_id",
+        "group_size",
+        "kept",
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+_LOWER_TEXT = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+
+ORACLE["op11_exact_dedup"] = f"""
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(x) AS text_sha256
+FROM (SELECT doc_id, {_LOWER_TEXT} AS x FROM documents)
+WINDOW w AS (PARTITION BY x)
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return infill(assets(spark, sf)).select(
+        F.col("asset_id").alias("doc_id"),
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def _draw(k: int) -> str:
+    return f"CAST('0x' || substr(sha256('1:' || doc_id), {8 * k - 7}, 8) AS BIGINT)"
+
+
+ORACLE["op12_fill_in_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    {_draw(1)} AS h1, {_draw(2)} AS h2, {_draw(3)} AS h3, {_draw(4)} AS h4
+  FROM documents
+), c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+    greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b
+  FROM d
+), p AS (
+  SELECT doc_id, n, x, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid,
+    array_to_string(u[b + 1:], '') AS suf,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x
+    WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op13_dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third asset by the crc32 of its id claims its text in lower case."""
+    rows = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("asset_id"), F.col("source").alias("batch_id"), "lang", "n_chars", "text"
+    )
+    text = F.col("text")
+    lowered = in_fold(F.col("asset_id"), 3, 0) & text.isNotNull()
+    return audit_assets(rows, {"text": F.when(lowered, normalised(text)).otherwise(text)}).select(
+        F.col("asset_id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
+#: Levels that the SQL of the manifest builds per tree: groups of up to 8 to this power.
+_SQL_LEVELS = 7
+
+
+def _sql_tree(name: str, key: str, leaves: str) -> str:
+    """CTEs {name}0 to {name}N: (key, k, h) of every level; a sole node stays as it is."""
+    steps = [f"{name}0 AS ({leaves})"]
+    for level in range(1, _SQL_LEVELS + 1):
+        below = f"{name}{level - 1}"
+        steps.append(
+            f"{name}{level} AS (SELECT {key}, k // 8 AS k, CASE WHEN any_value(n) = 1 THEN min(h) "
+            f"ELSE sha256(string_agg(h, '' ORDER BY k)) END AS h FROM "
+            f"(SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {below}) GROUP BY {key}, k // 8)"
+        )
+    return ", ".join(steps)
+
+
+def _sql_climb(name: str, key: str, start: str) -> str:
+    """CTEs {name}c0 to {name}cN: the start's rows with `f` folded and `p` appended per level."""
+    steps = [f"{name}c0 AS ({start})"]
+    for level in range(_SQL_LEVELS):
+        beside = (
+            f"SELECT {key}, k, h, "
+            f"coalesce(string_agg(h, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+            f"coalesce(string_agg(h, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r, "
+            f"count(*) OVER (PARTITION BY {key}) AS n FROM {name}{level} "
+            f"WINDOW r AS (PARTITION BY {key}, k // 8 ORDER BY k)"
+        )
+        steps.append(
+            f"{name}c{level + 1} AS (SELECT c.* REPLACE (c.{name}k // 8 AS {name}k, "
+            f"CASE WHEN b.n = 1 THEN c.f ELSE sha256(b.l || c.f || b.r) END AS f, "
+            f"CASE WHEN b.n = 1 THEN c.p ELSE c.p || b.l || b.r END AS p) "
+            f"FROM {name}c{level} c JOIN ({beside}) b ON c.{key} = b.{key} AND c.{name}k = b.k)"
+        )
+    return ", ".join(steps)
+
+
+def _sql_leaf(text: str) -> str:
+    columns = ["doc_id", "source", "lang", "n_chars", text]
+    parts = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode({p})) || ':' || {p}, '-')" for p in parts
+    ) + ")"
+
+
+#: crc32 of the id as text, bit by bit.
+_SQL_CRC = """xor(4294967295, list_reduce(
+    list_concat([4294967295], [CAST(ord(c) AS BIGINT) for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_CLAIM = f"CASE WHEN {_SQL_CRC} % 3 = 0 THEN {_LOWER_TEXT} ELSE text END"
+
+ORACLE["op13_dataset_manifest"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_sql_leaf("text")} AS leaf,
+    CASE WHEN text IS NULL THEN {_sql_leaf("text")} ELSE {_sql_leaf(f"({_CLAIM})")} END AS claimed
+  FROM documents
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS place FROM d
+), {_sql_tree("t", "g", "SELECT g, place AS k, leaf AS h FROM o")},
+u AS (SELECT 1 AS one, row_number() OVER (ORDER BY g) - 1 AS k, g, h FROM t{_SQL_LEVELS}),
+{_sql_tree("s", "one", "SELECT one, k, h FROM u")},
+{_sql_climb("t", "g", "SELECT doc_id, g, place AS tk, leaf, claimed AS f, '' AS p FROM o")},
+up AS (SELECT c.*, u.h AS subroot, u.one, u.k AS sk FROM tc{_SQL_LEVELS} c JOIN u USING (g)),
+{_sql_climb("s", "one", "SELECT * FROM up")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified
+FROM sc{_SQL_LEVELS} JOIN s{_SQL_LEVELS} USING (one)
+"""

@@ -28,6 +28,13 @@ COLUMNS = {
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_topk_search": ["query_id", "rank", "vec_id", "score"],
     "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op12_fill_in_middle": [
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256",
+    ],
+    "op13_dataset_manifest": [
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
+    ],
 }
 
 
