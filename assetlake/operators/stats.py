@@ -41,6 +41,45 @@ def queue_stats(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: Counts that add up over items, and over signed changes of items.
+COUNTS = (
+    "items", "total_original", "total_optimized", "successful", "failed", "processing",
+)
+
+
+def queue_counts(items: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """COUNTS per group, of items as `queue_stats` takes them."""
+    status = F.col("status")
+    values = (
+        F.count("*"),
+        F.coalesce(F.sum("original_size"), F.lit(0)),
+        F.coalesce(F.sum("optimized_size"), F.lit(0)),
+        *(F.count_if(status == named) for named in (K.SUCCESS, K.ERROR, K.PROCESSING)),
+    )
+    return items.groupBy(*(by or [])).agg(
+        *(value.cast("bigint").alias(name) for value, name in zip(values, COUNTS, strict=True))
+    )
+
+
+def counted_stats(counts: DataFrame) -> DataFrame:
+    """The columns of `queue_stats` from COUNTS per group. Groups without items left vanish."""
+    by = [c for c in counts.columns if c not in COUNTS]
+    finished = F.col("successful") + F.col("failed")
+    known = counts.filter("items > 0") if by else counts.na.fill(0)
+    return known.select(
+        *by,
+        "items",
+        "total_original",
+        "total_optimized",
+        ((F.col("items") > 0) & (finished == F.col("items"))).alias("all_done"),
+        "successful",
+        "processing",
+        (finished > 0).alias("has_finished"),
+        (F.col("failed") == 0).alias("zero_errors"),
+        savings_percent(F.col("total_original"), F.col("total_optimized")).alias("savings_pct"),
+    )
+
+
 def stage_timing(marks: DataFrame, task: list[str], names: tuple[str, str, str, str]) -> DataFrame:
     """Milliseconds per stage of each task from its first mark of each kind.
 

@@ -7,6 +7,7 @@ arrive in that order, as the messages of a worker do.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -103,53 +104,120 @@ def task_outcomes(events: DataFrame, limit_ms: int, until_ms: int) -> DataFrame:
 class LifecycleProcessor(StatefulProcessor):
     """Item status from the states of its formats; one row per change of status."""
 
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.formats = handle.getMapState("formats", "format string", "status string")
-        self.item = handle.getValueState("item", "status string")
+        self.item = handle.getValueState("item", "status string, last_ms bigint")
+
+    def _ends_at(self, item: tuple | None) -> int | None:
+        """When a finished item leaves the state: once no message may continue it."""
+        if item is None or self.keep_ms is None or item[0] == K.PROCESSING:
+            return None
+        return item[1] + self.keep_ms + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.item.get()
-        before = K.PENDING if known is None else known[0]
-        states = {k[0]: v[0] for k, v in self.formats.iterator()}
-        touched = set()
+        known = item = self.item.get()
+        stored = {k[0]: v[0] for k, v in self.formats.iterator()}
+        states = dict(stored)
         for row in sorted(rows, key=lambda r: (r.ts_ms, r.seq)):
+            end = self._ends_at(item)
+            if end is not None and row.ts_ms >= end:
+                item, states = None, {}
             state = {"start": K.PROCESSING, "RESULT": K.SUCCESS}.get(row.type, K.ERROR)
+            before = K.PENDING if item is None else item[0]
             if row.format not in states and state != K.PROCESSING:
+                item = item and (before, row.ts_ms)
                 continue
             states[row.format] = state
-            touched.add(row.format)
             held = set(states.values())
             after = next((s for s in (K.PROCESSING, K.ERROR) if s in held), K.SUCCESS)
+            item = (after, row.ts_ms)
             if after != before:
                 yield Row(
                     asset_id=key[0], seq=row.seq, ts_ms=row.ts_ms, from_status=before,
                     to_status=after,
                 )
-                before = after
-        for name in touched:
-            self.formats.updateValue((name,), (states[name],))
-        if touched:
-            self.item.update((before,))
+        for name in stored.keys() - states.keys():
+            self.formats.removeKey((name,))
+        for name, state in states.items():
+            if stored.get(name) != state:
+                self.formats.updateValue((name,), (state,))
+        old, new = self._ends_at(known), self._ends_at(item)
+        if old != new and old is not None:
+            self.handle.deleteTimer(old)
+        if old != new and new is not None:
+            self.handle.registerTimer(new)
+        if item is None:
+            self.item.clear()
+        elif item != known:
+            self.item.update(item)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.formats.clear()
+        self.item.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def task_lifecycle(events: DataFrame) -> DataFrame:
+def task_lifecycle(
+    events: DataFrame, keep: timedelta | None = None, delay: str = "0 seconds"
+) -> DataFrame:
     """Status transitions per item on a stream of (asset_id, format, type, ts, seq).
 
-    Messages other than start, RESULT and ERROR, such as progress, change no status.
+    Messages other than start, RESULT and ERROR, such as progress, change no status, and neither
+    do outcomes of formats that were not started.
+
+    With `keep`, a finished item leaves the state when the watermark is more than that past its
+    last message, so that the state holds the open items and those just finished. A message
+    that comes later than that begins the item anew: it counts as pending, with no format started.
+    The rule is on the times of messages and not on when the state was cleared, so the cut of a
+    feed into micro-batches changes nothing. Messages behind the watermark (`delay`) are dropped.
+    Without `keep` items stay.
     """
+    keep_ms = None if keep is None else keep // timedelta(milliseconds=1)
+    moves = events.filter(F.col("type").isin(*MOVES))
+    timed = moves if keep is None else moves.withWatermark("ts", delay)
     return (
-        events.filter(F.col("type").isin(*MOVES)).withColumn("ts_ms", F.unix_millis("ts"))
+        timed.withColumn("ts_ms", F.unix_millis("ts"))
         .groupBy("asset_id")
         .transformWithState(
-            LifecycleProcessor(), TRANSITION, outputMode="append", timeMode="None"
+            LifecycleProcessor(keep_ms), TRANSITION, outputMode="append",
+            timeMode="None" if keep is None else "EventTime",
         )
     )
 
 
-def lifecycle_transitions(events: DataFrame, slices: int | None = None) -> DataFrame:
+def _lives(rows: DataFrame, keep: timedelta, slices: int | None) -> DataFrame:
+    """Number the lives of each item: a finished item that is silent for longer than `keep` ends.
+
+    Whether an item is open before a message does not depend on where its lives begin: a format
+    is open if its last message is a start, and no life ends while one is.
+    """
+    order = ["ts_ms", "seq"]
+    by = [F.col(c) for c in order]
+    stepped = previous_values(rows, ["asset_id", "format"], order, {"_was": "state"}, slices=slices)
+    stepped = previous_values(stepped, ["asset_id"], order, {"_last_ms": "ts_ms"}, slices=slices)
+    opened = (F.col("state") == K.PROCESSING).cast("int") - F.coalesce(
+        F.col("_was") == K.PROCESSING, F.lit(False)
+    ).cast("int")
+    counted = running_totals(
+        stepped.withColumn("_opened", opened), ["asset_id"], by, {"_open": F.col("_opened")}, slices
+    )
+    silent = F.col("ts_ms") - F.col("_last_ms") > keep // timedelta(milliseconds=1)
+    fresh = F.coalesce(silent, F.lit(False)) & (F.col("_open") == F.col("_opened"))
+    return running_totals(counted, ["asset_id"], by, {"life": fresh.cast("int")}, slices).select(
+        *rows.columns, "life"
+    )
+
+
+def lifecycle_transitions(
+    events: DataFrame, slices: int | None = None, keep: timedelta | None = None
+) -> DataFrame:
     """Batch twin of `task_lifecycle`.
 
     Each event changes how many formats of its item are open and how many have failed;
@@ -162,21 +230,24 @@ def lifecycle_transitions(events: DataFrame, slices: int | None = None) -> DataF
     )
     moves = events.filter(F.col("type").isin(*MOVES))
     rows = moves.withColumns({"ts_ms": F.unix_millis("ts"), "state": state})
+    item = ["asset_id"]
+    if keep is not None:
+        rows, item = _lives(rows, keep, slices), ["asset_id", "life"]
     started = F.min(F.when(F.col("type") == "start", F.struct("ts_ms", "seq")))
-    starts = rows.groupBy("asset_id", "format").agg(started.alias("started"))
-    known = rows.join(starts, ["asset_id", "format"]).filter(
+    starts = rows.groupBy(*item, "format").agg(started.alias("started"))
+    known = rows.join(starts, [*item, "format"]).filter(
         F.struct("ts_ms", "seq") >= F.col("started")
     )
-    kept = known.select("asset_id", "format", "seq", "ts_ms", "state")
+    kept = known.select(*item, "format", "seq", "ts_ms", "state")
     order = ["ts_ms", "seq"]
-    stepped = previous_values(kept, ["asset_id", "format"], order, {"was": "state"}, slices=slices)
+    stepped = previous_values(kept, [*item, "format"], order, {"was": "state"}, slices=slices)
 
     def change(status: str):
         was = F.coalesce(F.col("was") == status, F.lit(False)).cast("int")
         return (F.col("state") == status).cast("int") - was
 
     counted = running_totals(
-        stepped, ["asset_id"], [F.col(c) for c in order],
+        stepped, item, [F.col(c) for c in order],
         {"open": change(K.PROCESSING), "failed": change(K.ERROR)}, slices=slices,
     )
     status = (
@@ -184,8 +255,8 @@ def lifecycle_transitions(events: DataFrame, slices: int | None = None) -> DataF
         .when(F.col("failed") > 0, K.ERROR)
         .otherwise(K.SUCCESS)
     )
-    after = counted.select("asset_id", "seq", "ts_ms", status.alias("to_status"))
-    moved = previous_values(after, ["asset_id"], order, {"from_status": "to_status"}, slices=slices)
+    after = counted.select(*item, "seq", "ts_ms", status.alias("to_status"))
+    moved = previous_values(after, item, order, {"from_status": "to_status"}, slices=slices)
     before = F.coalesce("from_status", F.lit(K.PENDING))
     return moved.withColumn("from_status", before).filter(
         F.col("from_status") != F.col("to_status")

@@ -2,27 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
 from ..operators import stats, tasks
+from .store import ChangeLog
 
-#: Epochs between two folds of all changes into one base table.
-FOLD_EVERY = 50
 RESULT, ERROR, WORKER_ERROR, CANCELLED = "RESULT", "ERROR", "WORKER_ERROR", "CANCELLED"
 
 
+def _told(events: DataFrame, *more: str) -> DataFrame:
+    """Outcomes and cancellations, in one pass; a cancellation has no status."""
+    kind = F.col("type")
+    good, failed = kind == RESULT, kind == WORKER_ERROR
+    return events.filter(kind.isin(RESULT, ERROR, WORKER_ERROR, CANCELLED)).select(
+        "asset_id",
+        F.when(kind != CANCELLED, F.col("format")).alias("format"),
+        F.col("seq").cast("bigint").alias("seq"),
+        failed.cast("int").alias("phase"),
+        F.when(good, K.SUCCESS).when(kind != CANCELLED, K.ERROR).alias("status"),
+        F.when(good, F.col("size")).cast("bigint").alias("size"),
+        F.when(good, F.col("label")).alias("label"),
+        F.when(failed, K.ERR_WORKER).when(kind == ERROR, F.col("error")).alias("error"),
+        *more,
+    )
+
+
 def outcomes_of(events: DataFrame) -> DataFrame:
-    """RESULT and ERROR messages as outcomes, then the errors of workers.
+    """RESULT and ERROR messages as outcomes, and the errors of workers, which come after them.
 
-    Progress and cancellation change no result.
+    Progress and cancellation change no result. Columns as `tasks.merge_outcomes` gives them.
     """
-    kind = F.col("type")
-    responses = events.filter(kind.isin(RESULT, ERROR))
-    return tasks.merge_outcomes(responses, events.filter(kind == WORKER_ERROR))
+    return _told(events).filter(F.col("status").isNotNull())
+
+
+# Cancellation --------------------------------------------------------------------------------
 
 
 def drop_cancelled(events: DataFrame, cancelled: DataFrame) -> DataFrame:
@@ -30,9 +48,116 @@ def drop_cancelled(events: DataFrame, cancelled: DataFrame) -> DataFrame:
     return events.join(cancelled.select("asset_id").distinct(), "asset_id", "left_anti")
 
 
-def _folded(changes: DataFrame) -> DataFrame:
+class TombstoneProcessor(StatefulProcessor):
+    """Lets the messages of an item through up to its first cancellation, and that one."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tombstone = handle.getValueState("tombstone", "ts_ms bigint, seq bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.tombstone.get()
+        rows = list(rows)  # those of one item in one micro-batch
+        first = min(((r.ts_ms, r.seq) for r in rows if r.cancel), default=None)
+        if first and (known is None or first < tuple(known)):
+            if known is not None and self.keep_ms is not None:
+                self.handle.deleteTimer(known[0] + self.keep_ms)
+            self.tombstone.update(first)
+            if self.keep_ms is not None:
+                self.handle.registerTimer(first[0] + self.keep_ms)
+        else:
+            first = known and tuple(known)
+        for row in rows:
+            at = (row.ts_ms, row.seq)
+            if first is None or at < first or (row.cancel and at == first and known is None):
+                yield Row(asset_id=key[0], cancel=row.cancel, message=row.message)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.tombstone.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _until_cancelled(marked: DataFrame, keep: timedelta | None, delay: str) -> DataFrame:
+    """(asset_id, cancel, message) of rows (asset_id, cancel, ts, seq, message) that pass."""
+    keep_ms = None if keep is None else keep // timedelta(milliseconds=1)
+    timed = marked if keep is None else marked.withWatermark("ts", delay)
+    kept = [marked.schema[c] for c in ("asset_id", "cancel", "message")]
+    first = F.lit(-1).cast("bigint")  # messages without a place come before all others
+    place = {"ts_ms": F.unix_millis("ts"), "seq": F.col("seq").cast("bigint")}
+    return (
+        timed.withColumns({name: F.coalesce(c, first) for name, c in place.items()})
+        .groupBy("asset_id")
+        .transformWithState(
+            TombstoneProcessor(keep_ms), T.StructType(kept), outputMode="append",
+            timeMode="None" if keep is None else "EventTime",
+        )
+    )
+
+
+def _marked(rows: DataFrame, cancel: Column, columns: list[str]) -> DataFrame:
+    rest = [c for c in columns if c != "asset_id"]
+    return rows.select("asset_id", cancel.alias("cancel"), "ts", "seq", F.struct(*rest).alias("message"))
+
+
+def drop_cancelled_stream(
+    events: DataFrame, cancels: DataFrame, keep: timedelta | None = None, delay: str = "0 seconds"
+) -> DataFrame:
+    """Messages of a feed up to the cancellation of their item, which comes on a second stream.
+
+    events: (asset_id, ts, seq, ...); cancels: (asset_id, ts, seq). A cancellation leaves a tombstone
+    in the state of its item. From then on, messages that follow it in (ts, seq) are dropped, in
+    whatever order both streams deliver them within a micro-batch; earlier ones that arrive late
+    still pass, and those that passed before the cancellation arrived have passed. Of several
+    cancellations the first counts. With `keep`, a tombstone is cleared once the watermark is that
+    long past the cancellation, after which the id may be used again, and messages behind the
+    watermark (`delay`) are dropped; without, tombstones stay.
+    """
+    rest = [f for f in events.schema if f.name != "asset_id"]
+    nothing = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rest))
+    both = _marked(events, F.lit(False), events.columns).unionByName(
+        cancels.select("asset_id", F.lit(True).alias("cancel"), "ts", "seq", nothing.alias("message"))
+    )
+    return (
+        _until_cancelled(both, keep, delay).filter("NOT cancel")
+        .select("asset_id", "message.*").select(events.columns)
+    )
+
+
+# The change log ------------------------------------------------------------------------------
+
+PLACE = "struct<number: bigint, phase: int, seq: bigint>"
+CHANGE = (
+    "format string, new_status string, new_size bigint, new_label string, new_error string, "
+    f"at {PLACE}, size_at {PLACE}, error_at {PLACE}, cancelled boolean"
+)
+
+
+def _log_schema(asset_id: T.DataType, delta: list[T.StructField] | None = None) -> T.StructType:
+    """Rows of the log: a change of a result, a removed item (`cancelled`), or signed counts."""
+    fields = [T.StructField("asset_id", asset_id), *T.StructType.fromDDL(CHANGE)]
+    return T.StructType(fields + ([T.StructField("delta", T.StructType(delta))] if delta else []))
+
+
+def _as_log(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with the columns of the log; those that are missing are null."""
+    return rows.select(
+        *(
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema
+        )
+    )
+
+
+def _folded(changes: DataFrame, *more: Column) -> DataFrame:
     """The last of several changes per (item, format): each value with the place that set it."""
     return changes.groupBy("asset_id", "format").agg(
+        *more,
         F.max("at").alias("at"),
         F.max_by("new_status", "at").alias("new_status"),
         F.max_by("new_size", "size_at").alias("new_size"),
@@ -43,97 +168,101 @@ def _folded(changes: DataFrame) -> DataFrame:
     )
 
 
-def _changes(outcomes: DataFrame, epoch: int) -> DataFrame:
-    at = F.struct(
-        F.lit(epoch).cast("bigint").alias("epoch"),
-        F.col("phase").cast("int").alias("phase"),
-        F.col("seq").cast("bigint").alias("seq"),
-    )
-    return _folded(
-        outcomes.select(
-            "asset_id",
-            "format",
-            at.alias("at"),
-            F.col("status").alias("new_status"),
-            F.col("size").cast("bigint").alias("new_size"),
-            F.col("label").alias("new_label"),
-            F.col("error").alias("new_error"),
-            F.when(F.col("status") == K.SUCCESS, at).alias("size_at"),
-            F.when(F.col("status") == K.ERROR, at).alias("error_at"),
-        )
+def _parts(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes, removed items) of a log."""
+    changes = log.filter(F.col("at").isNotNull())
+    return changes, log.filter("cancelled").select("asset_id").distinct()
+
+
+def _fold(log: DataFrame) -> DataFrame:
+    """The log with one row per result, per removed item and per group of statistics."""
+    changes, removed = _parts(log)
+    gone = removed.withColumn("cancelled", F.lit(True))
+    kept = _folded(changes.join(removed, "asset_id", "left_anti"))
+    out = _as_log(kept, log.schema).unionByName(_as_log(gone, log.schema))
+    if "delta" in log.columns:
+        sums = _summed(log)
+        sums = sums.select(F.struct(*sums.columns).alias("delta"))
+        out = out.unionByName(_as_log(sums, log.schema))
+    return out
+
+
+def _place(number: int, phase: Column, seq: Column) -> Column:
+    fields = (F.lit(number).cast("bigint"), phase.cast("int"), seq.cast("bigint"))
+    return F.struct(*(c.alias(n) for c, n in zip(fields, ("number", "phase", "seq"))))
+
+
+def _changes(told: DataFrame, number: int) -> DataFrame:
+    """Log rows of a micro-batch: one per (item, format), and one per cancelled item."""
+    at = _place(number, F.col("phase"), F.col("seq"))
+    rows = told.select(
+        "asset_id",
+        "format",
+        F.when(F.col("status").isNotNull(), at).alias("at"),
+        F.col("status").alias("new_status"),
+        F.col("size").alias("new_size"),
+        F.col("label").alias("new_label"),
+        F.col("error").alias("new_error"),
+        F.when(F.col("status") == K.SUCCESS, at).alias("size_at"),
+        F.when(F.col("status") == K.ERROR, at).alias("error_at"),
+        F.col("status").isNull().alias("cancelled"),
     )
+    return _folded(rows, F.bool_or("cancelled").alias("cancelled"))
+
+
+def _log(spark: SparkSession, path: str) -> ChangeLog:
+    return ChangeLog(spark, path, _fold)
 
 
 def merge_results_stream(
     events: DataFrame,
     path: str,
     cancelled: DataFrame | None = None,
-    on_flush: Callable[[SparkSession, int], None] | None = None,
+    keep: timedelta | None = None,
+    delay: str = "0 seconds",
 ) -> DataStreamWriter:
-    """Fold each micro-batch to one change per (item, format) and store it under its epoch.
+    """Fold each micro-batch to one change per (item, format) and commit it to the log at `path`.
 
-    A replayed epoch overwrites its own folder, so merging is idempotent, and no micro-batch
-    rewrites the results table. `current_results` reads table and changes together. Items that a
-    CANCELLED message names, or the table `cancelled`, count as removed. Every FOLD_EVERY epochs
-    all changes so far are folded into one base table, so reading does not grow with the age of
-    the stream. `on_flush` is called after each stored epoch.
+    `current_results` reads the log over the results table; no micro-batch rewrites that table.
+    A CANCELLED message removes its item: messages that follow it never reach the log (see
+    `drop_cancelled_stream`, also for `keep` and `delay`); items of the table `cancelled` never do.
+    Replayed epochs change nothing, and the log is folded as it grows (see `ChangeLog`).
     """
     spark = events.sparkSession
-    change = _changes(outcomes_of(events), -1).schema
-    nothing = {
-        "base/upto=-1": change,
-        "changes/epoch=-1": change,
-        "cancelled/epoch=-1": events.select("asset_id").schema,
-    }
-    for part, schema in nothing.items():  # a stream that never got a message can be read, too
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{part}")
+    schema = _log_schema(events.schema["asset_id"].dataType)
+    _log(spark, path).create(spark.createDataFrame([], schema))
+    told = _told(events, "ts")
+    if cancelled is not None:  # their outcomes go; a message that cancels one still counts
+        gone = cancelled.select(F.col("asset_id").alias("gone")).distinct()
+        theirs = (F.col("asset_id") == F.col("gone")) & F.col("status").isNotNull()
+        told = told.join(gone, theirs, "left_anti")
+    marked = _marked(told, F.col("status").isNull(), [c for c in told.columns if c != "ts"])
+    passed = _until_cancelled(marked, keep, delay).select("asset_id", "message.*")
 
     def store(batch: DataFrame, epoch: int) -> None:
-        gone = batch.filter(F.col("type") == CANCELLED).select("asset_id").distinct()
-        gone.write.mode("overwrite").parquet(f"{path}/cancelled/epoch={epoch}")
-        rows = batch if cancelled is None else drop_cancelled(batch, cancelled)
-        changes = _changes(outcomes_of(rows), epoch)
-        changes.write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
-        if epoch and epoch % FOLD_EVERY == 0:
-            fold_changes(batch.sparkSession, path, epoch)
-        if on_flush:
-            on_flush(batch.sparkSession, epoch)
-
-    return events.writeStream.foreachBatch(store).option(
+        log = _log(batch.sparkSession, path)
+        log.commit(epoch, lambda number: _as_log(_changes(batch, number), schema))
+
+    return passed.writeStream.foreachBatch(store).option(
         "checkpointLocation", f"{path}/progress"
     )
 
 
-def fold_changes(spark: SparkSession, path: str, epoch: int) -> None:
-    """Fold all changes up to an epoch into one base table."""
-    folded = _folded(_stored_changes(spark, path).filter(F.col("at.epoch") <= epoch))
-    folded.write.mode("overwrite").parquet(f"{path}/base/upto={epoch}")
-
-
-def _stored_changes(spark: SparkSession, path: str) -> DataFrame:
-    """The newest base and all changes behind it. Folders before the base may be deleted."""
-    bases = spark.read.parquet(f"{path}/base")
-    newest = bases.agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
-    base = bases.filter(F.col("upto") == newest).drop("upto")
-    later = spark.read.parquet(f"{path}/changes").filter(F.col("epoch") > newest).drop("epoch")
-    return base.unionByName(later)
-
-
 def removed_items(spark: SparkSession, path: str) -> DataFrame:
     """Items that messages of the feed cancelled."""
-    return spark.read.parquet(f"{path}/cancelled").select("asset_id").distinct()
+    return _parts(_log(spark, path).rows())[1]
 
 
 def current_results(spark: SparkSession, results: DataFrame, path: str) -> DataFrame:
-    """The results table with all stored changes applied.
+    """The results table with all committed changes applied.
 
     Unknown items and formats of the feed vanish, and so do the results of removed items.
     """
-    last = _folded(_stored_changes(spark, path))
+    changes, removed = _parts(_log(spark, path).rows())
     names = ["status", "size", "label", "error"]
     return (
-        drop_cancelled(results, removed_items(spark, path))
-        .join(last, ["asset_id", "format"], "left")
+        drop_cancelled(results, removed)
+        .join(_folded(changes), ["asset_id", "format"], "left")
         .withColumns({c: F.coalesce(f"new_{c}", c) for c in names})
         .select(*results.columns)
     )
@@ -147,25 +276,183 @@ def current_items(
     return tasks.item_status(kept, current_results(spark, results, path))
 
 
+# Running statistics --------------------------------------------------------------------------
+
+
+class QueueProcessor(StatefulProcessor):
+    """Items and their results as keyed state; changes come out with the counts they move.
+
+    What an item adds to the statistics follows from its state. A change takes the old
+    contribution back and adds the new one, as one row of signed counts per item and micro-batch.
+    """
+
+    FORMAT = "status string, size bigint, first_size bigint"
+    CHANGED = (
+        "format string, status string, size bigint, label string, error string, phase int, "
+        "seq bigint, size_phase int, size_seq bigint, error_phase int, error_seq bigint, "
+        "counts array<bigint>, cancelled boolean"
+    )
+
+    def __init__(self, groups: str):
+        self.groups = groups
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", f"original_size bigint, status string, {self.groups}")
+        self.formats = handle.getMapState("formats", "format string", self.FORMAT)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        known = initialState.asDict(recursive=True)
+        self.item.update((known["original_size"], known["status"], *known["groups"].values()))
+        for entry in known["results"] or []:
+            size = entry["size"]
+            self.formats.updateValue((entry["format"],), (entry["status"], size, size))
+
+    @staticmethod
+    def counts(item: tuple, formats: dict[str, tuple]) -> tuple[int, ...]:
+        """Values of `stats.COUNTS` for one item."""
+        held = [state for state, _, _ in formats.values()]
+        status = item[1]
+        if held and not {K.PENDING, K.PROCESSING} & set(held):
+            status = K.ERROR if K.ERROR in held else K.SUCCESS
+        written = sum(size or 0 for state, size, _ in formats.values() if state == K.SUCCESS)
+        named = [int(status == s) for s in (K.SUCCESS, K.ERROR, K.PROCESSING)]
+        return (1, item[0] or 0, written, *named)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        item = self.item.get()
+        if item is None:
+            return
+        formats = {k[0]: tuple(v) for k, v in self.formats.iterator()}
+        before = self.counts(item, formats)
+        last: dict[str, Row] = {}
+        set_by: dict[tuple[str, str], Row] = {}
+        cancelled = False
+        for row in rows:
+            cancelled = cancelled or row.status is None
+            if row.format in formats and row.status:
+                place = (row.phase, row.seq)
+                for names, key_ in ((last, row.format), (set_by, (row.format, row.status))):
+                    if key_ not in names or (names[key_].phase, names[key_].seq) <= place:
+                        names[key_] = row
+        if cancelled:
+            self.item.clear()
+            self.formats.clear()
+            after = (0,) * len(before)
+        else:
+            for name, row in last.items():
+                good, bad = set_by.get((name, K.SUCCESS)), set_by.get((name, K.ERROR))
+                _, size, first = formats[name]
+                if good:
+                    size = first if good.size is None else good.size
+                formats[name] = (row.status, size, first)
+                self.formats.updateValue((name,), formats[name])
+                change = {"format": name, "status": row.status, "phase": row.phase, "seq": row.seq}
+                if good:
+                    change |= {"size": good.size, "label": good.label}
+                    change |= {"size_phase": good.phase, "size_seq": good.seq}
+                if bad:
+                    change |= {"error": bad.error, "error_phase": bad.phase, "error_seq": bad.seq}
+                yield self.row(key, item, change)
+            after = self.counts(item, formats)
+        moved = [a - b for a, b in zip(after, before)]
+        if cancelled or any(moved):
+            yield self.row(key, item, {"counts": moved, "cancelled": cancelled})
+
+    @classmethod
+    def row(cls, key: tuple, item: tuple, values: dict) -> Row:
+        """A row of CHANGED with these values; all others are null."""
+        names = (column.split()[0] for column in cls.CHANGED.split(", "))
+        values = dict.fromkeys(names) | {"cancelled": False} | values
+        groups = {f"g{n}": value for n, value in enumerate(item[2:])}
+        return Row(asset_id=key[0], groups=groups, **values)
+
+    def close(self) -> None:
+        pass
+
+
+def _summed(log: DataFrame) -> DataFrame:
+    """Signed counts of a log, added up per group."""
+    delta = log.schema["delta"].dataType
+    by = [f.name for f in delta if f.name not in stats.COUNTS]
+    deltas = log.filter(F.col("delta").isNotNull()).select("delta.*")
+    return deltas.groupBy(*by).agg(*(F.sum(name).alias(name) for name in stats.COUNTS))
+
+
 def running_stats(
     events: DataFrame, items: DataFrame, results: DataFrame, path: str, by: list[str]
 ) -> DataStreamWriter:
-    """Keep results merged, and the queue statistics of each flush beside them.
-
-    A result that is sent again replaces the one before. `latest_stats` reads the newest.
+    """Keep results merged, and the queue statistics with them. `latest_stats` reads these.
+
+    `items` and `results` are read once, when the stream starts for the first time: their rows
+    become the state of a processor keyed by item, and their statistics the base of the log.
+    After that a flush costs what changed: messages meet the state of their own items, a result
+    that is sent again takes the one before back, a CANCELLED message takes its whole item back,
+    and the log gets one row per changed result and one row of signed counts per changed item.
+    Ids of items are unique. Messages of unknown items and formats change nothing. In one
+    micro-batch, errors of workers come after results, and a cancellation counts for all of it.
     """
+    spark = events.sparkSession
+    groups = [T.StructField(c, items.schema[c].dataType) for c in by]
+    counts = [T.StructField(c, T.LongType()) for c in stats.COUNTS]
+    asset_id = items.schema["asset_id"].dataType
+    schema = _log_schema(asset_id, groups + counts)
+    log = _log(spark, path)
+    if log.manifest() is None:
+        start = stats.queue_counts(tasks.item_status(items, results), by)
+        log.create(_as_log(start.select(F.struct(*by, *stats.COUNTS).alias("delta")), schema))
+
+    held = results.select("asset_id", F.struct("format", "status", F.col("size").cast("bigint").alias("size")).alias("r"))
+    held = held.groupBy("asset_id").agg(F.collect_list("r").alias("results"))
+    named = [F.col(c).alias(f"g{n}") for n, c in enumerate(by)] or [F.lit(0).alias("g0")]
+    initial = items.join(held, "asset_id", "left").select(
+        "asset_id",
+        F.col("original_size").cast("bigint").alias("original_size"),
+        "status",
+        F.struct(*named).alias("groups"),
+        "results",
+    )
+    state = initial.schema["groups"].dataType
+    first = [items.schema["asset_id"], T.StructField("groups", state)]
+    out = T.StructType([*first, *T.StructType.fromDDL(QueueProcessor.CHANGED)])
+    told = _told(events).withColumns(
+        {"asset_id": F.col("asset_id").cast(asset_id), "seq": F.coalesce("seq", F.lit(-1).cast("bigint"))}
+    )
+    changed = told.groupBy("asset_id").transformWithState(
+        QueueProcessor(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state)),
+        out, outputMode="append", timeMode="None", initialState=initial.groupBy("asset_id"),
+    )
 
-    def write(spark: SparkSession, epoch: int) -> None:
-        now = stats.queue_stats(current_items(spark, items, results, path), by)
-        now.write.mode("overwrite").parquet(f"{path}/stats/epoch={epoch}")
+    def rows(batch: DataFrame, number: int) -> DataFrame:
+        moved = [F.col("counts")[n].alias(name) for n, name in enumerate(stats.COUNTS)]
+        keys = [F.col(f"groups.g{n}").alias(c) for n, c in enumerate(by)]
 
-    empty = stats.queue_stats(items.withColumn("optimized_size", F.lit(0).cast("bigint")), by)
-    empty.write.mode("ignore").parquet(f"{path}/stats/epoch=-1")
-    return merge_results_stream(events, path, on_flush=write)
+        def place(name: str, prefix: str = "") -> Column:
+            phase, seq = F.col(f"{prefix}phase"), F.col(f"{prefix}seq")
+            return F.when(seq.isNotNull(), _place(number, phase, seq)).alias(name)
+
+        return batch.select(
+            "asset_id",
+            "format",
+            *(F.col(c).alias(f"new_{c}") for c in ("status", "size", "label", "error")),
+            place("at"),
+            place("size_at", "size_"),
+            place("error_at", "error_"),
+            "cancelled",
+            F.when(F.col("counts").isNotNull(), F.struct(*keys, *moved)).alias("delta"),
+        )
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        to = _log(batch.sparkSession, path)
+        to.commit(epoch, lambda number: _as_log(rows(batch, number), schema), continues=False)
+
+    return changed.writeStream.foreachBatch(store).outputMode("append").option(
+        "checkpointLocation", f"{path}/progress"
+    )
 
 
 def latest_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Statistics of the last flush; before any, those of the untouched items."""
-    rows = spark.read.parquet(f"{path}/stats")
-    newest = rows.agg(F.max("epoch")).first()[0]
-    return rows.filter(F.col("epoch") == newest).drop("epoch")
+    """Statistics of the last flush; before any, those of the untouched items.
+
+    The base of the log and the signed counts behind it, added up; no item is read.
+    """
+    return stats.counted_stats(_summed(_log(spark, path).rows()))

@@ -10,7 +10,7 @@ from ..functions import constants as K
 from ..plans.session import new_shared_path, read_table
 from ..sources.events import read_task_events
 from ..streaming import lifecycle, options, results as R
-from ..streaming.runs import drain
+from ..streaming.runs import drain, run
 from .base import events, query
 from .queue import SUMMARY
 
@@ -115,9 +115,7 @@ def queued_results(spark, sf):
 def merge_results_stream(spark, sf):
     path = new_shared_path(spark, "results")
     feed = messages(stream(spark, sf))
-    R.merge_results_stream(feed, path, cancelled(spark, sf)).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    run(R.merge_results_stream(feed, path, cancelled(spark, sf)))
     return R.current_results(spark, queued_results(spark, sf), path)
 
 
@@ -131,6 +129,23 @@ def drop_cancelled(spark, sf):
     return drain(kept.select("asset_id", "format", "type", "seq"), "kept")
 
 
+@query(
+    "drop_cancelled_stream",
+    f"""WITH {MESSAGES}, timed AS (
+      SELECT m.*, epoch_us(ts) // 1000 AS ms FROM messages m JOIN events ON event_id = seq),
+    stops AS (SELECT asset_id, min((ms, seq)) AS stop FROM timed WHERE type = 'CANCELLED'
+      GROUP BY asset_id)
+    SELECT asset_id, format, type, seq FROM timed LEFT JOIN stops USING (asset_id)
+    WHERE type <> 'CANCELLED' AND (stop IS NULL OR (ms, seq) < stop)""",
+)
+def drop_cancelled_stream(spark, sf):
+    """Messages on one stream, cancellations on another."""
+    told = messages(stream(spark, sf)).select("asset_id", "format", "type", "seq", "ts")
+    stops = messages(stream(spark, sf)).filter("type = 'CANCELLED'")
+    kept = R.drop_cancelled_stream(told.filter("type <> 'CANCELLED'"), stops)
+    return drain(kept.select("asset_id", "format", "type", "seq"), "until-cancelled")
+
+
 @query(
     "running_stats",
     f"""WITH {merged_sql("")}, flags AS (
@@ -155,9 +170,7 @@ def running_stats(spark, sf):
         F.lit(K.PROCESSING).alias("status"), F.lit(0).alias("progress"),
     )
     feed = messages(stream(spark, sf))
-    R.running_stats(feed, items, queued_results(spark, sf), path, ["batch_id"]).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    run(R.running_stats(feed, items, queued_results(spark, sf), path, ["batch_id"]))
     return R.latest_stats(spark, path)
 
 
@@ -248,23 +261,41 @@ def task_outcomes(spark, sf):
     return lifecycle.task_outcomes(task_events(rows), LIMIT_MS, until)
 
 
-MOVES = """states AS (
+STATES = """states AS (
   SELECT user_id AS asset_id, event_id % 3 AS f, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms,
     CASE WHEN event_type IN ('signup', 'view') THEN 'processing'
       WHEN event_type = 'purchase' THEN 'success' ELSE 'error' END AS state
-  FROM events WHERE event_type <> 'click'),
-begun AS (SELECT asset_id, f, min((ts_ms, seq)) AS s FROM states WHERE state = 'processing'
-  GROUP BY asset_id, f),
-stepped AS (SELECT t.*, lag(state) OVER (PARTITION BY asset_id, f ORDER BY ts_ms, seq) AS was
-  FROM states t JOIN begun USING (asset_id, f) WHERE (ts_ms, seq) >= s),
+  FROM events WHERE event_type <> 'click')"""
+KEEP = timedelta(hours=6)
+#: A finished item that is silent for longer than KEEP begins anew.
+LIVES = f"""{STATES.replace("states AS", "every AS")},
+followed AS (SELECT *, lag(state) OVER (PARTITION BY asset_id, f ORDER BY ts_ms, seq) AS earlier,
+  lag(ts_ms) OVER (PARTITION BY asset_id ORDER BY ts_ms, seq) AS last_ms FROM every),
+opened AS (SELECT *, coalesce(sum((state = 'processing')::INT - coalesce((earlier = 'processing')::INT, 0))
+  OVER (PARTITION BY asset_id ORDER BY ts_ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  AS held FROM followed),
+states AS (SELECT asset_id, f, seq, ts_ms, state,
+  sum((held = 0 AND coalesce(ts_ms - last_ms > {KEEP // timedelta(milliseconds=1)}, false))::INT)
+    OVER (PARTITION BY asset_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS life FROM opened)"""
+
+
+def moved_sql(states: str, item: str) -> str:
+    """Transitions from the states of formats; `item` names the columns that tell items apart."""
+    return f"""WITH {states},
+begun AS (SELECT {item}, f, min((ts_ms, seq)) AS s FROM states WHERE state = 'processing'
+  GROUP BY {item}, f),
+stepped AS (SELECT t.*, lag(state) OVER (PARTITION BY {item}, f ORDER BY ts_ms, seq) AS was
+  FROM states t JOIN begun USING ({item}, f) WHERE (ts_ms, seq) >= s),
 counted AS (
   SELECT *, sum((state = 'processing')::INT - coalesce((was = 'processing')::INT, 0)) OVER w AS open,
     sum((state = 'error')::INT - coalesce((was = 'error')::INT, 0)) OVER w AS failed
-  FROM stepped WINDOW w AS (PARTITION BY asset_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING)),
-named AS (SELECT asset_id, seq, ts_ms, CASE WHEN open > 0 THEN 'processing' WHEN failed > 0
+  FROM stepped WINDOW w AS (PARTITION BY {item} ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING)),
+named AS (SELECT {item}, seq, ts_ms, CASE WHEN open > 0 THEN 'processing' WHEN failed > 0
   THEN 'error' ELSE 'success' END AS to_status FROM counted),
-moves AS (SELECT asset_id, seq, ts_ms, coalesce(lag(to_status) OVER (PARTITION BY asset_id
-  ORDER BY ts_ms, seq), 'pending') AS from_status, to_status FROM named)"""
+moves AS (SELECT asset_id, seq, ts_ms, coalesce(lag(to_status) OVER (PARTITION BY {item}
+  ORDER BY ts_ms, seq), 'pending') AS from_status, to_status FROM named)
+SELECT CAST(asset_id AS VARCHAR) AS asset_id, seq, ts_ms, from_status, to_status
+FROM moves WHERE from_status <> to_status"""
 
 
 def lifecycle_events(rows: DataFrame) -> DataFrame:
@@ -279,10 +310,8 @@ def lifecycle_events(rows: DataFrame) -> DataFrame:
     )
 
 
-MOVED = (
-    f"WITH {MOVES} SELECT CAST(asset_id AS VARCHAR) AS asset_id, seq, ts_ms, from_status, to_status "
-    "FROM moves WHERE from_status <> to_status"
-)
+MOVED = moved_sql(STATES, "asset_id")
+LIVED = moved_sql(LIVES, "asset_id, life")
 
 
 @query("task_lifecycle", MOVED)
@@ -293,3 +322,14 @@ def task_lifecycle(spark, sf):
 @query("lifecycle_transitions", MOVED)
 def lifecycle_transitions(spark, sf):
     return lifecycle.lifecycle_transitions(lifecycle_events(events(spark, sf)))
+
+
+@query("task_lifecycle_expiring", LIVED)
+def task_lifecycle_expiring(spark, sf):
+    moves = lifecycle.task_lifecycle(lifecycle_events(stream(spark, sf)), KEEP)
+    return drain(moves, "lifecycle")
+
+
+@query("lifecycle_transitions_expiring", LIVED)
+def lifecycle_transitions_expiring(spark, sf):
+    return lifecycle.lifecycle_transitions(lifecycle_events(events(spark, sf)), keep=KEEP)
