@@ -255,6 +255,7 @@ def audit_assets(
         F.unhex(F.when(same, leaf).otherwise(leaf_digest(claimed))).alias("claimed"),
     )
     order = [F.col("asset_id").asc_nulls_first(), F.col("digest"), F.col("claimed")]
+    leaves = settled(leaves, "leaves")  # ranking reads them twice
     placed = ranked(leaves, ["tree"], order, "place").withColumn("place", F.col("place") - 1)
     levels = _levels(placed, "claimed", "asset_id")
     trees = ranked(_subroots(levels), [], [F.col("tree")], "rank")
