@@ -117,22 +117,19 @@ def measure_pairs(
     for a sample of the colours.
     """
     jpeg = F.col("format").isin("jpg", "jpeg")
-    black = (0, 0, 0)
+    originals, outputs = P.packed_lines(originals), P.packed_lines(outputs)
     wanted = pairs.select("pair_id", "original_id", "output_id", "format")
     fitted = stored(P.fitted_outputs(wanted, originals, outputs), "fitted")
-    sides = P.pair_lines(fitted, originals).withColumn(
-        "original",
-        F.when(jpeg & (F.col("channels") == 4), P.flattened("original", black))
-        .otherwise(F.col("original")),
+    sides = P.pair_lines(fitted, originals)
+    output_colours = P.line_colors(fitted.withColumnRenamed("pair_id", "asset_id"), cap)
+    output_colours = output_colours.withColumnsRenamed(
+        {"asset_id": "pair_id", "unique_colors": "output_colors"}
     )
-    output_colours = P.unique_colors(
-        P.explode_pixels(fitted.withColumnRenamed("pair_id", "asset_id"), cap)
-    ).withColumnsRenamed({"asset_id": "pair_id", "unique_colors": "output_colors"})
-    of_original = P.colour_counts(P.explode_pixels(originals, cap), black).withColumnRenamed(
+    of_original = P.colour_facts(originals, cap, P.BLACK).drop("luma").withColumnRenamed(
         "asset_id", "original_id"
     )
     return (
-        pairs.join(P.quality(sides, window), "pair_id", "left")
+        pairs.join(P.quality(sides, window, jpeg), "pair_id", "left")
         .join(output_colours, "pair_id", "left")
         .join(of_original, "original_id", "left")
         .withColumns(
@@ -153,6 +150,7 @@ def measure_vector_pairs(
 
     Pairs of which a side could not be read keep their row, with null measures.
     """
+    originals, outputs = P.packed_lines(originals), P.packed_lines(outputs)
     wanted = pairs.select("pair_id", "original_id", "output_id")
     fitted = stored(P.fitted_outputs(wanted, originals, outputs), "fitted")
     energy = P.edge_energy(fitted.withColumnRenamed("pair_id", "asset_id"))

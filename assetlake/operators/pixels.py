@@ -4,17 +4,20 @@ Pixels travel as scan lines: one row per image line, `samples` holding its inter
 channels. A line is bounded by the image width, so an image of any size is spread over many
 rows; per-line sums stay inside whole rows, and only small partial sums are shuffled.
 
-`lines`: asset_id, width, height, channels (1 grey or 4 RGBA), y, samples ARRAY<INT>.
+`lines`: asset_id, width, height, channels (1 grey or 4 RGBA), y, samples ARRAY<INT>. Measures of
+lines take `packed_lines` as well; those that explode pixels do not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import constants as K
 from ..functions.columns import half_up
+from . import kernels as N
 
 IMAGE = ["asset_id", "width", "height"]
+BLACK = (0, 0, 0)
 
 
 def grid_lines(grids: DataFrame) -> DataFrame:
@@ -28,6 +31,13 @@ def grid_lines(grids: DataFrame) -> DataFrame:
     return grids.select(*rest, F.inline(lines))
 
 
+def packed_lines(lines: DataFrame) -> DataFrame:
+    """Lines with `samples` as BINARY, one byte each: smaller where they are stored or shuffled."""
+    if isinstance(lines.schema["samples"].dataType, T.BinaryType):
+        return lines
+    return lines.withColumn("samples", N.packed("samples"))
+
+
 def stride(total: Column, cap: int) -> Column:
     """Sampling step that keeps at most `cap` positions."""
     return F.when(total > cap, F.ceil(total / F.lit(float(cap)))).otherwise(F.lit(1)).cast("bigint")
@@ -108,6 +118,38 @@ def transparency(pixels: DataFrame, small_px: int = K.SMALL_TRANSPARENT_PX) -> D
     )
 
 
+def colour_facts(
+    lines: DataFrame, cap: int | None = None, background: tuple[int, int, int] | None = None
+) -> DataFrame:
+    """Per image: `raw_colors`, `flat_colors` on a background, `has_alpha`, and `luma` counts.
+
+    Exact. Each batch of lines gives its distinct colours: small images as a list, others as
+    bitmaps over buckets of the 24-bit colour space, which Spark joins; so no more rows are
+    shuffled than an image has buckets. `luma` lists (luma, n) of batches and is not added up.
+    """
+    columns = lines.select(*IMAGE, "channels", "y", "samples")
+    kind = lines.schema["asset_id"].dataType.simpleString()
+    parts = columns.mapInArrow(N.colour_parts(cap, background), f"asset_id {kind}, {N.PARTS}")
+    merged = parts.groupBy("asset_id", "kind", "bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("bits")).alias("many"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("few")))).alias("few"),
+        F.flatten(F.collect_list("luma")).alias("luma"),
+        F.bool_or("clear").alias("clear"),
+    )
+    colours = F.col("many") + F.col("few")
+    return merged.groupBy("asset_id").agg(
+        F.sum(F.when(F.col("kind") == N.RAW, colours)).alias("raw_colors"),
+        F.sum(F.when(F.col("kind") == N.FLAT, colours)).alias("flat_colors"),
+        F.bool_or("clear").alias("has_alpha"),
+        F.flatten(F.collect_list("luma")).alias("luma"),
+    )
+
+
+def line_colors(lines: DataFrame, cap: int | None = None) -> DataFrame:
+    """`unique_colors` from scan lines."""
+    return colour_facts(lines, cap).select("asset_id", F.col("raw_colors").alias("unique_colors"))
+
+
 def classify_content(
     lines: DataFrame,
     small_px: int = K.SMALL_IMAGE_PX,
@@ -118,23 +160,17 @@ def classify_content(
     """Photo or graphic per image, with the two measures behind it.
 
     Small images are photos by rule; they are measured like all others. Every pixel counts unless
-    a `cap` asks for a sample. Colours are grouped before luma, which they determine, so the three
-    levels shrink from pixels to colours to bins.
+    a `cap` asks for a sample.
     """
     area = F.col("width").cast("bigint") * F.col("height")
     shapes = lines.filter(F.col("y") == 0).select(*IMAGE)
-    by_colour = (
-        explode_pixels(lines, cap)
-        .groupBy("asset_id", "r", "g", "b").agg(F.count("*").alias("n"))
-    )
     measured = (
-        by_colour.groupBy("asset_id", luma_bin().alias("luma"))
-        .agg(F.sum("n").alias("n"), F.count("*").alias("colours"))
-        .groupBy("asset_id")
-        .agg(
-            F.sum("colours").alias("unique_colors"),
-            F.abs(F.round(entropy_of(), 6)).alias("entropy"),
-        )
+        colour_facts(lines, cap)
+        .select("asset_id", F.col("raw_colors").alias("unique_colors"), F.inline("luma"))
+        .groupBy("asset_id", "unique_colors", "luma")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("asset_id", "unique_colors")
+        .agg(F.abs(F.round(entropy_of(), 6)).alias("entropy"))
     )
     few = (F.col("unique_colors") < colours) & (F.col("entropy") < entropy)
     graphic = few & (area >= small_px)
@@ -227,8 +263,10 @@ def fitted_outputs(pairs: DataFrame, originals: DataFrame, outputs: DataFrame) -
     lines = named.join(pairs.join(sizes, "original_id"), "output_id")
     fits = (F.col("width") == F.col("_w")) & (F.col("height") == F.col("_h"))
     resized = grid_resample(
-        lines.filter(~fits), F.col("_w"), F.col("_h"), key=["pair_id"]
-    ).withColumn("samples", F.transform("samples", lambda v: half_up(v).cast("int")))
+        lines.filter(~fits), F.col("_w"), F.col("_h"), key=["pair_id"], whole=True
+    )
+    if isinstance(lines.schema["samples"].dataType, T.BinaryType):
+        resized = resized.withColumn("samples", N.packed("samples"))
     whole = resized.join(pairs, "pair_id")
     return lines.filter(fits).drop("_w", "_h").unionByName(whole)
 
@@ -253,15 +291,6 @@ def pair_lines(fitted: DataFrame, originals: DataFrame) -> DataFrame:
     )
 
 
-def square_errors() -> Column:
-    """Sum of squared differences of one pair of scan lines, over all channels."""
-    return F.aggregate(
-        F.zip_with("original", "output", lambda a, b: (a - b).cast("bigint") * (a - b)),
-        F.lit(0).cast("bigint"),
-        lambda total, d: total + F.coalesce(d, F.lit(0)),
-    )
-
-
 def psnr_of(squares: Column, n: Column, same: Column) -> Column:
     mse = F.sum(squares) / F.sum(n).cast("double")
     floor = F.when(mse == 0, F.lit(1e-10)).otherwise(mse)
@@ -273,128 +302,82 @@ def psnr(lines: DataFrame) -> DataFrame:
     """Peak signal-to-noise ratio over all channels; unequal sizes give 0."""
     return (
         lines.select(
-            "pair_id", square_errors().alias("squares"), F.size("original").alias("n"), "same"
+            "pair_id",
+            N.squared_errors("original", "output").alias("squares"),
+            (F.col("width") * F.col("channels")).alias("n"),
+            "same",
         )
         .groupBy("pair_id")
         .agg(psnr_of(F.col("squares"), F.col("n"), F.col("same")).alias("psnr"))
     )
 
 
-TILE_SUMS = ("sx", "sy", "sxx", "syy", "sxy")
-
-
-def quality(lines: DataFrame, window: int = 8) -> DataFrame:
-    """`ssim` and `psnr` of each pair in one pass.
+def quality(
+    lines: DataFrame,
+    window: int = 8,
+    flatten: Column | None = None,
+    background: tuple[int, int, int] = (0, 0, 0),
+) -> DataFrame:
+    """`ssim` and `psnr` of each pair in one pass; unequal sizes give 0.
 
-    SSIM is the mean over non-overlapping luma tiles (Wang et al. 2004; K1 = 0.01, K2 = 0.03,
-    L = 255). Each line adds its sums per tile column; tiles are grouped by (pair, tile), so a
-    large image is spread. The first tile of each line also carries the line's squared errors.
+    SSIM is the mean over non-overlapping luma tiles. Lines meet in strips of `window` lines,
+    keyed by (pair, strip), so a large image is spread; a strip gives one row of sums. Where
+    `flatten` holds, the original is put on the background first.
     """
-    tiles = F.ceil(F.col("width") / F.lit(float(window))).cast("int")
-
-    def sums(tx: Column) -> Column:
-        x = F.slice("gx", tx * window + 1, F.lit(window))
-        y = F.slice("gy", tx * window + 1, F.lit(window))
-        added = F.aggregate(
-            F.arrays_zip(x.alias("p"), y.alias("q")),
-            F.struct(*[F.lit(0.0).alias(c) for c in TILE_SUMS]),
-            lambda acc, v: F.struct(
-                (acc["sx"] + v["p"]).alias("sx"),
-                (acc["sy"] + v["q"]).alias("sy"),
-                (acc["sxx"] + v["p"] * v["p"]).alias("sxx"),
-                (acc["syy"] + v["q"] * v["q"]).alias("syy"),
-                (acc["sxy"] + v["p"] * v["q"]).alias("sxy"),
-            ),
-        )
-        once = tx == 0
-        return F.struct(
-            tx.alias("tx"),
-            F.size(x).alias("n"),
-            F.when(once, F.col("squares")).otherwise(0).alias("squares"),
-            F.when(once, F.col("samples")).otherwise(0).alias("samples"),
-            added.alias("s"),
+    on = F.lit(False) if flatten is None else flatten
+    strips = (
+        lines.select(
+            "pair_id", "width", "channels", "same", on.cast("int").alias("flatten"),
+            F.floor(F.col("y") / window).alias("strip"),
+            F.struct("y", "original", "output").alias("line"),
         )
-
-    per_line = lines.select(
-        "pair_id",
-        "width",
-        (F.col("y") / F.lit(window)).cast("int").alias("ty"),
-        luma_of("original").alias("gx"),
-        luma_of("output").alias("gy"),
-        square_errors().alias("squares"),
-        F.size("original").alias("samples"),
-        "same",
+        .groupBy("pair_id", "width", "channels", "flatten", "strip")
+        .agg(F.bool_and("same").alias("same"), F.array_sort(F.collect_list("line")).alias("lines"))
     )
-    per_tile = (
-        per_line.select(
-            "pair_id", "ty", "same", F.inline(F.transform(F.sequence(F.lit(0), tiles - 1), sums))
-        )
-        .select("pair_id", "ty", "tx", "same", "n", "squares", "samples", "s.*")
-        .groupBy("pair_id", "ty", "tx")
+    sums = N.strip_quality(window, background)(
+        "channels", "width", "flatten", F.col("lines.original"), F.col("lines.output")
+    )
+    score = F.sum("sums.score") / F.sum("sums.tiles")
+    return (
+        strips.select("pair_id", "same", sums.alias("sums"))
+        .groupBy("pair_id")
         .agg(
-            F.bool_and("same").alias("same"),
-            *[F.sum(c).alias(c) for c in ("n", "squares", "samples", *TILE_SUMS)],
+            F.round(F.when(F.bool_and("same"), score).otherwise(0.0), 6).alias("ssim"),
+            psnr_of(F.col("sums.squares"), F.col("sums.samples"), F.col("same")).alias("psnr"),
         )
     )
-    n = F.col("n").cast("double")
-    mx, my = F.col("sx") / n, F.col("sy") / n
-    vx, vy = F.col("sxx") / n - mx * mx, F.col("syy") / n - my * my
-    cov = F.col("sxy") / n - mx * my
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    score = ((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
-    return per_tile.groupBy("pair_id").agg(
-        F.round(F.avg(score), 6).alias("ssim"),
-        psnr_of(F.col("squares"), F.col("samples"), F.col("same")).alias("psnr"),
-    )
 
 
 def ssim(lines: DataFrame, window: int = 8) -> DataFrame:
     return quality(lines, window).select("pair_id", "ssim")
 
 
+#: Lines of a strip whose gradient is measured together, besides one above and one below.
+EDGE_LINES = 64
+
+
 def edge_energy(lines: DataFrame) -> DataFrame:
     """Mean Sobel magnitude over interior pixels; 0 below three pixels a side.
 
-    Each line is sent to the three lines that need it, keyed by (image, line), so the work of
-    one image spreads over many tasks; the gradient itself is an array expression.
+    Lines meet in strips, keyed by (image, strip), so the work of one image spreads over many
+    tasks; border lines go to two strips.
     """
-    part = F.explode(F.array(*[F.lit(v) for v in (-1, 0, 1)]))
-    # Grey is kept in single precision, as measured; the gradient is taken in double.
-    grey = luma_of("samples").cast("array<float>").cast("array<double>")
-    sent = lines.select(
-        *IMAGE, "y", grey.alias("grey"), part.alias("role")
-    ).select(*IMAGE, (F.col("y") - F.col("role")).alias("y"), "role", "grey")
-
-    def line(role: int) -> Column:
-        return F.max(F.when(F.col("role") == role, F.col("grey")))
-
-    stacked = (
-        sent.filter((F.col("y") >= 1) & (F.col("y") < F.col("height") - 1) & (F.col("width") >= 3))
-        .groupBy(*IMAGE, "y")
-        .agg(line(-1).alias("up"), line(0).alias("mid"), line(1).alias("down"))
+    near = F.array_distinct(
+        F.array(*(F.floor((F.col("y") + d) / EDGE_LINES).cast("int") for d in (-1, 0, 1)))
     )
-
-    def magnitude(x: Column) -> Column:
-        def at(name: str, i: Column) -> Column:
-            return F.get(name, i)
-
-        west, east = x - 1, x + 1
-        gx = (
-            at("up", east) + 2 * at("mid", east) + at("down", east)
-            - at("up", west) - 2 * at("mid", west) - at("down", west)
-        )
-        gy = (
-            at("down", west) + 2 * at("down", x) + at("down", east)
-            - at("up", west) - 2 * at("up", x) - at("up", east)
+    strips = (
+        lines.filter((F.col("width") >= 3) & (F.col("height") >= 3))
+        .select(
+            *IMAGE, "channels", F.explode(near).alias("strip"), F.struct("y", "samples").alias("line")
         )
-        return F.sqrt(gx * gx + gy * gy)
-
-    xs = F.sequence(F.lit(1), F.col("width") - 2)
-    total = F.aggregate(F.transform(xs, magnitude), F.lit(0.0), lambda a, v: a + v)
+        .groupBy(*IMAGE, "channels", "strip")
+        .agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    )
+    sums = N.strip_edges("channels", "width", F.col("lines.samples"))
     energy = (
-        stacked.select("asset_id", total.alias("total"), (F.col("width") - 2).alias("n"))
+        strips.select("asset_id", sums.alias("sums"))
         .groupBy("asset_id")
-        .agg((F.sum("total") / F.sum("n")).alias("energy"))
+        .agg((F.sum("sums.total") / F.sum("sums.n")).alias("energy"))
     )
     images = lines.filter(F.col("y") == 0).select("asset_id")
     return images.join(energy, "asset_id", "left").select(
@@ -423,33 +406,23 @@ def grid_resample(
     out_width: int | Column,
     out_height: int | Column,
     key: list[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Bilinear resample: source = output x scale, neighbours clamped to the edge.
 
     Lines are narrowed first, where they are; then each goes to the output lines it helps,
-    keyed by (image, output line). The target size may be a column. Values stay fractional.
+    keyed by (image, output line). The target size may be a column. Values stay fractional,
+    unless `whole` asks to round them half up.
     """
     key = key or ["asset_id"]
     ow = F.lit(out_width) if isinstance(out_width, int) else out_width
     oh = F.lit(out_height) if isinstance(out_height, int) else out_height
-    w, h, channels = F.col("width"), F.col("height"), F.col("channels")
-
-    def across(i: Column) -> Column:
-        x, channel = F.floor(i / channels), i % channels
-        source = x * (w / ow.cast("double"))
-        x0 = F.floor(source)
-        x1 = F.least(x0 + 1, (w - 1).cast("bigint"))
-        fx = source - x0
-
-        def at(column: Column) -> Column:
-            return F.get("samples", (column * channels + channel).cast("int"))
-
-        return at(x0) * (1 - fx) + at(x1) * fx
+    h = F.col("height")
 
     narrowed = lines.select(
         *key, "channels", "height", "y",
         ow.alias("ow"), oh.alias("oh"),
-        F.transform(F.sequence(F.lit(0), ow * channels - 1), across).alias("samples"),
+        N.resampled("samples", "width", "channels", ow).alias("samples"),
     )
     scale = h / F.col("oh").cast("double")
     low = F.greatest(F.lit(0), F.ceil((F.col("y") - 1) / scale).cast("int"))
@@ -459,9 +432,7 @@ def grid_resample(
     y0 = F.floor(F.col("oy") * scale)
     # A clamped last line serves as both neighbours.
     y1 = F.least(y0 + 1, (h - 1).cast("bigint"))
-    mixed = F.zip_with(
-        "top", "bottom", lambda a, b: a * (1 - F.col("fy")) + b * F.col("fy")
-    )
+    mixed = (N.mixed_whole if whole else N.mixed)("top", "bottom", "fy")
     return (
         sent.withColumns({"is_top": F.col("y") == y0, "is_bottom": F.col("y") == y1,
                           "fy": F.col("oy") * scale - y0})

@@ -30,6 +30,16 @@ def explode_pixels(spark, sf):
     "GROUP BY asset_id",
 )
 def unique_colors(spark, sf):
+    return P.line_colors(rgba_lines(spark, sf))
+
+
+@query(
+    "unique_colors_exploded",
+    f"WITH {PIXELS} SELECT asset_id, count(DISTINCT (r, g, b)) AS unique_colors FROM pixels "
+    "GROUP BY asset_id",
+)
+def unique_colors_exploded(spark, sf):
+    """From pixels that are rows already."""
     return P.unique_colors(rgba_pixels(spark, sf))
 
 

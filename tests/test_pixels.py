@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from assetlake.operators import pixels as P
+from assetlake.operators import kernels as N, pixels as P
 
 WEIGHTS = np.array([0.299, 0.587, 0.114])
 
@@ -180,3 +180,75 @@ def test_fitted_outputs(spark):
     assert [got["same", 6, 4][y] for y in range(4)] == c.reshape(4, -1).tolist()
     assert [got["big", 6, 4][y] for y in range(4)] == b[::2, ::2].reshape(4, -1).tolist()
     assert P.quality(P.pair_lines(P.fitted_outputs(pairs, lines, lines), lines)).count() == 3
+
+
+def lines_of(spark, *images):
+    return P.grid_lines(grids(spark, *images))
+
+
+@pytest.mark.parametrize("batch", [10_000, 17])
+@pytest.mark.parametrize("cap", [None, 3000])
+def test_colours_by_lists_and_bitmaps(spark, batch, cap):
+    """Images on both sides of FEW_PIXELS, over one or many batches, as arrays and as bytes."""
+    images = [image(20, 90, 70), image(21, 90, 70, high=4), image(22, 10, 9), image(23, 100, 60, 1),
+              image(24, 64, 64), image(25, 1, 5000)]
+    lines = lines_of(spark, *images)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = {r.asset_id: r for r in P.colour_facts(lines, cap, (9, 0, 200)).collect()}
+        packed = P.colour_facts(P.packed_lines(lines), cap, (9, 0, 200)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r.asset_id: r[1:4] for r in packed} == {k: r[1:4] for k, r in found.items()}
+    for n, im in enumerate(images):
+        rgba = np.repeat(im, 4, axis=2) if im.shape[2] == 1 else im
+        rgba = rgba.reshape(-1, 4).copy()
+        if im.shape[2] == 1:
+            rgba[:, 3] = 255
+        if cap:
+            rgba = rgba[:: max(1, math.ceil(len(rgba) / cap))]
+        share = rgba[:, 3:] / 255
+        flat = np.floor(rgba[:, :3] * share + np.array([9, 0, 200]) * (1 - share) + 0.5)
+        row = found[f"i{n}"]
+        assert row.raw_colors == len(np.unique(rgba[:, :3], axis=0))
+        assert row.flat_colors == len(np.unique(flat, axis=0))
+        assert row.has_alpha == bool((rgba[:, 3] < 255).any())
+        assert sum(part.n for part in row.luma) == len(rgba)
+
+
+def test_rows_of_an_image_are_bounded_by_buckets(spark):
+    big = image(26, 300, 300)
+    lines = lines_of(spark, big).coalesce(1)
+    schema = "asset_id string, " + N.PARTS
+    parts = lines.select(*P.IMAGE, "channels", "y", "samples").mapInArrow(N.colour_parts(None, None), schema)
+    assert parts.filter("bits IS NOT NULL").count() <= 512
+    assert values(P.line_colors(lines), "unique_colors")["i0"] == len(np.unique(big[..., :3].reshape(-1, 3), axis=0))
+
+
+@pytest.mark.parametrize("shape", [(150, 5), (64, 3), (65, 9), (129, 4)])
+def test_edges_over_strips(spark, shape):
+    im = image(27, *shape)
+    grey = luma(im).astype(np.float32).astype(float)
+    gx = grey[:-2, 2:] + 2 * grey[1:-1, 2:] + grey[2:, 2:] - grey[:-2, :-2] - 2 * grey[1:-1, :-2] - grey[2:, :-2]
+    gy = grey[2:, :-2] + 2 * grey[2:, 1:-1] + grey[2:, 2:] - grey[:-2, :-2] - 2 * grey[:-2, 1:-1] - grey[:-2, 2:]
+    want = np.sqrt(gx**2 + gy**2).mean()
+    for lines in (lines_of(spark, im), P.packed_lines(lines_of(spark, im))):
+        assert values(P.edge_energy(lines), "edge_energy")["i0"] == pytest.approx(want, abs=1e-5)
+
+
+def test_pairs_of_many_shapes(spark):
+    """Several pairs in a batch, packed or not, and one whose sides have other channels."""
+    images = [image(30 + n, *s) for n, s in enumerate([(9, 17, 4), (9, 17, 4), (5, 6, 1), (5, 6, 1), (5, 6, 4)])]
+    lines = lines_of(spark, *images)
+    wanted = spark.createDataFrame([("a", "i0", "i1"), ("b", "i2", "i3"), ("c", "i3", "i4"), ("d", "i1", "i1")],
+                                   "pair_id string, original_id string, output_id string")
+    got = {}
+    for name, side in (("array", lines), ("bytes", P.packed_lines(lines))):
+        sides = P.pair_lines(P.fitted_outputs(wanted, side, side), side)
+        got[name] = {r.pair_id: (r.ssim, r.psnr) for r in P.quality(sides).collect()}
+        assert values(P.psnr(sides), "psnr", "pair_id") == {k: v[1] for k, v in got[name].items()}
+    assert got["array"] == got["bytes"] and got["array"]["c"] == (0.0, 0.0)
+    assert got["array"]["d"][0] == 1.0
+    mse = ((images[0] - images[1]) ** 2).mean()
+    assert got["array"]["a"][1] == pytest.approx(10 * math.log10(255**2 / mse), abs=1e-6)
