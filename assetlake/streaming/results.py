@@ -286,7 +286,8 @@ class QueueProcessor(StatefulProcessor):
     contribution back and adds the new one, as one row of signed counts per item and micro-batch.
     """
 
-    FORMAT = "status string, size bigint, first_size bigint"
+    #: first_size: of the results table; a success without a size falls back to it.
+    FORMATS = "array<struct<format: string, status: string, size: bigint, first_size: bigint>>"
     CHANGED = (
         "format string, status string, size bigint, label string, error string, phase int, "
         "seq bigint, size_phase int, size_seq bigint, error_phase int, error_seq bigint, "
@@ -297,15 +298,17 @@ class QueueProcessor(StatefulProcessor):
         self.groups = groups
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.item = handle.getValueState("item", f"original_size bigint, status string, {self.groups}")
-        self.formats = handle.getMapState("formats", "format string", self.FORMAT)
+        # all of an item in one value: each use of state is a call out of the worker
+        schema = f"formats {self.FORMATS}, original_size bigint, status string, {self.groups}"
+        self.item = handle.getValueState("item", schema)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         known = initialState.asDict(recursive=True)
-        self.item.update((known["original_size"], known["status"], *known["groups"].values()))
-        for entry in known["results"] or []:
-            size = entry["size"]
-            self.formats.updateValue((entry["format"],), (entry["status"], size, size))
+        formats = [
+            (r["format"], r["status"], r["size"], r["size"]) for r in known["results"] or []
+        ]
+        groups = known["groups"].values()
+        self.item.update((formats, known["original_size"], known["status"], *groups))
 
     @staticmethod
     def counts(item: tuple, formats: dict[str, tuple]) -> tuple[int, ...]:
@@ -319,10 +322,11 @@ class QueueProcessor(StatefulProcessor):
         return (1, item[0] or 0, written, *named)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        item = self.item.get()
-        if item is None:
+        known = self.item.get()
+        if known is None:
             return
-        formats = {k[0]: tuple(v) for k, v in self.formats.iterator()}
+        formats = {name: tuple(rest) for name, *rest in known[0]}
+        item = known[1:]
         before = self.counts(item, formats)
         last: dict[str, Row] = {}
         set_by: dict[tuple[str, str], Row] = {}
@@ -336,7 +340,6 @@ class QueueProcessor(StatefulProcessor):
                         names[key_] = row
         if cancelled:
             self.item.clear()
-            self.formats.clear()
             after = (0,) * len(before)
         else:
             for name, row in last.items():
@@ -345,7 +348,6 @@ class QueueProcessor(StatefulProcessor):
                 if good:
                     size = first if good.size is None else good.size
                 formats[name] = (row.status, size, first)
-                self.formats.updateValue((name,), formats[name])
                 change = {"format": name, "status": row.status, "phase": row.phase, "seq": row.seq}
                 if good:
                     change |= {"size": good.size, "label": good.label}
@@ -354,6 +356,8 @@ class QueueProcessor(StatefulProcessor):
                     change |= {"error": bad.error, "error_phase": bad.phase, "error_seq": bad.seq}
                 yield self.row(key, item, change)
             after = self.counts(item, formats)
+            if last:
+                self.item.update(([(name, *rest) for name, rest in formats.items()], *item))
         moved = [a - b for a, b in zip(after, before)]
         if cancelled or any(moved):
             yield self.row(key, item, {"counts": moved, "cancelled": cancelled})
