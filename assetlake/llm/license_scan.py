@@ -146,17 +146,18 @@ def scan_text(scanner: Scanner, data: bytes) -> tuple[int, float, list[dict]]:
     words = alnum_words(data)
     text = b" " + b" ".join(words) + b" "
     spans, score, at, word = [], 0.0, 0, 0
+    ends: dict[str, int] = {}  # behind the last word that a span of the label covers
     for begin, end, errors, notice in scanner.matches(text):
         word += text.count(b" ", at, begin) - (at == 0)
         at = begin
-        if notice.base or not any(
-            s["label"] == notice.label and word < s["first_word"] + s["n_words"] for s in spans[-4:]
-        ):
+        if notice.base or word >= ends.get(notice.label, 0):
+            n_words = text.count(b" ", begin, end) + 1
+            ends[notice.label] = max(word + n_words, ends.get(notice.label, 0))
             spans.append(
                 {
                     "label": notice.label,
                     "first_word": word,
-                    "n_words": text.count(b" ", begin, end) + 1,
+                    "n_words": n_words,
                     "errors": errors,
                     "base": notice.base,
                 }

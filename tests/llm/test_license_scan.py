@@ -1,7 +1,14 @@
 import random
 import re
 
-from assetlake.llm.license_scan import NOTICES, Notice, Scanner, license_summary, scan_licenses
+from assetlake.llm.license_scan import (
+    NOTICES,
+    Notice,
+    Scanner,
+    license_summary,
+    scan_licenses,
+    scan_text,
+)
 
 BASE = {
     "mit": ["under", "the", "mit", "license"],
@@ -94,6 +101,17 @@ def test_adjacent_notices(assets):
     assert [(s.first_word, s.errors) for s in out[3] if s.label == "gpl-3"] == [(0, 1), (6, 0)]
 
 
+def test_overlap_with_a_span_far_back():
+    """A span counts against later ones of its label, however many other labels stand between."""
+    notices = [Notice("long", "a b c d e f g h", base=True), *(
+        Notice(f"n{k}", x, base=True) for k, x in enumerate("bcdefg")
+    ), Notice("long", "g h i jkl", 1)]
+    spans = scan_text(Scanner(notices), b"a b c d e f g h i jkm")[2]
+    assert [(s["label"], s["first_word"]) for s in spans] == [("long", 0)] + [
+        (f"n{k}", k + 1) for k in range(6)
+    ]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
