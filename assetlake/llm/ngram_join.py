@@ -98,10 +98,12 @@ def _bands(num: int, den: int, top: int) -> list[tuple[int, int, int, int]]:
 
 
 def _tile_keys(items: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the tiles of a set of sorted hashes."""
+    """Keys of the tiles of a set of sorted hashes: in its own band and those of all larger sets
+    that it can be linked with."""
     n, out = len(items), []
     mixed = scrambled(items)
-    for level, (low, high, count, shared) in enumerate(_bands(num, den, 2 * n + 2)):
+    largest = max(2 * n + 2, n * den // num + 1)
+    for level, (low, high, count, shared) in enumerate(_bands(num, den, largest)):
         if not (low <= n <= high or (n < low and n * den >= num * low)):
             continue
         # high 32 bits decide the segment, so segments are runs of the sorted array

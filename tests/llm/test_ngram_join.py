@@ -59,7 +59,7 @@ def corpus(rng):
     return rows
 
 
-@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 4, 5), (1, 1, 2)])
+@pytest.mark.parametrize(("size", "num", "den"), [(4, 85, 100), (5, 4, 5), (1, 1, 2), (1, 1, 3)])
 def test_against_brute_force(assets, size, num, den):
     rows = corpus(random.Random(size))
     rows += [(900, rows[20][1]), (900, rows[20][1]), (900, rows[50][1]), (None, rows[30][1]), (None, "lone words here")]
@@ -67,6 +67,17 @@ def test_against_brute_force(assets, size, num, den):
     assert sorted([tuple(r) for r in got], key=repr) == brute(rows, size, num, den)
 
 
+def test_sets_of_very_different_sizes(assets):
+    """At 1/3 a set is linked with one three times as large that holds it, and with none larger."""
+    words = [f"w{n}" for n in range(300)]
+    rows = [(k, " ".join(words[: 30 + 15 * k])) for k in range(10)]
+    rows.append((20, " ".join(f"v{n}" for n in range(40))))
+    rows.append((21, " ".join(f"v{n}" for n in range(120))))
+    rows.append((22, " ".join(f"v{n}" for n in range(361))))
+    got = nj.ngram_join(assets(rows), 1, 1, 3).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == brute(rows, 1, 1, 3)
+
+
 def test_tiles_compared_in_full(assets, monkeypatch):
     """Blocks of three, and the extreme members of tiles seldom linked."""
     monkeypatch.setattr(nj, "BLOCK", 3)
@@ -92,7 +103,7 @@ def test_bound_is_never_below_the_overlap():
         assert both <= bound <= min(n, m)
 
 
-@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5)])
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5), (1, 2), (1, 3), (1, 5)])
 def test_linked_sets_share_a_tile(num, den):
     rng = np.random.default_rng(2)
     for n in list(range(1, 60)) + [200, 1000, 4000]:
