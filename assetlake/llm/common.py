@@ -196,6 +196,17 @@ def unpack_values(blob: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def pack_sums(sums: np.ndarray) -> bytes:
+    """64-bit sums in as few bytes each as the largest of them needs, behind their width."""
+    largest = int(sums.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if largest < 1 << 8 * w)
+    return bytes([width]) + _planes(sums.astype(f"uint{8 * width}"))
+
+
+def unpack_sums(blob: bytes) -> np.ndarray:
+    return unpack_values(blob[1:], f"uint{8 * blob[0]}").astype(np.uint64)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
@@ -247,7 +258,8 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
         if kind == "sum":
             total = np.add.reduceat(given, start, dtype=np.uint64)
             many = total > 1
-            total = np.minimum(total, np.iinfo(dtype).max).astype(dtype)
+            if only_many:  # who asks so wants to know of keys with more than one, not how many
+                total = np.minimum(total, np.iinfo(dtype).max).astype(dtype)
         else:
             total = np.minimum.reduceat(given, start)
             many = total != np.maximum.reduceat(given, start)
@@ -256,7 +268,7 @@ def _answers(kind: str, dtype: str, only_many: bool) -> Callable[[pa.Table], pa.
             if only_many:
                 mine, g = mine[many[g]], g[many[g]]
             out["keys"].append(pack_keys(mine) if only_many else None)
-            out["vals"].append(_planes(total[g]))
+            out["vals"].append(_planes(total[g]) if only_many else pack_sums(total[g]))
         answers = pa.table(
             {"batch": table["batch"], "shard": table["shard"]}
             | {name: pa.array(blobs, pa.binary()) for name, blobs in out.items()}
@@ -270,9 +282,9 @@ def combine(asked: DataFrame, kind: str, dtype: str, only_many: bool = True) ->
     """Rows of ANSWER for rows of REQUEST.
 
     kind `sum`: the sum of all values of a key; `only_many` leaves out keys with a sum of one or
-    less. kind `min`: the smallest value; `only_many` leaves out keys of which all values are the
-    same. Where all keys are answered, the values come without the keys, in the order in which
-    they were asked. A row without values is a batch's note to itself and comes back as it is.
+    less and lets sums end at the largest value of `dtype`. kind `min`: the smallest value;
+    `only_many` leaves out keys of which all values are the same. Where all keys are answered, it
+    is by whole 64-bit sums without the keys, in the order in which they were asked. A row without values is a batch's note to itself and comes back as it is.
     """
     return asked.groupBy("shard").applyInArrow(_answers(kind, dtype, only_many), ANSWER)
 
@@ -288,14 +300,14 @@ def answered(table: pa.Table, dtype: str = "uint64") -> tuple[np.ndarray, np.nda
     return keys, vals[first]
 
 
-def sums_of(table: pa.Table, keys: np.ndarray, shards: int, dtype: str) -> np.ndarray:
+def sums_of(table: pa.Table, keys: np.ndarray, shards: int) -> np.ndarray:
     """The answered sum for each of the keys that a batch asked about, in its order."""
     order, used, _ = by_shard(keys, shards)
     table = table.sort_by("shard")
-    vals = np.concatenate([unpack_values(b, dtype) for b in table["vals"].to_pylist()])
+    vals = np.concatenate([unpack_sums(b) for b in table["vals"].to_pylist()])
     if table["shard"].to_pylist() != used.tolist() or len(vals) != len(keys):
         raise ValueError("a batch was answered other keys than it asked about")
-    out = np.empty(len(keys), dtype)
+    out = np.empty(len(keys), np.uint64)
     out[order] = vals
     return out
 

@@ -42,6 +42,7 @@ from .common import (
 #: Weight of the root's distribution in every state, in words.
 BACKOFF_WEIGHT = 300.0
 END = np.uint64(0x7F4A7C15F39CC060)
+#: Counts of one batch and of all.
 COUNT, TOTAL = "uint32", "int64"
 #: Distinct words that a task gathers before it sends their counts on.
 FLUSH = 1 << 21
@@ -156,7 +157,7 @@ def _score(n: int, v: int, weight: float, order: int, shards: int):
         keys, at = zip(*(_distinct(_arcs(tokens, places, k)) for k in range(1, order + 1)))
         del tokens
         ends = np.cumsum([len(k) for k in keys])
-        counts = np.split(sums_of(answers, np.concatenate(keys), shards, COUNT), ends[:-1])
+        counts = np.split(sums_of(answers, np.concatenate(keys), shards), ends[:-1])
         del keys
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         known = seen = counts[0][at[0]].astype(float)

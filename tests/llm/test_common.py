@@ -30,6 +30,21 @@ def test_answers():
     assert common.notes_of(by_batch[1]) == [b"kept"]
 
 
+def test_sums_beyond_32_bits():
+    """Two batches with counts near 2^32 each: the sum is whole, and so is a small one beside it."""
+    keys = np.array([5, 9], np.uint64)
+    tables = [
+        common.requests(b, keys, np.array([2**32 - 1, b], np.uint32), 1) for b in range(3)
+    ]
+    out = common._answers("sum", "uint32", False)(pa.concat_tables(tables))
+    mine = out.filter(pa.array([b == 1 for b in out["batch"].to_pylist()]))
+    assert common.sums_of(mine, keys, 1).tolist() == [3 * (2**32 - 1), 3]
+    for top in (0, 255, 256, 65535, 2**32 - 1, 2**32, 2**63):
+        sums = np.array([1, top, 0], np.uint64)
+        assert (common.unpack_sums(common.pack_sums(sums)) == sums).all()
+    assert common.unpack_sums(common.pack_sums(np.empty(0, np.uint64))).tolist() == []
+
+
 def test_word_classes():
     assert common.blank_words("A B\x1c\tÇc\x0b".encode()) == ["a b\x1c".encode(), "Çc".encode()]
     assert common.alnum_words("A-1_é x{Q}".encode()) == [b"a", b"1", "é x".encode(), b"q"]
