@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from .session import stored
 
@@ -38,6 +38,43 @@ def _same_slice(group: Sequence[str]) -> Column:
     )
 
 
+class Sliced:
+    """Rows in consecutive slices of (group, order), stored once, for several scans in that order.
+
+    A scan looks at each slice of a group on its own (`inside`). What it needs of the slices before
+    is gathered per (group, slice), at most one row per slice and group that crosses a border, and
+    joined (`carried`), or comes as rows that stand in front of the slice's own.
+    """
+
+    def __init__(
+        self, df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int | None = None
+    ):
+        self.group, self.order = list(group), list(order)
+        self.rows = _sliced(df, group, [F.col(c) for c in order], slices)
+
+    def together(self, rows: DataFrame) -> DataFrame:
+        """Rows of one slice of a group in one task, whatever else later scans group by."""
+        return rows.repartition(*self.group, SLICE)
+
+    def inside(self, *more: str) -> WindowSpec:
+        return Window.partitionBy(*self.group, *more, SLICE).orderBy(*self.order)
+
+    def earlier(self, *more: str) -> WindowSpec:
+        """Slices of a group in front of one, over rows per slice."""
+        slices = Window.partitionBy(*self.group, *more).orderBy(SLICE)
+        return slices.rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(self, rows: DataFrame, carry: DataFrame, *names: str) -> DataFrame:
+        """Add columns of `carry`, which has one row per (group, slice); null where it has none."""
+        named = carry.select(
+            *[F.col(c).alias(f"_g{i}") for i, c in enumerate(self.group)],
+            F.col(SLICE).alias("_carry_slice"),
+            *names,
+        )
+        gone = [f"_g{i}" for i in range(len(self.group))]
+        return rows.join(named, _same_slice(self.group), "left").drop(*gone, "_carry_slice")
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import constants as K
-from ..plans.ordered import previous_values, running_totals
+from ..plans.ordered import SLICE, Sliced
 
 MOVES = ("start", "RESULT", "ERROR")
 OUTCOME = "task_id string, outcome string, at_ms bigint"
@@ -192,27 +192,74 @@ def task_lifecycle(
     )
 
 
-def _lives(rows: DataFrame, keep: timedelta, slices: int | None) -> DataFrame:
-    """Number the lives of each item: a finished item that is silent for longer than `keep` ends.
+ORDER = ["ts_ms", "seq"]
 
-    Whether an item is open before a message does not depend on where its lives begin: a format
-    is open if its last message is a start, and no life ends while one is.
+
+def _is(column: str, status: str) -> Column:
+    return F.coalesce(F.col(column) == status, F.lit(False)).cast("int")
+
+
+def _earlier_states(sliced: Sliced) -> DataFrame:
+    """Last message of each format of an item in front of each of the item's slices.
+
+    Columns: asset_id, slice, format, ts_ms, seq, state, and the place of the last start. Only
+    items that cross a slice border have any; rows are their slices times their formats.
+    """
+    place = F.struct(*ORDER)
+    last = F.struct(*ORDER, "state")
+    ends = sliced.rows.groupBy("asset_id", "format", SLICE).agg(
+        F.max(last).alias("last"),
+        F.max(F.when(F.col("state") == K.PROCESSING, place)).alias("started"),
+    )
+    slices = ends.groupBy("asset_id").agg(
+        F.collect_set(SLICE).alias("slices"), F.collect_set("format").alias("formats")
+    )
+    every = slices.filter(F.size("slices") > 1).select(
+        "asset_id", F.explode("slices").alias(SLICE), "formats"
+    ).select("asset_id", SLICE, F.explode("formats").alias("format"))
+    earlier = sliced.earlier("format")
+    known = every.join(ends, ["asset_id", "format", SLICE], "left").select(
+        "asset_id",
+        SLICE,
+        "format",
+        F.max("last").over(earlier).alias("last"),
+        F.max("started").over(earlier).alias("started"),
+    )
+    return known.filter(F.col("last").isNotNull()).select(
+        "asset_id", SLICE, "format", "last.*", "started"
+    )
+
+
+def _with_lives(sliced: Sliced, earlier: DataFrame, keep: timedelta) -> tuple[DataFrame, DataFrame]:
+    """Rows with `life`, a number within their slice, and earlier states that still hold.
+
+    A finished item that is silent for longer than `keep` begins anew. Whether an item is open
+    before a message does not depend on where its lives begin: a format is open if its last message
+    is a start, and no life ends while one is.
     """
-    order = ["ts_ms", "seq"]
-    by = [F.col(c) for c in order]
-    stepped = previous_values(rows, ["asset_id", "format"], order, {"_was": "state"}, slices=slices)
-    stepped = previous_values(stepped, ["asset_id"], order, {"_last_ms": "ts_ms"}, slices=slices)
-    opened = (F.col("state") == K.PROCESSING).cast("int") - F.coalesce(
-        F.col("_was") == K.PROCESSING, F.lit(False)
-    ).cast("int")
-    counted = running_totals(
-        stepped.withColumn("_opened", opened), ["asset_id"], by, {"_open": F.col("_opened")}, slices
+    columns = ["asset_id", SLICE, "format", *ORDER, "state"]
+    both = sliced.rows.select(*columns, F.lit(False).alias("before")).unionByName(
+        earlier.select(*columns, F.lit(True).alias("before"))
+    )
+    stepped = sliced.together(both).withColumn("was", F.lag("state").over(sliced.inside("format")))
+    change = _is("state", K.PROCESSING) - _is("was", K.PROCESSING)
+    inside = sliced.inside()
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    silent = F.col("ts_ms") - F.lag("ts_ms").over(inside) > keep // timedelta(milliseconds=1)
+    opened = stepped.withColumn("change", change).withColumns(
+        {"held": F.sum("change").over(running) - F.col("change"), "silent": F.coalesce(silent, F.lit(False))}
+    )
+    fresh = ~F.col("before") & F.col("silent") & (F.col("held") == 0)
+    lived = opened.withColumn("fresh", fresh.cast("int")).withColumn(
+        "life", F.sum("fresh").over(running)
     )
-    silent = F.col("ts_ms") - F.col("_last_ms") > keep // timedelta(milliseconds=1)
-    fresh = F.coalesce(silent, F.lit(False)) & (F.col("_open") == F.col("_opened"))
-    return running_totals(counted, ["asset_id"], by, {"life": fresh.cast("int")}, slices).select(
-        *rows.columns, "life"
+    begun = lived.groupBy("asset_id", SLICE).agg(
+        F.max(F.when(F.col("fresh") == 1, F.struct(*ORDER))).alias("begun")
+    ).withColumn("_begun", F.max("begun").over(sliced.earlier()))
+    held = sliced.carried(earlier, begun.filter(F.col("_begun").isNotNull()), "_begun").filter(
+        F.col("_begun").isNull() | (F.col("started") >= F.col("_begun"))
     )
+    return lived.filter("NOT before").select(*columns, "life"), held
 
 
 def lifecycle_transitions(
@@ -220,44 +267,48 @@ def lifecycle_transitions(
 ) -> DataFrame:
     """Batch twin of `task_lifecycle`.
 
-    Each event changes how many formats of its item are open and how many have failed;
-    running totals of those changes give the status after every event.
+    Messages are cut into slices once. In front of each slice stand the last messages of the
+    item's formats before it, so that the status after every message follows within the slice: a
+    message changes how many formats are open and how many have failed.
     """
     state = (
         F.when(F.col("type") == "start", K.PROCESSING)
         .when(F.col("type") == "RESULT", K.SUCCESS)
         .otherwise(K.ERROR)
     )
-    moves = events.filter(F.col("type").isin(*MOVES))
-    rows = moves.withColumns({"ts_ms": F.unix_millis("ts"), "state": state})
-    item = ["asset_id"]
-    if keep is not None:
-        rows, item = _lives(rows, keep, slices), ["asset_id", "life"]
-    started = F.min(F.when(F.col("type") == "start", F.struct("ts_ms", "seq")))
-    starts = rows.groupBy(*item, "format").agg(started.alias("started"))
-    known = rows.join(starts, [*item, "format"]).filter(
-        F.struct("ts_ms", "seq") >= F.col("started")
+    rows = events.filter(F.col("type").isin(*MOVES)).select(
+        "asset_id", "format", F.unix_millis("ts").alias("ts_ms"), "seq", state.alias("state")
+    )
+    sliced = Sliced(rows, ["asset_id"], ORDER, slices)
+    earlier = _earlier_states(sliced)
+    if keep is None:
+        real = sliced.rows.withColumn("life", F.lit(0).cast("bigint"))
+    else:
+        real, earlier = _with_lives(sliced, earlier, keep)
+    columns = ["asset_id", SLICE, "life", "format", *ORDER, "state"]
+    held = earlier.filter(F.col("started").isNotNull()).withColumn("life", F.lit(0).cast("bigint"))
+    both = real.select(*columns, F.lit(False).alias("before")).unionByName(
+        held.select(*columns, F.lit(True).alias("before"))
     )
-    kept = known.select(*item, "format", "seq", "ts_ms", "state")
-    order = ["ts_ms", "seq"]
-    stepped = previous_values(kept, [*item, "format"], order, {"was": "state"}, slices=slices)
+    of_format = sliced.inside("life", "format")
+    running = of_format.rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.bool_or(F.col("before") | (F.col("state") == K.PROCESSING)).over(running)
+    known = sliced.together(both).withColumn("begun", begun).filter("begun")
+    stepped = known.withColumn("was", F.lag("state").over(of_format))
+    inside = sliced.inside("life")
+    running = inside.rowsBetween(Window.unboundedPreceding, 0)
 
-    def change(status: str):
-        was = F.coalesce(F.col("was") == status, F.lit(False)).cast("int")
-        return (F.col("state") == status).cast("int") - was
+    def held_in(status: str) -> Column:
+        return F.sum(_is("state", status) - _is("was", status)).over(running)
 
-    counted = running_totals(
-        stepped, item, [F.col(c) for c in order],
-        {"open": change(K.PROCESSING), "failed": change(K.ERROR)}, slices=slices,
-    )
     status = (
         F.when(F.col("open") > 0, K.PROCESSING)
         .when(F.col("failed") > 0, K.ERROR)
         .otherwise(K.SUCCESS)
     )
-    after = counted.select(*item, "seq", "ts_ms", status.alias("to_status"))
-    moved = previous_values(after, item, order, {"from_status": "to_status"}, slices=slices)
-    before = F.coalesce("from_status", F.lit(K.PENDING))
-    return moved.withColumn("from_status", before).filter(
-        F.col("from_status") != F.col("to_status")
-    ).select("asset_id", "seq", "ts_ms", "from_status", "to_status")
+    counted = stepped.withColumns({"open": held_in(K.PROCESSING), "failed": held_in(K.ERROR)})
+    named = counted.withColumn("to_status", status)
+    moved = named.withColumn("from_status", F.lag("to_status", 1, K.PENDING).over(inside))
+    return moved.filter(~F.col("before") & (F.col("from_status") != F.col("to_status"))).select(
+        "asset_id", "seq", "ts_ms", "from_status", "to_status"
+    )

@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as K
-from ..plans.ordered import previous_values, running_totals
+from ..plans.ordered import SLICE, Sliced
 
 DEBOUNCE = timedelta(milliseconds=K.DEBOUNCE_MS)
 
 
+def _numbered(changes: DataFrame, key: str, gap: timedelta) -> DataFrame:
+    """Add `_burst`. Bursts are numbered within slices; a slice's first one may go on from before."""
+    sliced = Sliced(changes, [key], ["ts", "seq"])
+    inside = sliced.inside()
+    quiet = F.col("ts") - F.lag("ts").over(inside) >= F.lit(gap)
+    local = sliced.together(sliced.rows).withColumn(
+        "_fresh", F.coalesce(quiet, F.lit(True)).cast("int")
+    )
+    local = local.withColumn("_local", F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = local.groupBy(key, SLICE).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("_local").alias("n")
+    )
+    slices = Window.partitionBy(key).orderBy(SLICE)
+    goes_on = F.coalesce(F.col("first") - F.lag("last").over(slices) < F.lit(gap), F.lit(False))
+    ends = ends.withColumn("goes_on", goes_on.cast("int"))
+    before = F.sum(F.col("n") - F.col("goes_on")).over(sliced.earlier())
+    carry = ends.withColumn("_offset", before - F.col("goes_on")).filter("_offset IS NOT NULL")
+    burst = F.col("_local") + F.coalesce("_offset", F.lit(0))
+    return sliced.carried(local, carry, "_offset").withColumn("_burst", burst)
+
+
 def debounce(
     changes: DataFrame, key: str, gap: timedelta = DEBOUNCE, delay: str | None = None
 ) -> DataFrame:
@@ -32,12 +53,7 @@ def debounce(
     ]
     tick = timedelta(microseconds=1)
     if delay is None:
-        order = ["ts", "seq"]
-        stepped = previous_values(changes, [key], order, {"_before": "ts"})
-        fresh = F.col("_before").isNull() | (F.col("ts") - F.col("_before") >= F.lit(gap))
-        numbered = running_totals(
-            stepped, [key], [F.col(c) for c in order], {"_burst": fresh.cast("int")}
-        )
+        numbered = _numbered(changes, key, gap)
         return (
             numbered.groupBy(key, "_burst")
             .agg(
