@@ -83,14 +83,19 @@ def size_gate(
     """Size ceiling per (file, format). No baseline, or one of 0 bytes, skips the check.
 
     The size compared is the displayed one: KB with one decimal. Of baselines or overrides that
-    repeat a (file, format), the largest counts; tables have no order of entries.
+    repeat a (file, format), the last counts if the table says by `ordinal` in which order they
+    stand; else the largest does. Configuration texts are read with the last entry of a key.
     """
     key = ["file", "format"]
-    once = baselines.groupBy(*key).agg(F.max("size_bytes").alias("size_bytes"))
+
+    def last(table: DataFrame, value: str) -> DataFrame:
+        order = "ordinal" if "ordinal" in table.columns else value
+        return table.groupBy(*key).agg(F.max_by(value, order).alias(value))
+
+    once = last(baselines, "size_bytes")
     joined = results.join(once, key, "left")
     if overrides is not None:
-        once = overrides.groupBy(*key).agg(F.max("tolerance").alias("tolerance"))
-        joined = joined.join(once, key, "left")
+        joined = joined.join(last(overrides, "tolerance"), key, "left")
     else:
         joined = joined.withColumn("tolerance", F.lit(None).cast("double"))
     ceiling = F.col("size_bytes") * F.coalesce("tolerance", F.lit(tolerance))

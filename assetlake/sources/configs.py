@@ -23,9 +23,24 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _entries(configs: DataFrame, text: str) -> DataFrame:
-    """(file, body) per top-level key; a malformed text has no entries."""
+    """(file, body) per top-level key; a malformed text has no entries.
+
+    Of a key that a text repeats, the last entry counts, as in any JSON object.
+    """
     table = F.from_json(strip_comments(F.col(text)), "map<string,string>", {"mode": "PERMISSIVE"})
-    return configs.select(F.explode(table).alias("file", "body"))
+    texts = configs.select(F.monotonically_increasing_id().alias("_text"), table.alias("_table"))
+    every = texts.select("_text", F.posexplode("_table"))
+    last = every.groupBy("_text", F.col("key").alias("file")).agg(F.max_by("value", "pos").alias("body"))
+    return last.select("file", "body")
+
+
+def _last_of_each(table: Column) -> Column:
+    """Entries of a small map, of repeated keys the last."""
+    entries = F.map_entries(table)
+    keys = F.map_keys(table)
+    return F.filter(
+        entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+    )
 
 
 def baselines_from(configs: DataFrame, text: str = "value") -> DataFrame:
@@ -35,15 +50,16 @@ def baselines_from(configs: DataFrame, text: str = "value") -> DataFrame:
     table = F.when(F.startswith("body", F.lit("{")), by_format).otherwise(bare)
     return (
         _entries(configs, text)
-        .select("file", F.explode(table).alias("format", "size"))
+        .select("file", F.inline(_last_of_each(table)).alias("format", "size"))
         .select("file", "format", parse_size(F.col("size")).alias("size_bytes"))
     )
 
 
 def overrides_from(configs: DataFrame, text: str = "value") -> DataFrame:
     """(file, format, tolerance)."""
+    table = F.from_json("body", "map<string,double>")
     return _entries(configs, text).select(
-        "file", F.explode(F.from_json("body", "map<string,double>")).alias("format", "tolerance")
+        "file", F.inline(_last_of_each(table)).alias("format", "tolerance")
     )
 
 
@@ -65,7 +81,7 @@ def thresholds_from(configs: DataFrame, text: str = "value") -> DataFrame:
         )
     )
     each = F.transform(
-        F.map_entries("t.formats"),
+        _last_of_each(F.col("t.formats")),
         lambda e: F.struct(
             e["key"].alias("format"),
             e["value"]["ssimMin"].alias("ssim_min"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from assetlake.operators import gates as G, pixels as P
+from assetlake.sources import configs
 
 
 def files(spark, *names):
@@ -40,6 +41,26 @@ def test_repeated_baselines(spark):
     assert [r.verdict for r in G.size_gate(results, baselines).collect()] == ["pass"]
 
 
+def test_later_baselines_win(spark):
+    """In the order of the table, or of the text they were read from."""
+    results = spark.createDataFrame([("a", "png", 1024), ("b", "svg", 1024)], "file string, format string, size bigint")
+    schema = "file string, format string, size_bytes double, ordinal int"
+    for first, second, verdict in ((512.0, 2048.0, "pass"), (2048.0, 512.0, "fail")):
+        table = spark.createDataFrame([("a", "png", second, 2), ("a", "png", first, 1)], schema)
+        found = {r.file: r.verdict for r in G.size_gate(results, table).collect()}
+        assert found == {"a": verdict, "b": "skipped"}
+    text = '{"a": {"png": "9KB", "webp": "9KB"}, "b": "9KB", "a": {"png": "9KB", "png": "0.5KB"}, "b": "0.5KB"}'
+    read = configs.baselines_from(spark.createDataFrame([(text,)], "value string"))
+    assert sorted(map(tuple, read.collect())) == [("a", "png", 512.0), ("b", "svg", 512.0)]
+    assert {r.verdict for r in G.size_gate(results, read).collect()} == {"fail"}
+    tolerances = configs.overrides_from(
+        spark.createDataFrame([('{"a": {"png": 1}, "a": {"png": 1, "png": 4}}',)], "value string"))
+    assert [r.tolerance for r in tolerances.collect()] == [4.0]
+    limits = configs.thresholds_from(
+        spark.createDataFrame([('{"a": {"ssimMin": 0.1}, "a": {"psnrMin": 3}}',)], "value string"))
+    assert [(r.ssim_min, r.psnr_min) for r in limits.collect()] == [(None, 3.0)]
+
+
 def test_size_gate(spark):
     results = spark.createDataFrame(
         [("a", "png", 28160), ("a", "png", 28262), ("a", "webp", 1), ("z", "png", 1), ("b", "png", 2048)],
