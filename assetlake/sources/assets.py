@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C, constants as K
+from ..plans.ordered import ranked
+from ..plans.session import stored
 
 
 def file_name(path: Column) -> Column:
@@ -18,7 +20,8 @@ def scan_assets(
 ) -> DataFrame:
     """One row per file below the roots. `content` is read only where a query uses it.
 
-    A filter on `size` reaches the scan, so over-long files are never loaded.
+    A filter on `size` reaches the scan, so over-long files are never loaded. Spark's file scans
+    pass over files of no bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -58,3 +61,75 @@ def scan_valid_assets(
         )
     )
     return small.unionByName(large)
+
+
+# Inventories ---------------------------------------------------------------------------------
+
+ADDED, CHANGED, REMOVED, MOVED, SAME = "added", "changed", "removed", "moved", "same"
+
+
+def inventory(files: DataFrame, key: Column, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
+    """(key, name, size, modified, digest) of files as `scan_assets` gives them.
+
+    key: what names a file within its collection, such as its path below the root; it is unique.
+    The digest is the sha256 of the contents. Contents are read once, as the digest is made, and
+    leave no task; files above `max_bytes` are not read and have no digest.
+    """
+    columns = [key.alias("key"), "name", "size", "modified"]
+    small = files.filter(F.col("size") <= max_bytes).select(
+        *columns, F.sha2("content", 256).alias("digest")
+    )
+    large = files.filter(F.col("size") > max_bytes).select(
+        *columns, F.lit(None).cast("string").alias("digest")
+    )
+    return small.unionByName(large)
+
+
+def compare_inventories(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What became of each file between two inventories: (key, was, state, size, digest).
+
+    state: same, changed, added, removed, or moved, with the key it had before in `was`. Files with
+    a digest are compared by it; those without, by size and time of change, and they never count
+    as moved. A file that is gone and a new one with its contents make a move; of several with the
+    same contents, the first by key are paired first, and what is left was removed or added. Each
+    file of either side appears once, removed ones with their last size and digest.
+    """
+    names = ["size", "modified", "digest"]
+
+    def side(inventory: DataFrame, prefix: str) -> DataFrame:
+        return inventory.select("key", F.lit(True).alias(prefix), *(F.col(c).alias(f"{prefix}_{c}") for c in names))
+
+    both = side(before, "old").join(side(after, "new"), "key", "full")
+    digests = F.col("old_digest").isNotNull() | F.col("new_digest").isNotNull()
+    same = F.when(digests, F.col("old_digest").eqNullSafe(F.col("new_digest"))).otherwise(
+        (F.col("old_size") == F.col("new_size")) & F.col("old_modified").eqNullSafe(F.col("new_modified"))
+    )
+    state = (
+        F.when(F.col("new").isNull(), REMOVED)
+        .when(F.col("old").isNull(), ADDED)
+        .when(same, SAME)
+        .otherwise(CHANGED)
+    )
+    # one run of the comparison serves both sides of a move
+    rows = stored(
+        both.select(
+            "key", state.alias("state"),
+            *(F.when(F.col("new"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in ("size", "digest")),
+        ),
+        "inventories",
+    )
+    moving = rows.filter(F.col("state").isin(ADDED, REMOVED) & F.col("digest").isNotNull())
+    # places among files of the same contents, on each side, however many there are
+    placed = ranked(moving, ["digest", "state"], [F.col("key")], "place")
+    gone = placed.filter(F.col("state") == REMOVED).select("digest", "place", F.col("key").alias("was"))
+    here = placed.filter(F.col("state") == ADDED).select("digest", "place", "key")
+    moves = here.join(gone, ["digest", "place"]).select("key", "was")
+    kept = rows.join(moves.select(F.col("was").alias("key")), "key", "left_anti")
+    known = kept.join(moves, "key", "left")
+    return known.select(
+        "key",
+        "was",
+        F.when(F.col("was").isNotNull(), MOVED).otherwise(F.col("state")).alias("state"),
+        "size",
+        "digest",
+    )

@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..plans.session import durable, new_shared_path
+from ..plans.session import durable, new_shared_path, read_table
 from ..sources.archives import expand_archives
-from ..sources.assets import scan_assets
+from ..sources.assets import compare_inventories, inventory, scan_assets
 from ..sources.exports import export_batch
 from ..sources.images import image_lines, scan_images
 from .base import ASSETS, MAGIC, MIME, SAMPLES, assets, grids, query
@@ -26,10 +26,62 @@ from .queue import PACK_BYTES, PACK_FILES, PACKED
 EXPANDED_LIMIT = 60_000
 
 
-@query("scan_assets")
+def written(documents, folder: str):
+    """The files that Spark writes of (name, text): one folder per name, the text and a newline."""
+    documents.write.partitionBy("name").text(folder)
+    return scan_assets(documents.sparkSession, folder, "*.txt")
+
+
+def document():
+    """The folder that names a document."""
+    return F.regexp_extract("path", "/name=([^/]+)/", 1)
+
+
+def named_texts(spark, sf):
+    documents = read_table(spark, sf, "documents").filter("text IS NOT NULL")
+    return documents.select("doc_id", F.concat(F.lit("doc"), F.col("doc_id")).alias("name"), "text")
+
+
+@query(
+    "scan_assets",
+    """SELECT 'doc' || doc_id AS key, octet_length(encode(text || chr(10))) AS size,
+      sha256(text || chr(10)) AS digest FROM documents WHERE text IS NOT NULL""",
+)
 def scan_assets_query(spark, sf):
-    """The table files themselves as assets: names and sizes, contents left unread."""
-    return scan_assets(spark, sf, "*.parquet").select("name", "size")
+    """Every document as a file, scanned with its contents."""
+    files = written(named_texts(spark, sf).drop("doc_id"), new_shared_path(spark, "scanned"))
+    return inventory(files, document()).select("key", "size", "digest")
+
+
+@query(
+    "compare_inventories",
+    """WITH old AS (SELECT 'doc' || doc_id AS key, doc_id, text || chr(10) AS body FROM documents
+      WHERE text IS NOT NULL),
+    new AS (SELECT CASE WHEN doc_id % 7 = 1 THEN 'new' || doc_id ELSE key END AS key,
+        CASE WHEN doc_id % 5 = 2 THEN 'x' || body ELSE body END AS body
+      FROM old WHERE doc_id % 11 <> 3),
+    merged AS (SELECT coalesce(o.key, n.key) AS key, coalesce(n.body, o.body) AS body,
+      CASE WHEN n.key IS NULL THEN 'removed' WHEN o.key IS NULL THEN 'added'
+        WHEN o.body = n.body THEN 'same' ELSE 'changed' END AS state
+      FROM old o FULL JOIN new n ON n.key = o.key),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY body, state ORDER BY encode(key)) AS place
+      FROM merged),
+    moves AS (SELECT a.key, r.key AS was FROM placed a JOIN placed r
+      ON a.state = 'added' AND r.state = 'removed' AND a.body = r.body AND a.place = r.place)
+    SELECT m.key, v.was, CASE WHEN v.was IS NOT NULL THEN 'moved' ELSE state END AS state,
+      octet_length(encode(body)) AS size, sha256(body) AS digest
+    FROM merged m LEFT JOIN moves v ON v.key = m.key WHERE m.key NOT IN (SELECT was FROM moves)""",
+)
+def compare_inventories_query(spark, sf):
+    """Documents as files, and again with some left out, renamed or changed."""
+    texts, doc = named_texts(spark, sf), F.col("doc_id")
+    later = texts.filter(doc % 11 != 3).select(
+        F.when(doc % 7 == 1, F.concat(F.lit("new"), doc)).otherwise(F.col("name")).alias("name"),
+        F.when(doc % 5 == 2, F.concat(F.lit("x"), "text")).otherwise(F.col("text")).alias("text"),
+    )
+    before = written(texts.drop("doc_id"), new_shared_path(spark, "before"))
+    after = written(later, new_shared_path(spark, "after"))
+    return compare_inventories(inventory(before, document()), inventory(after, document()))
 
 
 def archives(spark, sf):

@@ -1,5 +1,6 @@
 """Readers and writers on files the test makes."""
 
+import hashlib
 import io
 import struct
 import zipfile
@@ -170,3 +171,36 @@ def test_export(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "out" / "files"))
     assert {(r.export_name, bytes(r.content)) for r in files.collect()} == {
         ("pic.jpg", b"\x00"), ("pic-2.jpg", b"\x01"), ("pic.webp", b"\x02")}
+
+
+def test_inventories(spark, tmp_path):
+    """Copies pair up in order of their keys; files above the limit go by size and time."""
+    def put(root, files):
+        for name, body in files.items():
+            path = tmp_path / root / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(body)
+
+    put("old", {"a/same": b"1", "a/changed": b"2", "a/moved": b"3", "a/gone": b"4", "e1": b"copy", "e2": b"copy",
+                "e3": b"copy", "big": b"x" * 100, "big-moved": b"y" * 100})
+    put("new", {"a/same": b"1", "a/changed": b"two", "b/moved": b"3", "fresh": b"5", "e0": b"copy", "e2": b"copy",
+                "f": b"copy", "f2": b"copy", "f3": b"copy", "big": b"z" * 101, "big-new": b"y" * 100})
+
+    def listed(root):
+        key = F.regexp_extract("path", f"/{root}/(.*)$", 1)
+        return assets.inventory(assets.scan_assets(spark, str(tmp_path / root)), key, max_bytes=50)
+
+    before, after = listed("old"), listed("new")
+    digests = {r.key: r.digest for r in before.collect()}
+    assert digests["a/same"] == hashlib.sha256(b"1").hexdigest() and digests["big"] is None
+    rows = assets.compare_inventories(before, after).collect()
+    assert {r.key: (r.state, r.was) for r in rows} == {
+        "a/same": ("same", None), "a/changed": ("changed", None), "b/moved": ("moved", "a/moved"),
+        "a/gone": ("removed", None), "fresh": ("added", None), "e2": ("same", None),
+        "e0": ("moved", "e1"), "f": ("moved", "e3"), "f2": ("added", None), "f3": ("added", None),
+        "big": ("changed", None), "big-moved": ("removed", None), "big-new": ("added", None),
+    }
+    assert len(rows) == 13 and {r["size"] for r in rows if r.key == "a/changed"} == {3}
+    nothing = before.filter("false")
+    assert {r.state for r in assets.compare_inventories(nothing, after).collect()} == {"added"}
+    assert {r.state for r in assets.compare_inventories(before, before).collect()} == {"same"}
