@@ -12,7 +12,8 @@ base `x-n` (as its own name). That gives an exact answer without walking a batch
 
 Step 2 for n depends on the smaller ones. Bounds settle it: all smaller ones won at most and at
 least so many; repeat until nothing is open. Each repeat settles at least the next one, and
-usually everything. Bases are settled parents first.
+usually everything. A parent that is a child itself (`x-2-2` of `x-2` of `x`) is settled under both
+outcomes of its own name; chains are then resolved by doubling.
 """
 
 from __future__ import annotations
@@ -85,39 +86,72 @@ def _rows_before(rows: DataFrame, links: DataFrame, order: str, slices: int | No
     return counted.filter("row = 0").drop("row", "at", "first")
 
 
+LINK = ["batch_id", "child", "ext"]
+
+
 def _settle(links: DataFrame, slices: int | None) -> DataFrame:
-    """Add `won`: does the child get its own name? Also the parent's start offset."""
-    open_links = durable(links)
+    """Add `won`: does the child get its own name? Also the parent's start offset.
+
+    Where a parent is itself a child, its offset is 0 or 1 and not known yet, so the children of
+    a parent are settled for both. What a link makes of the offset above it is then a function
+    on {0, 1}; chains of these functions are composed by doubling.
+    """
+    above = links.select("batch_id", F.col("child").alias("parent"), "ext", F.lit(True).alias("chained"))
+    links = durable(links.join(above, ["batch_id", "parent", "ext"], "left"))
+    offsets = F.when(F.col("chained"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    cases = _settle_level(durable(links.withColumn("offset", F.explode(offsets))), slices)
+    won = [F.max(F.when(F.col("offset") == k, F.col("won"))).alias(f"won{k}") for k in (0, 1)]
+    known = durable(
+        links.drop("chained").join(cases.groupBy(*LINK).agg(*won), LINK)
+    )
+    own = _own_offsets(known).withColumnsRenamed({"child": "parent", "own": "offset"})
+    return known.join(own, ["batch_id", "parent", "ext"], "left").withColumns(
+        {
+            "won": F.when(F.col("offset") == 1, F.col("won1")).otherwise(F.col("won0")),
+            "offset": F.coalesce("offset", F.lit(0)),
+        }
+    ).drop("won0", "won1")
+
+
+def _own_offsets(known: DataFrame) -> DataFrame:
+    """(batch_id, child, ext, own): where the child starts numbering, 0 with its own name, else 1.
+
+    Each round composes what a link makes of the offset above it with what the link it points to
+    makes of the one above that, and points as far again: as many rounds as the logarithm of the
+    longest chain.
+    """
+    start = [F.when(F.col(f"won{k}"), 0).otherwise(1).alias(f"o{k}") for k in (0, 1)]
+    chained = F.col("won1").isNotNull()
+    state = known.select(*LINK, F.when(chained, F.col("parent")).alias("up"), *start)
     done = None
-    while not open_links.isEmpty():
-        waiting = open_links.select("batch_id", F.col("child").alias("parent"), "ext").distinct()
-        ready = open_links.join(waiting, ["batch_id", "parent", "ext"], "left_anti")
-        if done is None:
-            ready = ready.withColumn("offset", F.lit(0))
-        else:
-            lost = done.select(
-                "batch_id", F.col("child").alias("parent"), "ext",
-                F.when(F.col("won"), 0).otherwise(1).alias("offset"),
-            )
-            ready = ready.join(lost, ["batch_id", "parent", "ext"], "left").withColumn(
-                "offset", F.coalesce("offset", F.lit(0))
-            )
-        level = _settle_level(durable(ready), slices)
-        done = level if done is None else durable(done.unionByName(level))
-        open_links = durable(
-            open_links.join(level.select("batch_id", "child", "ext"),
-                            ["batch_id", "child", "ext"], "left_anti")
+    while True:
+        state = durable(state)
+        ends = state.filter("up IS NULL").select(*LINK, F.col("o0").alias("own"))
+        done = ends if done is None else done.unionByName(ends)
+        waiting = state.filter("up IS NOT NULL")
+        if waiting.isEmpty():
+            return done
+        # links that have ended keep giving their offset to those that point at them
+        ended = done.select(*LINK, F.lit(None).cast("string").alias("up"), *(F.col("own").alias(f"o{k}") for k in (0, 1)))
+        target = ended.unionByName(waiting.select(*LINK, "up", "o0", "o1")).select(
+            "batch_id", "ext", F.col("child").alias("up"), F.col("up").alias("next"),
+            F.col("o0").alias("a0"), F.col("o1").alias("a1"),
+        )
+        state = waiting.join(target, ["batch_id", "ext", "up"]).select(
+            *LINK,
+            F.col("next").alias("up"),
+            *(F.when(F.col(f"a{k}") == 0, F.col("o0")).otherwise(F.col("o1")).alias(f"o{k}") for k in (0, 1)),
         )
-    return done
 
 
 def _settle_level(ready: DataFrame, slices: int | None) -> DataFrame:
+    """Add `won`, for the children of each parent under each offset of it."""
     need = F.col("n") - F.col("offset") - F.col("before")
     state = ready.withColumn("won", F.lit(None).cast("boolean"))
     while True:
         bounds = running_totals(
             state,
-            ["batch_id", "parent", "ext"],
+            ["batch_id", "parent", "ext", "offset"],
             [F.col("n")],
             {
                 "at_most": F.coalesce(F.col("won"), F.lit(True)).cast("int"),

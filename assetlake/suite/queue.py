@@ -353,9 +353,25 @@ def unique_names(spark, sf):
     return naming.unique_names(rows, prefix="small-").select("batch_id", "ordinal", "export_name")
 
 
-@query("unique_names_colliding")
+@query(
+    "unique_names_colliding",
+    f"""WITH RECURSIVE {ITEMS},
+    bases AS (SELECT batch_id, ordinal, CASE WHEN ordinal % 40 < 20 THEN 'img'
+        WHEN ordinal % 40 < 25 THEN 'img-2-2' ELSE 'img-' || (ordinal // 40) END AS base,
+      row_number() OVER (PARTITION BY batch_id ORDER BY ordinal) AS place FROM items),
+    taken(batch_id, name, place) USING KEY (batch_id, name) AS (
+      SELECT batch_id, base || '.png', place FROM bases WHERE place = 1
+      UNION ALL
+      SELECT b.batch_id, (SELECT min_by(c.name, c.k) FROM (
+          SELECT k, b.base || CASE WHEN k > 1 THEN '-' || k ELSE '' END || '.png' AS name
+          FROM range(1, b.place + 1) t(k)) c
+        WHERE NOT EXISTS (SELECT 1 FROM recurring.taken u
+          WHERE u.batch_id = b.batch_id AND u.name = c.name)), b.place
+      FROM taken l JOIN bases b ON b.batch_id = l.batch_id AND b.place = l.place + 1)
+    SELECT batch_id, ordinal, name AS export_name FROM bases JOIN taken USING (batch_id, place)""",
+)
 def unique_names_colliding(spark, sf):
-    """Names like img, img-2, img-7 that collide with numbered ones; checked by brute force."""
+    """Names like img, img-2, img-7 that collide with numbered ones; the SQL takes row by row."""
     key = F.col("ordinal") % 40
     base = F.when(key < 20, F.lit("img")).when(key < 25, F.lit("img-2-2")).otherwise(
         F.concat(F.lit("img-"), F.floor(F.col("ordinal") / 40).cast("string"))

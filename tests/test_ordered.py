@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import Window, functions as F
 
+from assetlake.operators import naming
 from assetlake.operators.naming import unique_names
 from assetlake.operators.packing import greedy_pack
 from assetlake.operators.ranking import next_task, priority_rank
@@ -109,6 +110,23 @@ def test_unique_names_sliced(spark):
     check_names(spark, rows, slices=7)
 
 
+@pytest.mark.parametrize("depth", [8, 64])
+def test_chains_of_suffixes(spark, monkeypatch, depth):
+    """Whether a-2-2-2 gets its own name hangs on a-2-2, and so on: rounds grow with the logarithm."""
+    checkpoints = []
+    real = naming.durable
+    monkeypatch.setattr(naming, "durable", lambda df: checkpoints.append(1) or real(df))
+    rng = random.Random(depth)
+    chain = ["a" + "-2" * k for k in range(depth)]
+    rows = []
+    for batch in ("down", "up", "twice", "mixed"):
+        picks = {"down": chain, "up": chain[::-1], "twice": sorted(chain * 2, key=len)}.get(batch)
+        for base in picks or [rng.choice(chain) for _ in range(3 * depth)]:
+            rows.append((batch, len(rows), base, "png"))
+    check_names(spark, rows)
+    assert len(checkpoints) <= 9 + depth.bit_length()
+
+
 def test_many_numbered_names(spark):
     """The pattern of the registered query: one base and many that look like its numbers."""
     rows = []
