@@ -56,7 +56,10 @@ def test_as_brute_force(spark, assets, monkeypatch, ends):
     assert {(t, i) for i, _, _, k, t in have if k and i is not None} == keep
 
 
-def test_a_third_of_all_rows_alike(spark, assets):
+@pytest.mark.parametrize("few", [exact_dedup.BROADCAST_ROWS, 0])
+def test_a_third_of_all_rows_alike(spark, assets, monkeypatch, few):
+    """With joins that broadcast what is left, and with joins that shuffle it."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", few)
     rows = [(n, "Same " * 100 if n % 3 else f"{n}") for n in range(600)]
     assert got(drop_copies(assets(rows, partitions=5))) == brute(rows)
 
